@@ -132,3 +132,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = materialize(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     named = materialize(joined.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, that of least id; of repeated rows of that id one. Wordless texts, all of fingerprint zero, stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = materialize(found.where("doc_id <> component_id and fingerprint <> '0000000000000000'").select("doc_id").distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == gone.doc_id, "left_anti").dropDuplicates([id_col])

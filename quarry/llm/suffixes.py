@@ -1,2 +1,414 @@
-def dedup_digest(docs):
-    raise NotImplementedError
+"""Suffix dedup by a common-prefix-aware distributed merge sort of sampled suffixes.
+
+Every window of LENGTH bytes picks the place in it whose GRAM-byte hash is least (the first of equal ones). Equal windows pick the same place, so
+suffixes that begin at picked places, and they alone, need sorting: about one in forty. An item is such a suffix with the stretch of windows
+that picked its beginning: the bytes from the picked place to the end of the last window, then the bytes from the first window's start to the place.
+
+Map side: items are sorted in runs; equal items of a run are one item, its first place, and the others are covered at once, so a frequent
+passage leaves a task once. Runs are front-coded (bytes shared with the item before are not sent), compressed, and dealt by the hash of
+the picked bytes, since only suffixes with equal beginnings have to meet. Reduce side: a loser tree merges the runs; it keeps with
+each loser the prefix it shares with the winner, so known prefixes are never compared again. Neighbours with a common prefix of GRAM bytes form
+groups; in a group, equal items are covered whole, and of the others only the windows within the prefix shared with a neighbour are looked up.
+
+A byte is removed if a LENGTH-byte string covers it that also starts earlier: at a smaller id, or in the same text before. Null ids come first.
+Rows of equal id and equal text are one text with one result; rows of equal id and different texts are ordered by hash. Null texts are empty;
+texts shorter than LENGTH keep all. Columns other than id and text are ignored; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, payload, task_partitions
+
+LENGTH, GRAM = 100, 20
+#: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group from which windows are held as digests.
+RUN_ITEMS, BATCH_BYTES, LARGE_GROUP = 300_000, 2 << 20, 2_000
+#: A text's windows are taken in pieces of so many starts; each piece has all bytes of its windows.
+PIECE_BYTES = 4 << 20
+#: Odd multipliers of the byte hash and of its doublings.
+_FACTORS = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xE7037ED1A0B428DB]
+_LOW = np.uint64(0xFFFFFF)
+
+
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A 64-bit hash of the gram bytes from each place on."""
+    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(_FACTORS[0])
+    size, k = 1, 1
+    while size < gram:
+        step = min(size, gram - size)
+        h = h[: len(h) - step] * np.uint64(_FACTORS[k]) + h[step:]
+        h ^= h >> np.uint64(29)
+        size, k = size + step, k + 1
+    h *= np.uint64(_FACTORS[0])
+    return h ^ (h >> np.uint64(32))
+
+
+def picks(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Stretches of windows with one picked place, in texts laid end to end (bounds: their ends): (first, last, place, hash of the place, text)."""
+    if len(data) < length:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    h = gram_hashes(data, gram)
+    least = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+    size, window = 1, length - gram + 1
+    while size < window:
+        step = min(size, window - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    place = (least & _LOW).astype(np.int64)
+    begins = np.concatenate([[0], bounds[:-1]])
+    whole = bounds - begins >= length
+    turn = np.zeros(len(place) + 1, np.int8)
+    turn[begins[whole]] = 1
+    inside = np.zeros(len(place) + 1, np.int64)
+    np.add.at(inside, begins[whole], 1)
+    np.add.at(inside, bounds[whole] - length + 1, -1)
+    valid = np.cumsum(inside)[:-1] > 0
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | ~valid[:-1]]) | (turn[:-1] == 1)
+    first = np.flatnonzero(valid & new)
+    ends = np.flatnonzero(np.concatenate([new[1:] | ~valid[1:], [True]]) & valid)
+    return first, ends, place[first], h[place[first]], np.searchsorted(bounds, first, "right")
+
+
+def front_code(strings: list[bytes], right: np.ndarray, start: np.ndarray, keys: list[bytes]) -> bytes:
+    """A sorted run: for each item the prefix it shares with the one before, and the rest."""
+    n = len(strings)
+    size = np.fromiter(map(len, strings), np.int64, n)
+    wide = int(size.max())
+    table = np.zeros((n, wide), np.uint8)
+    table[np.arange(wide) < size[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    shared = np.zeros(n, np.int64)
+    if n > 1:
+        differ = table[1:] != table[:-1]
+        shared[1:] = np.minimum(np.where(differ.any(1), differ.argmax(1), wide), np.minimum(size[1:], size[:-1]))
+    cells = np.arange(wide)
+    rest = table[(cells >= shared[:, None]) & (cells < size[:, None])].tobytes()
+    key_size = np.fromiter(map(len, keys), np.uint8, n)
+    parts = [shared.astype("<u2").tobytes(), size.astype("<u2").tobytes(), right.astype("<u2").tobytes(), start.astype("<u4").tobytes(), key_size.tobytes(), b"".join(keys), rest]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", n, sum(map(len, keys))) + b"".join(parts))
+
+
+def run_items(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
+    """(string, prefix shared with the item before, key, start, bytes from the picked place on) of a run."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, key_bytes = struct.unpack_from("<II", raw)
+    at = 8
+    columns = []
+    for kind, wide in (("<u2", 2), ("<u2", 2), ("<u2", 2), ("<u4", 4), ("u1", 1)):
+        columns.append(np.frombuffer(raw, kind, n, at).tolist())
+        at += n * wide
+    k, at = at, at + key_bytes
+    before = b""
+    for shared, size, right, start, key_size in zip(*columns, strict=True):
+        before = before[:shared] + raw[at : at + size - shared]
+        at += size - shared
+        yield before, shared, raw[k : k + key_size], start, right
+        k += key_size
+
+
+def _mismatch(a: bytes, b: bytes, at: int) -> int:
+    """The first place from `at` on where a and b differ, or where the shorter ends."""
+    end = min(len(a), len(b))
+    while at < end:
+        x, y = a[at : at + 16], b[at : at + 16]
+        if x != y:
+            n = min(len(x), len(y))
+            differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+            return at + n - (differ.bit_length() + 7) // 8
+        at += 16
+    return end
+
+
+def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+    """The items of sorted runs in order, each with the prefix it shares with the item put out before it, by a loser tree on common prefixes."""
+    leaves = 1
+    while leaves < len(runs):
+        leaves *= 2
+    now: list[tuple | None] = [next(r, None) for r in runs] + [None] * (leaves - len(runs))
+    known = [0] * leaves
+
+    def beats(i: int, j: int) -> bool:
+        """Whether i comes before j; the loser then knows the prefix it shares with the winner."""
+        a, b = now[i], now[j]
+        if a is None or b is None:
+            return b is None
+        if known[i] != known[j]:
+            return known[i] > known[j]
+        x, y = a[0], b[0]
+        m = _mismatch(x, y, known[i])
+        if m == len(x) or (m < len(y) and x[m] < y[m]):
+            known[j] = m
+            return True
+        known[i] = m
+        return False
+
+    loser = [0] * leaves
+
+    def play(node: int) -> int:
+        if node >= leaves:
+            return node - leaves
+        i, j = play(2 * node), play(2 * node + 1)
+        if beats(i, j):
+            loser[node] = j
+            return i
+        loser[node] = i
+        return j
+
+    winner = play(1) if leaves > 1 else 0
+    while (item := now[winner]) is not None:
+        yield item, known[winner]
+        following = next(runs[winner], None)
+        now[winner] = following
+        known[winner] = following[1] if following is not None else 0
+        node = (winner + leaves) >> 1
+        while node:
+            j = loser[node]
+            a, b = now[winner], now[j]
+            if b is not None:
+                if a is None or known[winner] < known[j] or (known[winner] == known[j] and not beats(winner, j)):
+                    loser[node], winner = winner, j
+            node >>= 1
+
+
+def group_cover(group: list[tuple], length: int = LENGTH) -> list[tuple[bytes, int, int]]:
+    """(key, start, end) covered in a group of merged items ((string, _, key, start, right), shared), in sorted order."""
+    out: list[tuple[bytes, int, int]] = []
+    kept: list[list] = []  # item, prefix shared with the one before
+    same: dict[int, int] = {}
+    for item, shared in group:
+        if not kept or kept[-1][0][0] != item[0]:
+            same = {}
+            kept.append([item, shared])
+            same[item[4]] = len(kept) - 1
+            continue
+        k = same.get(item[4])
+        if k is None:
+            same[item[4]] = len(kept)
+            kept.append([item, shared])
+            continue
+        old = kept[k][0]
+        new, gone = (item, old) if (item[2], item[3]) < (old[2], old[3]) else (old, item)
+        kept[k][0] = new
+        out.append((gone[2], gone[3], gone[3] + len(gone[0])))
+    if len(kept) < 2:
+        return out
+    todo = []
+    for k, (item, shared) in enumerate(kept):
+        text, _, key, start, right = item
+        near = max(shared if k else 0, kept[k + 1][1] if k + 1 < len(kept) else 0)
+        last = min(len(text) - length, len(text) - right - length + min(near, right))
+        if last >= 0:
+            todo.append((key, start, last, text[right:] + text[:right]))
+    if len(todo) < 2:
+        return out
+    todo.sort(key=lambda x: x[:2])
+    digest = xxhash.xxh3_128_digest if len(todo) > LARGE_GROUP else bytes
+    seen: set[bytes] = set()
+    for key, start, last, text in todo:
+        begin = -1
+        for j in range(last + 1):
+            window = digest(text[j : j + length])
+            if window in seen:
+                if begin < 0:
+                    begin = j
+            else:
+                seen.add(window)
+                if begin >= 0:
+                    out.append((key, start + begin, start + j - 1 + length))
+                    begin = -1
+        if begin >= 0:
+            out.append((key, start + begin, start + last + length))
+    return out
+
+
+def _cover_batch(found: list[tuple[bytes, int, int]]) -> list[pa.Array]:
+    return [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] << 31 | x[2] for x in found], pa.int64())]
+
+
+def _make_runs(parts: int):
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list[bytes] = []
+        keys: list[bytes] = []
+        meta: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            part, right, start = (np.concatenate([m[k] for m in meta]) for k in range(3))
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            covered: list[tuple[bytes, int, int]] = []
+            for p in range(parts):
+                own = order[edges[p] : edges[p + 1]].tolist()
+                if not own:
+                    continue
+                own.sort(key=items.__getitem__)
+                keep: list[int] = []
+                same: dict[int, int] = {}
+                for i in own:
+                    if not keep or items[keep[-1]] != items[i]:
+                        same = {int(right[i]): len(keep)}
+                        keep.append(i)
+                        continue
+                    k = same.get(int(right[i]))
+                    if k is None:
+                        same[int(right[i])] = len(keep)
+                        keep.append(i)
+                        continue
+                    j = keep[k]
+                    new, gone = (i, j) if (keys[i], start[i]) < (keys[j], start[j]) else (j, i)
+                    keep[k] = new
+                    covered.append((keys[gone], int(start[gone]), int(start[gone]) + len(items[gone])))
+                blob = front_code([items[i] for i in keep], right[keep], start[keep], [keys[i] for i in keep])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int64())], names=["part", "run", "key", "span"])
+            for k in range(0, len(covered), 100_000):
+                key, span = _cover_batch(covered[k : k + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(key)) % parts, pa.int32()), pa.nulls(len(key), pa.binary()), key, span], names=["part", "run", "key", "span"])
+
+        def take(texts: list[bytes], own: list[tuple[bytes, int]]) -> None:
+            raw = b"".join(texts)
+            bounds = np.cumsum([len(t) for t in texts])
+            first, last, place, h, text = picks(np.frombuffer(raw, np.uint8), bounds)
+            items.extend([raw[a:b] + raw[s:a] for s, a, b in zip(first.tolist(), place.tolist(), (last + LENGTH).tolist(), strict=True)])
+            keys.extend([own[t][0] for t in text.tolist()])
+            origin = np.concatenate([[0], bounds[:-1]]) - np.array([offset for _, offset in own], np.int64)
+            meta.append(np.stack([((h >> np.uint64(3)) & np.uint64(0xFFFFF)).astype(np.int64) % parts, last + LENGTH - place, first - origin[text]]))
+
+        texts: list[bytes] = []
+        own: list[tuple[bytes, int]] = []
+        size = 0
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                data = text.as_py()
+                if len(data) < LENGTH:
+                    continue
+                for offset in range(0, len(data) - LENGTH + 1, PIECE_BYTES):
+                    texts.append(data[offset : offset + PIECE_BYTES + LENGTH - 1])
+                    own.append((key.as_py(), offset))
+                    size += len(texts[-1])
+                    if size >= BATCH_BYTES:
+                        take(texts, own)
+                        texts, own, size = [], [], 0
+                    if len(items) >= RUN_ITEMS:
+                        yield from flush()
+                        items.clear(), keys.clear(), meta.clear()
+        if texts:
+            take(texts, own)
+        if items:
+            yield from flush()
+
+    return runs
+
+
+def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blobs: list[bytes] = []
+    for batch in batches:
+        here = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        blobs.extend(x.as_py() for x in batch.column(0).filter(pa.array(here)))
+        rest = batch.filter(pa.array(~here))
+        if rest.num_rows:
+            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2)], names=["key", "span"])
+    found: list[tuple[bytes, int, int]] = []
+    group: list[tuple] = []
+    for pair in merge([run_items(b) for b in blobs]) if blobs else ():
+        if pair[1] >= GRAM:
+            group.append(pair)
+            continue
+        if len(group) > 1:
+            found += group_cover(group)
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays(_cover_batch(found), names=["key", "span"])
+                found = []
+        group = [pair]
+    if len(group) > 1:
+        found += group_cover(group)
+    yield pa.RecordBatch.from_arrays(_cover_batch(found), names=["key", "span"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Adds `key`, which orders as the ids do: nothing for a null id, else eight bytes; then the text's hash where ids are not unique."""
+    rows = docs.select(*more, F.col(id_col).cast("long").alias("_id"), payload(text_col).alias("_data"))
+    unique = not docs.select(F.col(id_col).alias("_id")).groupBy("_id").count().where("count > 1 or _id is null").limit(1).count()
+    key = F.unhex(F.lpad(F.hex(F.col("_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return rows.withColumn("key", key if unique else F.concat(F.coalesce(key, F.lit(b"")), F.unhex(F.lpad(F.hex(F.xxhash64("_data")), 16, "0"))))
+
+
+def covered(keyed: DataFrame) -> DataFrame:
+    """(key, span): spans of texts (key, _data) that an equal earlier string covers; start and end packed in one long. Spans may overlap."""
+    parts = task_partitions(keyed.sparkSession)
+    runs = keyed.select("key", "_data").mapInArrow(_make_runs(parts), "part int, run binary, key binary, span long")
+    dealt = runs.repartitionById(parts, "part").select("run", "key", "span")
+    return dealt.mapInArrow(_merge_runs, "key binary, span long")
+
+
+def remove_spans(data: bytes, spans: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(which bytes stay, bytes removed, maximal removed runs) for spans packed as longs."""
+    turn = np.zeros(len(data) + 1, np.int32)
+    np.add.at(turn, spans >> 31, 1)
+    np.add.at(turn, spans & ((1 << 31) - 1), -1)
+    gone = np.cumsum(turn)[:-1] > 0
+    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+    return ~gone, int(gone.sum()), runs
+
+
+def _with_spans(keyed: DataFrame) -> DataFrame:
+    """keyed with its spans gathered: each text meets its own spans by key."""
+    spans = covered(keyed).groupBy("key").agg(F.collect_set("span").alias("spans"))
+    return keyed.join(spans, "key", "left")
+
+
+def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+                data, n, runs = text.as_py(), 0, 0
+                kept = data
+                if spans.is_valid:
+                    stay, n, runs = remove_spans(data, spans.values.to_numpy())
+                    kept = np.frombuffer(data, np.uint8)[stay].tobytes()
+                rows.append((len(data), n, runs, hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    keyed = _keyed(docs, id_col, text_col)
+    return _with_spans(keyed).select("_id", "_data", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes taken out of its texts; a character goes only if all its bytes do, so that texts stay valid UTF-8."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("_data"), batch.column("spans"), strict=True):
+                data = text.as_py()
+                if spans.is_valid:
+                    stay, n, _ = remove_spans(data, spans.values.to_numpy())
+                    raw = np.frombuffer(data, np.uint8)
+                    if n:
+                        head = (raw & 0xC0) != 0x80
+                        owner = np.cumsum(head) - 1
+                        whole = np.bincount(owner[owner >= 0], stay[owner >= 0]) > 0
+                        stay = whole[np.maximum(owner, 0)]
+                    data = raw[stay].tobytes()
+                out.append(data.decode("utf-8", "replace"))
+            named = {n: batch.column(n) for n in batch.schema.names if n not in ("_data", "spans")}
+            yield pa.RecordBatch.from_arrays([*named.values(), pa.array(out, pa.string())], names=[*named, "_text"])
+
+    others = [c for c in docs.columns if c != text_col]
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = _keyed(kept, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(text_col).isNull().alias("_none"))
+    joined = _with_spans(keyed).select("_row", "_none", "_data", "spans")
+    schema = joined.select("_row", "_none").schema.add("_text", "string")
+    done = joined.mapInArrow(cut, schema)
+    return done.select(*[F.when(~F.col("_none"), F.col("_text")).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -2,7 +2,8 @@
 
 Fitting reads a bounded sample of labelled rows (``sample_rows``, ``max_fit_chars``) and never a held-out one. Word forms, their beginnings
 and endings that stand in toxic documents nearly alone become features; words that carry one are the labelled tokens on which the chain is
-trained. Scoring reads every word of every text; a document's score is its largest marginal.
+trained. Scoring reads every word of every text; a document's score is a logistic function of its largest marginal, the sum of its marginals
+of LEAST_MARGINAL or more, and its words, fitted on the same sample.
 
 Null and empty texts have no words and score 0. Repeated rows each get the same result. Columns other than the id and the text are never
 read, so labels, lang, source and clashing names can't enter a score. Without labelled rows nothing is learnt and all scores are 0.
@@ -10,6 +11,7 @@ read, so labels, lang, source and clashing names can't enter a score. Without la
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +28,12 @@ CHAIN_ROWS = 1_000
 MAX_FIT_CHARS = 60_000
 THRESHOLD = 0.3
 HELD_OUT = "crc32(cast(cast({0} as string) as binary)) % 4 = 2"
-SCHEMA = "doc_id long, score double, predicted int, n_toxic_words long, toxic_spans array<struct<start:int,end:int,p:double>>"
+SCHEMA = "doc_id long, score double, predicted int, n_toxic_words long, toxic_spans array<struct<start:int,end:int,p:double>>, top double, mass double, n_words long"
+_NAMES = ["doc_id", "score", "predicted", "n_toxic_words", "toxic_spans", "top", "mass", "n_words"]
 _WORD = re.compile(r"[^\W\d_]+")
 #: Smallest natural-log likelihood ratio (two-sided G statistic) and toxic share of a feature.
 LEAST_G, LEAST_SHARE = 14.0, 0.8
+LEAST_MARGINAL = 0.05
 
 
 def features(word: str) -> list[str]:
@@ -41,8 +45,8 @@ def features(word: str) -> list[str]:
 class Chain:
     """A two-tag chain: weights of features for the tag toxic, a bias, and a score for each pair of neighbouring tags."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: float, moves: np.ndarray) -> None:
-        self.index, self.weights, self.bias, self.moves = index, weights, bias, moves
+    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: float, moves: np.ndarray, calibration: np.ndarray | None = None) -> None:
+        self.index, self.weights, self.bias, self.moves, self.calibration = index, weights, bias, moves, calibration
         self._seen: dict[str, float] = {}
 
     def emission(self, word: str) -> float:
@@ -186,10 +190,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, chai
         lexicon = counted.where((F.col("t") >= 3) & (fit_share >= LEAST_SHARE)).where(g >= LEAST_G).orderBy(F.desc(g), "feature").limit(50_000).collect()
         # A beginning or ending that is rarer than a word or longer beginning it shares all documents with adds nothing; weights settle the rest.
         index = {r["feature"]: k for k, r in enumerate(lexicon)}
-        chain = [sample.where("toxic = 1"), sample.where("toxic <> 1")]
-        rows = [r for part in chain for r in part.orderBy("h").limit(chain_rows // 2).select("text", "toxic").collect()]
+        halves = [sample.where("toxic = 1"), sample.where("toxic <> 1")]
+        rows = [r for part in halves for r in part.orderBy("h").limit(chain_rows // 2).select("text", "toxic").collect()]
+        chain = _train(index, rows)
+        marginals = sample.select(F.col("toxic").alias("doc_id"), "text").mapInArrow(_scorer(chain), SCHEMA)
+        seen = marginals.select(F.col("doc_id").alias("toxic"), "top", "mass", "n_words").collect()
+        chain.calibration = _calibrate(np.array([[r["top"], r["mass"], r["n_words"]] for r in seen], float), np.array([r["toxic"] == 1 for r in seen], float))
+        return chain
     finally:
         sample.unpersist()
+
+
+def _inputs(top: np.ndarray, mass: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    p = np.clip(top, 1e-4, 1 - 1e-6)
+    return np.stack([np.ones(len(p)), np.log(p / (1 - p)), np.log1p(mass), np.log1p(n_words)], 1)
+
+
+def _calibrate(found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic regression with a small ridge, by Newton steps."""
+    x = _inputs(*found.T)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(h, x.T @ (p - toxic) + 0.1 * w), -5, 5)
+    return w
+
+
+def _train(index: dict[str, int], rows: list) -> Chain:
+    """The chain from labelled tokens: in toxic documents the words that carry a feature, elsewhere none."""
     token_features: list[list[int]] = []
     tags: list[int] = []
     first: list[bool] = []
@@ -207,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, chai
     return train_chain(index, token_features, np.array(tags), np.array(first))
 
 
-def score_texts(chain: Chain, texts: list[bytes], n_spans: bool = True) -> list[tuple]:
-    """(score, words tagged at THRESHOLD, spans of neighbouring tagged words as character offsets) of each text."""
+def score_texts(chain: Chain, texts: list[bytes]) -> list[list]:
+    """(score, words tagged at THRESHOLD, spans of neighbouring tagged words as character offsets, top, mass, words) of each text."""
     lows = [x.decode("utf-8", "replace") for x in texts]
     words = [_WORD.findall(x.lower()) for x in lows]
     counts = np.array([len(w) for w in words], np.int64)
@@ -221,7 +250,7 @@ def score_texts(chain: Chain, texts: list[bytes], n_spans: bool = True) -> list[
         own = p[end - n : end]
         hit = np.flatnonzero(own >= THRESHOLD)
         spans: list[tuple] = []
-        if n_spans and len(hit):
+        if len(hit):
             low = text.lower()
             at = [m.span() for m in _WORD.finditer(low if len(low) == len(text) else text)]
             for k in hit:
@@ -231,24 +260,44 @@ def score_texts(chain: Chain, texts: list[bytes], n_spans: bool = True) -> list[
                     spans[-1] = (spans[-1][0], at[k][1], max(spans[-1][2], float(own[k])), k)
                 else:
                     spans.append((at[k][0], at[k][1], float(own[k]), k))
-        out.append((float(own.max(initial=0.0)), len(hit), [{"start": a, "end": b, "p": q} for a, b, q, _ in spans]))
+        top, mass = float(own.max(initial=0.0)), float(own[own >= LEAST_MARGINAL].sum())
+        out.append([top, len(hit), [{"start": a, "end": b, "p": q} for a, b, q, _ in spans], top, mass, int(n)])
+    if chain.calibration is not None and out:
+        known = _inputs(*(np.array([r[k] for r in out], float) for k in (3, 4, 5))) @ chain.calibration
+        for r, x in zip(out, known.tolist(), strict=True):
+            r[0] = 1 / (1 + math.exp(-min(max(x, -30), 30))) if r[5] else 0.0
     return out
 
 
-def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs (SCHEMA): no shuffle, one pass over the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((chain.index, chain.weights, chain.bias, chain.moves))
-
+def _scorer(chain: Chain):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Chain(*shared.value)
+        own = Chain(chain.index, chain.weights, chain.bias, chain.moves, chain.calibration)
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+        kinds = [pa.float64(), pa.int32(), pa.int64(), span, pa.float64(), pa.float64(), pa.int64()]
+        for whole in batches:
+            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                rows = [(r[0], int(r[0] >= THRESHOLD), *r[1:]) for r in score_texts(own, [x.as_py() for x in batch.column(1)])]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=_NAMES)
+
+    return score
+
+
+def toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs (SCHEMA): no shuffle, one pass over the texts. The chain, at most 50000 features, travels with the tasks."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), payload(text_col).alias("text")).mapInArrow(_scorer(chain), SCHEMA)
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose text is not predicted toxic: one pass, no shuffle; rows keep their place beside their score."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Chain(chain.index, chain.weights, chain.bias, chain.moves, chain.calibration)
         for whole in batches:
             for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                rows = score_texts(own, [x.as_py() for x in batch.column(1)])
-                columns = [
-                    pa.array([r[0] for r in rows], pa.float64()), pa.array([int(r[0] >= THRESHOLD) for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], span),
-                ]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "score", "predicted", "n_toxic_words", "toxic_spans"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), payload(text_col).alias("text")).mapInArrow(score, SCHEMA)
+                scores = score_texts(own, [x.as_py() for x in batch.column(batch.num_columns - 1)])
+                stay = batch.filter(pa.array([r[0] < THRESHOLD for r in scores], pa.bool_()))
+                yield stay.select(list(range(batch.num_columns - 1)))
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], payload(text_col).alias("_bytes"))
+    return rows.mapInArrow(keep, docs.schema)
