@@ -135,7 +135,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of least id; of repeated rows of that id one. Wordless texts, all of fingerprint zero, stay."""
+    """docs with one document of each component, that of least id. Wordless texts, all of fingerprint zero, stay. Rows of one id go or stay
+    together; where ids repeat, of rows of equal id and text one stays."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = materialize(found.where("doc_id <> component_id and fingerprint <> '0000000000000000'").select("doc_id").distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == gone.doc_id, "left_anti").dropDuplicates([id_col])
+    gone = materialize(found.where("doc_id <> component_id and fingerprint <> '0000000000000000'").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
