@@ -1,0 +1,30 @@
+"""Tunables that change results, with the defaults of the data model."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Settings:
+    chunk_tokens: int = 768
+    chunk_overlap: int = 200
+    schema_version: int = 2
+    table_anchors: int = 6
+    visual_threshold: float = 0.75
+    visual_require_strong: bool = True
+    dense_k: int = 24
+    sparse_k: int = 24
+    rrf_k: int = 60
+    rerank_k: int = 8
+    min_score: float = 0.001
+    context_chars: int = 1800
+    sources: int = 5
+    per_document: int = 2
+    rewrite_weight: float = 0.6
+    rewrite_terms: int = 12
+    history: int = 8
+    catalog_points: int = 10_000
+
+
+DEFAULTS = Settings()

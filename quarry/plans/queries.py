@@ -1,8 +1,483 @@
-"""Queries over the driver's tables and their DuckDB SQL."""
+"""Queries over the driver's tables, each with the DuckDB SQL that gives the same rows where SQL can express it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import chat as C
+from ..functions import ids
+from ..functions import tables as TB
+from ..functions import text as T
+from ..operators import answer as A
+from ..operators import chunk as CH
+from ..operators import index as IX
+from ..operators import rank as R
+from ..operators import search as S
+from ..sources import bindings as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+#: DuckDB expressions that several oracles share.
+TERMS = f"""list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({STOP}))"""
+CHUNKS = """(SELECT *, doc_id || ':chunk:' || lpad(chunk_index::VARCHAR, 5, '0') AS chunk_id, 2 AS schema_version FROM (
+  SELECT doc_id, 'doc_' || substr(sha256(full_text), 1, 20) AS source_doc_id, source || '/' || doc_id || '.pdf' AS filename, (row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1)::INT AS chunk_index,
+    body AS text, CASE WHEN line % 7 = 6 THEN 'table_parent' WHEN line % 5 = 4 THEN 'table_anchor' ELSE 'text' END AS chunk_kind
+  FROM (SELECT doc_id, source, text AS full_text, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) WHERE trim(body, ' ') <> ''))"""
+ORDERS = """(SELECT l_orderkey AS order_id, 'Order ' || l_orderkey AS caption, '| No | Activity | Waktu | Output |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+  string_agg('| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |', chr(10) ORDER BY l_linenumber,
+  '| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |') AS content FROM lineitem GROUP BY l_orderkey)"""
+SCORES = f"""(WITH q AS (SELECT item_id AS q, t AS token, count(*)::DOUBLE AS wq FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
+  d AS (SELECT doc_id AS node_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents) GROUP BY ALL),
+  n AS (SELECT q, count(*) AS n FROM q GROUP BY q)
+  SELECT q, node_id, sum(wq * tf) AS score, count(*)::DOUBLE / any_value(n) AS overlap FROM q JOIN d USING (token) JOIN n USING (q) GROUP BY q, node_id)"""
+LISTS = f"""(SELECT q, node_id, 0 AS list_ix, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24
+  UNION ALL SELECT q, node_id, 1, overlap, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24)"""
+FUSED = f"""(SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, f.list_ix, f.rank) AS rank FROM (
+  SELECT q, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({{'list_ix': list_ix, 'rank': rank}}) AS f FROM {LISTS} GROUP BY q, node_id) QUALIFY rank <= 24)"""
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+
+
+def _talk(spark: SparkSession, sf: str) -> DataFrame:
+    return B.table(spark, sf, "conversations")
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return S.hybrid(S.sparse_scores(_questions(spark, sf), _texts(spark, sf)), ["score", "overlap"])
+
+
+@query("f05_doc_id", "SELECT doc_id, 'doc_' || substr(sha256(text), 1, 20) AS document_id FROM documents")
+def f05(spark, sf):
+    return B.documents(spark, sf).select("doc_id", ids.document_id(F.col("text")).alias("document_id"))
+
+
+@query("f06_chunk_id", f"SELECT chunk_id, source_doc_id, chunk_index FROM {CHUNKS}")
+def f06(spark, sf):
+    return B.chunks(spark, sf).select("chunk_id", "source_doc_id", "chunk_index")
+
+
+@query("f07_point_uuid", """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1))::INT - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || ':chunk:00000')) AS h FROM documents)""")
+def f07(spark, sf):
+    return B.documents(spark, sf).select("doc_id", ids.point_uuid(ids.chunk_id(F.col("doc_id").cast("string"), F.lit(0))).alias("point_id"))
+
+
+@query("f08_trim", r"""SELECT doc_id, CASE WHEN length(text) > 200 THEN regexp_replace(regexp_replace(substr(text, 1, 200), ' [^ ]*$', '', 's'), '^\s+|\s+$', '', 'gs') || '...' ELSE text END AS trimmed FROM documents""")
+def f08(spark, sf):
+    return B.documents(spark, sf).select("doc_id", T.trim_text(F.col("text"), 200).alias("trimmed"))
+
+
+@query("f03_md_syntax", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(l, '^(#{1,6}\s|[-*+]\s|[0-9]+\.\s|>\s|\|)')) AS markdown FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
+def f03(spark, sf):
+    lines = B.documents(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_markdown(F.col("l"))).alias("markdown"))
+
+
+@query("f04_page_marker", r"SELECT n, marker, regexp_full_match(lower(trim(marker)), 'page\s*[0-9]+(\s*(of|/)\s*[0-9]+)?|[0-9]+\s*(of|/)\s*[0-9]+|[0-9]{1,4}') AS is_marker FROM (SELECT event_id AS n, CASE event_id % 4 WHEN 0 THEN 'Page ' || event_id || ' of 9' WHEN 1 THEN event_id || ' / 7' WHEN 2 THEN event_id::VARCHAR ELSE 'see page ' || event_id END AS marker FROM events)")
+def f04(spark, sf):
+    n = F.col("n").cast("string")
+    marker = F.when(F.col("n") % 4 == 0, F.concat(F.lit("Page "), n, F.lit(" of 9"))).when(F.col("n") % 4 == 1, F.concat(n, F.lit(" / 7"))).when(F.col("n") % 4 == 2, n).otherwise(F.concat(F.lit("see page "), n))
+    return B.table(spark, sf, "events").select(F.col("event_id").alias("n")).withColumn("marker", marker).withColumn("is_marker", T.is_page_marker(F.col("marker")))
+
+
+@query("f28_page_label", "SELECT n, CASE WHEN n % 5 < 3 AND n BETWEEN 1 AND 5000 AND (n % 5 <> 2 OR n < 10000) THEN 'Page ' || n END AS label FROM (SELECT event_id AS n FROM events)")
+def f28(spark, sf):
+    n = F.col("n").cast("string")
+    value = F.when(F.col("n") % 5 == 0, F.concat(F.lit("Page "), n, F.lit(" of 9"))).when(F.col("n") % 5 == 1, F.concat(n, F.lit("/9"))).when(F.col("n") % 5 == 2, n).otherwise(F.concat(F.lit("p. "), n))
+    return B.table(spark, sf, "events").select(F.col("event_id").alias("n")).select("n", T.page_label(value).alias("label"))
+
+
+@query("f02_boilerplate", r"""WITH l AS (SELECT doc_id, line, x, trim(x) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)),
+k AS (SELECT *, p <> '' AND length(p) <= 80 AND len(regexp_split_to_array(p, '\s+')) <= 12 AND NOT regexp_matches(p, '^(#{1,6}\s|[-*+]\s|[0-9]+\.\s|>\s|\|)') AS short, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+c AS (SELECT *, count(*) FILTER (short) OVER (PARTITION BY doc_id, lower(p)) AS same FROM k)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (p = '' OR starts_with(p, '|') OR NOT (regexp_full_match(lower(p), 'page\s*[0-9]+(\s*(of|/)\s*[0-9]+)?|[0-9]+\s*(of|/)\s*[0-9]+|[0-9]{1,4}') OR (short AND same >= 4 AND same::DOUBLE / n >= 0.04))) AS kept FROM c GROUP BY doc_id""")
+def f02(spark, sf):
+    lines = F.split("text", "\n")
+    return B.documents(spark, sf).select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(T.boilerplate_lines(lines)).cast("long").alias("kept"))
+
+
+@query("f01_normalize_full")
+def f01(spark, sf):
+    return T.normalize_markdown(B.documents(spark, sf)).select("doc_id", "normalized")
+
+
+REWRITE = f"""(SELECT item_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain, array_to_string(list_slice(list_transform(list_sort(list_transform(list_distinct(ts), lambda t: {{'at': list_position(ts, t), 't': t}})), lambda x: x.t), 1, 12), ' ') AS short
+  FROM (SELECT item_id, text, {TERMS} AS ts FROM benchmark))"""
+
+
+@query("f10_rule_rewrite", f"SELECT item_id, short AS rewritten FROM {REWRITE}")
+def f10(spark, sf):
+    return B.table(spark, sf, "benchmark").select("item_id", T.rewrite(F.col("text")).alias("rewritten"))
+
+
+@query("f11_rewrite_variants", f"SELECT item_id, unnest([short, plain]) AS query, unnest([0.6::DOUBLE, 0.4::DOUBLE]) AS weight FROM {REWRITE}")
+def f11(spark, sf):
+    return B.table(spark, sf, "benchmark").select("item_id", F.explode(T.variants(F.col("text"))).alias("v")).select("item_id", "v.query", F.round("v.weight", 9).alias("weight"))
+
+
+@query("f33_fallback_summary", "SELECT doc_id, coalesce(nullif(array_to_string(list_transform(list_slice(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 6), lambda x: '- ' || substr(x, 1, 180)), chr(10)), ''), 'Summary unavailable.') AS summary FROM documents")
+def f33(spark, sf):
+    return B.documents(spark, sf).select("doc_id", T.fallback_summary(F.col("text")).alias("summary"))
+
+
+@query("f12_latest_user", "SELECT conv_id, coalesce(max_by(text, turn) FILTER (role = 'user'), max_by(text, turn), '') AS latest FROM conversations WHERE role IN ('user', 'assistant', 'system') AND trim(text) <> '' GROUP BY conv_id")
+def f12(spark, sf):
+    talk = _talk(spark, sf).where(F.lower(F.trim("role")).isin("user", "assistant", "system") & (F.trim("text") != ""))
+    return talk.groupBy("conv_id").agg(F.coalesce(F.max_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))), F.max_by("text", "turn"), F.lit("")).alias("latest"))
+
+
+@query("f13_prompt_context", "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS context FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id")
+def f13(spark, sf):
+    talk = _talk(spark, sf).where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("text"))
+    return talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("all")).select("conv_id", F.array_join(F.transform("all", lambda x: x["l"]), "\n").alias("context"))
+
+
+@query("w05_history_window", "SELECT conv_id, turn, role FROM conversations WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def w05(spark, sf):
+    return R.top_k(_talk(spark, sf).where(F.trim("text") != ""), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn", "role")
+
+
+@query("p05_route_action", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'retrieve' WHEN 1 THEN 'chat' WHEN 2 THEN 'clarify' ELSE 'retrieve' END AS action, CASE WHEN turn % 4 = 3 THEN 'SEARCH' ELSE (['SUMMARIZATION', 'CHIT_CHAT', 'AMBIGUOUS'])[turn % 4 + 1] END AS intention, text AS retrieval_query FROM conversations")
+def p05(spark, sf):
+    reply = F.when(F.col("turn") % 4 == 3, "not json").otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.when(F.col("turn") % 4 < 3, F.try_element_at(F.array(*map(F.lit, ("SUMMARIZATION", "CHIT_CHAT", "AMBIGUOUS"))), (F.col("turn") % 4 + 1).cast("int"))).alias("intention"), F.lit("summary").alias("rewritten_query"))), F.lit("\n```")))
+    routed = _talk(spark, sf).withColumn("r", C.router_reply(reply, F.col("text")))
+    return routed.select("conv_id", "turn", C.action(F.col("r.intention"), F.col("r.clarification_question")).alias("action"), F.col("r.intention").alias("intention"), C.guarded_query(F.col("r.rewritten_query"), F.col("text")).alias("retrieval_query"))
+
+
+ANSWERS = "(SELECT conv_id, turn, role, CASE WHEN turn % 9 = 8 THEN 'There is insufficient evidence.' ELSE text || CASE WHEN turn % 3 = 2 THEN '' ELSE ' [S' || (1 + turn % 7) || ']' END END AS a, ['S1', 'S2', 'S3'] AS s FROM conversations)"
+
+
+def _answers(spark, sf):
+    cited = F.concat("text", F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.lit(" [S"), 1 + F.col("turn") % 7, F.lit("]"))))
+    return _talk(spark, sf).select("conv_id", "turn", "role", F.when(F.col("turn") % 9 == 8, "There is insufficient evidence.").otherwise(cited).alias("a"), F.array(*map(F.lit, ("S1", "S2", "S3"))).alias("s"))
+
+
+@query("p07_insufficient", f"SELECT conv_id, turn, regexp_matches(lower(a), 'don.t have enough information|do not have enough information|insufficient evidence|not enough information|tidak memiliki informasi|tidak cukup informasi|tidak ada informasi|maaf|kurang informasi') AS insufficient FROM {ANSWERS}")
+def p07(spark, sf):
+    return _answers(spark, sf).select("conv_id", "turn", C.insufficient(F.col("a")).alias("insufficient"))
+
+
+@query("f18_citations", rf"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '\[(S[0-9]+)\]', 1))), ',') AS cited FROM {ANSWERS}")
+def f18(spark, sf):
+    return _answers(spark, sf).select("conv_id", "turn", F.array_join(C.citations(F.col("a")), ",").alias("cited"))
+
+
+@query("p08_citation_valid", rf"SELECT conv_id, turn, len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(s, x))) = 0 AS valid FROM (SELECT *, regexp_extract_all(a, '\[(S[0-9]+)\]', 1) AS c FROM {ANSWERS})")
+def p08(spark, sf):
+    return _answers(spark, sf).select("conv_id", "turn", C.citations_valid(C.citations(F.col("a")), F.col("s")).alias("valid"))
+
+
+@query("r08_citation_enforce", rf"""SELECT conv_id, turn, CASE WHEN g1 THEN 'first' WHEN turn % 2 = 0 THEN 'retry' ELSE 'refused' END AS outcome FROM (SELECT conv_id, turn, a LIKE '%insufficient evidence%' OR (len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(s, x))) = 0) AS g1 FROM (SELECT *, regexp_extract_all(a, '\[(S[0-9]+)\]', 1) AS c FROM {ANSWERS}))""")
+def r08(spark, sf):
+    tries = _answers(spark, sf).select("conv_id", "turn", F.col("a").alias("first"), F.when(F.col("turn") % 2 == 0, "Yes [S1].").otherwise("No.").alias("second"), F.col("s").alias("source_ids"))
+    return A.enforce_citations(tries).select("conv_id", "turn", "outcome")
+
+
+@query("r14_http_class", "SELECT event_id, CASE WHEN s IS NULL OR s IN (429, 500, 502, 503, 504) THEN 'retryable' WHEN s BETWEEN 200 AND 299 THEN 'ok' ELSE 'failed' END AS outcome FROM (SELECT event_id, ([200, 404, 429, 503, NULL])[event_id % 5 + 1] AS s FROM events)")
+def r14(spark, sf):
+    status = F.when(F.col("event_id") % 5 == 0, 200).when(F.col("event_id") % 5 == 1, 404).when(F.col("event_id") % 5 == 2, 429).when(F.col("event_id") % 5 == 3, 503)
+    return B.table(spark, sf, "events").select("event_id", C.http_class(status).alias("outcome"))
+
+
+GROUND = """(SELECT b.item_id, b.text AS a, lower(d.text) AS blob FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"""
+
+
+@query("a14_grounding", f"SELECT item_id, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: contains(blob, x)))::DOUBLE / len(w) END AS overlap FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(a), '[a-z0-9]{{3,}}')) AS w, blob FROM {GROUND})")
+def a14(spark, sf):
+    both = B.table(spark, sf, "benchmark").join(_texts(spark, sf).withColumnRenamed("text", "blob"), F.col("item_id") == F.col("node_id"))
+    return both.select("item_id", C.grounding(F.col("text"), F.col("blob")).alias("overlap"))
+
+
+@query("a13_eval_summary", rf"""SELECT count(*) AS cases, avg((turn % 5 <> 4)::INT::DOUBLE) AS ok_rate, avg((len(c) > 0)::INT::DOUBLE) AS cited_rate, avg((len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(s, x))) = 0)::INT::DOUBLE) AS valid_rate, 0.5::DOUBLE AS mean_overlap FROM (SELECT *, regexp_extract_all(a, '\[(S[0-9]+)\]', 1) AS c FROM {ANSWERS})""")
+def a13(spark, sf):
+    found = C.citations(F.col("a"))
+    return A.eval_summary(_answers(spark, sf).select((F.col("turn") % 5 != 4).alias("ok"), (F.size(found) > 0).alias("cited"), C.citations_valid(found, F.col("s")).alias("valid"), F.lit(0.5).alias("overlap")))
+
+
+@query("j01_dense_topk", "SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20) WHERE rank <= 24")
+def j01(spark, sf):
+    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
+    return S.dense_top_k(vectors.where("node_id < 20").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
+
+
+@query("j02_sparse_topk", f"SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24")
+def j02(spark, sf):
+    return S.sparse_top_k(_questions(spark, sf), _texts(spark, sf)).select("q", "node_id", "score", "rank")
+
+
+@query("a10_sparse_vectors", f"SELECT item_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL")
+def a10(spark, sf):
+    return S.term_counts(B.table(spark, sf, "benchmark"), "item_id")
+
+
+@query("u01_rrf_fusion", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED}")
+def u01(spark, sf):
+    return _fused(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query("u02_single_list", f"SELECT q, node_id, score, rank FROM {LISTS} WHERE list_ix = 0")
+def u02(spark, sf):
+    return S.hybrid(S.sparse_scores(_questions(spark, sf), _texts(spark, sf)), ["score"])
+
+
+@query("l02_lexical_rerank", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED} WHERE rank <= 8 AND score >= 0.001")
+def l02(spark, sf):
+    return R.rerank(_fused(spark, sf).withColumnRenamed("rank", "pos")).select("q", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("w02_diversify", f"""SELECT q, node_id, row_number() OVER (PARTITION BY q ORDER BY late, rank) AS rank FROM (SELECT f.q, f.node_id, f.rank, CASE WHEN row_number() OVER (PARTITION BY q, source ORDER BY rank) <= 2 THEN 0 ELSE 1 END AS late FROM {FUSED} f JOIN documents ON doc_id = node_id) QUALIFY row_number() OVER (PARTITION BY q ORDER BY late, rank) <= 5""")
+def w02(spark, sf):
+    ranked = _fused(spark, sf).withColumnRenamed("rank", "pos").join(B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), F.col("source").alias("doc")), "node_id")
+    return R.diversify(ranked).select("q", "node_id", "rank")
+
+
+def _sources(spark, sf):
+    docs = B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text")
+    ranked = R.rerank(_fused(spark, sf).withColumnRenamed("rank", "pos")).join(docs, "node_id").withColumn("kind", F.lit("text"))
+    return A.sources(ranked)
+
+
+@query("r06_sources", rf"""SELECT q, 'S' || rank AS source_id, node_id, round_even(score, 6) AS score, length(CASE WHEN length(text) > 1800 THEN regexp_replace(regexp_replace(substr(text, 1, 1800), ' [^ ]*$', '', 's'), '^\s+|\s+$', '', 'gs') || '...' ELSE text END) AS snippet_chars FROM {FUSED} JOIN documents ON doc_id = node_id WHERE rank <= 5""")
+def r06(spark, sf):
+    return _sources(spark, sf).select("q", "source_id", "node_id", "score", F.length("snippet").cast("long").alias("snippet_chars"))
+
+
+@query("r07_answer")
+def r07(spark, sf):
+    """The whole query path: search, fusion, reranking, contexts, an answer with checked citations."""
+    return A.answer(A.contexts(_sources(spark, sf))).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@query("r02_multi_query")
+def r02(spark, sf):
+    """Both variants of each question, searched in one plan and merged by rank."""
+    asked = B.table(spark, sf, "benchmark").select("item_id", F.posexplode(T.variants(F.col("text"))).alias("list_ix", "v")).select("item_id", "list_ix", F.col("v.query").alias("text"))
+    key = F.struct("item_id", "list_ix")
+    found = S.sparse_top_k(asked.select(key.alias("q"), "text"), _texts(spark, sf))
+    return R.reciprocal_rank_fusion(found.select(F.col("q.item_id").alias("q"), F.col("q.list_ix").alias("list_ix"), "node_id", "score", "rank"), 24)
+
+
+CANDIDATES = """(SELECT l_suppkey % 10 AS q, l_orderkey * 10 + l_linenumber AS pos, 'n' || l_orderkey || '-' || l_linenumber AS node_id, l_orderkey % 50 AS doc, CASE WHEN l_linenumber = 1 THEN 'text' WHEN l_linenumber = 5 THEN 'table_parent' ELSE 'table_anchor' END AS kind, l_orderkey % 200 AS parent_id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END AS score
+  FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_discount) = 1))"""
+
+
+def _candidates(spark, sf):
+    items = R.top_k(B.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_discount"], 1)
+    n = F.col("l_linenumber")
+    return items.select(
+        (F.col("l_suppkey") % 10).alias("q"), (F.col("l_orderkey") * 10 + n).alias("pos"), F.concat(F.lit("n"), F.col("l_orderkey"), F.lit("-"), n).alias("node_id"), (F.col("l_orderkey") % 50).alias("doc"),
+        F.when(n == 1, "text").when(n == 5, "table_parent").otherwise("table_anchor").alias("kind"), (F.col("l_orderkey") % 200).alias("parent_id"), F.when(n != 3, F.col("l_discount")).alias("score"),
+    )
+
+
+BEST = f"(SELECT * FROM {CANDIDATES} WHERE kind = 'table_anchor' QUALIFY row_number() OVER (PARTITION BY q, doc, parent_id ORDER BY coalesce(score, 0) DESC, pos) = 1)"
+
+
+@query("a12_best_anchor", f"SELECT q, doc, parent_id, node_id FROM {BEST}")
+def a12(spark, sf):
+    return R.best_anchors(_candidates(spark, sf).where("kind = 'table_anchor'")).select("q", "doc", "parent_id", "node_id")
+
+
+@query("r05_parent_expand", f"""WITH p AS (SELECT * FROM {CANDIDATES} WHERE kind <> 'table_anchor'), l AS (SELECT b.* FROM {BEST} b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.kind = 'table_parent' AND p.q = b.q AND p.doc = b.doc AND p.parent_id = b.parent_id)),
+u AS (SELECT q, pos, node_id, kind, score FROM p UNION ALL SELECT q, pos, CASE WHEN parent_id % 2 = 0 THEN 'p' || doc || '-' || parent_id ELSE node_id END, CASE WHEN parent_id % 2 = 0 THEN 'table_parent' ELSE kind END, CASE WHEN parent_id % 2 = 0 THEN coalesce(score, 0) + 1e-6::DOUBLE ELSE score END FROM l)
+SELECT q, node_id, kind, round(score, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, pos) AS rank FROM u""")
+def r05(spark, sf):
+    found = _candidates(spark, sf)
+    parents = found.where("parent_id % 2 = 0").select("doc", "parent_id").distinct().withColumn("node_id", F.concat(F.lit("p"), F.col("doc"), F.lit("-"), F.col("parent_id")))
+    return R.expand_parents(found, parents).select("q", "node_id", "kind", F.round("score", 9).alias("score"), "rank")
+
+
+@query("a01_catalog", f"""WITH c AS {CHUNKS}, k AS (SELECT source_doc_id, chunk_kind, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT source_doc_id, string_agg(chunk_kind || '=' || n, ',' ORDER BY chunk_kind) AS kinds FROM k GROUP BY 1)
+SELECT source_doc_id AS doc_id, min_by(filename, chunk_id) AS filename, count(*) AS chunks, max(chunk_index) AS max_chunk_index, any_value(kinds) AS kinds FROM c JOIN m USING (source_doc_id) GROUP BY source_doc_id""")
+def a01(spark, sf):
+    kinds = F.array_join(F.transform(F.map_entries("chunk_kind_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return IX.catalog(B.chunks(spark, sf)).select("doc_id", "filename", "chunks", "max_chunk_index", kinds.alias("kinds"))
+
+
+@query("a02_totals", f"SELECT count(DISTINCT source_doc_id) AS total_documents, count(*) AS total_chunks FROM {CHUNKS}")
+def a02(spark, sf):
+    return IX.totals(B.chunks(spark, sf))
+
+
+@query("l07_truncated_scan", f"SELECT least(n, 1000) AS scanned_points, n > 1000 AS truncated FROM (SELECT count(*) AS n FROM {CHUNKS})")
+def l07(spark, sf):
+    """The cap is the feature: a scan of at most 1000 points that tells whether more exist."""
+    return IX.scan(B.chunks(spark, sf), 1000)
+
+
+@query("p01_point_lookup", f"SELECT chunk_id, filename FROM {CHUNKS} WHERE chunk_kind = 'table_parent' AND filename LIKE 'src3/%'")
+def p01(spark, sf):
+    return B.chunks(spark, sf).where(F.col("filename").startswith("src3/") & (F.col("chunk_kind") == "table_parent")).select("chunk_id", "filename")
+
+
+@query("r10_replace_by_filename", f"SELECT filename, count(*) AS n, max(schema_version) AS version FROM (SELECT filename, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE schema_version END AS schema_version FROM {CHUNKS} WHERE doc_id % 4 <> 0 OR chunk_index = 0) GROUP BY filename")
+def r10(spark, sf):
+    old = B.chunks(spark, sf)
+    new = old.where("doc_id % 4 = 0 and chunk_index = 0").withColumn("schema_version", F.lit(3))
+    return IX.replace_by_key(old, new).groupBy("filename").agg(F.count("*").alias("n"), F.max("schema_version").alias("version"))
+
+
+@query("w03_chunk_index", f"SELECT chunk_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM {CHUNKS}")
+def w03(spark, sf):
+    return B.chunks(spark, sf).select("chunk_id", "chunk_index", F.count("*").over(Window.partitionBy("doc_id")).alias("total_chunks"))
+
+
+ENTRIES = "(SELECT doc_id AS doc, line AS ordinal, CASE WHEN line % 6 = 5 THEN 'table' ELSE 'text' END AS kind, x AS text, CASE WHEN line % 2 = 1 THEN line END AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents))"
+
+
+def _entries(spark, sf):
+    lines = B.documents(spark, sf).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    return lines.withColumn("kind", F.when(F.col("ordinal") % 6 == 5, "table").otherwise("text")).withColumn("page", F.when(F.col("ordinal") % 2 == 1, F.col("ordinal")))
+
+
+@query("w06_islands", f"""SELECT doc, island, min(kind) AS kind, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text, min_by(page, ordinal) FILTER (page IS NOT NULL) AS page FROM (SELECT *, sum(m) OVER (PARTITION BY doc ORDER BY ordinal)::BIGINT AS island FROM (SELECT *, CASE WHEN kind <> 'text' OR coalesce(lag(kind) OVER (PARTITION BY doc ORDER BY ordinal), '') <> 'text' THEN 1 ELSE 0 END AS m FROM {ENTRIES})) GROUP BY doc, island""")
+def w06(spark, sf):
+    return CH.islands(_entries(spark, sf)).withColumn("page", F.col("page").cast("long"))
+
+
+OFFSETS = f"(SELECT doc, ordinal, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM {ENTRIES})"
+
+
+@query("w07_offsets", f'SELECT doc, ordinal, pos AS "offset" FROM {OFFSETS}')
+def w07(spark, sf):
+    return CH.offsets(_entries(spark, sf), 1).select("doc", F.col("ordinal").cast("long").alias("ordinal"), "offset")
+
+
+@query("j04_asof_section", f"""WITH o AS {OFFSETS} SELECT o.doc, o.ordinal, s.text AS section FROM o ASOF LEFT JOIN (SELECT doc, pos, text FROM o WHERE length(text) < 40) s ON o.doc = s.doc AND o.pos >= s.pos""")
+def j04(spark, sf):
+    placed = CH.offsets(_entries(spark, sf), 1)
+    events = placed.where(F.length("text") < 40).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("text").alias("label")))).alias("events"))
+    return placed.join(events, "doc", "left").select("doc", F.col("ordinal").cast("long").alias("ordinal"), CH.event_at(F.col("offset"), F.col("events")).alias("section"))
+
+
+@query("j05_align")
+def j05(spark, sf):
+    docs = B.documents(spark, sf).select(F.col("doc_id").alias("doc"), "text", F.split("text", "\n").alias("parts"))
+    return CH.positions(docs).select("doc", F.array_join(F.transform("pos", lambda p: p.cast("string")), ",", "-").alias("positions"))
+
+
+@query("c07_splitter")
+def c07(spark, sf):
+    return B.documents(spark, sf).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("chunk_ix", "chunk"))
+
+
+@query("f21_split_row", f"SELECT order_id, line, len(c) AS cells, array_to_string(c, '~') AS joined FROM (SELECT order_id, line, list_transform(string_split(regexp_replace(x, '^\\|+|\\|+$', '', 'g'), '|'), lambda v: trim(v)) AS c FROM (SELECT order_id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM {ORDERS}))")
+def f21(spark, sf):
+    lines = B.order_tables(spark, sf).select("order_id", F.posexplode(F.split("content", "\n")).alias("line", "x"))
+    cells = TB.split_row(F.col("x"))
+    return lines.select("order_id", F.col("line").cast("long").alias("line"), F.size(cells).cast("long").alias("cells"), F.array_join(cells, "~").alias("joined"))
+
+
+PROFILE = "(SELECT l_orderkey AS order_id, count(*) AS n, CASE WHEN count(*) FILTER (l_returnflag <> 'N') = 0 THEN round_even(count(*) / (4.0::DOUBLE * count(*)), 4) ELSE round_even(1 - (4 * count(*) - count(*) FILTER (l_returnflag = 'N')) / (4.0::DOUBLE * count(*)), 4) END AS e FROM lineitem GROUP BY l_orderkey)"
+
+
+@query("c01_table_profile", f"SELECT order_id, n AS num_rows, 4 AS num_cols, e AS empty_ratio, true AS lane, false AS strong FROM {PROFILE}")
+def c01(spark, sf):
+    p = B.order_tables(spark, sf).select("order_id", TB.profile(F.col("content"), F.col("caption")).alias("p"))
+    return p.select("order_id", F.col("p.num_rows").cast("long").alias("num_rows"), F.col("p.num_cols").alias("num_cols"), F.col("p.empty_ratio").alias("empty_ratio"), F.col("p.lane").alias("lane"), F.col("p.strong").alias("strong"))
+
+
+SCORED = "(SELECT l_orderkey AS order_id, l_linenumber AS line, l_linenumber + 3 AS cols, l_quantity::INT % 12 AS n, (l_orderkey % 10) / 10.0::DOUBLE AS e, (l_partkey % 3) * 0.05::DOUBLE AS s, l_suppkey % 2 = 0 AS lane, l_partkey % 5 = 0 AS strong FROM lineitem)"
+
+
+@query("c02_visual_score", f"""SELECT order_id, line, round(least(1, CASE WHEN flow THEN greatest(t, 0.82::DOUBLE) ELSE t END), 6) AS score, strong OR flow AS strong, round(least(1, CASE WHEN flow THEN greatest(t, 0.82::DOUBLE) ELSE t END), 6) >= 0.75 AND (strong OR flow) AS selected FROM (
+SELECT *, lane AND cols >= 6 AND e >= 0.5 AND (s >= 0.05 OR n >= 8) AS flow, CASE WHEN strong THEN 0.85::DOUBLE ELSE 0 END + CASE WHEN lane THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN e >= 0.6 THEN 0.22::DOUBLE WHEN e >= 0.48 THEN 0.14::DOUBLE ELSE 0 END + CASE WHEN cols >= 7 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN n >= 8 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN s >= 0.08 THEN 0.12::DOUBLE ELSE 0 END AS t FROM {SCORED})""")
+def c02(spark, sf):
+    p = F.struct(
+        (F.col("l_linenumber") + 3).alias("num_cols"), (F.col("l_quantity").cast("int") % 12).alias("num_rows"), (F.col("l_orderkey") % 10 / 10.0).alias("empty_ratio"), (F.col("l_partkey") % 3 * F.lit(0.05)).alias("span_ratio"),
+        (F.col("l_suppkey") % 2 == 0).alias("lane"), (F.col("l_partkey") % 5 == 0).alias("strong"),
+    )
+    scored = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), p.alias("p")).withColumn("v", TB.visual_score(F.col("p")))
+    rounded = F.struct(F.round("v.score", 6).alias("score"), F.col("v.strong").alias("strong"))
+    return scored.select("order_id", "line", F.round("v.score", 6).alias("score"), F.col("v.strong").alias("strong"), TB.visual_selected(rounded).alias("selected"))
+
+
+@query("c03_table_chunks", f"SELECT order_id, 'table_parent' AS chunk_kind, length('**Table: ' || caption || '**' || chr(10) || chr(10) || content) AS chars FROM {ORDERS}")
+def c03(spark, sf):
+    return CH.table_chunks(B.order_tables(spark, sf)).where("chunk_kind = 'table_parent'").select("order_id", "chunk_kind", F.length("text").cast("long").alias("chars"))
+
+
+@query("c04_anchor_texts", """WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS n, 'part ' || l_partkey AS a, (l_quantity::INT)::VARCHAR AS t, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS o,
+  '| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |' AS row_ FROM lineitem),
+g AS (SELECT order_id, list(a ORDER BY n, row_) AS a, list(t ORDER BY n, row_) AS t, list_filter(list(o ORDER BY n, row_), lambda x: x <> '') AS o FROM l GROUP BY order_id)
+SELECT order_id, 'Table caption: Order ' || order_id || chr(10) || 'Table headers: No, Activity, Waktu, Output' || chr(10) || 'Roles and lanes: Waktu, Output' || chr(10) || 'Main activities: ' || array_to_string(list_slice(a, 1, 8), ' | ') || chr(10) || 'Timing constraints: ' || array_to_string(list_slice(t, 1, 10), ', ') || CASE WHEN len(o) > 0 THEN chr(10) || 'Expected outputs: ' || array_to_string(list_slice(o, 1, 10), ', ') ELSE '' END AS anchors FROM g""")
+def c04(spark, sf):
+    return CH.with_anchors(B.order_tables(spark, sf)).select("order_id", F.array_join("anchors", "\n").alias("anchors"))
+
+
+@query("u04_anchor_dedupe", "SELECT conv_id, string_agg(x, '|' ORDER BY first_turn) AS kept FROM (SELECT conv_id, lower(role) AS k, min(turn) AS first_turn, min_by(role, turn) AS x FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def u04(spark, sf):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return _talk(spark, sf).groupBy("conv_id").agg(TB.distinct_lines(lines).alias("k")).select("conv_id", F.array_join("k", "|").alias("kept"))
+
+
+@query("a05_kind_hist", f"SELECT filename, chunk_kind, count(*) AS n FROM {CHUNKS} GROUP BY ALL")
+def a05(spark, sf):
+    return B.chunks(spark, sf).groupBy("filename", "chunk_kind").agg(F.count("*").alias("n"))
+
+
+@query("a06_status_counts", f"SELECT filename, count(*) FILTER (chunk_kind = 'text') AS text_chunks, count(*) FILTER (chunk_kind = 'table_parent') AS tables, count(*) FILTER (chunk_kind = 'table_anchor') AS anchors FROM {CHUNKS} GROUP BY filename")
+def a06(spark, sf):
+    return B.chunks(spark, sf).groupBy("filename").agg(F.count_if(F.col("chunk_kind") == "text").alias("text_chunks"), F.count_if(F.col("chunk_kind") == "table_parent").alias("tables"), F.count_if(F.col("chunk_kind") == "table_anchor").alias("anchors"))
+
+
+@query("a07_len_stats", f"SELECT filename, count(*) FILTER (length(trim(text)) < 50) AS empty_chunks, round_even(sum(length(trim(text)))::DOUBLE / greatest(count(*), 1), 0)::BIGINT AS avg_chunk_len FROM {CHUNKS} GROUP BY filename")
+def a07(spark, sf):
+    n = F.length(F.trim("text"))
+    return B.chunks(spark, sf).groupBy("filename").agg(F.count_if(n < 50).alias("empty_chunks"), F.bround(F.sum(n).cast("double") / F.greatest(F.count("*"), F.lit(1)), 0).cast("long").alias("avg_chunk_len"))
+
+
+@query("a08_batch_totals", "SELECT count(*) AS files, count(*) FILTER (doc_id % 3 <> 0) AS succeeded FROM documents")
+def a08(spark, sf):
+    named = B.documents(spark, sf).select(F.concat(F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".PDF")).alias("filename"))
+    return B.accepted(named).agg(F.count("*").alias("files"), F.count_if(F.col("status") != "failed").alias("succeeded"))
+
+
+@query("s02_pdf_filter", "SELECT url, CASE WHEN ends_with(lower(url), '.pdf') THEN 'accepted' ELSE 'failed' END AS status FROM pages")
+def s02(spark, sf):
+    return B.accepted(B.table(spark, sf, "pages").select("url", F.col("url").alias("filename"))).select("url", "status")
+
+
+@query("s13_record_decoder", "SELECT doc_id, 'node_' || doc_id AS node_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'text ' || doc_id END AS body FROM documents")
+def s13(spark, sf):
+    n = F.col("doc_id").cast("string")
+    content = F.to_json(F.struct(F.concat(F.lit("node_"), n).alias("id_"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("text "), n)).alias("text")))
+    payload = B.documents(spark, sf).select("doc_id", F.from_json(content, "id_ string, text string").alias("c"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("text "), n)).otherwise(" ").alias("text"))
+    return payload.select("doc_id", F.col("c.id_").alias("node_id"), F.coalesce("c.text", F.nullif(F.trim("text"), F.lit(""))).alias("body"))
+
+
+@query("p14_diagnostics", f"SELECT chunk_id, chunk_kind, length(trim(text)) AS char_len, chunk_index FROM {CHUNKS}")
+def p14(spark, sf):
+    return B.chunks(spark, sf).select("chunk_id", F.coalesce("chunk_kind", F.lit("text")).alias("chunk_kind"), F.length(F.trim("text")).cast("long").alias("char_len"), "chunk_index")
+
+
+@query("w11_last_events", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def w11(spark, sf):
+    return R.top_k(B.table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id")
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to fused, diversified, labelled sources."""
+    return r06(spark, sf_dir)
