@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that a rewritten query leaves out.
 STOPWORDS = "a an and are as at be by for from how in is it of on or the to what when where which who why".split()
@@ -14,7 +15,7 @@ MARKDOWN = r"^(#{1,6}\s|[-*+]\s|\d+\.\s|>\s|\|)"
 PAGE_MARKER = r"^(page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*(of|/)\s*\d+|\d{1,4})$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -41,31 +42,35 @@ def trim_text(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
-def boilerplate_lines(lines: Column, keep_markers: bool = False) -> Column:
-    """The lines without page markers and without short lines that make up a share of 0.04 and at least 4 of all; blanks and table rows stay."""
-    plain = F.transform(lines, strip)
-    short = lambda x: (F.length(x) <= 80) & (F.size(F.split(x, r"(?U)\s+")) <= 12) & ~is_markdown(x)
-    keys = F.filter(F.transform(plain, lambda x: F.when((x != "") & short(x), F.lower(x)).otherwise("")), lambda x: x != "")
-    counts = F.aggregate(keys, F.create_map().cast("map<string,int>"), lambda m, k: F.map_concat(F.map_filter(m, lambda a, _: a != k), F.create_map(k, F.coalesce(F.try_element_at(m, k), F.lit(0)) + 1)))
-    often = F.map_keys(F.map_filter(counts, lambda _, n: (n >= 4) & (n / F.greatest(F.size(lines), F.lit(1)) >= 0.04)))
-    marker = is_page_marker if not keep_markers else lambda x: F.lit(False)
-    stays = lambda x: (strip(x) == "") | strip(x).startswith("|") | ~(marker(x) | F.array_contains(often, F.when(short(strip(x)), F.lower(strip(x))).otherwise("")))
-    return F.filter(lines, stays)
+def _short(line: Column) -> Column:
+    return (line != "") & (F.length(line) <= 80) & (F.size(F.split(line, r"(?U)\s+")) <= 12) & ~is_markdown(line)
 
 
-def tidy_markdown(text: Column, keep_markers: bool = False) -> Column:
-    """What follows NFKC: line ends, soft and end-of-line hyphens, boilerplate, blanks."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
-    t = F.regexp_replace(F.replace(t, F.lit("\u00ad"), F.lit("")), r"(?U)(?<=\w)-\n(?=\w)", "")
-    lines = boilerplate_lines(F.split(t, "\n"), keep_markers)
-    tidy = F.transform(lines, lambda x: F.regexp_replace(F.when(strip(x).startswith("|"), x).otherwise(F.regexp_replace(x, r"[ \t]{2,}", " ")), r"(?U)\s+\z", ""))
-    return strip(F.regexp_replace(F.array_join(tidy, "\n"), r"\n{3,}", "\n\n"))
+def frequent_lines(lines: Column) -> Column:
+    """Short lines, in lower case, that make up a share of 0.04 and at least 4 of all lines, blanks included: in sorted order a line that
+    occurs m times equals the one m - 1 places on."""
+    keys = F.array_sort(F.filter(F.transform(lines, lambda x: F.when(_short(strip(x)), F.lower(strip(x))).otherwise("")), lambda x: x != ""))
+    least = F.greatest(F.lit(4), F.ceil(F.round(F.size(lines) * 0.04, 9)).cast("int"))
+    return F.array_distinct(F.array_compact(F.zip_with(keys, F.slice(keys, least, F.greatest(F.size(keys), F.lit(1))), lambda x, y: F.when(x == y, x))))
+
+
+def drop_boilerplate(docs: DataFrame, lines_col: str, keep_markers: bool = False) -> DataFrame:
+    """docs whose array of lines has no page markers and no frequent short lines; blanks and table rows stay. The frequent lines are a generated
+    column, made once a document."""
+    marked = docs.withColumn("_often", F.explode(F.array(frequent_lines(F.col(lines_col)))))
+    gone = lambda x: (F.lit(False) if keep_markers else is_page_marker(x)) | (_short(strip(x)) & F.array_contains("_often", F.lower(strip(x))))
+    return marked.withColumn(lines_col, F.filter(lines_col, lambda x: (strip(x) == "") | strip(x).startswith("|") | ~gone(x))).drop("_often")
 
 
 def normalize_markdown(docs: DataFrame, text_col: str = "text", out: str = "normalized", keep_markers: bool = False) -> DataFrame:
-    """docs with the normalised text; the composed form is a column of its own first, since lambdas can't hold a Python function."""
+    """docs with the normalised text: NFKC, line ends, soft and end-of-line hyphens, boilerplate, blanks. The composed form and the lines are
+    columns of their own, since lambdas can't hold a Python function."""
     composed = docs.withColumn("_nfkc", nfkc(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_nfkc", F.explode(F.array("_nfkc")))
-    return composed.withColumn(out, tidy_markdown(F.col("_nfkc"), keep_markers)).drop("_nfkc")
+    t = F.regexp_replace("_nfkc", r"\r\n?", "\n")
+    t = F.regexp_replace(F.replace(t, F.lit("\u00ad"), F.lit("")), r"(?U)(?<=\w)-\n(?=\w)", "")
+    lines = drop_boilerplate(composed.withColumn("_lines", F.explode(F.array(F.split(t, "\n")))), "_lines", keep_markers)
+    tidy = F.transform("_lines", lambda x: F.regexp_replace(F.when(strip(x).startswith("|"), x).otherwise(F.regexp_replace(x, r"[ \t]{2,}", " ")), r"(?U)\s+\z", ""))
+    return lines.withColumn(out, strip(F.regexp_replace(F.array_join(tidy, "\n"), r"\n{3,}", "\n\n"))).drop("_nfkc", "_lines")
 
 
 def terms(query: Column, most: int = 12) -> Column:

@@ -113,8 +113,8 @@ k AS (SELECT *, p <> '' AND length(p) <= 80 AND len(regexp_split_to_array(p, '\s
 c AS (SELECT *, count(*) FILTER (short) OVER (PARTITION BY doc_id, lower(p)) AS same FROM k)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (p = '' OR starts_with(p, '|') OR NOT (regexp_full_match(lower(p), 'page\s*[0-9]+(\s*(of|/)\s*[0-9]+)?|[0-9]+\s*(of|/)\s*[0-9]+|[0-9]{1,4}') OR (short AND same >= 4 AND same::DOUBLE / n >= 0.04))) AS kept FROM c GROUP BY doc_id""")
 def f02(spark, sf):
-    lines = F.split("text", "\n")
-    return B.documents(spark, sf).select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(T.boilerplate_lines(lines)).cast("long").alias("kept"))
+    docs = B.documents(spark, sf).select("doc_id", F.split("text", "\n").alias("x")).withColumn("lines", F.size("x").cast("long"))
+    return T.drop_boilerplate(docs, "x").select("doc_id", "lines", F.size("x").cast("long").alias("kept"))
 
 
 @query("f01_normalize_full")
