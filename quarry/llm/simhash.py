@@ -1,7 +1,7 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-Bit i of a fingerprint gets a nonzero vector m(i) of radius + 1 bits; table v (a nonzero vector too) keeps the bits with m(i).v even. Any radius
-differing bits span at most radius dimensions, so some v is orthogonal to all of them: every pair within the radius agrees on a whole table key.
+Bit i of a fingerprint gets a nonzero vector m(i) of radius + 1 bits; table v (a nonzero vector too) keeps the bits with m(i).v odd. Any radius
+differing bits span at most radius dimensions, so some v is orthogonal to all of them and its table leaves them out: every pair within the radius agrees on a whole table key.
 
 Null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle hash as a whole. Equal fingerprints are
 one node, however many rows have them. Repeated ids keep their rows. Columns other than id and text are ignored; an empty table gives none.
@@ -62,7 +62,7 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """2^(radius+1) - 1 masks as signed longs."""
     size = 1 << (radius + 1)
     owner = [1 + i % (size - 1) for i in range(bits)]
-    masks = [sum(1 << i for i in range(bits) if not (owner[i] & v).bit_count() & 1) for v in range(1, size)]
+    masks = [sum(1 << i for i in range(bits) if (owner[i] & v).bit_count() & 1) for v in range(1, size)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
