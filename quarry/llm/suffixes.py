@@ -33,6 +33,8 @@ from .common import materialize, payload, task_partitions
 LENGTH, GRAM = 100, 20
 #: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group from which windows are held as digests.
 RUN_ITEMS, BATCH_BYTES, LARGE_GROUP = 300_000, 2 << 20, 2_000
+#: Compression of runs: level 5 is a sixth smaller than level 1 on sorted text, at a quarter of its speed.
+RUN_LEVEL = 5
 #: A text's windows are taken in pieces of so many starts; each piece has all bytes of its windows.
 PIECE_BYTES = 4 << 20
 #: Odd multipliers of the byte hash and of its doublings.
@@ -94,7 +96,7 @@ def front_code(strings: list[bytes], right: np.ndarray, start: np.ndarray, keys:
     rest = table[(cells >= shared[:, None]) & (cells < size[:, None])].tobytes()
     key_size = np.fromiter(map(len, keys), np.uint8, n)
     parts = [shared.astype("<u2").tobytes(), size.astype("<u2").tobytes(), right.astype("<u2").tobytes(), start.astype("<u4").tobytes(), key_size.tobytes(), b"".join(keys), rest]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", n, sum(map(len, keys))) + b"".join(parts))
+    return zstandard.ZstdCompressor(level=RUN_LEVEL).compress(struct.pack("<II", n, sum(map(len, keys))) + b"".join(parts))
 
 
 def run_items(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
