@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import strip
@@ -34,10 +34,39 @@ def citations_valid(found: Column, sources: Column) -> Column:
     return (F.size(found) > 0) & (F.size(sources) > 0) & (F.size(F.array_except(found, sources)) == 0)
 
 
+def unfenced(reply: Column) -> Column:
+    """A reply without the code fence around it."""
+    text = strip(F.coalesce(reply, F.lit("")))
+    return F.when(text.startswith("```"), strip(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n", ""), r"```\z", ""))).otherwise(text)
+
+
+def router_prompt(history: Column, query: Column) -> Column:
+    """The router's user message; history: array<struct<role,content>> of the messages before the query."""
+    spoken = F.filter(history, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
+    lines = F.array_join(F.transform(spoken, lambda m: F.concat(F.when(m["role"] == "user", "User: ").otherwise("Assistant: "), m["content"])), "\n")
+    ask = F.concat(F.lit("Pertanyaan Terbaru: "), query)
+    return F.when(lines == "", ask).otherwise(F.concat(F.lit("Riwayat Obrolan:\n"), lines, F.lit("\n\n"), ask))
+
+
+def messages(rows: DataFrame, most: int = 0) -> DataFrame:
+    """(conv_id, messages array<struct<turn,role,content>>) of (conv_id, turn, role, text): known roles and texts that aren't blank, the last `most` (0: all)."""
+    tidy = rows.select("conv_id", "turn", F.lower(strip(F.col("role"))).alias("role"), strip(F.col("text")).alias("content")).where(F.col("role").isin("system", "user", "assistant") & (F.col("content") != ""))
+    if most > 0:
+        tidy = tidy.withColumn("_back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("content")))).where(F.col("_back") <= most)
+    return tidy.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"))
+
+
+def completion_text(payload: Column) -> Column:
+    """The first choice's content of a completion in JSON: a string, or the texts of a list of blocks; null if there is none."""
+    content = F.get_json_object(payload, "$.choices[0].message.content")
+    blocks = F.from_json(content, "array<struct<text:string>>", {"mode": "PERMISSIVE"})
+    texts = F.filter(F.transform(blocks, lambda b: strip(F.coalesce(b["text"], F.lit("")))), lambda x: x != "")
+    return F.nullif(F.when(content.startswith("[") & blocks.isNotNull(), F.array_join(texts, "\n")).otherwise(strip(content)), F.lit(""))
+
+
 def router_reply(reply: Column, query: Column) -> Column:
     """The struct of a router's JSON reply, fenced or not; whatever can't be read is a search for the query."""
-    plain = F.regexp_replace(F.regexp_replace(strip(F.coalesce(reply, F.lit(""))), r"^```[^\n]*\n", ""), r"\s*```\z", "")
-    parsed = F.from_json(plain, "intention string, rewritten_query string, reasoning string, clarification_question string")
+    parsed = F.from_json(unfenced(reply), "intention string, rewritten_query string, reasoning string, clarification_question string")
     good = F.upper(parsed["intention"]).isin(INTENTIONS)
     return F.struct(F.when(good, F.upper(parsed["intention"])).otherwise("SEARCH").alias("intention"), F.when(good, F.coalesce(parsed["rewritten_query"], query)).otherwise(query).alias("rewritten_query"), F.when(good, parsed["clarification_question"]).alias("clarification_question"))
 

@@ -22,3 +22,8 @@ def point_uuid(chunk: Column) -> Column:
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(chunk, "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def doc_key(doc: Column, node: Column) -> Column:
+    """The document of a candidate; a candidate without one is its own."""
+    return F.coalesce(doc, F.concat(F.lit("__node__:"), node))

@@ -13,6 +13,8 @@ TIMES = r"(waktu|durasi|lama|time)"
 CHART_WORDS = r"(flow|flowchart|workflow|decision|diagram|diagram alir|chart|arrow|connector|handoff|swimlane|panah)"
 STRONG_WORDS = r"(?i)(flow\s*chart|workflow|diagram\s*alir|decision|panah|arrow|connector|swimlane)"
 HEADING = "### Table Visual Interpretation"
+VISUAL_PROMPT = "Describe visual process flow semantics not captured in table text."
+PROMPT_CONTEXT = "Use this table markdown as context and focus on missing visual flow details:"
 
 
 def split_row(line: Column) -> Column:
@@ -23,7 +25,7 @@ def split_row(line: Column) -> Column:
 def rows(content: Column) -> Column:
     """array<array<string>>: the header and body rows, without separators."""
     lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), strip)
-    table = F.filter(lines, lambda x: x.startswith("|") & x.endswith("|") & ~x.rlike(r"^\|[\s:|-]+\|$"))
+    table = F.filter(lines, lambda x: x.startswith("|") & x.endswith("|") & ~is_separator(x))
     return F.transform(table, split_row)
 
 
@@ -66,10 +68,15 @@ def visual_selected(scored: Column, threshold: float = 0.75, require_strong: boo
 
 
 def visual_bullets(content: Column) -> Column:
-    """The first block of bullets behind the interpretation's heading."""
-    after = F.when(F.contains(content, F.lit(HEADING)), F.regexp_extract(content, r"(?s)### Table Visual Interpretation(.*)$", 1)).otherwise("")
-    block = F.regexp_extract(after, r"(?s)^\s*(?:[^-\d\s][^\n]*\n\s*)*((?:[ \t]*(?:-|\d+\.\s)[^\n]*(?:\n|\z))+)", 1)
-    return F.filter(F.transform(F.split(block, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[-0-9. ]+", ""))), lambda x: x != "")
+    """The bullets from the first one behind the interpretation's heading to the next blank line, without their marks."""
+    lines = F.transform(F.split(F.regexp_extract(content, r"(?s)### Table Visual Interpretation(.*)$", 1), "\n"), strip)
+    bullet = lambda x: x.rlike(r"^(-|\d+\.\s)")
+    first = F.array_position(F.transform(lines, bullet), F.lit(True)).cast("int")
+    rest = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
+    blank = F.array_position(rest, F.lit("")).cast("int")
+    block = F.when(blank > 0, F.slice(rest, 1, F.greatest(blank - 1, F.lit(0)))).otherwise(rest)
+    texts = F.transform(F.filter(block, bullet), lambda x: strip(F.regexp_replace(x, r"^[-0-9. ]+", "")))
+    return F.when(first > 0, F.filter(texts, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def anchor_texts(all_rows: Column, content: Column, caption: Column, most: int = 6) -> Column:
@@ -104,8 +111,40 @@ def distinct_lines(lines: Column) -> Column:
     return F.aggregate(tidy, F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
+def is_separator(line: Column) -> Column:
+    return strip(line).rlike(r"^\|[\s:|-]+\|$")
+
+
+def chart_signals(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(CHART_WORDS)
+
+
+def _append(content: Column, block: Column) -> Column:
+    return F.when(F.contains(content, block), content).otherwise(F.concat(F.regexp_replace(content, r"(?U)\s+\z", ""), F.lit("\n\n"), block, F.lit("\n")))
+
+
 def append_interpretation(content: Column, interpretation: Column) -> Column:
     """Idempotent: a block that stands in the content already is not added again."""
-    text = strip(interpretation)
-    block = F.concat(F.lit(f"{HEADING}\n"), F.when(text.rlike(r"^[-*]"), text).otherwise(F.concat(F.lit("- "), text)))
-    return F.when(F.coalesce(text, F.lit("")) == "", content).when(F.contains(content, block), content).otherwise(F.concat(F.regexp_replace(content, r"\s+\z", ""), F.lit("\n\n"), block))
+    text = strip(F.coalesce(interpretation, F.lit("")))
+    block = F.concat(F.lit(f"{HEADING}\n"), F.when(text.rlike(r"^([-*]|\d+\.)\s"), text).otherwise(F.concat(F.lit("- "), text)))
+    return F.when(text == "", content).otherwise(_append(content, block))
+
+
+def append_pending(content: Column, attempts: Column, error: Column) -> Column:
+    """Marks a table whose interpretation is to be tried again; idempotent."""
+    detail = F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit(" Last error: "), F.substring(error, 1, 280))).otherwise("")
+    return _append(content, F.concat(F.lit(f"{HEADING}\n- Pending visual interpretation retry after "), attempts, F.lit(" attempt(s)."), detail))
+
+
+def visual_prompt(content: Column, base: str = VISUAL_PROMPT) -> Column:
+    excerpt = F.substring(strip(F.coalesce(content, F.lit(""))), 1, 2500)
+    return F.concat(F.lit(f"{base}\n\n{PROMPT_CONTEXT}\n```markdown\n"), excerpt, F.lit("\n```"))
+
+
+def retried(outcomes: Column, enabled: bool = True, most: int = 5) -> Column:
+    """struct<status, attempts> of tries in order (ok, retryable or failed): they end at the first that is not retryable or at the last one allowed."""
+    tries = F.slice(outcomes, 1, most if enabled else 1)
+    end = F.array_position(F.transform(tries, lambda x: x != "retryable"), F.lit(True)).cast("int")
+    used = F.when(end > 0, end).otherwise(F.size(tries))
+    status = F.when(F.element_at(F.slice(tries, 1, used), -1) == "ok", "done").when(F.lit(enabled) & F.array_contains(F.slice(tries, 1, used), "retryable"), "pending").otherwise("failed")
+    return F.struct(status.alias("status"), used.alias("attempts"))

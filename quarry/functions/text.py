@@ -42,14 +42,14 @@ def trim_text(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
-def _short(line: Column) -> Column:
+def short_line(line: Column) -> Column:
     return (line != "") & (F.length(line) <= 80) & (F.size(F.split(line, r"(?U)\s+")) <= 12) & ~is_markdown(line)
 
 
 def frequent_lines(lines: Column) -> Column:
     """Short lines, in lower case, that make up a share of 0.04 and at least 4 of all lines, blanks included: in sorted order a line that
     occurs m times equals the one m - 1 places on."""
-    keys = F.array_sort(F.filter(F.transform(lines, lambda x: F.when(_short(strip(x)), F.lower(strip(x))).otherwise("")), lambda x: x != ""))
+    keys = F.array_sort(F.filter(F.transform(lines, lambda x: F.when(short_line(strip(x)), F.lower(strip(x))).otherwise("")), lambda x: x != ""))
     least = F.greatest(F.lit(4), F.ceil(F.round(F.size(lines) * 0.04, 9)).cast("int"))
     return F.array_distinct(F.array_compact(F.zip_with(keys, F.slice(keys, least, F.greatest(F.size(keys), F.lit(1))), lambda x, y: F.when(x == y, x))))
 
@@ -58,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, lines_col: str, keep_markers: bool = False
     """docs whose array of lines has no page markers and no frequent short lines; blanks and table rows stay. The frequent lines are a generated
     column, made once a document."""
     marked = docs.withColumn("_often", F.explode(F.array(frequent_lines(F.col(lines_col)))))
-    gone = lambda x: (F.lit(False) if keep_markers else is_page_marker(x)) | (_short(strip(x)) & F.array_contains("_often", F.lower(strip(x))))
+    gone = lambda x: (F.lit(False) if keep_markers else is_page_marker(x)) | (short_line(strip(x)) & F.array_contains("_often", F.lower(strip(x))))
     return marked.withColumn(lines_col, F.filter(lines_col, lambda x: (strip(x) == "") | strip(x).startswith("|") | ~gone(x))).drop("_often")
 
 
@@ -112,3 +112,21 @@ def split_sentences(text: Column, tokens: int = 768, overlap: int = 200) -> Colu
     n = F.size(words)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - overlap), F.lit(tokens - overlap))
     return F.when(n > 0, F.transform(starts, lambda k: F.array_join(F.slice(words, k, tokens), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def heading(line: Column) -> Column:
+    """The title of a markdown heading, at most 200 characters; else null."""
+    title = strip(F.regexp_extract(strip(line), r"^#{1,6}\s+(.+)$", 1))
+    return F.nullif(F.substring(title, 1, 200), F.lit(""))
+
+
+def to_bool(value: Column, default: bool = False) -> Column:
+    return F.coalesce(F.lower(strip(value)).isin("1", "true", "yes", "on"), F.lit(default))
+
+
+def to_int(value: Column, default: int, least: int = 1) -> Column:
+    return F.greatest(F.lit(least), F.coalesce(F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), strip(value).try_cast("int")), F.lit(default)))
+
+
+def to_float(value: Column, default: float, least: float, most: float) -> Column:
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.coalesce(strip(value).try_cast("double"), F.lit(default))))

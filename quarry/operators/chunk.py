@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..functions import text as C
 
 
 def islands(entries: DataFrame) -> DataFrame:
@@ -58,3 +59,23 @@ def table_chunks(tables: DataFrame, most: int = 6) -> DataFrame:
     parent = F.concat(F.lit("**Table: "), F.col("caption"), F.lit("**\n\n"), F.col("content"))
     kinds = F.concat(F.array(F.struct(F.lit("table_parent").alias("chunk_kind"), parent.alias("text"))), F.transform("anchors", lambda a: F.struct(F.lit("table_anchor").alias("chunk_kind"), a.alias("text"))))
     return tables.select("order_id", F.posexplode(kinds).alias("chunk_ix", "c")).select("order_id", "chunk_ix", "c.chunk_kind", "c.text")
+
+
+def structure_map(items: DataFrame) -> DataFrame:
+    """Typed entries (doc, ordinal, type, table_id, page, content) of parsed items (doc, ordinal, label, text, caption, page): tables are numbered
+    within their document, captions and texts of at most two characters go."""
+    label, text = F.upper("label"), C.strip(F.coalesce("text", F.lit("")))
+    kind = F.when(label == "TABLE", "table").when(label.isin("PICTURE", "CHART"), "figure").when(label != "CAPTION", "text")
+    number = F.sum(F.when(label == "TABLE", 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("ordinal"))
+    caption = F.when(F.coalesce("caption", F.lit("")) != "", F.col("caption"))
+    table = F.concat(F.coalesce(F.concat(F.lit("**Table: "), caption, F.lit("**\n\n")), F.lit("")), F.col("text"))
+    figure = F.coalesce(F.nullif(F.concat_ws("\n\n", caption, F.nullif(text, F.lit(""))), F.lit("")), F.concat(F.lit("["), F.lower("label"), F.lit(" on page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("]")))
+    typed = items.withColumn("type", kind).withColumn("table_id", F.when(F.col("type") == "table", F.format_string("table_%04d", number)))
+    kept = typed.where(F.col("type").isin("table", "figure") | ((F.col("type") == "text") & (F.length(text) > 2)))
+    return kept.select("doc", "ordinal", "type", "table_id", "page", F.when(F.col("type") == "table", table).when(F.col("type") == "figure", figure).otherwise(F.col("text")).alias("content"))
+
+
+def page_segments(entries: DataFrame, least: int = 24) -> DataFrame:
+    """(doc, page, segments): the texts of at least `least` characters of each page, in order, with single blanks."""
+    rows = entries.where("page is not null").select("doc", "page", "ordinal", C.collapse(F.col("text")).alias("x")).where(F.length("x") >= least)
+    return rows.groupBy("doc", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "x"))), lambda e: e["x"]).alias("segments"))

@@ -39,3 +39,9 @@ def delete_by_key(points: DataFrame, key: str, value: str) -> tuple[DataFrame, i
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     return replace_by_key(old, new, key)
+
+
+def deletion_report(points: DataFrame, wanted: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, deleted, status) for every wanted key: points are counted by key before they meet the request."""
+    counts = points.groupBy(key).agg(F.count("*").alias("deleted"))
+    return wanted.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("deleted", F.lit(0)).alias("deleted"), F.when(F.col("deleted") > 0, "deleted").otherwise("not_found").alias("status"))

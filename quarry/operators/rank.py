@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import doc_key
+
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank from 1; Spark cuts groups to k rows before the shuffle."""
@@ -31,7 +33,7 @@ def rerank(candidates: DataFrame, k: int = 8, least: float = 0.001) -> DataFrame
 def diversify(candidates: DataFrame, most: int = 5, per_doc: int = 2) -> DataFrame:
     """At most `most` of each query's (q, pos, node_id, doc), first those within per_doc of their document, then the others; a node once."""
     first = candidates.withColumn("again", F.row_number().over(Window.partitionBy("q", "node_id").orderBy("pos"))).where("again = 1").drop("again")
-    key = F.coalesce("doc", F.concat(F.lit("__node__:"), F.col("node_id")))
+    key = doc_key(F.col("doc").cast("string"), F.col("node_id").cast("string"))
     within = F.row_number().over(Window.partitionBy("q", key).orderBy("pos"))
     late = F.lit(0) if per_doc <= 0 else F.when(within <= per_doc, 0).otherwise(1)
     return top_k(first.withColumn("late", late), ["q"], ["late", "pos"], max(0, most)).drop("late")

@@ -59,3 +59,13 @@ def publish(df: DataFrame, root: str) -> str:
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """(id, question) from a JSON list."""
     return spark.read.schema("id string, question string").json(path, multiLine=True)
+
+
+def public(df: DataFrame) -> DataFrame:
+    """df without its internal columns, whose names begin with an underscore."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """df with missing values and columns filled."""
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})

@@ -1,5 +1,6 @@
 import pytest
 
+from quarry.plans import details
 from quarry.plans import queries as Q
 
 
@@ -13,6 +14,10 @@ def test_runs(name, spark, sf):
     assert Q.QUERIES[name](spark, sf).count() > 0
 
 
+def test_details_are_registered():
+    assert {n for n in Q.QUERIES if Q.QUERIES[n].__module__ == details.__name__} >= {"f14_messages", "r13_retry_states"}
+
+
 def test_flagship(spark, sf):
     rows = Q.flagship(spark, sf).collect()
     assert rows and {r["source_id"] for r in rows} <= {"S1", "S2", "S3", "S4", "S5"}
