@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of least id stays; documents without a word are no copies of one another and stay."""
+    """Of each component of near copies the document of least id stays; documents without a word are copies of one another."""
     return simhash.keep_one(docs)
 
 
