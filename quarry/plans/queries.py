@@ -222,6 +222,13 @@ def j01(spark, sf):
     return S.dense_top_k(vectors.where("node_id < 20").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
 
 
+@query("j01_dense_topk_hundredths", "SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 24")
+def j01_hundredths(spark, sf):
+    """j01 for every row whose id is divisible by 100: the query set grows with the table."""
+    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
+    return S.dense_top_k(vectors.where("node_id % 100 = 0").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
+
+
 @query("j02_sparse_topk", f"SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24")
 def j02(spark, sf):
     return S.sparse_top_k(_questions(spark, sf), _texts(spark, sf)).select("q", "node_id", "score", "rank")
