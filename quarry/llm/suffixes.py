@@ -9,6 +9,8 @@ passage leaves a task once. Runs are front-coded (bytes shared with the item bef
 the picked bytes, since only suffixes with equal beginnings have to meet. Reduce side: a loser tree merges the runs; it keeps with
 each loser the prefix it shares with the winner, so known prefixes are never compared again. Neighbours with a common prefix of GRAM bytes form
 groups; in a group, equal items are covered whole, and of the others only the windows within the prefix shared with a neighbour are looked up.
+A group is read as a stream: its windows are looked up LARGE_GROUP items at a time, and if there are more, each piece's first places of windows
+go by digest to a second shuffle, where the first place of each digest stays and the others are covered. Runs are decoded in pieces.
 
 A byte is removed if a LENGTH-byte string covers it that also starts earlier: at a smaller id, or in the same text before. Null ids come first.
 Rows of equal id and equal text are one text with one result; rows of equal id and different texts are ordered by hash. Null texts are empty;
@@ -18,8 +20,10 @@ texts shorter than LENGTH keep all. Columns other than id and text are ignored;
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import materialize, payload, task_partitions
 
 LENGTH, GRAM = 100, 20
-#: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group from which windows are held as digests.
+#: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group whose windows are held at a time.
 RUN_ITEMS, BATCH_BYTES, LARGE_GROUP = 300_000, 2 << 20, 2_000
+#: Decoded items of all runs that a merging task holds, and bytes of compressed runs that it holds before the others go to a temporary file.
+OPEN_ITEMS, HELD_BYTES = 500_000, 64 << 20
 #: Compression of runs: level 5 is a sixth smaller than level 1 on sorted text, at a quarter of its speed.
 RUN_LEVEL = 5
 #: A text's windows are taken in pieces of so many starts; each piece has all bytes of its windows.
@@ -99,22 +105,31 @@ def front_code(strings: list[bytes], right: np.ndarray, start: np.ndarray, keys:
     return zstandard.ZstdCompressor(level=RUN_LEVEL).compress(struct.pack("<II", n, sum(map(len, keys))) + b"".join(parts))
 
 
-def run_items(blob: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
-    """(string, prefix shared with the item before, key, start, bytes from the picked place on) of a run."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, key_bytes = struct.unpack_from("<II", raw)
-    at = 8
-    columns = []
-    for kind, wide in (("<u2", 2), ("<u2", 2), ("<u2", 2), ("<u4", 4), ("u1", 1)):
-        columns.append(np.frombuffer(raw, kind, n, at).tolist())
-        at += n * wide
-    k, at = at, at + key_bytes
-    before = b""
-    for shared, size, right, start, key_size in zip(*columns, strict=True):
-        before = before[:shared] + raw[at : at + size - shared]
-        at += size - shared
-        yield before, shared, raw[k : k + key_size], start, right
-        k += key_size
+def run_items(blob: bytes | Callable[[], bytes], piece: int = OPEN_ITEMS) -> Iterator[tuple[bytes, int, bytes, int, int]]:
+    """(string, prefix shared with the item before, key, start, bytes from the picked place on) of a run, or of what returns one;
+    at most `piece` items are held: for each piece the run is decompressed anew."""
+    k = at = done = 0
+    before, n = b"", 1
+    while done < n:
+        raw = zstandard.ZstdDecompressor().decompress(blob() if callable(blob) else blob)
+        n, key_bytes = struct.unpack_from("<II", raw)
+        here = min(piece, n - done)
+        column, columns = 8, []
+        for kind, wide in (("<u2", 2), ("<u2", 2), ("<u2", 2), ("<u4", 4), ("u1", 1)):
+            columns.append(np.frombuffer(raw, kind, here, column + done * wide).tolist())
+            column += n * wide
+        if not done:
+            k, at = column, column + key_bytes
+        key_end, end = k + sum(columns[4]), at + sum(columns[1]) - sum(columns[0])
+        names, rest = raw[k:key_end], raw[at:end]
+        del raw
+        i = j = 0
+        for shared, size, right, start, key_size in zip(*columns, strict=True):
+            before = before[:shared] + rest[j : j + size - shared]
+            j += size - shared
+            yield before, shared, names[i : i + key_size], start, right
+            i += key_size
+        k, at, done = key_end, end, done + here
 
 
 def _mismatch(a: bytes, b: bytes, at: int) -> int:
@@ -181,40 +196,37 @@ def merge(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
             node >>= 1
 
 
-def group_cover(group: list[tuple], length: int = LENGTH) -> list[tuple[bytes, int, int]]:
-    """(key, start, end) covered in a group of merged items ((string, _, key, start, right), shared), in sorted order."""
-    out: list[tuple[bytes, int, int]] = []
-    kept: list[list] = []  # item, prefix shared with the one before
-    same: dict[int, int] = {}
+def _looked_up(group: Iterable[tuple], out: list[tuple[bytes, int, int]], length: int) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(key, start, last window, text) of a group's items that share windows with a neighbour; equal items but the first go to out as covered.
+    Only the items of one string are held, one for each place of the picked bytes."""
+    kept: dict[int, tuple] = {}  # by the bytes from the picked place on
+    first = 0  # prefix shared with the string before
+
+    def closed(following: int) -> Iterator[tuple[bytes, int, int, bytes]]:
+        for text, _, key, start, right in kept.values():
+            near = len(text) if len(kept) > 1 else max(first, following)
+            last = min(len(text) - length, len(text) - right - length + min(near, right))
+            if last >= 0:
+                yield key, start, last, text[right:] + text[:right]
+
+    string = None
     for item, shared in group:
-        if not kept or kept[-1][0][0] != item[0]:
-            same = {}
-            kept.append([item, shared])
-            same[item[4]] = len(kept) - 1
-            continue
-        k = same.get(item[4])
-        if k is None:
-            same[item[4]] = len(kept)
-            kept.append([item, shared])
+        if item[0] != string:
+            yield from closed(shared)
+            first, string, kept = 0 if string is None else shared, item[0], {item[4]: item}
             continue
-        old = kept[k][0]
-        new, gone = (item, old) if (item[2], item[3]) < (old[2], old[3]) else (old, item)
-        kept[k][0] = new
-        out.append((gone[2], gone[3], gone[3] + len(gone[0])))
-    if len(kept) < 2:
-        return out
-    todo = []
-    for k, (item, shared) in enumerate(kept):
-        text, _, key, start, right = item
-        near = max(shared if k else 0, kept[k + 1][1] if k + 1 < len(kept) else 0)
-        last = min(len(text) - length, len(text) - right - length + min(near, right))
-        if last >= 0:
-            todo.append((key, start, last, text[right:] + text[:right]))
-    if len(todo) < 2:
-        return out
+        old = kept.setdefault(item[4], item)
+        if old is not item:
+            new, gone = (item, old) if (item[2], item[3]) < (old[2], old[3]) else (old, item)
+            kept[item[4]] = new
+            out.append((gone[2], gone[3], gone[3] + len(gone[0])))
+    yield from closed(0)
+
+
+def _piece_cover(todo: list[tuple[bytes, int, int, bytes]], out: list[tuple[bytes, int, int]], digest, length: int) -> dict[bytes, tuple[bytes, int]]:
+    """The first place of each window looked up in todo; places after it go to out."""
+    seen: dict[bytes, tuple[bytes, int]] = {}
     todo.sort(key=lambda x: x[:2])
-    digest = xxhash.xxh3_128_digest if len(todo) > LARGE_GROUP else bytes
-    seen: set[bytes] = set()
     for key, start, last, text in todo:
         begin = -1
         for j in range(last + 1):
@@ -223,13 +235,33 @@ def group_cover(group: list[tuple], length: int = LENGTH) -> list[tuple[bytes, i
                 if begin < 0:
                     begin = j
             else:
-                seen.add(window)
+                seen[window] = (key, start + j)
                 if begin >= 0:
                     out.append((key, start + begin, start + j - 1 + length))
                     begin = -1
         if begin >= 0:
             out.append((key, start + begin, start + last + length))
-    return out
+    return seen
+
+
+def stream_cover(group: Iterable[tuple], length: int = LENGTH) -> Iterator[tuple[list[tuple[bytes, int, int]], dict[bytes, tuple[bytes, int]]]]:
+    """For a group of merged items ((string, _, key, start, right), shared), in sorted order: pieces of (key, start, end) covered, and with each the
+    first places in the piece of windows by digest, (key, start), which are to be compared between pieces; none if the group is one piece."""
+    out: list[tuple[bytes, int, int]] = []
+    todo: list[tuple[bytes, int, int, bytes]] = []
+    large = False
+    for entry in _looked_up(group, out, length):
+        if len(todo) >= LARGE_GROUP:
+            large = True
+            seen = _piece_cover(todo, out, xxhash.xxh3_128_digest, length)
+            yield out[:], seen
+            out.clear(), todo.clear()
+        todo.append(entry)
+        if len(out) > 50_000:
+            yield out[:], {}
+            out.clear()
+    seen = _piece_cover(todo, out, xxhash.xxh3_128_digest if large else bytes, length)
+    yield out, seen if large else {}
 
 
 def _cover_batch(found: list[tuple[bytes, int, int]]) -> list[pa.Array]:
@@ -309,29 +341,69 @@ def _make_runs(parts: int):
     return runs
 
 
+def _groups(pairs: Iterator[tuple]) -> Iterator[Iterator[tuple]]:
+    """Streams of the merged items whose neighbours share GRAM bytes; each stream is to be read before the next. Single items are left out."""
+    ahead = next(pairs, None)
+    while ahead is not None:
+        head, ahead = ahead, next(pairs, None)
+        if ahead is None or ahead[1] < GRAM:
+            continue
+
+        def group(head: tuple = head) -> Iterator[tuple]:
+            nonlocal ahead
+            yield head
+            while ahead is not None and ahead[1] >= GRAM:
+                pair, ahead = ahead, next(pairs, None)
+                yield pair
+
+        yield group()
+
+
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blobs: list[bytes] = []
+    """Spans covered (digest null), and of groups in pieces the first places in a piece of windows by digest."""
+    names = ["key", "span", "digest"]
+    with tempfile.TemporaryFile() as spilled:
+        blobs: list[bytes | Callable[[], bytes]] = []
+        held = end = 0
+        for batch in batches:
+            here = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for x in batch.column(0).filter(pa.array(here)):
+                blob = x.as_py()
+                held += len(blob)
+                if held > HELD_BYTES:
+                    spilled.write(blob)
+                    blobs.append(lambda at=end, size=len(blob): os.pread(spilled.fileno(), size, at))
+                    end += len(blob)
+                else:
+                    blobs.append(blob)
+            rest = batch.filter(pa.array(~here))
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.nulls(rest.num_rows, pa.binary())], names=names)
+        spilled.flush()
+        found: list[tuple[bytes, int, int]] = []
+        piece = max(16, OPEN_ITEMS // max(1, len(blobs)))
+        for group in _groups(merge([run_items(b, piece) for b in blobs]) if blobs else iter(())):
+            for spans, seen in stream_cover(group):
+                found += spans
+                if seen:
+                    key, span = _cover_batch([(k, start, start + LENGTH) for k, start in seen.values()])
+                    yield pa.RecordBatch.from_arrays([key, span, pa.array(seen, pa.binary())], names=names)
+                if len(found) > 50_000:
+                    yield pa.RecordBatch.from_arrays([*_cover_batch(found), pa.nulls(len(found), pa.binary())], names=names)
+                    found = []
+        yield pa.RecordBatch.from_arrays([*_cover_batch(found), pa.nulls(len(found), pa.binary())], names=names)
+
+
+def _later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest, key and span, those without a digest, and those after the first of their digest."""
+    before = None
     for batch in batches:
-        here = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-        blobs.extend(x.as_py() for x in batch.column(0).filter(pa.array(here)))
-        rest = batch.filter(pa.array(~here))
-        if rest.num_rows:
-            yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2)], names=["key", "span"])
-    found: list[tuple[bytes, int, int]] = []
-    group: list[tuple] = []
-    for pair in merge([run_items(b) for b in blobs]) if blobs else ():
-        if pair[1] >= GRAM:
-            group.append(pair)
+        digests = batch.column(2).to_pylist()
+        if not digests:
             continue
-        if len(group) > 1:
-            found += group_cover(group)
-            if len(found) > 50_000:
-                yield pa.RecordBatch.from_arrays(_cover_batch(found), names=["key", "span"])
-                found = []
-        group = [pair]
-    if len(group) > 1:
-        found += group_cover(group)
-    yield pa.RecordBatch.from_arrays(_cover_batch(found), names=["key", "span"])
+        later = [d is None or d == b for d, b in zip(digests, [before, *digests[:-1]], strict=True)]
+        before = digests[-1]
+        yield batch.filter(pa.array(later)).select(["key", "span"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -347,7 +419,9 @@ def covered(keyed: DataFrame) -> DataFrame:
     parts = task_partitions(keyed.sparkSession)
     runs = keyed.select("key", "_data").mapInArrow(_make_runs(parts), "part int, run binary, key binary, span long")
     dealt = runs.repartitionById(parts, "part").select("run", "key", "span")
-    return dealt.mapInArrow(_merge_runs, "key binary, span long")
+    found = dealt.mapInArrow(_merge_runs, "key binary, span long, digest binary")
+    met = found.repartition(parts, F.when(F.col("digest").isNull(), F.xxhash64("key", "span")).otherwise(F.xxhash64("digest")))
+    return met.sortWithinPartitions("digest", "key", "span").mapInArrow(_later_places, "key binary, span long")
 
 
 def remove_spans(data: bytes, spans: np.ndarray) -> tuple[np.ndarray, int, int]:

@@ -3,8 +3,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -287,3 +289,50 @@ def test_mixing(spark):
 def test_decontamination_is_native(spark, sf, capsys):
     Q.op10_decontaminate(spark, sf).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def _hot_runs(n, size=3_000):
+    """Runs of n items that differ to the left of the picked place and share all bytes to its right."""
+    right = bytes(range(97, 123)) * 4
+    items = sorted((right[:90] + hashlib.sha256(b"%d" % k).hexdigest().encode(), k) for k in range(n))
+    for at in range(0, n, size):
+        own = items[at::1][:size]
+        blob = suffixes.front_code([t for t, _ in own], np.full(len(own), 90), np.zeros(len(own)), [b"%08d" % k for _, k in own])
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int64())], names=["run", "key", "span"])
+
+
+def test_suffix_group_in_pieces():
+    """A merging task holds a piece of a large group, not the group."""
+    peaks = []
+    for n in (6_000, 24_000):
+        runs = list(_hot_runs(n))
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in suffixes._merge_runs(iter(runs)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows > 0
+    assert peaks[1] < 2 * peaks[0], peaks
+
+
+def test_suffix_run_pieces():
+    strings = sorted(b"%05d" % (k * k) * 5 for k in range(500))
+    blob = suffixes.front_code(strings, np.full(500, 7), np.arange(500), [b"k" * (k % 9) for k in range(500)])
+    whole = list(suffixes.run_items(blob))
+    assert [x[0] for x in whole] == strings and all(list(suffixes.run_items(lambda: blob, p)) == whole for p in (1, 16, 499, 500))
+
+
+def test_suffix_large_group_brute_force(spark):
+    """A passage inside more documents than a piece holds; some left sides recur far apart."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(90))
+    passage, lefts, rights = word() + word(), [word() for _ in range(3_000)], [word() for _ in range(3_000)]
+    texts = [rng.choice(lefts) + passage + rng.choice(rights) for _ in range(5_000)]
+    first, want = {}, {}
+    for k, t in enumerate(texts):
+        gone = set()
+        for j in range(len(t) - 99):
+            if first.setdefault(t[j : j + 100], (k, j)) != (k, j):
+                gone.update(range(j, j + 100))
+        want[k] = len(gone)
+    got = suffixes.dedup_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == want
