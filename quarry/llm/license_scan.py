@@ -86,8 +86,8 @@ def to_postfix(expression: str) -> list[str]:
             operand_next = True
         else:
             if not operand_next:
-                if "(" not in stack and not stack:
-                    break  # prose after a finished expression
+                if "(" not in stack:
+                    break  # prose after a complete expression
                 raise ValueError("operator expected")
             out.append(token)
             operand_next = False

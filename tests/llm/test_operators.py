@@ -87,6 +87,15 @@ def test_license_expressions():
     assert found[5] == "mit,mpl" and found[7] is True and 0.9 < found[6] <= 1
 
 
+@pytest.mark.parametrize("after", [" -->", " see the file COPYING", " */ text"])
+def test_license_tag_before_prose(after):
+    for expression, want in (("MIT OR Apache-2.0", ("apache-2,mit", True)), ("MIT AND GPL-3.0-only", ("gpl,mit", False)), ("(MIT OR MPL-2.0)", ("mit,mpl", True)), ("GPL-2.0-only WITH Classpath-exception-2.0", ("gpl", False))):
+        found = license_scan.scan(f"<!-- SPDX-License-Identifier: {expression}{after}\n".encode(), license_scan.automaton())
+        assert (found[5], found[7]) == want and found[6] > 0.9
+    with pytest.raises(ValueError):
+        license_scan.evaluate("(MIT OR MPL-2.0 text)")
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     moves, lengths = rng.normal(size=(2, 2)), [1, 3, 5, 2, 7, 1, 9]
