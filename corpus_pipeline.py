@@ -21,15 +21,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that a 100-byte string of an earlier document or place covers are taken out; documents of which nothing is left go."""
-    kept = suffixes.dedup_text(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).where("text is null or text <> ''").select(*docs.columns)
+    """Bytes that a 100-byte string of an earlier document or place covers are taken out; documents of which nothing is left go.
+    Texts that were null or empty before stay."""
+    kept = suffixes.dedup_text(docs.withColumn("_had_text", F.coalesce(F.length("text") > 0, F.lit(False))))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).where("not _had_text or text <> ''").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain at least 0.8 of a benchmark item's five-word shingles go."""
-    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text")).select("doc_id").distinct()
-    return docs.join(materialize(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain at least 0.8 of a benchmark item's five-word shingles go. Documents with a null id are told apart by their texts."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.withColumn("_leak_key", key)
+    leaks = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_leak_key").select(F.col("doc_id").alias("_leak_key")).distinct()
+    return keyed.join(materialize(leaks, "leaks"), "_leak_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ shingles lacks at most n - ceil(threshold n) of them, so it holds one of the n -
 Documents are partitioned by powers of two of their shingles, and an item probes only partitions large enough to contain it.
 
 Words are runs of letters and digits, A-Z lower-cased; all characters beyond ASCII count as letters. Texts of one to four words are one
-shingle; null, empty and wordless texts have none and match nothing. Repeated rows of documents give one result per id. Columns other than ids and
+shingle; null, empty and wordless texts have none and match nothing. Repeated rows of documents give one result per id; rows of null id count as
+one id, null, and each text is looked at by itself; so do items of null id. Columns other than ids and
 texts are ignored; an empty table on either side gives an empty result.
 """
 
@@ -45,6 +46,12 @@ def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return items.where(n > 0).withColumn("least_size", F.floor(F.log2(need.cast("double") + F.lit(1e-9))).cast("int")).withColumn("h", F.explode(F.slice(F.array_sort("hashes"), 1, n - need + 1))).select("h", "item_id", "least_size")
 
 
+def _meet(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """left joined with right on a column in which nulls are equal."""
+    met = left.join(right.withColumnRenamed(column, "_met"), F.col(column).eqNullSafe(F.col("_met")), how)
+    return met.drop("_met")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) for every document and item with containment >= threshold."""
     items = _with_words(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).distinct(), "item_text")
@@ -57,10 +64,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     pairs = materialize(found.select("doc_id", "item_id").distinct(), "pairs")
     wanted = pairs.select("doc_id").distinct()
     n_wanted = wanted.count()
-    chosen = texts.join(small_or_shuffled(wanted, n_wanted, BROADCAST_ROWS), "doc_id", "left_semi")
+    chosen = _meet(texts, small_or_shuffled(wanted, n_wanted, BROADCAST_ROWS), "doc_id", "left_semi")
     exact = _with_words(chosen, "doc_text").select("doc_id", F.array_distinct(_shingles(lambda *w: F.concat_ws(" ", *w))).alias("doc_shingles"))
     n_items = items.count()
-    checked = exact.join(small_or_shuffled(pairs, pairs.count()), "doc_id").join(small_or_shuffled(items.select("item_id", "item_shingles"), n_items, 10_000), "item_id")
+    checked = _meet(_meet(exact, small_or_shuffled(pairs, pairs.count()), "doc_id"), small_or_shuffled(items.select("item_id", "item_shingles"), n_items, 10_000), "item_id")
     shared = checked.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("item_shingles", "doc_shingles")).cast("long").alias("n_shared"))
     return shared.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles")).where(F.col("n_shared") >= F.ceil(F.round(F.col("n_item_shingles") * F.lit(threshold), 9))).groupBy("doc_id", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
 

@@ -25,3 +25,16 @@ def test_stages(spark, sf):
     mixed = P.run(spark, sf)
     assert {r["doc_id"] for r in mixed.select("doc_id").distinct().collect()} <= kept.keys()
     assert abs(mixed.count() - len(kept)) < 6 * len(kept) ** 0.5
+
+
+def test_null_ids_and_empty_texts(spark, sf, tmp_path):
+    item = " ".join(f"leak{k}" for k in range(40))
+    spark.createDataFrame([(1, item), (None, item + " more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean words of another kind"), (2, item), (3, "clean too"), (4, ""), (5, None), (6, "a copied line of text " * 1 + "x1y2 " * 30), (7, "a copied line of text " * 1 + "x1y2 " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", P.F.length("text").cast("long"))
+    found = P.decontaminate.contaminated(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(None, 1), (None, None), (2, 1), (2, None)}
+    left = [(r["doc_id"], r["text"]) for r in P.drop_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(repr, left)) == sorted(map(repr, [rows[1], *rows[3:]]))
+    cut = {r["doc_id"] for r in P.cut_repeats(spark, docs.where("doc_id > 3"), sf).collect()}
+    assert cut == {4, 5, 6}
