@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = tuple(state)
         sides = _both(now)
-        least = materialize(_least(sides), "least")
-        large = materialize(sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small")
+        first = materialize(_least(sides), "least")
+        large = materialize(sides.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        second = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(second, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, now = now, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "small")
+        discard(before, first, large, second)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -1,7 +1,8 @@
 """Licence scans: an Aho-Corasick automaton finds notice phrases and identifier tags; a shunting-yard parser evaluates licence expressions.
 
-Null texts count as empty: no words, no labels, score 0. Repeated rows each get their own result. Columns of the input other than
-the id and the text are ignored, so clashing names don't matter. An empty table gives an empty result.
+Null texts count as empty: no words, no labels, score 0. Very long texts are scanned whole, in time in proportion to their length. Repeated rows each
+get their own result; phrases that overlap or end at the same word all count, and of tags all do. Columns of the input other than the id and
+the text are ignored, so clashing names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ OWN_PHRASES = {
     "public domain": "public-domain",
 }
 TAG_PHRASE = "spdx license identifier"
-#: Prefix of a lower-case licence identifier -> label; the first that fits counts.
+#: Beginning of a lower-case licence identifier, up to its end, a sign or a version -> label; the first that fits counts.
 IDENTIFIER_LABELS = {
     "mit": "mit", "apache-2": "apache-2", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc0": "public-domain", "unlicense": "public-domain",
     "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "mpl": "mpl", "bsd": "bsd",
 }
+#: Licence identifiers of letters alone; other words of letters are prose, not identifiers.
+PLAIN_IDENTIFIERS = {"isc", "zlib", "curl", "openssl", "ruby", "vim", "wtfpl", "beerware", "json", "libpng", "ncsa", "postgresql", "sleepycat", "w3c", "zed"}
 #: Labels that permit reuse without further conditions on other works.
 PERMISSIVE = {"mit", "apache-2", "bsd", "public-domain"}
 EVIDENCE = {"tag": 0.95, "phrase": 0.8}
@@ -54,8 +57,14 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 def identifier_label(identifier: str) -> str:
+    """The label of a known licence, else the identifier itself; raises ValueError for a word that is no identifier."""
     low = identifier.lower()
-    return next((label for prefix, label in IDENTIFIER_LABELS.items() if low.startswith(prefix)), low.rstrip("+"))
+    for prefix, label in IDENTIFIER_LABELS.items():
+        if low.startswith(prefix) and re.match(r"v?\d|[^a-z]|$", low[len(prefix) :]):
+            return label
+    if low.isalpha() and low not in PLAIN_IDENTIFIERS or not any(map(str.isalpha, low)):
+        raise ValueError(f"{identifier!r} is no licence identifier")
+    return low.rstrip("+")
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -123,6 +132,7 @@ def scan(text: bytes, matcher: ahocorasick.Automaton) -> tuple:
     words = text.translate(_FOLD).split()
     flat = f" {b' '.join(words).decode('utf-8', 'replace')} "
     base, base_labels, labels, evidence, tagged = [], set(), set(), 0.0, False
+    at = word = 0  # the word that begins behind the blank at `at`
     for end, (kind, label, back) in matcher.iter(flat):
         if kind == "tag":
             tagged = True
@@ -130,7 +140,10 @@ def scan(text: bytes, matcher: ahocorasick.Automaton) -> tuple:
         labels.add(label)
         evidence = 1 - (1 - evidence) * (1 - EVIDENCE["phrase"])
         if kind == "base":
-            base.append(flat.count(" ", 0, end - back))
+            start = end - back
+            word += flat.count(" ", at, start) if start >= at else -flat.count(" ", start, at)
+            at = start
+            base.append(word)
             base_labels.add(label)
     permissive = all(x in PERMISSIVE for x in labels) if labels else None
     if tagged:

@@ -3,8 +3,8 @@ mean rate that its source's target weight asks for; documents are exploded by th
 
 The rate of a source is weight x rows of the table / rows of the source, so the mixture has about as many rows as the table. Without given weights
 each source weighs the same; sources without a given weight get none. A null source is a source of its own. Null or repeated ids draw by the
-same hash, so repeated rows get equal counts and are told apart by nothing but their place. An empty table gives an empty result.
-Columns keep their names and order; `copy`, `mix_key` and `rate` are appended (an input's own columns of these names are replaced).
+same hash, so repeated rows get equal counts and are told apart by nothing but their place. Texts, also very long ones, are carried whole and never
+looked at. An empty table gives an empty result. Columns keep their names and order; `copy`, `mix_key` and `rate` are appended (an input's own columns of these names are replaced).
 """
 
 from __future__ import annotations
@@ -60,15 +60,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     rates = F.broadcast(rates) if n <= most_sources else rates.repartition("mix_source")
     kept = [c for c in docs.columns if c not in ("copy", "mix_key", "rate")]
     rows = docs.select(*kept).join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda total, k: total + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col(id_col), k))),
-    )
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col(id_col), k))  # hashed once a part, not once a term
+    drawn = F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
     counted = rows.withColumn("mix_n", drawn).where("mix_n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")).cast("binary")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.select(*kept, "copy", "mix_key", "rate").repartitionByRange(parts, "mix_key").sortWithinPartitions("mix_key")
+    # Keys are evenly spread, so equal ranges of their first 32 bits are the range partitions; no sample of the rows is drawn first.
+    part = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * parts / F.lit(2.0**32)).cast("int")
+    return keyed.select(*kept, "copy", "mix_key", "rate").repartitionById(parts, part).sortWithinPartitions("mix_key")
 
 
 ORACLE_SQL = r"""
@@ -85,6 +85,7 @@ draws AS (
 ), numbers AS (
   SELECT d.doc_id, d.source, d.rate, d.k, count(c.j) AS x FROM draws d LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u GROUP BY ALL
 ), totals AS (SELECT doc_id, source, rate, sum(x)::INT AS n FROM numbers GROUP BY ALL)
-SELECT doc_id, source, CAST(c.copy AS INT) AS copy, md5('mix-1|order|' || doc_id || '|' || c.copy) AS mix_key, CAST(round(rate * 1000000) AS BIGINT) AS rate_ppm
-FROM totals, LATERAL (SELECT unnest(range(1, n + 1)) AS copy) c
+SELECT doc_id, source, CAST(c.copy AS INT) AS copy, md5('mix-1|order|' || doc_id || '|' || c.copy) AS mix_key, CAST(round(rate * 1000000) AS BIGINT) AS rate_ppm,
+  CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+FROM totals JOIN documents USING (doc_id, source), LATERAL (SELECT unnest(range(1, n + 1)) AS copy) c
 """

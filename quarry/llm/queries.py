@@ -56,7 +56,10 @@ def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", "copy", "mix_key", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_ppm"))
+    # Length and digest are taken behind the shuffle, so that whole documents are dealt out.
+    return mixed.select(
+        "doc_id", "source", "copy", "mix_key", F.round(F.col("rate") * 1_000_000).cast("long").alias("rate_ppm"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
+    )
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Bit i of a fingerprint gets a nonzero vector m(i) of radius + 1 bits; table v (a nonzero vector too) keeps the bits with m(i).v odd. Any radius
 differing bits span at most radius dimensions, so some v is orthogonal to all of them and its table leaves them out: every pair within the radius agrees on a whole table key.
+A bucket of too many fingerprints is covered again over the bits that its table leaves out: a pair within the radius differs in those bits alone, so of
+radius + 1 parts of them it agrees on one. Each such step keeps one part more, and buckets that leave out few bits are small.
 
 Null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle hash as a whole. Equal fingerprints are
-one node, however many rows have them. Repeated ids keep their rows. Columns other than id and text are ignored; an empty table gives none.
+one node, however many rows have them. Very long texts are hashed whole. Repeated ids keep their rows. Columns other than id and text are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .common import materialize, payload, small_or_shuffled, task_partitions
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Distinct fingerprints in one bucket above which it is dealt out in blocks, each pair of blocks a group of its own.
-BLOCK = 4096
+#: Distinct fingerprints in one bucket above which its left-out bits are covered again, unless at most FEW_BITS are left out.
+BLOCK, FEW_BITS = 4096, 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -59,11 +61,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks as signed longs."""
+    """2^(radius+1) - 1 masks: any radius bits are left out together by some mask."""
     size = 1 << (radius + 1)
     owner = [1 + i % (size - 1) for i in range(bits)]
-    masks = [sum(1 << i for i in range(bits) if (owner[i] & v).bit_count() & 1) for v in range(1, size)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [sum(1 << i for i in range(bits) if (owner[i] & v).bit_count() & 1) for v in range(1, size)]
+
+
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """radius + 1 masks that keep what mask keeps and one part each of what it leaves out: any radius bits that it leaves out, some of them leaves out too."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in left[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def _stars(radius: int):
@@ -107,18 +118,30 @@ def _stars(radius: int):
 
 
 def near_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(u, v): links among distinct fingerprints (fp) that connect whatever is within the radius of one another, directly or by others."""
+    """(u, v): links among distinct fingerprints (fp) that connect whatever is within the radius of one another, directly or by others.
+
+    Every level deals the fingerprints of hot buckets to the tables of a second cover, a fixed number a fingerprint; a table is known by the bits it keeps."""
     spark = distinct.sparkSession
-    keys = [F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for v, m in enumerate(covering_masks(radius))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("t")).select("fp", F.xxhash64("t.v", "t.k").alias("bucket"))
-    hot = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        dealt = rows.join(small_or_shuffled(hot, n_hot), "bucket", "left").withColumn("g", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
-        own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("g"))
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        rows = dealt.select("fp", F.when(F.col("g") > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket")).alias("bucket"))
-    dealt = rows.select("bucket", "fp").repartition(task_partitions(spark), "bucket").sortWithinPartitions("bucket")
+    keys = [F.struct(F.lit(_signed(m)).alias("kept"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for m in covering_masks(radius)]
+    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("t")).select("fp", "t.kept", F.xxhash64("t.kept", "t.k").alias("bucket"))
+    ready = []
+    while True:
+        hot = rows.groupBy("bucket", "kept").agg(F.count("*").alias("n")).where(F.col("n") > block).where(64 - F.bit_count("kept") > FEW_BITS)
+        hot = materialize(hot.select("bucket", "kept"), "hot")
+        n_hot = hot.count()
+        if not n_hot:
+            ready.append(rows)
+            break
+        hot = small_or_shuffled(hot, n_hot)
+        ready.append(rows.join(hot, ["bucket", "kept"], "left_anti"))
+        used = [r["kept"] for r in hot.select("kept").distinct().collect()]  # at most as many as a level has tables
+        finer = spark.createDataFrame([(m, [_signed(f) for f in finer_masks(m & (1 << 64) - 1, radius)]) for m in used], "kept long, finer array<long>")
+        again = rows.join(hot, ["bucket", "kept"], "left_semi").join(F.broadcast(finer), "kept").select("fp", F.explode("finer").alias("kept"))
+        rows = materialize(again.select("fp", "kept", F.xxhash64("kept", F.col("fp").bitwiseAND(F.col("kept"))).alias("bucket")), "finer")
+    every = ready[0]
+    for more in ready[1:]:
+        every = every.unionByName(more)
+    dealt = every.select("bucket", "fp").repartition(task_partitions(spark), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_stars(radius), "u long, v long")
 
 

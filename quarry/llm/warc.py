@@ -1,8 +1,10 @@
 """WARC archives in Zstandard: one frame per record behind a skippable frame that holds the dictionary; a validating reader.
 
 Archives are rows (path, content), the shape that Spark's binaryFile source gives for files, so the reader takes either.
-Null payloads count as empty. Of rows with equal payloads those of the smallest id are responses, all others revisit it; repeated rows of that id
-are all responses. Rows with a null id are kept and never revisit. Columns other than id, url and payload are ignored. An empty table gives no archive.
+Null payloads count as empty; very long ones are one record, and an archive of its own. Of rows with equal payloads those of the smallest id are
+responses, all others revisit it; repeated rows of that id are all responses. Rows with a null id are kept and never revisit. Null urls are empty. Columns
+other than id, url and payload are ignored. An empty table gives no archive. The reader rejects records whose version, headers, lengths or digests
+don't hold, and revisits for which the archives hold no response of the page they refer to with their digest and length.
 """
 
 from __future__ import annotations
@@ -113,7 +115,10 @@ def unpack(content: bytes) -> Iterator[bytes]:
     while at < len(content):
         magic = struct.unpack_from("<I", content, at)[0] if at + 4 <= len(content) else 0
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", content, at + 4)[0]
+            size = struct.unpack_from("<I", content, at + 4)[0] if at + 8 <= len(content) else len(content)
+            if at + 8 + size > len(content):
+                raise WarcError("a skippable frame is cut short")
+            at += 8 + size
             continue
         if magic != FRAME:
             raise WarcError("no frame where one should begin")
@@ -158,6 +163,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for raw in unpack(content.as_py()):
                 record = parse_record(raw)
                 h, data = record["headers"], record["payload"]
+                if data is None and not (h["warc-type"] == "revisit" and {"x-payload-length", "warc-payload-digest", "x-refers-to-page"} <= h.keys() and h["x-payload-length"].isdigit()):
+                    raise WarcError("neither a response nor a revisit that names its response, length and digest")
                 n = len(data) if data is not None else int(h["x-payload-length"])
                 own = digest(data) if data is not None else h["warc-payload-digest"].removeprefix("sha1:")
                 rows.append((int(h["x-page-id"]) if h.get("x-page-id") else None, h.get("warc-target-uri"), h["warc-type"], int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None, n, own, len(raw)))
@@ -180,5 +187,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records (RECORD_SCHEMA) of archives (content binary), each frame decoded and checked."""
-    return archives.select("content").mapInArrow(_read, RECORD_SCHEMA)
+    """The records (RECORD_SCHEMA) of archives (content binary), each frame decoded and checked, as a table in the shared folder. Raises WarcError
+    if a revisit fits no response: what revisits claim, once each, meets the responses by page, digest and length."""
+    records = materialize(archives.select("content").mapInArrow(_read, RECORD_SCHEMA), "warc-records")
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    unmet = claims.join(records.where("record_type = 'response'"), ["page_id", "payload_digest", "payload_bytes"], "left_anti").first()
+    if unmet is not None:
+        raise WarcError(f"no response of page {unmet['page_id']} with {unmet['payload_bytes']} bytes and digest {unmet['payload_digest']}, to which a revisit refers")
+    return records
