@@ -38,7 +38,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
-    return chat.digests(chat.parse(chat.render(chat.fold(chat.to_events(rows.unionByName(own))))))
+    return chat.digests(chat.parse(chat.render(chat.to_events(rows.unionByName(own)))))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ passage leaves a task once. Runs are front-coded (bytes shared with the item bef
 the picked bytes, since only suffixes with equal beginnings have to meet. Reduce side: a loser tree merges the runs; it keeps with
 each loser the prefix it shares with the winner, so known prefixes are never compared again. Neighbours with a common prefix of GRAM bytes form
 groups; in a group, equal items are covered whole, and of the others only the windows within the prefix shared with a neighbour are looked up.
-A group is read as a stream: its windows are looked up LARGE_GROUP items at a time, and if there are more, each piece's first places of windows
-go by digest to a second shuffle, where the first place of each digest stays and the others are covered. Runs are decoded in pieces.
+A group is read as a stream: its windows are looked up by a digest of 128 bits, in groups of every size, GROUP_ITEMS items at a time; if there are
+more, each piece's first places of windows go by digest to a second shuffle, where the first place of each digest stays and the others are
+covered. (Among 10^14 windows some two different ones have equal digests with a probability of about 10^-11.) Runs are decoded in pieces.
 
 A byte is removed if a LENGTH-byte string covers it that also starts earlier: at a smaller id, or in the same text before. Null ids come first.
 Rows of equal id and equal text are one text with one result; rows of equal id and different texts are ordered by hash. Null texts are empty;
@@ -36,7 +37,7 @@ from .common import materialize, payload, task_partitions
 
 LENGTH, GRAM = 100, 20
 #: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group whose windows are held at a time.
-RUN_ITEMS, BATCH_BYTES, LARGE_GROUP = 300_000, 2 << 20, 2_000
+RUN_ITEMS, BATCH_BYTES, GROUP_ITEMS = 300_000, 2 << 20, 2_000
 #: Decoded items of all runs that a merging task holds, and bytes of compressed runs that it holds before the others go to a temporary file.
 OPEN_ITEMS, HELD_BYTES = 500_000, 64 << 20
 #: Compression of runs: level 5 is a sixth smaller than level 1 on sorted text, at a quarter of its speed.
@@ -223,9 +224,10 @@ def _looked_up(group: Iterable[tuple], out: list[tuple[bytes, int, int]], length
     yield from closed(0)
 
 
-def _piece_cover(todo: list[tuple[bytes, int, int, bytes]], out: list[tuple[bytes, int, int]], digest, length: int) -> dict[bytes, tuple[bytes, int]]:
+def _piece_cover(todo: list[tuple[bytes, int, int, bytes]], out: list[tuple[bytes, int, int]], length: int) -> dict[bytes, tuple[bytes, int]]:
     """The first place of each window looked up in todo; places after it go to out."""
     seen: dict[bytes, tuple[bytes, int]] = {}
+    digest = xxhash.xxh3_128_digest
     todo.sort(key=lambda x: x[:2])
     for key, start, last, text in todo:
         begin = -1
@@ -251,16 +253,16 @@ def stream_cover(group: Iterable[tuple], length: int = LENGTH) -> Iterator[tuple
     todo: list[tuple[bytes, int, int, bytes]] = []
     large = False
     for entry in _looked_up(group, out, length):
-        if len(todo) >= LARGE_GROUP:
+        if len(todo) >= GROUP_ITEMS:
             large = True
-            seen = _piece_cover(todo, out, xxhash.xxh3_128_digest, length)
+            seen = _piece_cover(todo, out, length)
             yield out[:], seen
             out.clear(), todo.clear()
         todo.append(entry)
         if len(out) > 50_000:
             yield out[:], {}
             out.clear()
-    seen = _piece_cover(todo, out, xxhash.xxh3_128_digest if large else bytes, length)
+    seen = _piece_cover(todo, out, length)
     yield out, seen if large else {}
 
 

@@ -1,14 +1,19 @@
 """Media columns in lossless WebP: a writer for byte payloads, and a reader of the whole lossless format that gives pixel arrays.
 
-The reader decodes prefix codes (also several groups chosen by a meta image), back-references and the colour cache, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Where an image's codes all have one length, its pixels are taken from the bits at once.
-
-A null text is an empty payload; payloads are filled with blanks to a positive multiple of 192 bytes, one row of 64 RGB pixels each; over 16384
-rows go to further images, stored one behind the other. Repeated rows give repeated media. Other columns are ignored; an empty table gives none.
+The writer stores each image in the form that is estimated to be smallest: its colours by a palette (packed where they are few), by differences to
+the pixel on the left or above, with green subtracted, or plain; then back-references to earlier pixels, the colour cache where it pays, and prefix
+codes made for the image. The reader decodes prefix codes (also several groups chosen by a meta image), back-references and the colour cache, and
+inverts the predictor, cross-colour, subtract-green and palette transforms. Where an image has one group of codes, the lengths of the codes at all
+bits are looked up at once and only the way from pixel to pixel is walked; references and cache hits are followed for all pixels together.
+
+A null text is an empty payload; payloads are filled with blanks to a positive multiple of 192 bytes, one row of 64 RGB pixels each; over MOST_ROWS
+rows, as very long texts have, go to further images, stored one behind the other. Of forms of equal size the first in the order above counts. Repeated
+rows give repeated media, equal texts equal ones. Other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -19,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, payload
 
-WIDTH, MOST_ROWS = 64, 16384
+WIDTH, MOST_ROWS = 64, 2048
 ROW = 3 * WIDTH
 #: Fixed values of the format: the order in which the lengths of the length code stand.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+#: Fixed value of the format: the factor of the colour cache's hash.
+CACHE_FACTOR = 0x1E35A7BD
 #: The 120 short distance codes: (x, y) before the pixel, the nearest first, then the smaller x, then to the left.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 PIXEL_SCHEMA = "doc_id long, n_bytes long, media binary, pixels binary, feature string"
@@ -48,86 +55,93 @@ class Bits:
         return out
 
 
+@functools.cache
+def turned(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 class PrefixCode:
-    """A canonical code; a code of one symbol takes no bits."""
-
-    def __init__(self, lengths: list[int]) -> None:
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        if not used:
-            used = [(1, 0)]
-        self.symbols = [s for _, s in used]
-        self.array = np.array(self.symbols, np.uint32)
-        self.literal = max(self.symbols) < 256
+    """A canonical code as a table: the next bits, the first in the lowest place, give symbol << 4 | length. A code of one symbol takes no bits."""
+
+    def __init__(self, lengths: np.ndarray) -> None:
+        used = np.flatnonzero(lengths)
+        if not len(used):
+            used = np.zeros(1, np.int64)
+        self.order = used[np.argsort(lengths[used], kind="stable")]
         self.single = len(used) == 1
-        self.most = 0 if self.single else used[-1][0]
-        self.even = self.single or used[0][0] == self.most
-        self.table: list[tuple[int, int]] | None = None
-        self.used = used
-        if not self.single and sum(1 << (self.most - n) for n, _ in used) != 1 << self.most:
+        self.sizes = lengths[self.order].astype(np.int64) * (not self.single)
+        self.most = int(self.sizes[-1])
+        self.shares = np.left_shift(1, self.most - self.sizes)
+        if self.shares.sum() != 1 << self.most:
             raise WebpError("a prefix code is not complete")
+        self.table = np.empty(1 << self.most, np.int32)
+        self.table[turned(self.most)] = np.repeat(self.order << 4 | self.sizes, self.shares)
+        self.mask = np.uint32((1 << self.most) - 1)
+        self._list: list[int] | None = None
+
+    @property
+    def listed(self) -> list[int]:
+        if self._list is None:
+            self._list = self.table.tolist()
+        return self._list
 
     def symbol(self, bits: Bits) -> int:
-        if self.single:
-            return self.symbols[0]
-        if self.table is None:
-            self.table = [(0, 0)] * (1 << self.most)
-            code, last = 0, self.used[0][0]
-            for n, s in self.used:
-                code <<= n - last
-                last = n
-                turned = int(f"{code:0{n}b}"[::-1], 2)
-                for k in range(turned, 1 << self.most, 1 << n):
-                    self.table[k] = (s, n)
-                code += 1
-        s, n = self.table[bits.peek(self.most)]
-        bits.read(n)
-        return s
-
-
-#: Codes read before: alphabet -> bits of the description -> the description as a number -> code.
-_codes: dict[int, dict[int, dict[int, PrefixCode]]] = {}
+        found = self.listed[bits.peek(self.most)]
+        bits.read(found & 15)
+        return found >> 4
+
+    def codes(self, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+        """To write: (bits, how many) of each symbol."""
+        value, size = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.int64)
+        value[self.order] = turned(self.most)[np.cumsum(self.shares) - self.shares]
+        size[self.order] = self.sizes
+        return value, size
+
+
+@functools.lru_cache(10_000)
+def _code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
+    return PrefixCode(np.array(lengths))
 
 
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
-    """A code from its description; descriptions that come again, as images of one writer have them, are looked up."""
-    begin, known = bits.at, _codes.setdefault(alphabet, {})
-    for n, same in known.items():
-        if found := same.get(bits.peek(n)):
-            bits.at += n
-            return found
     if bits.read(1):
         n = bits.read(1) + 1
-        lengths = [0] * max(alphabet, 256)
+        lengths = np.zeros(max(alphabet, 256), np.int64)
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
         if n == 2:
             lengths[bits.read(8)] = 1
-        code = PrefixCode(lengths)
-    else:
-        of_lengths = [0] * 19
-        for k in range(4 + bits.read(4)):
-            of_lengths[LENGTH_ORDER[k]] = bits.read(3)
-        inner, left = PrefixCode(of_lengths), alphabet
-        if bits.read(1):
-            left = 2 + bits.read(2 + 2 * bits.read(3))
-        lengths, before = [], 8
-        while len(lengths) < alphabet and left:
-            left -= 1
-            s = inner.symbol(bits)
-            if s < 16:
-                lengths.append(s)
-                before = s or before
-            else:
-                lengths += [before] * (3 + bits.read(2)) if s == 16 else [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
-        if len(lengths) > alphabet:
-            raise WebpError("too many code lengths")
-        code = PrefixCode(lengths)
-    if len(known) < 4 or bits.at - begin in known:
-        n, bits.at = bits.at - begin, begin
-        same = known.setdefault(n, {})
-        if len(same) < 1000:
-            same[bits.peek(n)] = code
-        bits.at += n
-    return code
+        return PrefixCode(lengths)
+    of_lengths = [0] * 19
+    for k in range(4 + bits.read(4)):
+        of_lengths[LENGTH_ORDER[k]] = bits.read(3)
+    inner, left = _code_of_lengths(tuple(of_lengths)), alphabet
+    if bits.read(1):
+        left = 2 + bits.read(2 + 2 * bits.read(3))
+    table, mask, ahead, used = inner.listed, (1 << inner.most) - 1, bits.peek(14 * alphabet), 0
+    found, before = [], 8
+    while len(found) < alphabet and left:
+        left -= 1
+        s, n = table[ahead & mask] >> 4, table[ahead & mask] & 15
+        ahead >>= n
+        used += n
+        if s < 16:
+            found.append(s)
+            before = s or before
+        else:
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            found += [before if s == 16 else 0] * (least + (ahead & ((1 << extra) - 1)))
+            ahead >>= extra
+            used += extra
+    bits.at += used
+    if bits.at > 8 * len(bits.data):
+        raise WebpError("the image is cut short")
+    if len(found) > alphabet:
+        raise WebpError("too many code lengths")
+    return PrefixCode(np.array(found))
 
 
 def _value(bits: Bits, s: int) -> int:
@@ -138,6 +152,11 @@ def _value(bits: Bits, s: int) -> int:
     return ((2 + (s & 1)) << extra) + bits.read(extra) + 1
 
 
+def _distance(code: int, width: int) -> int:
+    """Pixels back, of a distance code: the short ones name a place nearby."""
+    return code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """Entropy-coded pixels as ARGB numbers, (height, width)."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -148,8 +167,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = int(meta.max()) + 1
     groups = [[read_code(bits, n) for n in (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)] for _ in range(n_groups)]
     n = width * height
-    if meta is None and not cache_bits and groups[0][0].literal and all(c.even for c in groups[0][:4]):
-        return _even(bits, groups[0][:4], n).reshape(height, width)
+    if meta is None:
+        return _one_group(bits, groups[0], cache_bits, width, n).reshape(height, width)
     out = [0] * n
     cache = [0] * (1 << cache_bits)
     at = cached = 0
@@ -163,12 +182,7 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             length = _value(bits, s - 256)
-            d = _value(bits, distance.symbol(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = _distance(_value(bits, distance.symbol(bits)), width)
             if d > at or at + length > n:
                 raise WebpError("a back-reference leaves the image")
             for k in range(at, at + length):
@@ -176,35 +190,104 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += length
         else:
             while cached < at:
-                cache[(0x1E35A7BD * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
+                cache[(CACHE_FACTOR * out[cached] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[cached]
                 cached += 1
             out[at] = cache[s - 280]
             at += 1
     return np.array(out, np.uint32).reshape(height, width)
 
 
-def _even(bits: Bits, codes: list[PrefixCode], n: int) -> np.ndarray:
-    """Pixels of literals only, each code of one length: a table of bits."""
-    sizes = [c.most for c in codes]
-    each = sum(sizes)
-    if bits.at + each * n > 8 * len(bits.data):
+def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int, n: int) -> np.ndarray:
+    """n pixels coded by one group. From every bit on, the length of a pixel that would begin there is found; a walk then takes the bits at which pixels begin."""
+    green, red, blue, alpha, distance = group
+    others = [(red, 16), (blue, 0), (alpha, 24)]
+    if green.single and green.order[0] < 256 and all(c.single for c, _ in others):
+        return np.full(n, sum(int(c.order[0]) << shift for c, shift in [(green, 8), *others]), np.uint32)
+    start, begin = bits.at & 7, bits.at >> 3
+    most = max(sum(c.most for c in group[:4]), 58)
+    raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - begin, (n * most >> 3) + 9), begin)
+    end = 8 * len(raw)
+    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.uint32)
+    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # at least 25 bits from each bit on
+    last = np.int32(len(ahead) - 1)
+    of_green = green.table[ahead & green.mask]
+    after = np.arange(len(ahead), dtype=np.int32) + (of_green & 15)
+    literal_after = np.minimum(after, last)
+    for code, _ in others:
+        if not code.single:
+            literal_after = np.minimum(literal_after + (code.table[ahead & code.mask] & 15)[literal_after], last)
+    following = np.where(of_green < 256 << 4, literal_after, np.where(of_green < 280 << 4, np.int32(-1), after))
+
+    def value(s: int, at: int) -> tuple[int, int]:
+        if s < 4:
+            return s + 1, at
+        extra = (s - 2) >> 1
+        return ((2 + (s & 1)) << extra) + (int(ahead[at]) & ((1 << extra) - 1)) + 1, at + extra
+
+    begins: list[int] = []
+    copies: list[tuple[int, int, int, int]] = []
+    step, note = memoryview(following), begins.append
+    at, o = 0, start
+    while at < n:
+        if o >= end:
+            raise WebpError("the image is cut short")
+        note(o)
+        if (to := step[o]) >= 0:
+            at, o = at + 1, to
+            continue
+        found = int(of_green[o])
+        length, o = value((found >> 4) - 256, o + (found & 15))
+        if o > end:
+            raise WebpError("the image is cut short")
+        found = int(distance.table[ahead[o] & distance.mask])
+        d, o = value(found >> 4, o + (found & 15))
+        d = _distance(d, width)
+        if d > at or at + length > n:
+            raise WebpError("a back-reference leaves the image")
+        copies.append((len(begins) - 1, at, length, d))
+        at += length
+    if o > end:
         raise WebpError("the image is cut short")
-    a = bits.at >> 3
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, (bits.at + each * n + 7 >> 3) - a, a), bitorder="little")
-    table = raw[bits.at & 7 : (bits.at & 7) + each * n].reshape(n, each)
-    bits.at += each * n
-    out, k = np.zeros(n, np.uint32), 0
-    octets = np.packbits(table).reshape(n, -1) if {*sizes} <= {0, 8} and each else None
-    for code, size, shift in zip(codes, sizes, (8, 16, 0, 24), strict=True):
-        symbols = code.array
-        if size and octets is not None:
-            out |= symbols[octets[:, k // 8]] << np.uint32(shift)
-        elif size:
-            out |= symbols[table[:, k : k + size] @ (1 << np.arange(size - 1, -1, -1))] << np.uint32(shift)
-        else:
-            out |= symbols[0] << np.uint32(shift)
-        k += size
-    return out
+    bits.at += o - start
+    first = np.array(begins, np.int64)
+    symbol = of_green[first] >> 4
+    literal = symbol < 256
+    place, colour = first[literal], symbol[literal].astype(np.uint32) << np.uint32(8)
+    place = place + (of_green[place] & 15)
+    for code, shift in others:
+        found = code.table[ahead[place] & code.mask]
+        colour |= (found >> 4).astype(np.uint32) << np.uint32(shift)
+        place = place + (found & 15)
+    if len(colour) == n:
+        return colour
+    counts = np.ones(len(first), np.int64)
+    source = np.arange(n + 1)
+    for k, at, length, d in copies:
+        counts[k] = length
+        source[at : at + length] = np.arange(at - d, at - d + length)
+    where = np.cumsum(counts) - counts
+    pixels = np.zeros(n + 1, np.uint32)  # the last one, 0, is what an empty cell of the cache holds
+    pixels[where[literal]] = colour
+    hits = where[symbol >= 280]
+    if len(hits):
+        cell = np.full(n + 1, -1, np.int64)
+        cell[where[literal]] = (colour * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+        cell[hits] = symbol[symbol >= 280] - 280
+        cell = cell[_roots(source)][:n]
+        order = np.argsort(cell, kind="stable")
+        before = np.full(n, n, np.int64)
+        same = cell[order[1:]] == cell[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        source[hits] = before[hits]
+    return pixels[_roots(source)][:n]
+
+
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Where the pointers end, which lead to earlier places or to themselves."""
+    while not np.array_equal(further := source[source], source):
+        source = further
+    return source
 
 
 def _split(p: np.ndarray) -> np.ndarray:
@@ -241,8 +324,16 @@ def predict(mode: int, left, top, top_left, top_right) -> list[int]:
 
 def _invert_predictor(p: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
     height, width = p.shape
+    kinds = (modes >> 8) & 15
+    if (kinds == kinds[0, 0]).all() and kinds[0, 0] in (1, 2):  # sums along rows, or down columns
+        c = _split(p)
+        c[0, 0, 0] += 255
+        first, other = (0, 1) if kinds[0, 0] == 1 else (1, 0)
+        edge = (slice(None), 0) if first == 0 else (0, slice(None))
+        c[edge] = np.cumsum(c[edge], 0) & 255
+        return _join(np.cumsum(c, other))
     c = _split(p).tolist()
-    kinds = ((modes >> 8) & 15).tolist()
+    kinds = kinds.tolist()
     for y in range(height):
         row, above = c[y], c[y - 1] if y else None
         for x in range(width):
@@ -333,37 +424,256 @@ def images(content: bytes) -> Iterator[np.ndarray]:
         at += 8 + whole + (whole & 1)
 
 
-class BitList:
-    """Bits to write, the first in the lowest place of the first byte."""
+class Tokens:
+    """Bits to write as numbers with their lengths, the first bit in the lowest place."""
 
     def __init__(self) -> None:
-        self.bits: list[int] = []
-
-    def add(self, value: int, n: int) -> BitList:
-        self.bits += [value >> k & 1 for k in range(n)]
-        return self
-
-
-def _even_header() -> np.ndarray:
-    """All of a stream between its size and its pixels: no transform, cache or meta image; green, red and blue of 8 bits, alpha 255."""
-    out = BitList().add(0, 1).add(0, 1).add(0, 1)
-    for alphabet in (280, 256, 256):
-        out.add(0, 1).add(12 - 4, 4)
-        for s in LENGTH_ORDER[:12]:
-            out.add({8: 2, 16: 1, 18: 2}.get(s, 0), 3)
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self._few: list[tuple[int, int]] = []
+
+    def add(self, value: int, n: int) -> None:
+        self._few.append((value, n))
+
+    def _close(self) -> None:
+        if self._few:
+            values, sizes = zip(*self._few, strict=True)
+            self.values.append(np.array(values, np.uint64))
+            self.sizes.append(np.array(sizes, np.int64))
+            self._few = []
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self._close()
+        self.values.append(values)
+        self.sizes.append(sizes)
+
+    def bytes(self) -> bytes:
+        self._close()
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.packbits((np.repeat(values, sizes) >> within.astype(np.uint64)).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Lengths of an optimal prefix code; where one would exceed `most`, counts are halved until none does."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    while True:
+        order = used[np.argsort(counts[used], kind="stable")]
+        weights = counts[order].tolist()
+        n = len(weights)
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for node in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
+                    total += weights[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    total += weights[inner]
+                    parent[inner] = node
+                    inner += 1
+            weights.append(total)
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth) <= most:
+            lengths[order] = depth[:n]
+            return lengths
+        counts = (counts + 1) >> 1
+
+
+#: The code of code lengths that the writer uses: four bits, five for the rare ones.
+_LENGTHS = PrefixCode(np.array([5 if s in (1, 11, 12, 13, 14, 15) else 4 for s in range(19)]))
+_LENGTH_BITS = [x.tolist() for x in _LENGTHS.codes(19)]
+
+
+def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Describes a code for symbols of these counts; returns the symbols' bits."""
+    used = np.flatnonzero(counts)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        first, *second = used.tolist() or [0]
+        out.add(1 | len(second) << 1 | 1 << 2 | first << 3, 11)
+        if second:
+            out.add(second[0], 8)
+        lengths = np.zeros(len(counts), np.int64)
+        lengths[used] = 1
+        return PrefixCode(lengths).codes(len(counts))
+    lengths = code_lengths(counts)
+    out.add(0, 1)
+    out.add(15, 4)
+    for s in LENGTH_ORDER:
+        out.add(5 if s in (1, 11, 12, 13, 14, 15) else 4, 3)
+    out.add(0, 1)
+    value, size = _LENGTH_BITS
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1, [len(lengths)]]).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        length, n = int(lengths[a]), b - a
+        if length:
+            out.add(value[length], size[length])
+            n -= 1
+        for s, least, greatest, extra in ((16, 3, 6, 2),) if length else ((18, 11, 138, 7), (17, 3, 10, 3)):
+            while n >= least:
+                take = min(n, greatest)
+                out.add(value[s] | (take - least) << size[s], size[s] + extra)
+                n -= take
+        for _ in range(n):
+            out.add(value[length], size[length])
+    return PrefixCode(lengths).codes(len(counts))
+
+
+def _symbol(v: int) -> tuple[int, int, int]:
+    """(symbol, extra bits, how many) of a length or distance code."""
+    if v <= 4:
+        return v - 1, 0, 0
+    extra = (v - 1).bit_length() - 2
+    return 2 * extra + 2 + ((v - 1) >> extra & 1), (v - 1) & ((1 << extra) - 1), extra
+
+
+def references(p: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that stand at an earlier place too, from left to right: runs of places whose next `least` pixels
+    last stood the same distance back."""
+    if len(p) <= least:
+        return []
+    n = len(p) - least + 1
+    key = p[:n].astype(np.uint64)
+    for k in range(1, least):
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ p[k : n + k]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    here, before = order[same + 1], order[same]
+    true = np.ones(len(here), bool)
+    for k in range(least):
+        true &= p[here + k] == p[before + k]
+    far = np.zeros(n, np.int64)
+    far[here[true]] = (here - before)[true]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(far)) + 1, [n]])
+    found, end = [], 0
+    starts, stops = edges[:-1], edges[1:]
+    keep = far[starts] > 0
+    for a, b, d in zip(starts[keep].tolist(), stops[keep].tolist(), far[starts[keep]].tolist(), strict=True):
+        a, b = max(a, end), b + least - 1
+        while b - a >= least:
+            found.append((a, min(b - a, most), d))
+            a += found[-1][1]
+            end = a
+    return found
+
+
+def cache_hits(p: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the pixel stands in the colour cache, its cell)."""
+    cell = (p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(cell, kind="stable")
+    hit = np.zeros(len(p), bool)
+    hit[order[1:]] = p[order[1:]] == p[order[:-1]]  # equal colours have equal cells
+    return hit, cell.astype(np.int64)
+
+
+def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
+    """Pixels (ARGB numbers) with back-references and, where it pays, the colour cache of cache_bits."""
+    found = references(p) if main else []
+    literal = np.ones(len(p), bool)
+    for a, length, _ in found:
+        literal[a : a + length] = False
+    channels = [((p >> np.uint32(shift)) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
+    hit = np.zeros(len(p), bool)
+    if cache_bits:
+        hit, cell = cache_hits(p, cache_bits)
+        hit &= literal
+        share = hit.sum() / max(1, literal.sum())
+        bits_each = _entropy(np.stack([np.bincount(c[literal], minlength=256) for c in channels[:3]])).sum() / max(1, literal.sum())
+        used = len(np.unique(cell[hit]))
+        if not 0 < share < 1 or hit.sum() * (bits_each - np.log2(max(1, used)) + np.log2(share)) + (literal & ~hit).sum() * np.log2(1 - share) < 6 * used:
+            hit[:], cache_bits = False, 0
+    plain = literal & ~hit
+    symbol = np.where(hit, cell + 280, channels[0]) if cache_bits else channels[0].copy()
+    near = {d: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if (d := x + y * width) > 0} if found else {}
+    sizes = [_symbol(length) for _, length, _ in found]
+    far = [_symbol(near.get(d, d + 120)) for _, _, d in found]
+    begins = np.array([a for a, _, _ in found], np.int64)
+    symbol[begins] = np.array([256 + s for s, _, _ in sizes], np.int64)
+    first = literal.copy()
+    first[begins] = True
+    counts = [np.bincount(symbol[first], minlength=280 + ((1 << cache_bits) if cache_bits else 0)), *(np.bincount(c[plain], minlength=256) for c in channels[1:])]
+    out.add(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if main:
         out.add(0, 1)
-        again, eight, zeros = (0, 1), (1, 2), (3, 2)  # canonical: 16 is 0, 8 is 10, 18 is 11, the first bit first
-        out.add(*eight)
-        for k in range(42):
-            out.add(*again).add(3, 2)
-        out.add(*again).add(0, 2)
-        if alphabet == 280:
-            out.add(*zeros).add(24 - 11, 7)
-    out.add(1, 1).add(0, 1).add(1, 1).add(255, 8)
-    return np.array(out.add(1, 1).add(0, 1).add(0, 1).add(0, 1).bits, np.uint8)
-
-
-_HEADER = _even_header()
+    codes = [_write_code(out, c) for c in counts]
+    of_distance = _write_code(out, np.bincount([s for s, _, _ in far], minlength=40) if far else np.zeros(40, np.int64))
+    value, size = codes[0][0][symbol], codes[0][1][symbol]
+    for (bits, n), c in zip(codes[1:], channels[1:], strict=True):
+        value |= np.where(plain, bits[c], np.uint64(0)) << size.astype(np.uint64)
+        size = size + np.where(plain, n[c], 0)
+    for a, (_, extra, n), (s, more, m) in zip(begins.tolist(), sizes, far, strict=True):
+        v, k = int(value[a]), int(size[a])
+        v |= extra << k
+        v |= int(of_distance[0][s]) << (k + n)
+        k += n + int(of_distance[1][s])
+        value[a], size[a] = v | more << k, k + m
+    out.extend(value[first], size[first])
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits of the symbols counted in each row by an ideal code, and six for each symbol that its description takes."""
+    total = counts.sum(-1, keepdims=True)
+    return -(counts * np.log2(np.maximum(counts, 1) / np.maximum(total, 1))).sum(-1) + 6 * (counts > 0).sum(-1)
+
+
+CACHE_BITS = 8
+
+
+def _write_stream(p: np.ndarray) -> bytes:
+    """A lossless stream of (height, WIDTH) ARGB numbers in the form that is estimated to be smallest."""
+    height, n = len(p), p.size
+    out = Tokens()
+    out.add(0x2F, 8)
+    out.add((WIDTH - 1) | (height - 1) << 14, 32)
+    flat = p.reshape(-1)
+    colours, index = np.unique(flat, return_inverse=True)
+    c = _split(p)
+    left, above = c.copy(), c.copy()
+    left[:, 1:] -= c[:, :-1]
+    left[1:, 0] -= c[:-1, 0]
+    above[1:] -= c[:-1]
+    above[0, 1:] -= c[0, :-1]
+    left[0, 0, 0] = above[0, 0, 0] = 0
+    no_green = c.copy()
+    no_green[..., 1] -= c[..., 2]
+    no_green[..., 3] -= c[..., 2]
+    forms = [left, above, no_green, c]
+    stacked = np.stack([f[..., 1:].reshape(n, 3).T & 255 for f in forms])
+    counts = np.bincount((stacked + 256 * np.arange(12).reshape(4, 3, 1)).reshape(-1), minlength=12 * 256).reshape(4, 3, 256)
+    costs = _entropy(counts).sum(1)
+    if len(colours) <= 256:
+        pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        cost = 24 * len(colours) + _entropy(np.bincount(index, minlength=1)) if not pack else 24 * len(colours) + n * (8 >> pack)
+        if cost <= costs.min():
+            out.add(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
+            steps = np.diff(_split(colours), axis=0, prepend=0)
+            _write_image(out, _join(steps), len(colours), False)
+            out.add(0, 1)
+            index, wide = index.reshape(height, WIDTH), WIDTH >> pack
+            if pack:
+                index = (index.reshape(height, wide, 1 << pack) << (np.arange(1 << pack) * (8 >> pack))).sum(-1)
+            _write_image(out, index.reshape(-1).astype(np.uint32) << np.uint32(8) | np.uint32(255 << 24), wide, True)
+            return out.bytes()
+    best = int(costs.argmin())
+    if best < 2:
+        out.add(1 | 0 << 1 | 7 << 3, 6)
+        modes = np.full(-(-height // 512), (best + 1) << 8 | 255 << 24, np.uint32)
+        _write_image(out, modes, 1, False)
+    elif best == 2:
+        out.add(1 | 2 << 1, 3)
+    out.add(0, 1)
+    _write_image(out, _join(forms[best]).reshape(-1), WIDTH, True, CACHE_BITS)
+    return out.bytes()
 
 
 def wrap(stream: bytes) -> bytes:
@@ -373,13 +683,11 @@ def wrap(stream: bytes) -> bytes:
 
 
 def encode(data: bytes) -> bytes:
-    """Bytes, a multiple of 192, as images of 64 RGB pixels a row. Codes of even length, so that reading is a table lookup."""
+    """Bytes, a multiple of 192, as images of 64 RGB pixels a row."""
     out = []
     for k in range(0, len(data), MOST_ROWS * ROW):
-        rgb = np.frombuffer(data[k : k + MOST_ROWS * ROW], np.uint8).reshape(-1, 3)
-        size = (WIDTH - 1) | (len(rgb) // WIDTH - 1) << 14
-        head = np.unpackbits(np.frombuffer(b"\x2f" + size.to_bytes(4, "little"), np.uint8), bitorder="little")
-        out.append(wrap(np.packbits(np.concatenate([head, _HEADER, np.unpackbits(rgb[:, [1, 0, 2]])]), bitorder="little").tobytes()))
+        rgb = np.frombuffer(data[k : k + MOST_ROWS * ROW], np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
+        out.append(wrap(_write_stream(rgb[..., 0] << np.uint32(16) | rgb[..., 1] << np.uint32(8) | rgb[..., 2] | np.uint32(255 << 24))))
     return b"".join(out)
 
 

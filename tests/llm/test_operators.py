@@ -38,6 +38,7 @@ def results(spark, df):
 
 def test_odd_rows(spark, odd):
     got = {k: v.collect() for k, v in results(spark, odd).items()}
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     for name in ("license", "toxicity", "digest", "text", "simhash", "media"):
         assert len(got[name]) == 8, name
     assert [r["n_words"] for r in got["license"] if r["doc_id"] == 1] == [0]
@@ -50,7 +51,9 @@ def test_odd_rows(spark, odd):
     assert components[5] == 4 and components[2] == 1 and components[3] == 3
     assert {r["doc_id"] for r in got["keep"]} == {1, 3, 4, 6, 7} and len(got["keep"]) == 5
     assert {(r["doc_id"], r["item_id"]) for r in got["leaks"]} == {(3, 0), (4, 3), (5, 3)}
-    assert all(r["payload_bytes"] if "payload_bytes" in r else True for r in got["media"])
+    for r in got["media"]:
+        text = (texts[r["doc_id"]] or "").encode()
+        assert r["n_bytes"] == len(text) and r["pixels"] == text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
 
 
 def test_empty_table(spark, odd):
@@ -96,6 +99,28 @@ def test_license_tag_before_prose(after):
         license_scan.evaluate("(MIT OR MPL-2.0 text)")
 
 
+def test_license_identifiers():
+    scan = lambda e: license_scan.scan(f"SPDX-License-Identifier: {e}\n".encode(), license_scan.automaton())[5]
+    for text, want in (("see file", ""), ("Mitre-Foo", "mitre-foo"), ("MIT-0", "mit"), ("ISC", "isc"), ("GPLv3", "gpl"), ("", ""), ("12", ""), ("Foo-1.0+ OR see", "")):
+        assert scan(text) == want, text
+
+
+def test_license_labels_brute_force():
+    """Labels and score of phrases, against a plain search for each phrase; many matches in one long text."""
+    phrases = {**license_scan.BASE_PHRASES, **license_scan.OWN_PHRASES}
+    rng = random.Random(7)
+    pool = sorted({w for p in phrases for w in p.split()} | {"x", "é"})
+    matcher = license_scan.automaton()
+    texts = [" ".join(rng.choice([rng.choice(pool), rng.choice(list(phrases))]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    for text in [*texts, "cc by nc " * 100_000]:
+        words = text.split()
+        at = [(i, x) for p, x in phrases.items() for i in range(len(words)) if words[i : i + p.count(" ") + 1] == p.split()] if len(words) < 1_000 else [(3 * k, "cc-by-nc") for k in range(100_000)]
+        found = license_scan.scan(text.encode(), matcher)
+        base = [i for i, x in at if x in license_scan.BASE_PHRASES.values()]
+        assert found[1:4] == (len(base), min(base, default=None), max(base, default=None))
+        assert found[5] == ",".join(sorted({x for _, x in at})) and found[6] == pytest.approx(1 - 0.2 ** len(at))
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     moves, lengths = rng.normal(size=(2, 2)), [1, 3, 5, 2, 7, 1, 9]
@@ -114,6 +139,55 @@ def test_forward_backward():
         assert np.allclose(toxicity.forward_backward(e, first, moves, block), want)
 
 
+def test_pair_marginals():
+    """The gradient's expected pairs of tags, against enumeration; texts of one word have none."""
+    rng = np.random.default_rng(2)
+    moves, lengths = rng.normal(size=(2, 2)), [1, 3, 6, 1, 2]
+    e, first, at, want = rng.normal(size=sum(lengths)) * 2, np.zeros(sum(lengths), bool), 0, np.zeros(4)
+    for n in lengths:
+        first[at], total, pairs = True, 0.0, np.zeros(4)
+        for tags in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(e[at + i] * t for i, t in enumerate(tags)) + sum(moves[a, b] for a, b in itertools.pairwise(tags)))
+            total += w
+            for a, b in itertools.pairwise(tags):
+                pairs[2 * a + b] += w
+        want += pairs / total
+        at += n
+    for block in (2, 64):
+        p, pairs = toxicity.marginals(e, first, moves, block)
+        assert np.allclose(pairs, want) and np.allclose(p, toxicity.forward_backward(e, first, moves, block))
+
+
+def test_toxicity_spans_and_neighbours():
+    chain = toxicity.Chain({"w:bad": 0}, np.array([[9.0], [4.0], [-2.0]]), -5.0, np.zeros((2, 2)))
+    for text, word in (("İİ bad word", "bad"), ("aİa bad", "bad"), ("x BAD", "BAD"), ("漢 bad", "bad")):
+        (score, hits, spans, *_), = toxicity.score_texts(chain, [text.encode()])
+        assert hits == 1 and text[spans[0]["start"] : spans[0]["end"]] == word
+    words = ["a", "bad", "b", "bad"]
+    e = chain.emissions(words, np.array([True, False, False, True]))
+    assert e.tolist() == [-7.0, 4.0, -1.0, 4.0]  # the last word stands in a text of its own
+
+
+def test_toxicity_fits_odd_tables(spark):
+    long = "nasty " * 20_000
+    rows = [(k, "nasty words here" if k % 2 else "kind words here " + str(k)) for k in range(80)] + [(1, None), (3, ""), (None, "x"), (5, "nasty words here"), (7, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(1, 0), (None, 1), (4, None), (999, 1)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    chain = toxicity.fit(docs.withColumn("label", F.lit(1)), labels)
+    assert 0 <= toxicity.toxicity(docs, chain).where("score is null or score < 0 or score > 1").count() == 0
+    few = toxicity.fit(docs, labels, most_features=1, chain_chars=40, max_fit_chars=1_000)
+    assert len(few.index) <= 1
+    for empty in (toxicity.fit(docs.limit(0), labels), toxicity.fit(docs, labels, chain_rows=0)):
+        assert toxicity.toxicity(docs, empty).where("predicted = 1").count() == 0
+
+
+def test_toxicity_recall(spark):
+    base = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "toxic")
+    n = Q.op2_toxicity(spark, base).where("held_out").join(labels, "doc_id").agg(F.sum("toxic").alias("toxic"), F.sum(F.expr("toxic * predicted")).alias("found"), F.sum(F.expr("(1 - toxic) * predicted")).alias("wrong"), F.count("*").alias("n")).first()
+    assert n["found"] >= 0.9 * n["toxic"] and n["wrong"] <= 0.01 * n["n"], n
+
+
 def test_toxicity_held_out(spark, sf):
     base = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{base}/labels.parquet").collect()}
@@ -157,11 +231,56 @@ def test_warc_rejects():
     for bad in (record.replace(b"WARC/1.1", b"WARC/9"), record[:-1], record + b"x", record.replace(b"data", b"dada"), record.replace(b"WARC-Date", b"WARC Date")):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
-    for bad in (archive[:-5], archive + b"junk"):
+    for bad in (archive[:-5], archive + b"junk", archive + (0x184D2A5A).to_bytes(4, "little"), archive + (0x184D2A5A).to_bytes(4, "little") + b"\xff\0\0\0abc"):
         with pytest.raises((warc.WarcError, zstandard.ZstdError)):
             list(warc.unpack(bad))
 
 
+def test_warc_false_revisits(spark):
+    """A revisit whose response is missing, or has another length or digest, is rejected; a true one is not."""
+    response, true = warc.build_record(1, "http://x", b"data", None), warc.build_record(2, "http://x", b"data", 1)
+    read = lambda *records: warc.read_archives(spark.createDataFrame([(bytearray(warc.pack([r])),) for r in records], "content binary"))
+    assert read(response, true).count() == 2
+    for bad in (true.replace(b"X-Payload-Length: 4", b"X-Payload-Length: 5"), true.replace(b"X-Refers-To-Page: 1", b"X-Refers-To-Page: 3"), warc.build_record(2, "http://x", b"datb", 1)):
+        with pytest.raises(warc.WarcError):
+            read(response, bad)
+    for bad in (true.replace(b"X-Payload-Length: 4\r\n", b""), true.replace(b"WARC-Type: revisit", b"WARC-Type: rumour")):
+        with pytest.raises(Exception, match="neither a response nor a revisit"):
+            read(response, bad)
+
+
+def test_pages_odd(spark):
+    """Null, repeated and very long pages, urls and ids, clashing columns, and empty tables."""
+    long = "<p>" + "z" * 10_000_000
+    rows = [(1, "http://A.com/x", "same"), (1, "http://A.com/x", "same"), (2, None, "same"), (None, "no url", "same"), (3, "http://b.net/fr/" + "y/" * 50_000, long), (4, "://", None), (5, "http://b.net/fr/?q#f", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("clash").alias(c) for c in ("digest", "data", "n", "first_id", "host", "rule", "path", "content")])
+    got = sorted((r["page_id"] or -1, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == sorted([(1, 4, "response", None), (1, 4, "response", None), (2, 4, "revisit", 1), (-1, 4, "response", None), (3, len(long), "response", None), (4, 0, "response", None), (5, 0, "revisit", 4)], key=lambda x: (x[0], x[1]))
+    urls = {r["page_id"]: (r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in url_filter.url_filter(pages).collect()}
+    assert urls == {1: ("a.com", 2, "com/", "allow"), 2: ("", 0, None, "allow"), None: ("", 0, None, "allow"), 3: ("b.net", 100_004, "net/fr/", "block"), 4: ("", 0, None, "allow"), 5: ("b.net", 4, "net/fr/", "block")}
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0 == url_filter.url_filter(pages.limit(0)).count()
+    ties = url_filter.url_filter(spark.createDataFrame([(1, "http://x.a.b/")], "page_id long, url string"), [("block", "a.b/"), ("allow", ".b/x/"), ("allow", "a.b/")])
+    assert ties.first()["verdict"] == "block"
+
+
+def test_shared_dir_on_a_cluster(spark, monkeypatch):
+    """Without a named folder, a cluster gets an error instead of a folder of one machine."""
+    from quarry.llm import common
+
+    class Stub:
+        conf, master = {}, "spark://host:7077"
+
+        @property
+        def sparkContext(self):
+            return self
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Stub())
+
+
 def test_shift_and():
     globs = ["*.com/**", "a*b", "**x*y/**", "abc", "*" + "q" * 70 + "*"]
     machine, rng = url_filter.ShiftAnd(globs), random.Random(2)
@@ -183,7 +302,7 @@ def cover_brute_force(docs):
     return out
 
 
-def test_suffixes_brute_force(spark, monkeypatch):
+def test_suffixes_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab ") for _ in range(300)) for _ in range(6)] + ["x" * 400, "ab" * 300, "é" * 120]
     texts = []
@@ -228,19 +347,53 @@ def test_loser_tree():
             assert shared == suffixes._mismatch(a[0], b[0], 0)
 
 
-def test_chat_events(spark):
-    rows = [(1, 0, "open", "user", ""), (1, 1, "delta", "", "Hel"), (1, 2, "delta", "", "lo"), (1, 3, "edit", "", "Hi"), (2, 0, "open", "assistant", ""), (2, 1, "delta", "", "draft"), (2, 2, "regenerate", "", ""), (2, 3, "delta", "", "<|end|>~1"), (3, 0, "open", "user", ""), (3, 1, "delete", "", "")]
-    events = spark.createDataFrame([(9, m, s, k, r, t) for m, s, k, r, t in rows], "conv_id long, message int, seq int, kind string, role string, text string")
-    final = chat.fold(events.repartition(3)).orderBy("message").collect()
-    assert [(r["role"], r["text"]) for r in final] == [("user", "Hi"), ("assistant", "<|end|>~1")]
-
+LOG = [(1, 0, "open", "user", ""), (1, 1, "delta", "", "Hel"), (1, 2, "delta", "", "lo"), (1, 9, "edit", "", "Hi"), (2, 3, "open", "assistant", ""), (2, 4, "delta", "", "draft"), (2, 6, "regenerate", "", ""), (2, 7, "delta", "", "<|end|>~1"), (3, 5, "open", "user", ""), (3, 8, "delete", "", ""), (4, 10, "delta", "", "never opened"), (5, 11, "open", "assistant", None), (5, 12, "shrug", "", "x"), (5, 12, "delta", None, None)]
+
+
+@pytest.mark.parametrize("most_bytes", [chat.MOST_BYTES, 10])
+def test_chat_events(spark, most_bytes):
+    """An arbitrary log of two conversations, events of messages interleaved, through fold, render and parse."""
+    events = spark.createDataFrame([(c, m, s, k, r, t) for c in (9, None) for m, s, k, r, t in LOG], "conv_id long, message int, seq int, kind string, role string, text string")
+    want = [("user", "Hi"), ("assistant", "<|end|>~1"), ("assistant", "")]
+    final = chat.fold(events.repartition(3)).orderBy("conv_id", "place").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in final] == [(c, *x) for c in (None, 9) for x in want]
+    pieces = chat.parse(chat.render(events.repartition(5), most_bytes, 8)).orderBy("conv_id", "piece").collect()
+    for conv in (9, None):
+        own = [r for r in pieces if r["conv_id"] == conv]
+        assert [(t["role"], t["text"]) for r in own for t in r["turns"]] == want and (len(own) == 1) == (most_bytes > 10)
+    found = {r["conv_id"]: r for r in chat.digests(chat.parse(chat.render(events, most_bytes, 8))).collect()}
+    assert len(found) == 2 and found[9]["n_turns"] == 3 and found[9]["loss_chars"] == 9
+    assert found[9]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest()
+    assert found[None]["loss_sha256"] == hashlib.sha256(b"<|end|>~1").hexdigest()
+
+
+@pytest.mark.parametrize("most_bytes", [chat.MOST_BYTES, 300])
+def test_chat_hostile(spark, most_bytes):
+    rows = [(1, 0, "user", chat.TURN + chat.BODY + "~0[|<" + chat.END, 0), (1, 1, "assistant", None, 0), (1, 1, "assistant", "x" * 1000 + chat.END, 0), (1, 1, "assistant", None, 0), (2, 0, "assistant", "", 0), (2, None, "tool|", "last", 0), (3, -5, None, "漢" * 401, 0), (3, 7, "user", "y" * 1_000_000, 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")
+    got = {}
+    for r in chat.parse(chat.render(chat.to_events(df), most_bytes)).orderBy("conv_id", "piece").collect():
+        got.setdefault(r["conv_id"], []).extend((t["role"], t["text"]) for t in r["turns"])
+    assert got[1] == [("user", rows[0][3]), ("assistant", ""), ("assistant", ""), ("assistant", rows[2][3])]
+    assert got[2] == [("assistant", ""), ("tool|", "last")] and got[3] == [("", rows[6][3]), ("user", rows[7][3])]
+    assert chat.digests(chat.parse(chat.render(chat.to_events(df.limit(0)), most_bytes))).count() == 0
+
+
+def test_webp_query_brute_force(spark, sf):
+    """All contract columns of op8 on the whole table, and equal values for equal texts."""
+    import zlib
 
-def test_chat_hostile(spark):
-    rows = [(1, 0, "user", chat.TURN + chat.BODY + "~0[|<" + chat.END), (1, 1, "assistant", None), (1, 1, "assistant", "x" * 1000 + chat.END), (1, 1, "assistant", None), (2, 0, "assistant", "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.parse(chat.render(chat.fold(chat.to_events(df)))).collect()}
-    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("user", rows[0][3]), ("assistant", ""), ("assistant", ""), ("assistant", rows[2][3])]
-    assert got[2]["loss"] == [""] and got[1]["loss"] == ["", "", rows[2][3]]
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = Q.op8_webp(spark, sf).collect()
+    assert len(rows) == len(texts)
+    seen = {}
+    for r in rows:
+        data = texts[r["doc_id"]]
+        full = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
+        media = webp.encode(full)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), webp.feature(full))
+        assert seen.setdefault(data, r[3:]) == r[3:]
 
 
 def test_masks_cover():
@@ -250,6 +403,41 @@ def test_masks_cover():
     for _ in range(3000):
         differ = sum(1 << b for b in rng.sample(range(64), 4))
         assert any(not differ & m for m in masks)
+    for m in masks:
+        finer, left = simhash.finer_masks(m), [b for b in range(64) if not m >> b & 1]
+        assert all(f & m == m for f in finer) and {b for f in finer for b in range(64) if f >> b & 1} == set(range(64))
+        for _ in range(50):
+            differ = sum(1 << b for b in rng.sample(left, 4))
+            assert any(not differ & f for f in finer)
+
+
+def test_simhash_hot_buckets(spark):
+    """A dense cluster beside scattered fingerprints, with buckets covered again several times: the same components as by all pairs."""
+    rng = random.Random(1)
+    base, fps = rng.getrandbits(64), {rng.getrandbits(64) for _ in range(200)}
+    while len(fps) < 700:
+        fps.add(base ^ sum(1 << b for b in rng.sample(range(28), rng.randint(0, 9))))
+    fps = sorted(fps)
+
+    def components(pairs):
+        root = {x: x for x in fps}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for u, v in pairs:
+            u, v = sorted((find(u), find(v)))
+            root[v] = u
+        return [find(x) for x in fps]
+
+    want = components((a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4)
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    for block in (4096, 40):
+        pairs = [(r["u"] & (1 << 64) - 1, r["v"] & (1 << 64) - 1) for r in simhash.near_edges(df, 4, block).collect()]
+        assert components(pairs) == want
 
 
 def print_of(text):
@@ -258,7 +446,7 @@ def print_of(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("block", [4096, 20])
 def test_simhash_brute_force(spark, sf, block, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     prints = {r["doc_id"]: print_of((r["text"] or "").encode()) for r in docs.collect()}

@@ -9,6 +9,18 @@ import pytest
 from quarry.llm import webp as W
 
 
+class BitList:
+    """Bits to write, the first in the lowest place of the first byte."""
+
+    def __init__(self):
+        self.bits = []
+
+    def add(self, value, n):
+        self.bits += [value >> k & 1 for k in range(n)]
+        return self
+
+
+
 def code_lengths(symbols):
     """Complete lengths for the symbols: 1, 2, 3, ... and the last two equal."""
     symbols = sorted(symbols)
@@ -129,7 +141,7 @@ def put_image(bits, pixels, main, cache_bits=0, refs=False, groups=False):
 
 
 def stream(width, height):
-    return W.BitList().add(0x2F, 8).add(width - 1, 14).add(height - 1, 14).add(1, 1).add(0, 3)
+    return BitList().add(0x2F, 8).add(width - 1, 14).add(height - 1, 14).add(1, 1).add(0, 3)
 
 
 def pack(bits):
@@ -227,3 +239,56 @@ def test_round_trip():
         W.decode(W.encode(b" " * 192)[:-20])
     with pytest.raises(W.WebpError):
         W.decode(b"no image at all, not even one of these")
+
+
+def transforms(content):
+    """Kinds of the first transform of each image, and whether its pixels use a colour cache."""
+    found, at = [], 0
+    while at < len(content):
+        bits = W.Bits(content[at + 20 :])
+        bits.read(40)
+        found.append(bits.read(2) if bits.read(1) else None)
+        at += 8 + int.from_bytes(content[at + 4 : at + 8], "little")
+    return found
+
+
+def test_writer_forms():
+    """The writer takes each of its forms where it fits, and the reader undoes it."""
+    rng = np.random.default_rng(3)
+    ramp = (np.cumsum(rng.integers(0, 3, (40, 192)), 1) % 256).astype(np.uint8)
+    across = np.repeat(rng.integers(0, 256, (1, 64, 3)), 40, 0) + rng.integers(0, 2, (40, 64, 3))
+    green = rng.integers(0, 256, (40, 64, 1)) + rng.integers(0, 2, (40, 64, 3)) * [1, 0, 1]
+    text = " ".join(map(str, rng.integers(0, 10**9, 900))).encode()
+    cases = {"left": (ramp.tobytes(), 0), "above": (across.astype(np.uint8).tobytes(), 0), "green": (green.astype(np.uint8).tobytes(), 2), "two colours": (b"ab" * 96 * 3, 3), "palette": (rng.integers(0, 256, (40, 3))[rng.integers(0, 40, 640)].astype(np.uint8).tobytes(), 3), "plain": (text[: len(text) // 192 * 192], None)}
+    for name, (data, kind) in cases.items():
+        media = W.encode(data)
+        assert W.decode(media) == data and len(media) < len(data), name
+        assert transforms(media) == [kind], name
+
+
+def test_references_and_cache():
+    p = np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 9, 9, 9, 9, 9, 9, 9], np.uint32)
+    assert W.references(p) == [(5, 4, 5), (10, 6, 1)]
+    hit, cell = W.cache_hits(np.array([7, 8, 7, 7], np.uint32), 8)
+    assert hit.tolist() == [False, False, True, True] and cell[0] == cell[2]
+    rng = np.random.default_rng(4)
+    for size in (2, 3, 20, 300):
+        counts = rng.integers(0, 50, size) ** 3 + 1
+        lengths = W.code_lengths(counts, 12)
+        assert lengths.max() <= 12 and (0.5 ** lengths[lengths > 0]).sum() == 1
+    fib = [1, 1]
+    while len(fib) < 30:
+        fib.append(fib[-1] + fib[-2])
+    assert W.code_lengths(np.array(fib), 15).max() <= 15
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_round_trip_of_texts(seed):
+    rng = np.random.default_rng(seed)
+    words = ["".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(1, 9, 60)] + ["é", "漢字", "\n", "\0"]
+    for n in (0, 1, 30, 400, 3000):
+        text = " ".join(words[k] for k in rng.integers(0, len(words), n)).encode()
+        text += text[: len(text) // 3] * int(rng.integers(0, 3))
+        data = text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
+        media = W.encode(data)
+        assert W.decode(media) == data and W.encode(data) == media
