@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, payload
 
-WIDTH, MOST_ROWS = 64, 2048
+WIDTH, MOST_ROWS = 64, 1024
 ROW = 3 * WIDTH
 #: Fixed values of the format: the order in which the lengths of the length code stand.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -64,23 +64,29 @@ def turned(n: int) -> np.ndarray:
     return out
 
 
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols in the order of their codes, the codes' lengths, their shares of all numbers of the greatest length's bits); one symbol takes no bits."""
+    order = lengths.nonzero()[0]
+    if len(order) < 2:
+        return order if len(order) else np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64)
+    sizes = lengths[order]
+    by_size = sizes.argsort(kind="stable")
+    order, sizes = order[by_size], sizes[by_size]
+    return order, sizes, np.left_shift(1, sizes[-1] - sizes)
+
+
 class PrefixCode:
-    """A canonical code as a table: the next bits, the first in the lowest place, give symbol << 4 | length. A code of one symbol takes no bits."""
+    """A canonical code as a table: the next bits, the first in the lowest place, give symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        used = np.flatnonzero(lengths)
-        if not len(used):
-            used = np.zeros(1, np.int64)
-        self.order = used[np.argsort(lengths[used], kind="stable")]
-        self.single = len(used) == 1
-        self.sizes = lengths[self.order].astype(np.int64) * (not self.single)
-        self.most = int(self.sizes[-1])
-        self.shares = np.left_shift(1, self.most - self.sizes)
-        if self.shares.sum() != 1 << self.most:
+        self.order, sizes, shares = canonical(lengths)
+        self.single = len(self.order) == 1
+        self.most = int(sizes[-1])
+        if shares.sum() != 1 << self.most:
             raise WebpError("a prefix code is not complete")
         self.table = np.empty(1 << self.most, np.int32)
-        self.table[turned(self.most)] = np.repeat(self.order << 4 | self.sizes, self.shares)
-        self.mask = np.uint32((1 << self.most) - 1)
+        self.table[turned(self.most)] = (self.order << 4 | sizes).repeat(shares)
+        self.mask = (1 << self.most) - 1
         self._list: list[int] | None = None
 
     @property
@@ -94,13 +100,6 @@ class PrefixCode:
         bits.read(found & 15)
         return found >> 4
 
-    def codes(self, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-        """To write: (bits, how many) of each symbol."""
-        value, size = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.int64)
-        value[self.order] = turned(self.most)[np.cumsum(self.shares) - self.shares]
-        size[self.order] = self.sizes
-        return value, size
-
 
 @functools.lru_cache(10_000)
 def _code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
@@ -116,26 +115,36 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
             lengths[bits.read(8)] = 1
         return PrefixCode(lengths)
     of_lengths = [0] * 19
-    for k in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[k]] = bits.read(3)
+    n = 4 + bits.read(4)
+    given = bits.read(3 * n)
+    for k in range(n):
+        of_lengths[LENGTH_ORDER[k]] = given >> 3 * k & 7
     inner, left = _code_of_lengths(tuple(of_lengths)), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     table, mask, ahead, used = inner.listed, (1 << inner.most) - 1, bits.peek(14 * alphabet), 0
     found, before = [], 8
-    while len(found) < alphabet and left:
+    while left and len(found) < alphabet:
         left -= 1
-        s, n = table[ahead & mask] >> 4, table[ahead & mask] & 15
-        ahead >>= n
-        used += n
+        s = table[ahead & mask]
+        ahead >>= s & 15
+        used += s & 15
+        s >>= 4
         if s < 16:
             found.append(s)
             before = s or before
+        elif s == 16:
+            found += [before] * (3 + (ahead & 3))
+            ahead >>= 2
+            used += 2
+        elif s == 17:
+            found += [0] * (3 + (ahead & 7))
+            ahead >>= 3
+            used += 3
         else:
-            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            found += [before if s == 16 else 0] * (least + (ahead & ((1 << extra) - 1)))
-            ahead >>= extra
-            used += extra
+            found += [0] * (11 + (ahead & 127))
+            ahead >>= 7
+            used += 7
     bits.at += used
     if bits.at > 8 * len(bits.data):
         raise WebpError("the image is cut short")
@@ -207,17 +216,18 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
     most = max(sum(c.most for c in group[:4]), 58)
     raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - begin, (n * most >> 3) + 9), begin)
     end = 8 * len(raw)
-    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.uint32)
-    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)  # at least 25 bits from each bit on
-    last = np.int32(len(ahead) - 1)
-    of_green = green.table[ahead & green.mask]
-    after = np.arange(len(ahead), dtype=np.int32) + (of_green & 15)
-    literal_after = np.minimum(after, last)
+    wide = np.concatenate([raw, np.zeros(24, np.uint8)]).astype(np.int64)
+    wide = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+    ahead = (wide[:, None] >> np.arange(8)).reshape(-1)  # at least 25 bits from each bit on; no pixel takes as many bits as are added at the end
+    of_green = green.table.take(ahead & green.mask, mode="clip")
+    following = np.arange(len(ahead)) + (of_green & 15)
+    rare = (of_green >= 256 << 4).nonzero()[0]
+    rare_after = np.where(of_green[rare] < 280 << 4, -1, following[rare])
     for code, _ in others:
         if not code.single:
-            literal_after = np.minimum(literal_after + (code.table[ahead & code.mask] & 15)[literal_after], last)
-    following = np.where(of_green < 256 << 4, literal_after, np.where(of_green < 280 << 4, np.int32(-1), after))
+            following += (code.table & 15).take((ahead & code.mask), mode="clip").take(following, mode="clip")
+    following[rare] = rare_after
+    following[end:] = -1
 
     def value(s: int, at: int) -> tuple[int, int]:
         if s < 4:
@@ -230,12 +240,14 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
     step, note = memoryview(following), begins.append
     at, o = 0, start
     while at < n:
-        if o >= end:
-            raise WebpError("the image is cut short")
         note(o)
-        if (to := step[o]) >= 0:
-            at, o = at + 1, to
+        to = step[o]
+        if to >= 0:
+            o = to
+            at += 1
             continue
+        if o >= end:
+            raise WebpError("the image is cut short")
         found = int(of_green[o])
         length, o = value((found >> 4) - 256, o + (found & 15))
         if o > end:
@@ -430,17 +442,17 @@ class Tokens:
     def __init__(self) -> None:
         self.values: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-        self._few: list[tuple[int, int]] = []
+        self.few: list[tuple[int, int]] = []
 
     def add(self, value: int, n: int) -> None:
-        self._few.append((value, n))
+        self.few.append((value, n))
 
     def _close(self) -> None:
-        if self._few:
-            values, sizes = zip(*self._few, strict=True)
+        if self.few:
+            values, sizes = zip(*self.few, strict=True)
             self.values.append(np.array(values, np.uint64))
             self.sizes.append(np.array(sizes, np.int64))
-            self._few = []
+            self.few = []
 
     def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self._close()
@@ -462,23 +474,22 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         lengths[used] = 1
         return lengths
     while True:
-        order = used[np.argsort(counts[used], kind="stable")]
+        order = used[counts[used].argsort(kind="stable")]
         weights = counts[order].tolist()
         n = len(weights)
         parent = [0] * (2 * n - 1)
         leaf, inner = 0, n
         for node in range(n, 2 * n - 1):
-            total = 0
-            for _ in range(2):
-                if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
-                    total += weights[leaf]
-                    parent[leaf] = node
-                    leaf += 1
-                else:
-                    total += weights[inner]
-                    parent[inner] = node
-                    inner += 1
-            weights.append(total)
+            if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
+                a, leaf = leaf, leaf + 1
+            else:
+                a, inner = inner, inner + 1
+            if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
+                b, leaf = leaf, leaf + 1
+            else:
+                b, inner = inner, inner + 1
+            parent[a] = parent[b] = node
+            weights.append(weights[a] + weights[b])
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -488,14 +499,25 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         counts = (counts + 1) >> 1
 
 
-#: The code of code lengths that the writer uses: four bits, five for the rare ones.
-_LENGTHS = PrefixCode(np.array([5 if s in (1, 11, 12, 13, 14, 15) else 4 for s in range(19)]))
-_LENGTH_BITS = [x.tolist() for x in _LENGTHS.codes(19)]
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, how many) of each symbol."""
+    value, size = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
+    order, sizes, shares = canonical(lengths)
+    value[order] = turned(int(sizes[-1]))[shares.cumsum() - shares]
+    size[order] = sizes
+    return value, size
+
+
+#: The code of code lengths that the writer uses: four bits, five for the rare ones; its description and its bits.
+_LENGTHS = [5 if s in (1, 11, 12, 13, 14, 15) else 4 for s in range(19)]
+_LENGTHS_HEAD = (15 << 1 | sum(_LENGTHS[s] << (5 + 3 * k) for k, s in enumerate(LENGTH_ORDER)), 63)
+_LENGTH_BITS = [x.tolist() for x in _codes(np.array(_LENGTHS))]
+_RUNS = {True: ((16, 3, 6, 2),), False: ((18, 11, 138, 7), (17, 3, 10, 3))}
 
 
 def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Describes a code for symbols of these counts; returns the symbols' bits."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         first, *second = used.tolist() or [0]
         out.add(1 | len(second) << 1 | 1 << 2 | first << 3, 11)
@@ -503,28 +525,26 @@ def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
             out.add(second[0], 8)
         lengths = np.zeros(len(counts), np.int64)
         lengths[used] = 1
-        return PrefixCode(lengths).codes(len(counts))
+        return _codes(lengths)
     lengths = code_lengths(counts)
-    out.add(0, 1)
-    out.add(15, 4)
-    for s in LENGTH_ORDER:
-        out.add(5 if s in (1, 11, 12, 13, 14, 15) else 4, 3)
-    out.add(0, 1)
+    out.add(*_LENGTHS_HEAD)
     value, size = _LENGTH_BITS
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1, [len(lengths)]]).tolist()
-    for a, b in zip(edges, edges[1:], strict=False):
-        length, n = int(lengths[a]), b - a
+    edges = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist(), len(lengths)]
+    add = out.few.append
+    for a, b, length in zip(edges, edges[1:], lengths[edges[:-1]].tolist(), strict=False):
+        n = b - a
         if length:
-            out.add(value[length], size[length])
+            add((value[length], size[length]))
             n -= 1
-        for s, least, greatest, extra in ((16, 3, 6, 2),) if length else ((18, 11, 138, 7), (17, 3, 10, 3)):
-            while n >= least:
-                take = min(n, greatest)
-                out.add(value[s] | (take - least) << size[s], size[s] + extra)
-                n -= take
+        if n > 2:
+            for s, least, greatest, extra in _RUNS[length > 0]:
+                while n >= least:
+                    take = min(n, greatest)
+                    add((value[s] | (take - least) << size[s], size[s] + extra))
+                    n -= take
         for _ in range(n):
-            out.add(value[length], size[length])
-    return PrefixCode(lengths).codes(len(counts))
+            add((value[length], size[length]))
+    return _codes(lengths)
 
 
 def _symbol(v: int) -> tuple[int, int, int]:
@@ -570,7 +590,7 @@ def references(p: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[in
 def cache_hits(p: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(whether the pixel stands in the colour cache, its cell)."""
     cell = (p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
-    order = np.argsort(cell, kind="stable")
+    order = cell.astype(np.uint16).argsort(kind="stable")
     hit = np.zeros(len(p), bool)
     hit[order[1:]] = p[order[1:]] == p[order[:-1]]  # equal colours have equal cells
     return hit, cell.astype(np.int64)
@@ -588,9 +608,10 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
         hit, cell = cache_hits(p, cache_bits)
         hit &= literal
         share = hit.sum() / max(1, literal.sum())
-        bits_each = _entropy(np.stack([np.bincount(c[literal], minlength=256) for c in channels[:3]])).sum() / max(1, literal.sum())
-        used = len(np.unique(cell[hit]))
-        if not 0 < share < 1 or hit.sum() * (bits_each - np.log2(max(1, used)) + np.log2(share)) + (literal & ~hit).sum() * np.log2(1 - share) < 6 * used:
+        bits = _entropy(np.stack([np.bincount(c[literal], minlength=256) for c in channels[:3]])).sum()
+        used = np.count_nonzero(np.bincount(cell[hit]))
+        gain = hit.sum() * (bits / max(1, literal.sum()) - np.log2(max(1, used)) + np.log2(share)) + (literal & ~hit).sum() * np.log2(1 - share) - 6 * used if 0 < share < 1 else 0.0
+        if gain <= CACHE_GAIN * bits:
             hit[:], cache_bits = False, 0
     plain = literal & ~hit
     symbol = np.where(hit, cell + 280, channels[0]) if cache_bits else channels[0].copy()
@@ -626,7 +647,8 @@ def _entropy(counts: np.ndarray) -> np.ndarray:
     return -(counts * np.log2(np.maximum(counts, 1) / np.maximum(total, 1))).sum(-1) + 6 * (counts > 0).sum(-1)
 
 
-CACHE_BITS = 8
+#: Bits of the colour cache, and the share of the pixels' bits that it has to save.
+CACHE_BITS, CACHE_GAIN = 8, 0.05
 
 
 def _write_stream(p: np.ndarray) -> bytes:
