@@ -88,3 +88,25 @@ def grounding(answer: Column, blob: Column) -> Column:
 
 def http_class(status: Column) -> Column:
     return F.when(status.isNull() | status.isin(RETRYABLE), "retryable").when(status.between(200, 299), "ok").otherwise("failed")
+
+
+#: Prompts of this repository's own wording; {question} and {context} are filled in.
+PROMPTS = {
+    "chit_chat": "You help people with a collection of documents. Answer kindly and in short, in Bahasa Indonesia, without technical terms.\nUser: {question}\nAssistant:",
+    "no_results": "Nothing in the documents fits the question below. Say so in Bahasa Indonesia, in one or two sentences, and suggest another question.\nQuestion: {question}",
+    "grounded": "Answer from the sources alone and cite each statement as [S1]. If they don\'t suffice, say so.\nQuestion: {question}\n\nSources:\n{context}\n\nAnswer:",
+    "citation_retry": "The answer had no valid citations. Answer again; every statement needs the id of a source given here.\nQuestion: {question}\n\nSources:\n{context}\n\nAnswer:",
+    "standalone": "Rewrite the last question so that it can be understood without the conversation.\nConversation:\n{context}\n\nLast question: {question}",
+    "rewrite": "Rewrite the question as a short search query. Give the query alone.\nQuestion: {question}",
+    "summary": "Summarise the document below in at most six bullet points.\n{context}",
+}
+
+
+def prompt(kind: str, question: Column, context: Column) -> Column:
+    return F.replace(F.replace(F.lit(PROMPTS[kind]), F.lit("{context}"), context), F.lit("{question}"), question)
+
+
+def request_error(role: Column, content: Column, max_points: Column) -> Column:
+    """What makes a request invalid: an unknown role, blank content, a scan of fewer than 1 or more than 100000 points; null if nothing does."""
+    known = F.coalesce(role, F.lit("")).isin("system", "user", "assistant")
+    return F.when(~known, "role").when(strip(F.coalesce(content, F.lit(""))) == "", "content").when(~max_points.between(1, 100_000), "max_points")

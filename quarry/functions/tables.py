@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import collapse, strip
@@ -12,14 +12,18 @@ LANES = r"(?i)(pelaksana|admin|pimpinan|civitas|upt|mutu|waktu|output)"
 TIMES = r"(waktu|durasi|lama|time)"
 CHART_WORDS = r"(flow|flowchart|workflow|decision|diagram|diagram alir|chart|arrow|connector|handoff|swimlane|panah)"
 STRONG_WORDS = r"(?i)(flow\s*chart|workflow|diagram\s*alir|decision|panah|arrow|connector|swimlane)"
+#: Names of the mode in which every table is interpreted.
+ALWAYS_ON = ["always", "always_on", "all"]
+#: The heading of interpretations and the texts of their prompt.
 HEADING = "### Table Visual Interpretation"
 VISUAL_PROMPT = "Describe visual process flow semantics not captured in table text."
 PROMPT_CONTEXT = "Use this table markdown as context and focus on missing visual flow details:"
 
 
 def split_row(line: Column) -> Column:
-    """The cells of a table row; edge pipes, also several, are no cells."""
-    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
+    """The cells of a table row; edge pipes, also several, are no cells. A line without both edge pipes has none."""
+    cells = F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
+    return F.when(line.startswith("|") & line.endswith("|"), cells).otherwise(F.array().cast("array<string>"))
 
 
 def rows(content: Column) -> Column:
@@ -67,6 +71,18 @@ def visual_selected(scored: Column, threshold: float = 0.75, require_strong: boo
     return F.lit(True) if always else (scored["score"] >= threshold) & (F.lit(not require_strong) | scored["strong"])
 
 
+def routing_mode(raw: Column) -> Column:
+    """always_on for its three names, else auto_signal."""
+    return F.when(F.lower(strip(F.coalesce(raw, F.lit("")))).isin(ALWAYS_ON), "always_on").otherwise("auto_signal")
+
+
+def signal_threshold(setting: Column, bias: Column) -> Column:
+    """The setting within [0, 1]; where it can't be read, what the bias stands for."""
+    name = F.lower(strip(F.coalesce(bias, F.lit(""))))
+    fallback = F.when(name == "balanced", 0.65).when(name == "recall", 0.55).otherwise(0.75)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(strip(setting).try_cast("double"), fallback)))
+
+
 def visual_bullets(content: Column) -> Column:
     """The bullets from the first one behind the interpretation's heading to the next blank line, without their marks."""
     lines = F.transform(F.split(F.regexp_extract(content, r"(?s)### Table Visual Interpretation(.*)$", 1), "\n"), strip)
@@ -148,3 +164,8 @@ def retried(outcomes: Column, enabled: bool = True, most: int = 5) -> Column:
     used = F.when(end > 0, end).otherwise(F.size(tries))
     status = F.when(F.element_at(F.slice(tries, 1, used), -1) == "ok", "done").when(F.lit(enabled) & F.array_contains(F.slice(tries, 1, used), "retryable"), "pending").otherwise("failed")
     return F.struct(status.alias("status"), used.alias("attempts"))
+
+
+def retry_queue(entries: DataFrame) -> DataFrame:
+    """The entries (status, image_path) that are to be tried again: pending ones whose picture was kept."""
+    return entries.where((F.col("status") == "pending") & (F.coalesce("image_path", F.lit("")) != ""))

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Words that a rewritten query leaves out.
 STOPWORDS = "a an and are as at be by for from how in is it of on or the to what when where which who why".split()
+#: The beginnings of markdown lines, the forms of page markers, the characters that count as blanks.
 MARKDOWN = r"^(#{1,6}\s|[-*+]\s|\d+\.\s|>\s|\|)"
 PAGE_MARKER = r"^(page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*(of|/)\s*\d+|\d{1,4})$"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+#: Fixed value: the pattern of clauses. Before it paragraphs and sentences, behind it words, each with what divides it from the next.
+CLAUSE = r"[^,.;。？！]+[,.;。？！]?"
+_SPLITS = [re.compile(x, re.S) for x in (r".+?(?:\n\n+|\Z)", r".+?(?:[.!?。？！]+\s+|\Z)", rf"{CLAUSE}|[,.;。？！]+", r"\s*\S+\s*|\s+")]
 
 
 @F.pandas_udf(StringType())
@@ -21,13 +29,18 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def normalize_query(query: Column) -> Column:
+    """NFKC, single blanks, none at the ends."""
+    return collapse(nfkc(F.coalesce(query, F.lit(""))))
+
+
 def is_markdown(line: Column) -> Column:
     return line.rlike(MARKDOWN)
 
@@ -49,7 +62,7 @@ def short_line(line: Column) -> Column:
 def frequent_lines(lines: Column) -> Column:
     """Short lines, in lower case, that make up a share of 0.04 and at least 4 of all lines, blanks included: in sorted order a line that
     occurs m times equals the one m - 1 places on."""
-    keys = F.array_sort(F.filter(F.transform(lines, lambda x: F.when(short_line(strip(x)), F.lower(strip(x))).otherwise("")), lambda x: x != ""))
+    keys = F.array_sort(F.transform(F.filter(F.transform(lines, strip), short_line), F.lower))
     least = F.greatest(F.lit(4), F.ceil(F.round(F.size(lines) * 0.04, 9)).cast("int"))
     return F.array_distinct(F.array_compact(F.zip_with(keys, F.slice(keys, least, F.greatest(F.size(keys), F.lit(1))), lambda x, y: F.when(x == y, x))))
 
@@ -58,8 +71,11 @@ def drop_boilerplate(docs: DataFrame, lines_col: str, keep_markers: bool = False
     """docs whose array of lines has no page markers and no frequent short lines; blanks and table rows stay. The frequent lines are a generated
     column, made once a document."""
     marked = docs.withColumn("_often", F.explode(F.array(frequent_lines(F.col(lines_col)))))
-    gone = lambda x: (F.lit(False) if keep_markers else is_page_marker(x)) | (short_line(strip(x)) & F.array_contains("_often", F.lower(strip(x))))
-    return marked.withColumn(lines_col, F.filter(lines_col, lambda x: (strip(x) == "") | strip(x).startswith("|") | ~gone(x))).drop("_often")
+    pairs = F.transform(lines_col, lambda x: F.struct(x.alias("x"), strip(x).alias("s")))  # each line is stripped once
+    frequent = lambda s: (F.size("_often") > 0) & (F.length(s) <= 80) & F.array_contains("_often", F.lower(s)) & short_line(s)
+    marker = lambda s: F.lit(False) if keep_markers else s.rlike("^[Pp0-9]") & F.lower(s).rlike(PAGE_MARKER)
+    kept = F.filter(pairs, lambda p: (p["s"] == "") | p["s"].startswith("|") | ~(marker(p["s"]) | frequent(p["s"])))
+    return marked.withColumn(lines_col, F.transform(kept, lambda p: p["x"])).drop("_often")
 
 
 def normalize_markdown(docs: DataFrame, text_col: str = "text", out: str = "normalized", keep_markers: bool = False) -> DataFrame:
@@ -85,10 +101,11 @@ def rewrite(query: Column, most: int = 12) -> Column:
     return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(query)
 
 
-def variants(query: Column, weight: float = 0.6) -> Column:
-    """array<struct<query,weight>>: the rewritten query and the plain one, one of them where they are equal, none for a blank query."""
+def variants(query: Column, weight: float = 0.6, enabled: bool = True) -> Column:
+    """array<struct<query,weight>>: the rewritten query and the plain one, one of them where they are equal, none for a blank query; not enabled, only
+    the plain one. query: as normalize_query() gives it, a column of its own, since lambdas can't hold a Python function; reranking takes the original."""
     plain = collapse(query)
-    short = rewrite(plain)
+    short = rewrite(plain) if enabled else plain
     pair = lambda q, w: F.struct(q.alias("query"), F.lit(w).alias("weight"))
     w = min(1.0, max(0.0, weight))
     return F.when(plain == "", F.slice(F.array(pair(plain, 1.0)), 1, 0)).when(short == plain, F.array(pair(plain, 1.0))).otherwise(F.array(pair(short, w), pair(plain, 1.0 - w)))
@@ -106,12 +123,52 @@ def page_label(value: Column) -> Column:
     return F.when(n.between(1, 5000), F.concat(F.lit("Page "), n))
 
 
-def split_sentences(text: Column, tokens: int = 768, overlap: int = 200) -> Column:
-    """Chunks of at most `tokens` words with `overlap` words carried over; our own rule: windows of words, each begun after tokens - overlap words."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - overlap), F.lit(tokens - overlap))
-    return F.when(n > 0, F.transform(starts, lambda k: F.array_join(F.slice(words, k, tokens), " "))).otherwise(F.array().cast("array<string>"))
+def _units(text: str, tokens: int) -> list[tuple[str, int]]:
+    """(piece, words): paragraphs, where too large their sentences, where too large those' clauses, and at last single words; joined, they are the text."""
+    out: list[tuple[str, int]] = []
+    todo = [(text, 0)]
+    while todo:
+        piece, level = todo.pop()
+        n = len(piece.split())
+        if n <= tokens or level == len(_SPLITS):
+            if piece:
+                out.append((piece, n))
+            continue
+        todo += [(x, level + 1) for x in reversed(_SPLITS[level].findall(piece))]
+    return out
+
+
+def split_text(text: str, tokens: int, overlap: int) -> list[str]:
+    """Chunks of at most `tokens` words of whole units, each begun with the last units of the one before that have at most `overlap` words."""
+    chunks: list[list[tuple[str, int]]] = []
+    held: list[tuple[str, int]] = []
+    size = fresh = 0
+    for unit in _units(text, tokens):
+        if fresh and size + unit[1] > tokens:
+            chunks.append(held)
+            kept, size = [], 0
+            for back in reversed(held):
+                if size + back[1] > min(overlap, tokens - unit[1]):
+                    break
+                kept.insert(0, back)
+                size += back[1]
+            held, fresh = kept, 0
+        held = [*held, unit]
+        size, fresh = size + unit[1], fresh + 1
+    if fresh:
+        chunks.append(held)
+    return [x for x in ("".join(p for p, _ in c).strip() for c in chunks) if x]
+
+
+def sentence_chunks(tokens: int = 768, overlap: int = 200):
+    """A column function: the chunks of a text, split_text() in Arrow batches; our own rule in place of a tokenizer: words are what blanks divide.
+    A null text has none."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def chunks(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: [] if x is None else split_text(x, tokens, overlap))
+
+    return chunks
 
 
 def heading(line: Column) -> Column:

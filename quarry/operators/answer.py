@@ -8,21 +8,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
-from ..functions.text import trim_text
+from ..functions.text import strip, trim_text
 
 REFUSAL = "I do not have enough information in the indexed documents to answer with citations."
 
 
+#: What stands for missing fields of a source.
+UNKNOWN, NO_INDEX, NOT_APPLICABLE = "unknown", "?", "n/a"
+#: Metadata of a source that may be missing, beside those with defaults of their own.
+OPTIONAL = {"page_label": "string", "section_title": "string", "parent_id": "string", "table_id": "string", "schema_version": "int", "table_visual_status": "string"}
+
+
 def sources(ranked: DataFrame, most: int = 5, most_chars: int = 1800) -> DataFrame:
-    """(q, source_id, node_id, doc, filename, score, snippet) of (q, rank, node_id, doc, filename, score, text, kind): numbered S1.. in order; whole tables are kept whole."""
+    """Source rows of (q, rank, node_id, doc, filename, score, text, kind) and what there is of chunk_id, chunk_index, content_type and OPTIONAL: numbered S1..
+    in order; whole tables are kept whole, other texts are cut. `doc` and `kind` are the source's doc_id and chunk_kind."""
+    have = lambda name, kind="string": F.col(name).cast(kind) if name in ranked.columns else F.lit(None).cast(kind)
     numbered = ranked.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where(F.col("n") <= most)
-    snippet = F.when(F.col("kind") == "table_parent", F.col("text")).otherwise(trim_text(F.col("text"), most_chars))
-    return numbered.select("q", F.concat(F.lit("S"), F.col("n")).alias("source_id"), "node_id", F.coalesce("doc", F.lit("unknown")).alias("doc"), F.coalesce("filename", F.lit("unknown")).alias("filename"), F.bround("score", 6).alias("score"), snippet.alias("snippet"), "n")
+    text = strip(F.coalesce("text", F.lit("")))
+    snippet = F.when(F.col("kind") == "table_parent", text).otherwise(trim_text(text, most_chars))
+    content_type = F.coalesce(have("content_type"), F.lit("text"))
+    return numbered.select(
+        "q", F.concat(F.lit("S"), F.col("n")).alias("source_id"), F.col("node_id").cast("string").alias("node_id"), F.coalesce("doc", F.lit(UNKNOWN)).alias("doc"), F.coalesce("filename", F.lit(UNKNOWN)).alias("filename"),
+        F.coalesce(have("chunk_id"), F.col("node_id").cast("string")).alias("chunk_id"), F.coalesce(have("chunk_index"), F.lit(NO_INDEX)).alias("chunk_index"), F.bround("score", 6).alias("score"), snippet.alias("snippet"),
+        content_type.alias("content_type"), F.coalesce(F.nullif("kind", F.lit("")), content_type).alias("kind"), *[have(c, k).alias(c) for c, k in OPTIONAL.items()], "n",
+    )
 
 
 def contexts(cited: DataFrame) -> DataFrame:
     """(q, context, source_ids): one block per source, in order, between blank lines."""
-    block = F.concat(F.lit("["), F.col("source_id"), F.lit("]\nfilename: "), F.col("filename"), F.lit("\ndoc_id: "), F.col("doc"), F.lit("\ncontent:\n"), F.col("snippet"))
+    told = lambda name, missing: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(missing))
+    fields = {
+        "filename": F.col("filename"), "content_type": F.col("content_type"), "chunk_kind": told("kind", UNKNOWN), "table_id": told("table_id", NOT_APPLICABLE), "parent_id": told("parent_id", NOT_APPLICABLE),
+        "doc_id": F.col("doc"), "chunk_id": F.col("chunk_id"), "chunk_index": F.col("chunk_index"), "page_label": told("page_label", UNKNOWN), "section_title": told("section_title", UNKNOWN),
+    }
+    lines = [F.concat(F.lit("["), F.col("source_id"), F.lit("]")), *(F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()), F.lit("content:"), F.col("snippet")]
+    block = F.concat_ws("\n", *lines)
     return cited.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("b"), "source_id"))).alias("all")).select("q", F.array_join(F.transform("all", lambda x: x["b"]), "\n\n").alias("context"), F.transform("all", lambda x: x["source_id"]).alias("source_ids"))
 
 
@@ -48,3 +68,9 @@ def eval_summary(cases: DataFrame) -> DataFrame:
     """Means over all cases (ok, cited, valid, overlap); failed ones count as 0."""
     share = lambda c: F.coalesce(F.avg(F.when(F.col(c), 1.0).otherwise(0.0)), F.lit(0.0)).alias(f"{c}_rate")
     return cases.agg(F.count("*").alias("cases"), share("ok"), share("cited"), share("valid"), F.coalesce(F.avg(F.coalesce("overlap", F.lit(0.0))), F.lit(0.0)).alias("mean_overlap"))
+
+
+def route(asked: DataFrame) -> DataFrame:
+    """(q, action, query) of (q, text, reply): what the router's reply, made outside, says to do with a question, and what to search for."""
+    read = asked.withColumn("_r", C.router_reply(F.col("reply"), F.col("text")))
+    return read.select("q", C.action(F.col("_r.intention"), F.col("_r.clarification_question")).alias("action"), C.guarded_query(F.col("_r.rewritten_query"), F.col("text")).alias("query"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int, rrf_k: int = 60) -> DataFra
     A query with one list keeps its scores."""
     per = lists.groupBy("q", "node_id").agg(
         F.sum(F.lit(1.0) / (F.lit(rrf_k) + F.col("rank"))).alias("fused"), F.min(F.struct("list_ix", "rank")).alias("first"), F.min_by("score", F.struct("list_ix", "rank")).alias("own"),
+        F.max("list_ix").alias("last_list"),
     )
-    n = lists.groupBy("q").agg((F.count_distinct("list_ix") == 1).alias("one"))
-    scored = per.join(n, "q").withColumn("score", F.when(F.col("one"), F.col("own")).otherwise(F.col("fused")))
+    own = Window.partitionBy("q")
+    scored = per.withColumn("one", F.min("first.list_ix").over(own) == F.max("last_list").over(own)).withColumn("score", F.when(F.col("one"), F.col("own")).otherwise(F.col("fused")))
     place = F.when(F.col("one"), F.col("first.rank")).otherwise(0)
     return top_k(scored, ["q"], [place, F.desc("fused"), "first.list_ix", "first.rank"], k).select("q", "node_id", "score", "rank")
 
@@ -30,6 +33,12 @@ def rerank(candidates: DataFrame, k: int = 8, least: float = 0.001) -> DataFrame
     return top_k(candidates, ["q"], [F.desc(F.coalesce("score", F.lit(-1.0))), "pos"], k).where(F.col("score") >= least)
 
 
+def rerank_scored(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame], k: int = 8, least: float = 0.001) -> DataFrame:
+    """rerank() by what scorer adds as column `scored` (null: it failed); a query for which it failed anywhere keeps its own scores."""
+    failed = F.max(F.when(F.col("scored").isNull(), 1).otherwise(0)).over(Window.partitionBy("q")) == 1
+    return rerank(scorer(candidates).withColumn("score", F.when(failed, F.col("score")).otherwise(F.col("scored"))).drop("scored"), k, least)
+
+
 def diversify(candidates: DataFrame, most: int = 5, per_doc: int = 2) -> DataFrame:
     """At most `most` of each query's (q, pos, node_id, doc), first those within per_doc of their document, then the others; a node once."""
     first = candidates.withColumn("again", F.row_number().over(Window.partitionBy("q", "node_id").orderBy("pos"))).where("again = 1").drop("again")
@@ -44,11 +53,11 @@ def best_anchors(candidates: DataFrame) -> DataFrame:
     return top_k(candidates, ["q", "doc", "parent_id"], [F.desc(F.coalesce("score", F.lit(0.0))), "pos"], 1, "_rn").drop("_rn")
 
 
-def expand_parents(candidates: DataFrame, parents: DataFrame) -> DataFrame:
+def expand_parents(candidates: DataFrame, parents: DataFrame, k: int = 24) -> DataFrame:
     """Table anchors give way to their parents. candidates: (q, pos, node_id, doc, kind, parent_id, score); parents: (doc, parent_id, node_id).
 
     Other rows pass, each node once. Of each table the best anchor counts; it goes if its parent is a candidate (which keeps its own score),
-    becomes the parent with a score of 1e-6 more if that exists, and stays if not. Ordered by score, missing ones last, then place."""
+    becomes the parent with a score of 1e-6 more if that exists, and stays if not. The first k by score, missing ones last, then place."""
     anchor = (F.col("kind") == "table_anchor") & F.col("doc").isNotNull() & F.col("parent_id").isNotNull()
     passing = candidates.where(~F.coalesce(anchor, F.lit(False)))
     passing = top_k(passing, ["q", "node_id"], ["pos"], 1, "_rn").drop("_rn")
@@ -59,4 +68,4 @@ def expand_parents(candidates: DataFrame, parents: DataFrame) -> DataFrame:
     has = F.col("parent_node").isNotNull()
     moved = found.withColumn("node_id", F.coalesce("parent_node", "node_id")).withColumn("kind", F.when(has, "table_parent").otherwise(F.col("kind"))).withColumn("score", F.when(has, F.coalesce("score", F.lit(0.0)) + 1e-6).otherwise(F.col("score"))).drop("parent_node")
     both = passing.unionByName(moved.select(*passing.columns))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc_nulls_last("score"), "pos")))
+    return top_k(both, ["q"], [F.desc_nulls_last("score"), "pos"], k)

@@ -14,7 +14,7 @@ from ..operators import index as IX
 from ..operators import rank as R
 from ..operators import search as S
 from ..sources import bindings as B
-from .queries import BEST, CANDIDATES, CHUNKS, ENTRIES, FUSED, LISTS, ORDERS, REWRITE, _candidates, _entries, _fused, _questions, _talk, _texts, query
+from .queries import BEST, CANDIDATES, CHUNKS, ENTRIES, FUSED, LISTS, ORDERS, REWRITE, _candidates, _dense, _entries, _fused, _questions, _talk, _texts, query
 
 TIDY = r"(SELECT conv_id, turn, lower(trim(role)) AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM conversations WHERE lower(trim(role)) IN ('system', 'user', 'assistant') AND regexp_matches(text, '\S'))"
 
@@ -195,9 +195,9 @@ def l06(spark, sf):
 
 @query("u03_first_of_node", f"SELECT q, node_id, list_ix, rank FROM {LISTS} QUALIFY row_number() OVER (PARTITION BY q, node_id ORDER BY list_ix, rank) = 1")
 def u03(spark, sf):
-    scores = S.sparse_scores(_questions(spark, sf), _texts(spark, sf))
-    lists = [R.top_k(scores, ["q"], [F.desc(c), "node_id"], 24).select("q", "node_id", F.lit(k).alias("list_ix"), "rank") for k, c in enumerate(("score", "overlap"))]
-    return R.top_k(lists[0].unionByName(lists[1]), ["q", "node_id"], ["list_ix", "rank"], 1, "_n").drop("_n")
+    lists = [_dense(spark, sf), S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))]
+    both = [one.select("q", "node_id", F.lit(k).alias("list_ix"), "rank") for k, one in enumerate(lists)]
+    return R.top_k(both[0].unionByName(both[1]), ["q", "node_id"], ["list_ix", "rank"], 1, "_n").drop("_n")
 
 
 @query("u07_missing_parents", f"SELECT b.q, b.doc, b.parent_id FROM {BEST} b WHERE NOT EXISTS (SELECT 1 FROM {CANDIDATES} p WHERE p.kind = 'table_parent' AND p.q = b.q AND p.doc = b.doc AND p.parent_id = b.parent_id)")
@@ -263,3 +263,109 @@ def s09(spark, sf):
 @query("f36_doc_key", f"SELECT q, node_id, coalesce(CASE WHEN pos % 3 > 0 THEN doc::VARCHAR END, '__node__:' || node_id) AS doc_key FROM {CANDIDATES}")
 def f36(spark, sf):
     return _candidates(spark, sf).withColumn("doc", F.when(F.col("pos") % 3 > 0, F.col("doc").cast("string"))).select("q", "node_id", ids.doc_key(F.col("doc"), F.col("node_id")).alias("doc_key"))
+
+
+@query("f09_normalize_query", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS query FROM conversations")
+def f09(spark, sf):
+    return _talk(spark, sf).select("conv_id", "turn", T.normalize_query(F.col("text")).alias("query"))
+
+
+@query("f11_variants_disabled", f"SELECT item_id, plain AS query, 1.0::DOUBLE AS weight FROM {REWRITE}")
+def f11_disabled(spark, sf):
+    plain = B.table(spark, sf, "benchmark").select("item_id", F.explode(F.array(T.normalize_query(F.col("text")))).alias("text"))
+    return plain.select("item_id", F.explode(T.variants(F.col("text"), enabled=False)).alias("v")).select("item_id", "v.query", "v.weight")
+
+
+@query("f31_alignment_form", rf"SELECT doc, ordinal, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS form FROM {ENTRIES}")
+def f31(spark, sf):
+    return CH.aligned_form(_entries(spark, sf), "text", "form").select("doc", F.col("ordinal").cast("long").alias("ordinal"), "form")
+
+
+SEGMENTS = rf"(SELECT doc, page, ordinal, x FROM (SELECT doc, page, ordinal, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS x FROM {ENTRIES} WHERE page IS NOT NULL) WHERE length(x) >= 24)"
+
+
+@query("c09_page_alignment", f"""SELECT doc, coalesce(sum(length(x) + 2) OVER (PARTITION BY doc ORDER BY page, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", 'Page ' || page AS label,
+  sha256(string_agg(x, chr(10) || chr(10)) OVER (PARTITION BY doc ORDER BY page, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS alignment_sha256 FROM {SEGMENTS}""")
+def c09(spark, sf):
+    text, events = CH.page_alignment(CH.page_segments(_entries(spark, sf)))
+    return events.join(text.select("doc", F.sha2("alignment", 256).alias("alignment_sha256")), "doc")
+
+
+@query("p10_routing_mode", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'always_on' WHEN 1 THEN 'always_on' WHEN 2 THEN 'always_on' ELSE 'auto_signal' END AS mode, (event_id % 6) IN (0, 2) AS enabled FROM events")
+def p10(spark, sf):
+    pick = lambda *xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), (F.col("event_id") % 6).cast("int"))
+    return B.table(spark, sf, "events").select("event_id", TB.routing_mode(pick(" Always", "ALL", "always_on ", "auto", "", None)).alias("mode"), T.to_bool(pick("1", "off", " Yes", "2", "", None)).alias("enabled"))
+
+
+@query("p11_threshold", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE CASE event_id % 4 WHEN 0 THEN 0.65::DOUBLE WHEN 1 THEN 0.55::DOUBLE ELSE 0.75::DOUBLE END END AS threshold FROM events")
+def p11(spark, sf):
+    pick = lambda n, *xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), (F.col("event_id") % n).cast("int"))
+    return B.table(spark, sf, "events").select("event_id", TB.signal_threshold(pick(5, " 0.5", "7", "-1", "many", None), pick(4, "Balanced ", "recall", "precision", None)).alias("threshold"))
+
+
+@query("p19_request_validation", "SELECT conv_id, turn, CASE WHEN turn % 5 = 1 THEN 'role' WHEN turn % 5 = 2 OR NOT regexp_matches(text, '\\S') THEN 'content' WHEN turn % 5 = 3 THEN 'max_points' END AS error FROM conversations")
+def p19(spark, sf):
+    at = F.col("turn") % 5
+    role, content = F.when(at == 1, "tool").otherwise(F.col("role")), F.when(at == 2, " \n").otherwise(F.col("text"))
+    points = F.when((at == 3) & (F.col("turn") % 2 == 0), 0).when(at == 3, 100_001).otherwise(100_000)
+    return _talk(spark, sf).select("conv_id", "turn", C.request_error(role, content, points).alias("error"))
+
+
+@query("r15_retry_queue", "SELECT l_orderkey AS order_id, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber % 2 = 1")
+def r15(spark, sf):
+    state = F.when(F.col("l_returnflag") == "R", "pending").otherwise("done")
+    kept = F.when(F.col("l_linenumber") % 2 == 1, "t.png").when(F.col("l_linenumber") % 4 == 2, "")
+    return TB.retry_queue(B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), state.alias("status"), kept.alias("image_path"))).select("order_id", "line")
+
+
+@query("a06_visual_counts", "SELECT l_suppkey AS doc, count(*) FILTER (l_returnflag = 'A') AS visual_done, count(*) FILTER (l_returnflag = 'R') AS visual_pending, count(*) FILTER (l_returnflag = 'N') AS visual_failed, count(*) FILTER (l_partkey % 3 = 0) AS visual_selected, count(*) FILTER (l_partkey % 3 <> 0) AS visual_skipped FROM lineitem GROUP BY 1")
+def a06_visual(spark, sf):
+    state = F.when(F.col("l_returnflag") == "A", "done").when(F.col("l_returnflag") == "R", "pending").otherwise("failed")
+    return CH.visual_counts(B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc"), state.alias("status"), (F.col("l_partkey") % 3 == 0).alias("selected")))
+
+
+@query("s12_parent_lookup", f"SELECT chunk_id, doc_id FROM {CHUNKS} WHERE chunk_kind = 'table_parent' AND doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY source_doc_id, chunk_kind, filename ORDER BY chunk_id) = 1")
+def s12(spark, sf):
+    points = B.chunks(spark, sf)
+    wanted = points.where("doc_id % 3 = 0 and chunk_kind = 'table_parent'").select("source_doc_id", "chunk_kind", "filename").distinct()
+    return IX.lookup(points, wanted).select("chunk_id", "doc_id")
+
+
+PROMPTS = {k: v.replace("'", "''") for k, v in C.PROMPTS.items()}
+
+
+@query("f39_prompts", "SELECT item_id, kind, replace(replace(template, '{context}', 'Sources of ' || item_id), '{question}', text) AS prompt FROM benchmark, (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in PROMPTS.items()) + ") AS t(kind, template)")
+def f39(spark, sf):
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), C.prompt(k, F.col("text"), F.concat(F.lit("Sources of "), "item_id")).alias("prompt")) for k in C.PROMPTS])
+    return B.table(spark, sf, "benchmark").select("item_id", F.inline(made))
+
+
+def _structure(spark, sf):
+    labels = F.array(*map(F.lit, ("TABLE", "PICTURE", "PARAGRAPH", "TEXT", "CHART", "TEXT")))
+    items = _entries(spark, sf).withColumn("label", F.get(labels, F.col("ordinal") % 6)).withColumn("caption", F.when(F.col("ordinal") % 4 < 2, F.concat(F.lit("cap "), F.col("ordinal"))))
+    return CH.structure_map(items)
+
+
+@query("c05_structured_nodes")
+def c05(spark, sf):
+    return CH.structured_nodes(_structure(spark, sf), 40, 10).select("doc", "place", "part", "chunk_kind", "page", "table_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("c06_flat_nodes")
+def c06(spark, sf):
+    texts = B.documents(spark, sf).select(F.col("doc_id").alias("doc"), "text")
+    return CH.flat_nodes(texts).select("doc", "part", "chunk_kind", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("c08_build_nodes")
+def c08(spark, sf):
+    """Documents as parsed items, through structure map and nodes, to the chunk rows of the index."""
+    texts = T.normalize_markdown(B.documents(spark, sf)).select(F.col("doc_id").alias("doc"), F.col("normalized").alias("text"), "filename")
+    built = CH.build_nodes(CH.structured_nodes(_structure(spark, sf)), texts, CH.page_segments(_entries(spark, sf)))
+    return built.withColumn("text", F.sha2("text", 256))
+
+
+@query("p14_chunk_diagnostics")
+def p14_all(spark, sf):
+    texts = T.normalize_markdown(B.documents(spark, sf)).select(F.col("doc_id").alias("doc"), F.col("normalized").alias("text"), "filename")
+    return CH.diagnostics(CH.build_nodes(CH.flat_nodes(texts.select("doc", "text")), texts, CH.page_segments(_entries(spark, sf))))

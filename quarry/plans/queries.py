@@ -32,11 +32,14 @@ ORDERS = """(SELECT l_orderkey AS order_id, 'Order ' || l_orderkey AS caption, '
   string_agg('| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |', chr(10) ORDER BY l_linenumber,
   '| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |') AS content FROM lineitem GROUP BY l_orderkey)"""
 SCORES = f"""(WITH q AS (SELECT item_id AS q, t AS token, count(*)::DOUBLE AS wq FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL),
-  d AS (SELECT doc_id AS node_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents) GROUP BY ALL),
-  n AS (SELECT q, count(*) AS n FROM q GROUP BY q)
-  SELECT q, node_id, sum(wq * tf) AS score, count(*)::DOUBLE / any_value(n) AS overlap FROM q JOIN d USING (token) JOIN n USING (q) GROUP BY q, node_id)"""
-LISTS = f"""(SELECT q, node_id, 0 AS list_ix, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24
-  UNION ALL SELECT q, node_id, 1, overlap, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24)"""
+  d AS (SELECT doc_id AS node_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents) GROUP BY ALL)
+  SELECT q, node_id, sum(wq * tf) AS score FROM q JOIN d USING (token) GROUP BY q, node_id)"""
+SPARSE = f"(SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24)"
+#: A question has the vector of its own id, a document too (a convention of this repository; the tables state no relation).
+COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+DENSE = f"""(SELECT a.vec_id AS q, b.vec_id AS node_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
+  FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 24)"""
+LISTS = f"(SELECT q, node_id, 0 AS list_ix, score, rank FROM {DENSE} UNION ALL SELECT q, node_id, 1, score, rank FROM {SPARSE})"
 FUSED = f"""(SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, f.list_ix, f.rank) AS rank FROM (
   SELECT q, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({{'list_ix': list_ix, 'rank': rank}}) AS f FROM {LISTS} GROUP BY q, node_id) QUALIFY rank <= 24)"""
 
@@ -63,8 +66,14 @@ def _talk(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "conversations")
 
 
+def _dense(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
+    asked = vectors.withColumnRenamed("node_id", "q").join(_questions(spark, sf).select("q"), "q", "left_semi")
+    return S.dense_top_k(asked, vectors.join(_texts(spark, sf).select("node_id"), "node_id", "left_semi"))
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return S.hybrid(S.sparse_scores(_questions(spark, sf), _texts(spark, sf)), ["score", "overlap"])
+    return S.hybrid([_dense(spark, sf), S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))])
 
 
 @query("f05_doc_id", "SELECT doc_id, 'doc_' || substr(sha256(text), 1, 20) AS document_id FROM documents")
@@ -210,30 +219,34 @@ def a14(spark, sf):
     return both.select("item_id", C.grounding(F.col("text"), F.col("blob")).alias("overlap"))
 
 
-@query("a13_eval_summary", rf"""SELECT count(*) AS cases, avg((turn % 5 <> 4)::INT::DOUBLE) AS ok_rate, avg((len(c) > 0)::INT::DOUBLE) AS cited_rate, avg((len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(s, x))) = 0)::INT::DOUBLE) AS valid_rate, 0.5::DOUBLE AS mean_overlap FROM (SELECT *, regexp_extract_all(a, '\[(S[0-9]+)\]', 1) AS c FROM {ANSWERS})""")
+@query("a13_eval_summary", rf"""SELECT count(*) AS cases, avg((turn % 5 <> 4)::INT::DOUBLE) AS ok_rate, avg((len(c) > 0)::INT::DOUBLE) AS cited_rate, avg((len(c) > 0 AND len(list_filter(c, lambda x: NOT list_contains(s, x))) = 0)::INT::DOUBLE) AS valid_rate, avg(coalesce(CASE WHEN turn % 6 <> 5 THEN (turn % 4) / 4.0::DOUBLE END, 0)) AS mean_overlap FROM (SELECT *, regexp_extract_all(a, '\[(S[0-9]+)\]', 1) AS c FROM {ANSWERS})""")
 def a13(spark, sf):
     found = C.citations(F.col("a"))
-    return A.eval_summary(_answers(spark, sf).select((F.col("turn") % 5 != 4).alias("ok"), (F.size(found) > 0).alias("cited"), C.citations_valid(found, F.col("s")).alias("valid"), F.lit(0.5).alias("overlap")))
+    return A.eval_summary(_answers(spark, sf).select((F.col("turn") % 5 != 4).alias("ok"), (F.size(found) > 0).alias("cited"), C.citations_valid(found, F.col("s")).alias("valid"), F.when(F.col("turn") % 6 != 5, F.col("turn") % 4 / F.lit(4.0)).alias("overlap")))
 
 
-@query("j01_dense_topk", "SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20) WHERE rank <= 24")
-def j01(spark, sf):
-    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
-    return S.dense_top_k(vectors.where("node_id < 20").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
+NEIGHBOURS = f"SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 24"
 
 
-@query("j01_dense_topk_hundredths", "SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 24")
-def j01_hundredths(spark, sf):
-    """j01 for every row whose id is divisible by 100: the query set grows with the table."""
+@query("j01_dense_topk_hundredths", NEIGHBOURS)
+@query("j01_dense_topk", NEIGHBOURS)
+def j01(spark, sf):
+    """Queries: every row whose id is divisible by 100, so their number grows with the table. (Two names, one query.)"""
     vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
     return S.dense_top_k(vectors.where("node_id % 100 = 0").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
 
 
-@query("j02_sparse_topk", f"SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24")
+@query("j02_sparse_topk", f"SELECT q, node_id, score, rank FROM {SPARSE}")
 def j02(spark, sf):
     return S.sparse_top_k(_questions(spark, sf), _texts(spark, sf)).select("q", "node_id", "score", "rank")
 
 
+@query("r01_hybrid", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED}")
+def r01(spark, sf):
+    """Dense and sparse lists of each question, fused."""
+    return _fused(spark, sf).withColumn("score", F.round("score", 9))
+
+
 @query("a10_sparse_vectors", f"SELECT item_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL")
 def a10(spark, sf):
     return S.term_counts(B.table(spark, sf, "benchmark"), "item_id")
@@ -244,9 +257,9 @@ def u01(spark, sf):
     return _fused(spark, sf).withColumn("score", F.round("score", 9))
 
 
-@query("u02_single_list", f"SELECT q, node_id, score, rank FROM {LISTS} WHERE list_ix = 0")
+@query("u02_single_list", f"SELECT q, node_id, score, rank FROM {SPARSE}")
 def u02(spark, sf):
-    return S.hybrid(S.sparse_scores(_questions(spark, sf), _texts(spark, sf)), ["score"])
+    return S.hybrid([S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))])
 
 
 @query("l02_lexical_rerank", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED} WHERE rank <= 8 AND score >= 0.001")
@@ -261,31 +274,87 @@ def w02(spark, sf):
 
 
 def _sources(spark, sf):
-    docs = B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text")
-    ranked = R.rerank(_fused(spark, sf).withColumnRenamed("rank", "pos")).join(docs, "node_id").withColumn("kind", F.lit("text"))
-    return A.sources(ranked)
+    docs = B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text", F.col("source").alias("section_title"))
+    ranked = R.rerank(_fused(spark, sf).withColumnRenamed("rank", "pos")).join(docs, "node_id").withColumn("kind", F.when(F.col("node_id") % 4 == 0, "table_parent").when(F.col("node_id") % 4 == 1, "text"))
+    more = {"chunk_id": ids.chunk_id(F.col("node_id").cast("string"), F.lit(0)), "chunk_index": F.when(F.col("node_id") % 3 > 0, F.col("node_id") % 3), "schema_version": F.lit(2)}
+    return A.sources(ranked.withColumns(more))
+
+
+SNIPPET = r"CASE WHEN length(text) > 1800 THEN regexp_replace(regexp_replace(substr(text, 1, 1800), ' [^ ]*$', '', 's'), '^\s+|\s+$', '', 'gs') || '...' ELSE text END"
+CITED = rf"""(SELECT q, 'S' || rank AS source_id, node_id, rank, score, doc_id, source, sha, CASE WHEN node_id % 4 = 0 THEN text ELSE {SNIPPET} END AS snippet
+  FROM (SELECT f.*, d.doc_id, d.source, sha256(d.text) AS sha, regexp_replace(d.text, '^\s+|\s+$', '', 'gs') AS text FROM {FUSED} f JOIN documents d ON d.doc_id = f.node_id WHERE rank <= 5))"""
 
 
-@query("r06_sources", rf"""SELECT q, 'S' || rank AS source_id, node_id, round_even(score, 6) AS score, length(CASE WHEN length(text) > 1800 THEN regexp_replace(regexp_replace(substr(text, 1, 1800), ' [^ ]*$', '', 's'), '^\s+|\s+$', '', 'gs') || '...' ELSE text END) AS snippet_chars FROM {FUSED} JOIN documents ON doc_id = node_id WHERE rank <= 5""")
+@query("r06_sources", f"SELECT q, source_id, node_id::VARCHAR AS node_id, round_even(score, 6) AS score, length(snippet) AS snippet_chars FROM {CITED}")
 def r06(spark, sf):
     return _sources(spark, sf).select("q", "source_id", "node_id", "score", F.length("snippet").cast("long").alias("snippet_chars"))
 
 
-@query("r07_answer")
-def r07(spark, sf):
-    """The whole query path: search, fusion, reranking, contexts, an answer with checked citations."""
-    return A.answer(A.contexts(_sources(spark, sf))).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
+@query("r06_contexts", f"""SELECT q, sha256(string_agg('[' || source_id || ']' || chr(10) || 'filename: ' || source || '/' || doc_id || '.pdf' || chr(10) || 'content_type: text' || chr(10) || 'chunk_kind: ' || CASE WHEN node_id % 4 = 0 THEN 'table_parent' ELSE 'text' END || chr(10)
+  || 'table_id: n/a' || chr(10) || 'parent_id: n/a' || chr(10) || 'doc_id: doc_' || substr(sha, 1, 20) || chr(10) || 'chunk_id: ' || node_id || ':chunk:00000' || chr(10) || 'chunk_index: ' || CASE WHEN node_id % 3 > 0 THEN (node_id % 3)::VARCHAR ELSE '?' END || chr(10)
+  || 'page_label: unknown' || chr(10) || 'section_title: ' || source || chr(10) || 'content:' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank)) AS context_sha256, string_agg(source_id, ',' ORDER BY rank) AS source_ids FROM {CITED} GROUP BY q""")
+def r06_contexts(spark, sf):
+    return A.contexts(_sources(spark, sf)).select("q", F.sha2("context", 256).alias("context_sha256"), F.array_join("source_ids", ",").alias("source_ids"))
 
 
-@query("r02_multi_query")
-def r02(spark, sf):
-    """Both variants of each question, searched in one plan and merged by rank."""
-    asked = B.table(spark, sf, "benchmark").select("item_id", F.posexplode(T.variants(F.col("text"))).alias("list_ix", "v")).select("item_id", "list_ix", F.col("v.query").alias("text"))
-    key = F.struct("item_id", "list_ix")
-    found = S.sparse_top_k(asked.select(key.alias("q"), "text"), _texts(spark, sf))
+#: Per question and variant: its lists, their fusion, and the merge of the variants' fusions (one list keeps its scores).
+ASKED = f"(SELECT item_id, 0 AS ix, short AS text FROM {REWRITE} UNION ALL SELECT item_id, 1, plain FROM {REWRITE} WHERE plain <> short)"
+MERGED = f"""(WITH t AS (SELECT item_id, ix, t AS token, count(*)::DOUBLE AS wq FROM (SELECT item_id, ix, unnest({TERMS}) AS t FROM {ASKED}) GROUP BY ALL),
+  d AS (SELECT doc_id AS node_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents) GROUP BY ALL),
+  sparse AS (SELECT item_id, ix, node_id, row_number() OVER (PARTITION BY item_id, ix ORDER BY score DESC, node_id) AS rank FROM (SELECT item_id, ix, node_id, sum(wq * tf) AS score FROM t JOIN d USING (token) GROUP BY ALL) QUALIFY rank <= 24),
+  lists AS (SELECT a.item_id, a.ix, node_id, 0 AS list_ix, rank FROM {DENSE} n JOIN {ASKED} a ON a.item_id = n.q UNION ALL SELECT item_id, ix, node_id, 1, rank FROM sparse),
+  fused AS (SELECT item_id, ix, node_id, s, row_number() OVER (PARTITION BY item_id, ix ORDER BY s DESC, f.list_ix, f.rank) AS rank FROM (
+    SELECT item_id, ix, node_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min({{'list_ix': list_ix, 'rank': rank}}) AS f FROM lists GROUP BY ALL) QUALIFY rank <= 24),
+  n AS (SELECT item_id, count(DISTINCT ix) AS n FROM fused GROUP BY 1)
+  SELECT item_id AS q, node_id, CASE WHEN n = 1 THEN own ELSE s END AS score, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n = 1 THEN f.rank ELSE 0 END, s DESC, f.ix, f.rank) AS rank FROM (
+    SELECT item_id, node_id, any_value(n) AS n, sum(1.0::DOUBLE / (60 + rank)) AS s, min({{'ix': ix, 'rank': rank}}) AS f, min_by(s, ix) AS own FROM fused JOIN n USING (item_id) GROUP BY item_id, node_id) QUALIFY rank <= 24)"""
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Both variants of each question, each fused from dense and sparse lists, merged by rank."""
+    plain = B.table(spark, sf, "benchmark").select("item_id", F.explode(F.array(T.normalize_query(F.col("text")))).alias("text"))
+    asked = plain.select("item_id", F.posexplode(T.variants(F.col("text"))).alias("list_ix", "v")).select(F.struct("item_id", "list_ix").alias("q"), F.col("v.query").alias("text"))
+    near = _dense(spark, sf).withColumnRenamed("q", "item_id").join(asked.select("q", F.col("q.item_id").alias("item_id")), "item_id")
+    found = S.hybrid([near, S.sparse_top_k(asked, _texts(spark, sf))])
     return R.reciprocal_rank_fusion(found.select(F.col("q.item_id").alias("q"), F.col("q.list_ix").alias("list_ix"), "node_id", "score", "rank"), 24)
 
 
+@query("r02_multi_query", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {MERGED}")
+def r02(spark, sf):
+    return _merged(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query("r03_rerank_fallback", f"""SELECT q, node_id, round(s, 9) AS score, rank FROM (SELECT q, node_id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, pos) AS rank FROM (
+  SELECT q, node_id, rank AS pos, CASE WHEN q % 3 = 0 THEN score ELSE 1.0::DOUBLE / (1 + node_id % 50) END AS s FROM {FUSED}) QUALIFY rank <= 8) WHERE s >= 0.001""")
+def r03(spark, sf):
+    """A scorer of its own in place of the fused scores; it fails for some candidates of every third question, which keep theirs."""
+    scorer = lambda c: c.withColumn("scored", F.when((F.col("q") % 3 != 0) | (F.col("pos") > 1), F.lit(1.0) / (1 + F.col("node_id") % 50)))
+    return R.rerank_scored(_fused(spark, sf).withColumnRenamed("rank", "pos"), scorer).select("q", "node_id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("r07_answer", rf"""WITH top AS (SELECT m.*, m.node_id % 7 AS doc, m.node_id // 10 AS parent_id, m.node_id % 5 = 4 AS anchor FROM {MERGED} m WHERE rank <= 8 AND score >= 0.001),
+best AS (SELECT * FROM top WHERE anchor QUALIFY row_number() OVER (PARTITION BY q, doc, parent_id ORDER BY score DESC, rank) = 1),
+moved AS (SELECT b.q, b.rank AS pos, b.doc, CASE WHEN p.doc_id IS NULL THEN b.node_id ELSE p.doc_id END AS node_id, CASE WHEN p.doc_id IS NULL THEN b.score ELSE b.score + 1e-6::DOUBLE END AS score, CASE WHEN p.doc_id IS NULL THEN 'table_anchor' ELSE 'table_parent' END AS kind
+  FROM best b LEFT JOIN documents p ON p.doc_id % 10 = 0 AND p.doc_id // 10 = b.parent_id AND p.doc_id % 7 = b.doc),
+expanded AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, pos) AS place FROM (SELECT q, rank AS pos, doc, node_id, score, 'text' AS kind FROM top WHERE NOT anchor UNION ALL SELECT q, pos, doc, node_id, score, kind FROM moved)),
+once AS (SELECT * FROM expanded QUALIFY row_number() OVER (PARTITION BY q, node_id ORDER BY place) = 1),
+late AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY q, doc ORDER BY place) <= 2 THEN 0 ELSE 1 END AS late FROM once),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY late, place) AS rank FROM late QUALIFY rank <= 5),
+said AS (SELECT c.q, c.rank, CASE WHEN kind = 'table_parent' THEN text ELSE {SNIPPET} END AS snippet FROM chosen c JOIN (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'gs') AS text FROM documents) d ON d.doc_id = c.node_id)
+SELECT q, split_part(min_by(snippet, rank), chr(10), 1) || ' [S1]' AS answer, 'first' AS outcome, string_agg('S' || rank, ',' ORDER BY rank) AS source_ids FROM said GROUP BY q""")
+def r07(spark, sf):
+    """The whole query path: routing, variants, dense and sparse search, fusion, reranking, parents for anchors, diversity, contexts, an answer with checked citations."""
+    reply = F.to_json(F.struct(F.lit("SEARCH").alias("intention"), F.col("text").alias("rewritten_query")))
+    routed = A.route(_questions(spark, sf).withColumn("reply", reply)).where("action = 'retrieve'")
+    top = R.rerank(_merged(spark, sf).withColumnRenamed("rank", "pos")).join(routed.select("q"), "q", "left_semi")
+    node = F.col("node_id")
+    placed = top.drop("pos").withColumnsRenamed({"rank": "pos"}).withColumns({"doc": node % 7, "parent_id": (node / 10).cast("long"), "kind": F.when(node % 5 == 4, "table_anchor").otherwise("text")})
+    parents = _texts(spark, sf).where(node % 10 == 0).select((node % 7).alias("doc"), (node / 10).cast("long").alias("parent_id"), "node_id")
+    wide = R.diversify(R.expand_parents(placed, parents).drop("pos").withColumnRenamed("rank", "pos"))
+    cited = A.sources(wide.drop("doc").join(B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text"), "node_id"))
+    return A.answer(A.contexts(cited)).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
+
+
 CANDIDATES = """(SELECT l_suppkey % 10 AS q, l_orderkey * 10 + l_linenumber AS pos, 'n' || l_orderkey || '-' || l_linenumber AS node_id, l_orderkey % 50 AS doc, CASE WHEN l_linenumber = 1 THEN 'text' WHEN l_linenumber = 5 THEN 'table_parent' ELSE 'table_anchor' END AS kind, l_orderkey % 200 AS parent_id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END AS score
   FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_discount) = 1))"""
 
@@ -309,7 +378,7 @@ def a12(spark, sf):
 
 @query("r05_parent_expand", f"""WITH p AS (SELECT * FROM {CANDIDATES} WHERE kind <> 'table_anchor'), l AS (SELECT b.* FROM {BEST} b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.kind = 'table_parent' AND p.q = b.q AND p.doc = b.doc AND p.parent_id = b.parent_id)),
 u AS (SELECT q, pos, node_id, kind, score FROM p UNION ALL SELECT q, pos, CASE WHEN parent_id % 2 = 0 THEN 'p' || doc || '-' || parent_id ELSE node_id END, CASE WHEN parent_id % 2 = 0 THEN 'table_parent' ELSE kind END, CASE WHEN parent_id % 2 = 0 THEN coalesce(score, 0) + 1e-6::DOUBLE ELSE score END FROM l)
-SELECT q, node_id, kind, round(score, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, pos) AS rank FROM u""")
+SELECT q, node_id, kind, round(score, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY score DESC NULLS LAST, pos) AS rank FROM u QUALIFY rank <= 24""")
 def r05(spark, sf):
     found = _candidates(spark, sf)
     parents = found.where("parent_id % 2 = 0").select("doc", "parent_id").distinct().withColumn("node_id", F.concat(F.lit("p"), F.col("doc"), F.lit("-"), F.col("parent_id")))
@@ -375,11 +444,20 @@ def w07(spark, sf):
 @query("j04_asof_section", f"""WITH o AS {OFFSETS} SELECT o.doc, o.ordinal, s.text AS section FROM o ASOF LEFT JOIN (SELECT doc, pos, text FROM o WHERE length(text) < 40) s ON o.doc = s.doc AND o.pos >= s.pos""")
 def j04(spark, sf):
     placed = CH.offsets(_entries(spark, sf), 1)
-    events = placed.where(F.length("text") < 40).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("offset", F.col("text").alias("label")))).alias("events"))
-    return placed.join(events, "doc", "left").select("doc", F.col("ordinal").cast("long").alias("ordinal"), CH.event_at(F.col("offset"), F.col("events")).alias("section"))
+    events = placed.where(F.length("text") < 40).select("doc", "offset", F.col("text").alias("label"))
+    return CH.as_of(placed.select("doc", F.col("ordinal").cast("long").alias("ordinal"), "offset"), events, label="section").drop("offset")
 
 
-@query("j05_align")
+def _found(start: str) -> str:
+    """SQL: where the first probe of a part stands in the text at or after start, from 0."""
+    tries = [f"CASE WHEN length(trim(substr(part, 1, {n}), ' ')) >= 24 THEN {begin} + nullif(strpos(substr(text, {begin} + 1), trim(substr(part, 1, {n}), ' ')), 0) - 1 END" for begin in (start, "0") for n in CH.PROBES]
+    return f"coalesce({', '.join(tries)})"
+
+
+@query("j05_align", f"""WITH RECURSIVE d AS (SELECT doc_id AS doc, text, string_split(text, chr(10)) AS parts FROM documents),
+s AS (SELECT doc, text, parts, 0 AS k, 0::BIGINT AS cur, []::VARCHAR[] AS pos FROM d UNION ALL
+  SELECT doc, text, parts, k + 1, CASE WHEN place IS NULL THEN cur ELSE greatest(cur, place + 120) END, list_append(pos, place::VARCHAR) FROM (SELECT *, {_found('cur')} AS place FROM (SELECT *, parts[k + 1] AS part FROM s WHERE k < len(parts))))
+SELECT doc, array_to_string(list_transform(pos, lambda p: coalesce(p, '-')), ',') AS positions FROM s WHERE k = len(parts)""")
 def j05(spark, sf):
     docs = B.documents(spark, sf).select(F.col("doc_id").alias("doc"), "text", F.split("text", "\n").alias("parts"))
     return CH.positions(docs).select("doc", F.array_join(F.transform("pos", lambda p: p.cast("string")), ",", "-").alias("positions"))
@@ -387,22 +465,26 @@ def j05(spark, sf):
 
 @query("c07_splitter")
 def c07(spark, sf):
-    return B.documents(spark, sf).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("chunk_ix", "chunk"))
+    return B.documents(spark, sf).select("doc_id", F.posexplode(T.sentence_chunks()("text")).alias("chunk_ix", "chunk"))
 
 
-@query("f21_split_row", f"SELECT order_id, line, len(c) AS cells, array_to_string(c, '~') AS joined FROM (SELECT order_id, line, list_transform(string_split(regexp_replace(x, '^\\|+|\\|+$', '', 'g'), '|'), lambda v: trim(v)) AS c FROM (SELECT order_id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM {ORDERS}))")
+@query("f21_split_row", f"SELECT order_id, line, len(c) AS cells, array_to_string(c, '~') AS joined FROM (SELECT order_id, line, CASE WHEN line % 3 = 2 THEN [] ELSE list_transform(string_split(regexp_replace(x, '^\\|+|\\|+$', '', 'g'), '|'), lambda v: trim(v)) END AS c FROM (SELECT order_id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM {ORDERS}))")
 def f21(spark, sf):
+    """Rows of tables; every third line has lost its last pipe and is no row."""
     lines = B.order_tables(spark, sf).select("order_id", F.posexplode(F.split("content", "\n")).alias("line", "x"))
-    cells = TB.split_row(F.col("x"))
+    cells = TB.split_row(F.when(F.col("line") % 3 == 2, F.expr("substr(x, 1, length(x) - 1)")).otherwise(F.col("x")))
     return lines.select("order_id", F.col("line").cast("long").alias("line"), F.size(cells).cast("long").alias("cells"), F.array_join(cells, "~").alias("joined"))
 
 
-PROFILE = "(SELECT l_orderkey AS order_id, count(*) AS n, CASE WHEN count(*) FILTER (l_returnflag <> 'N') = 0 THEN round_even(count(*) / (4.0::DOUBLE * count(*)), 4) ELSE round_even(1 - (4 * count(*) - count(*) FILTER (l_returnflag = 'N')) / (4.0::DOUBLE * count(*)), 4) END AS e FROM lineitem GROUP BY l_orderkey)"
+PROFILE = "(SELECT l_orderkey AS order_id, count(*) AS n, 4 + l_orderkey % 2 AS wide, round_even(1 - (4 * count(*) - count(*) FILTER (l_returnflag = 'N')) / ((4 + l_orderkey % 2) * count(*))::DOUBLE, 4) AS e FROM lineitem GROUP BY l_orderkey)"
 
 
-@query("c01_table_profile", f"SELECT order_id, n AS num_rows, 4 AS num_cols, e AS empty_ratio, true AS lane, false AS strong FROM {PROFILE}")
+@query("c01_table_profile", f"SELECT order_id, n AS num_rows, wide::INT AS num_cols, e AS empty_ratio, order_id % 6 <> 3 AS lane, order_id % 2 = 1 AS strong FROM {PROFILE}")
 def c01(spark, sf):
-    p = B.order_tables(spark, sf).select("order_id", TB.profile(F.col("content"), F.col("caption")).alias("p"))
+    """Tables of four or five columns: odd orders have a flowchart column in place of the output, every third has no column of times."""
+    odd = F.when(F.col("order_id") % 2 == 1, F.replace("content", F.lit("| Output |"), F.lit("| Keluar | Flowchart |"))).otherwise(F.col("content"))
+    varied = F.when(F.col("order_id") % 3 == 0, F.replace(odd, F.lit("Waktu"), F.lit("Kapan"))).otherwise(odd)
+    p = B.order_tables(spark, sf).select("order_id", F.explode(F.array(varied)).alias("content"), "caption").select("order_id", TB.profile(F.col("content"), F.col("caption")).alias("p"))
     return p.select("order_id", F.col("p.num_rows").cast("long").alias("num_rows"), F.col("p.num_cols").alias("num_cols"), F.col("p.empty_ratio").alias("empty_ratio"), F.col("p.lane").alias("lane"), F.col("p.strong").alias("strong"))
 
 
@@ -421,19 +503,23 @@ def c02(spark, sf):
     return scored.select("order_id", "line", F.round("v.score", 6).alias("score"), F.col("v.strong").alias("strong"), TB.visual_selected(rounded).alias("selected"))
 
 
-@query("c03_table_chunks", f"SELECT order_id, 'table_parent' AS chunk_kind, length('**Table: ' || caption || '**' || chr(10) || chr(10) || content) AS chars FROM {ORDERS}")
-def c03(spark, sf):
-    return CH.table_chunks(B.order_tables(spark, sf)).where("chunk_kind = 'table_parent'").select("order_id", "chunk_kind", F.length("text").cast("long").alias("chars"))
-
-
-@query("c04_anchor_texts", """WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS n, 'part ' || l_partkey AS a, (l_quantity::INT)::VARCHAR AS t, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS o,
+ANCHORS = """WITH l AS (SELECT l_orderkey AS order_id, l_linenumber AS n, 'part ' || l_partkey AS a, (l_quantity::INT)::VARCHAR AS t, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS o,
   '| ' || l_linenumber || ' | part ' || l_partkey || ' | ' || l_quantity::INT || ' | ' || CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END || ' |' AS row_ FROM lineitem),
 g AS (SELECT order_id, list(a ORDER BY n, row_) AS a, list(t ORDER BY n, row_) AS t, list_filter(list(o ORDER BY n, row_), lambda x: x <> '') AS o FROM l GROUP BY order_id)
-SELECT order_id, 'Table caption: Order ' || order_id || chr(10) || 'Table headers: No, Activity, Waktu, Output' || chr(10) || 'Roles and lanes: Waktu, Output' || chr(10) || 'Main activities: ' || array_to_string(list_slice(a, 1, 8), ' | ') || chr(10) || 'Timing constraints: ' || array_to_string(list_slice(t, 1, 10), ', ') || CASE WHEN len(o) > 0 THEN chr(10) || 'Expected outputs: ' || array_to_string(list_slice(o, 1, 10), ', ') ELSE '' END AS anchors FROM g""")
+SELECT order_id, 'Table caption: Order ' || order_id || chr(10) || 'Table headers: No, Activity, Waktu, Output' || chr(10) || 'Roles and lanes: Waktu, Output' || chr(10) || 'Main activities: ' || array_to_string(list_slice(a, 1, 8), ' | ') || chr(10) || 'Timing constraints: ' || array_to_string(list_slice(t, 1, 10), ', ') || CASE WHEN len(o) > 0 THEN chr(10) || 'Expected outputs: ' || array_to_string(list_slice(o, 1, 10), ', ') ELSE '' END AS anchors FROM g"""
+
+
+@query("c04_anchor_texts", ANCHORS)
 def c04(spark, sf):
     return CH.with_anchors(B.order_tables(spark, sf)).select("order_id", F.array_join("anchors", "\n").alias("anchors"))
 
 
+@query("c03_table_chunks", f"""SELECT order_id, 0 AS chunk_ix, 'table_parent' AS chunk_kind, sha256('**Table: ' || caption || '**' || chr(10) || chr(10) || content) AS text_sha256 FROM {ORDERS} UNION ALL
+SELECT order_id, unnest(range(1, len(a) + 1))::INT, 'table_anchor', sha256(unnest(a)) FROM (SELECT order_id, string_split(anchors, chr(10)) AS a FROM ({ANCHORS}))""")
+def c03(spark, sf):
+    return CH.table_chunks(B.order_tables(spark, sf)).select("order_id", "chunk_ix", "chunk_kind", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("u04_anchor_dedupe", "SELECT conv_id, string_agg(x, '|' ORDER BY first_turn) AS kept FROM (SELECT conv_id, lower(role) AS k, min(turn) AS first_turn, min_by(role, turn) AS x FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def u04(spark, sf):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])

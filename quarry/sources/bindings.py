@@ -30,11 +30,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each line with text, numbered within its document; every seventh is a table parent, every fifth an anchor."""
-    lines = documents(spark, sf_dir).select("doc_id", "filename", "text", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.trim("body") != "")
+    named = documents(spark, sf_dir).select("doc_id", "filename", "text", ids.document_id(F.col("text")).alias("source_doc_id"))
+    lines = named.select("doc_id", "source_doc_id", "filename", F.posexplode(F.split("text", "\n")).alias("line", "body")).where(F.trim("body") != "")
     w = Window.partitionBy("doc_id").orderBy("line")
     n = F.row_number().over(w) - 1
     kind = F.when(F.col("line") % 7 == 6, "table_parent").when(F.col("line") % 5 == 4, "table_anchor").otherwise("text")
-    rows = lines.select("doc_id", ids.document_id(F.col("text")).alias("source_doc_id"), "filename", n.alias("chunk_index"), F.col("body").alias("text"), kind.alias("chunk_kind"))
+    rows = lines.select("doc_id", "source_doc_id", "filename", n.alias("chunk_index"), F.col("body").alias("text"), kind.alias("chunk_kind"))
     return rows.withColumn("chunk_id", ids.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index"))).withColumn("schema_version", F.lit(2))
 
 
@@ -49,10 +50,11 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("order_id", F.concat(F.lit("Order "), F.col("order_id")).alias("caption"), content.alias("content"))
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes df as a new version beside the old ones and returns its path: readers of an older version are never disturbed."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def publish(df: DataFrame, root: str, version: str = "") -> str:
+    """Writes df as a new version beside the old ones and returns its path: readers of an older version are never disturbed. A named version that a
+    failed attempt left is written anew."""
+    path = f"{root.rstrip('/')}/{version or f'v-{uuid.uuid4().hex}'}"
+    df.write.mode("overwrite" if version else "errorifexists").parquet(path)
     return path
 
 
@@ -61,6 +63,11 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, question string").json(path, multiLine=True)
 
 
+def eval_report(cases: DataFrame, path: str) -> None:
+    """One JSON object per case."""
+    cases.write.mode("overwrite").json(path)
+
+
 def public(df: DataFrame) -> DataFrame:
     """df without its internal columns, whose names begin with an underscore."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])

@@ -11,11 +11,14 @@ from ..operators.index import replace_by_key
 from ..sources.bindings import publish
 
 
-def replace_stream(arrivals: DataFrame, root: str, current: Callable[[], DataFrame | None], announce: Callable[[str], None], checkpoint: str) -> StreamingQuery:
-    """arrivals: a streaming DataFrame of chunks. current() gives the index so far, announce(path) makes a new version the current one."""
+def replace_stream(arrivals: DataFrame, root: str, current: Callable[[], DataFrame | None], announce: Callable[[str, int], None], checkpoint: str) -> StreamingQuery:
+    """arrivals: a streaming DataFrame of chunks. current() gives the index so far, announce(path, batch) makes a new version the current one.
 
-    def batch(new: DataFrame, _: int) -> None:
+    A version is named after its batch, so a batch that runs again after a failure writes the same version anew. A version holds the whole index:
+    batches should be as large as the delay that is allowed permits."""
+
+    def batch(new: DataFrame, number: int) -> None:
         old = current()
-        announce(publish(new if old is None else replace_by_key(old, new), root))
+        announce(publish(new if old is None else replace_by_key(old, new), root, f"v-{number:010d}"), number)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -48,7 +48,25 @@ def test_text(spark):
     assert found[0]["query"] == "main features traffic analysis application" and sum(v["weight"] for v in found) == pytest.approx(1)
     assert one(spark, T.variants(F.col("t")), t="  ") == []
     assert [one(spark, T.page_label(F.col("t")), t=x) for x in ("Page 3 of 9", "3/9", "0", "5001")] == ["Page 3", "Page 3", None, None]
-    assert one(spark, F.size(T.split_sentences(F.col("t"), 10, 3)), t=" ".join(map(str, range(24)))) == 3
+    assert one(spark, T.normalize_query(F.col("t")), t="  ﬁnd\u00a0the\n\ttable ") == "find the table"
+    assert [v["query"] for v in one(spark, T.variants(F.col("t"), enabled=False), t="What is the traffic?")] == ["What is the traffic?"]
+    assert one(spark, T.strip(F.col("t")), t="\u3000\x1f x y\u2028\n") == "x y"
+
+
+def test_splitter(spark):
+    text = "Para one. It has sentences; and clauses, yes. End!\n\nPara two is here.\n\nA very long paragraph " + "word " * 50
+    for tokens, overlap in ((8, 3), (20, 5), (768, 200)):
+        assert "".join(p for p, _ in T._units(text, tokens)) == text
+        chunks = T.split_text(text, tokens, overlap)
+        assert all(len(c.split()) <= tokens for c in chunks) and chunks[0].startswith("Para one") and chunks[-1].endswith("word")
+        assert sum(len(c.split()) for c in chunks) <= len(text.split()) + overlap * len(chunks)
+        at = 0
+        for c in chunks:  # whole texts: every chunk begins at or before the end of the one before
+            here = text.index(c)
+            assert here <= at + 1 or not text[at:here].strip()
+            at = here + len(c)
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, text)], "n int, text string").select("n", T.sentence_chunks(20, 5)("text").alias("c")).collect()
+    assert [len(r["c"]) for r in rows[:2]] == [0, 0] and rows[2]["c"] == T.split_text(text, 20, 5)
 
 
 def test_ids(spark):
@@ -69,7 +87,7 @@ def test_chat(spark):
 
 
 def test_tables(spark):
-    assert one(spark, TB.split_row(F.lit("|a||"))) == ["a"]
+    assert one(spark, TB.split_row(F.lit("|a||"))) == ["a"] and one(spark, TB.split_row(F.lit("|a|b"))) == [] == one(spark, TB.split_row(F.lit("a|")))
     p = lambda n, c, e, s, lane, strong: F.struct(F.lit(n).alias("num_rows"), F.lit(c).alias("num_cols"), F.lit(e).alias("empty_ratio"), F.lit(s).alias("span_ratio"), F.lit(lane).alias("lane"), F.lit(strong).alias("strong"))
     score = lambda *x: one(spark, TB.visual_score(p(*x)))
     assert score(0, 0, 0.0, 0.0, False, False)[0] == 0.0
@@ -130,8 +148,85 @@ def test_positions_and_events(spark):
     text = "x" * 30 + "\n" + "The first sentence that is long enough." + "\n" + "The second sentence that is long enough."
     df = spark.createDataFrame([("d", text, ["The first sentence that is long enough.", "short", "The second sentence that is long enough."])], "doc string, text string, parts array<string>")
     assert CH.positions(df).first()["pos"] == [text.index("The first"), None, text.index("The second")]
-    events = F.array(F.struct(F.lit(0).alias("offset"), F.lit("Document").alias("label")), F.struct(F.lit(40).alias("offset"), F.lit("A").alias("label")))
-    assert [one(spark, CH.event_at(F.lit(p).cast("int"), events)) for p in (39, 40, None)] == ["Document", "A", None]
+    events = spark.createDataFrame([("d", 0, "Document"), ("d", 40, "A"), ("e", 9, "B")], "doc string, offset long, label string")
+    points = spark.createDataFrame([("d", 1, 39), ("d", 2, 40), ("d", 3, None), ("e", 4, 8), ("f", 5, 1)], "doc string, n int, at long")
+    assert {r["n"]: r["label"] for r in CH.as_of(points, events, "at").collect()} == {1: "Document", 2: "A", 3: None, 4: None, 5: None}
+
+
+def test_build_nodes(spark):
+    """Structure map to chunk rows: a table is a parent with anchors, texts around it are chunks, with sections and pages."""
+    intro, outro = "The introduction says what this document is about.", "The closing words stand on the last page of it."
+    table = "| No | Kegiatan | Waktu |\n|---|---|---|\n| 1 | tulis | 3 hari |"
+    items = [("d", 0, "SECTION", "# Scope", None, 1), ("d", 1, "TEXT", intro, None, 1), ("d", 2, "TABLE", table, "Steps", 2), ("d", 3, "PICTURE", "", "A picture", 2), ("d", 4, "TEXT", "## Close", None, 3), ("d", 5, "TEXT", outro, None, 3), ("d", 6, "CAPTION", "gone", None, 3)]
+    rows = spark.createDataFrame(items, "doc string, ordinal int, label string, text string, caption string, page int")
+    nodes = CH.structured_nodes(CH.structure_map(rows))
+    markdown = "\n\n".join(["# Scope", intro, f"**Table: Steps**\n\n{table}", "A picture", "## Close", outro])
+    texts = spark.createDataFrame([("d", markdown, "a.pdf")], "doc string, text string, filename string")
+    entries = rows.select("doc", "ordinal", "text", "page")
+    built = CH.build_nodes(nodes, texts, CH.page_segments(entries)).orderBy("chunk_index").collect()
+    kinds = [r["chunk_kind"] for r in built]
+    assert kinds[:3] == ["text", "table_parent", "table_anchor"] and kinds[-2:] == ["figure", "text"] and set(kinds[2:-2]) == {"table_anchor"}
+    by_kind = {r["chunk_kind"]: r for r in built}
+    first, last, parent = built[0], built[-1], by_kind["table_parent"]
+    assert first["text"] == f"# Scope\n\n{intro}" and first["chunk_id"] == "d:chunk:00000" and first["total_chunks"] == len(built)
+    assert first["section_title"] == "Scope" and last["section_title"] == "Close" and last["page_label"] == "Page 3"
+    assert parent["text"].startswith("**Table: Steps**") and parent["table_id"] == "table_0001" and parent["parent_id"] is None and parent["page_label"] == "Page 2"
+    assert by_kind["table_anchor"]["parent_id"] == "table_0001" and by_kind["figure"]["text"] == "A picture"
+    assert first["point_id"] == str(uuid.uuid5(uuid.NAMESPACE_URL, "d:chunk:00000")) and first["filename"] == "a.pdf"
+    told = CH.diagnostics(CH.build_nodes(nodes, texts, CH.page_segments(entries)))
+    assert told.count() == len(built) and len(told.columns) == 14
+    flat = CH.flat_nodes(texts.select("doc", "text"), 12, 3).collect()
+    assert len(flat) > 2 and {r["chunk_kind"] for r in flat} == {"text"}
+    empty = CH.page_segments(entries.where("page > 9"), pages=spark.createDataFrame([("d", 4, "A whole page of markdown stands here.")], "doc string, page int, markdown string")).collect()
+    assert [(r["page"], r["segments"]) for r in empty] == [(4, ["A whole page of markdown stands here."])]
+
+
+def test_sources_and_contexts(spark):
+    rows = [(1, 1, "n1", "doc_1", "a.pdf", 0.4213579, " text [1] ", "text", "Page 3", "Capabilities"), (1, 2, "n2", None, None, None, "| a |" * 20, "table_parent", None, None)]
+    ranked = spark.createDataFrame(rows, "q int, rank int, node_id string, doc string, filename string, score double, text string, kind string, page_label string, section_title string")
+    one_, two = A.sources(ranked, most_chars=30).orderBy("n").collect()
+    assert (one_["source_id"], one_["page_label"], one_["section_title"], one_["score"], one_["snippet"]) == ("S1", "Page 3", "Capabilities", 0.421358, "text [1]")
+    assert (two["doc"], two["filename"], two["chunk_index"], two["chunk_id"], two["score"], two["snippet"]) == ("unknown", "unknown", "?", "n2", None, "| a |" * 20)
+    context = A.contexts(A.sources(ranked, most_chars=30)).first()["context"].split("\n\n")
+    assert context[0].split("\n") == ["[S1]", "filename: a.pdf", "content_type: text", "chunk_kind: text", "table_id: n/a", "parent_id: n/a", "doc_id: doc_1", "chunk_id: n1", "chunk_index: ?", "page_label: Page 3", "section_title: Capabilities", "content:", "text [1]"]
+    assert context[1].startswith("[S2]\nfilename: unknown")
+
+
+def test_routing_and_settings(spark):
+    asked = spark.createDataFrame([(1, "budget?", '{"intention": "SEARCH", "rewritten_query": "ringkasan"}'), (2, "hi", '{"intention": "CHIT_CHAT"}'), (3, "it", '{"intention": "AMBIGUOUS", "clarification_question": "Which one?"}'), (4, "x", "broken")], "q int, text string, reply string")
+    assert {r["q"]: (r["action"], r["query"]) for r in A.route(asked).collect()} == {1: ("retrieve", "budget?"), 2: ("chat", "hi"), 3: ("clarify", "it"), 4: ("retrieve", "x")}
+    threshold = lambda s, b: one(spark, TB.signal_threshold(F.lit(s).cast("string"), F.lit(b).cast("string")))
+    assert [threshold(*x) for x in (("0.4", None), ("3", None), (None, "recall"), ("x", "balanced"), (None, None))] == [0.4, 1.0, 0.55, 0.65, 0.75]
+    assert one(spark, C.request_error(F.lit("user"), F.lit("x"), F.lit(0))) == "max_points" and one(spark, C.request_error(F.lit("user"), F.lit("x"), F.lit(1))) is None
+    c = spark.createDataFrame([(1, 0, "x", 0.9), (1, 1, "y", 0.8), (2, 0, "x", 0.5), (2, 1, "y", 0.4)], "q int, pos int, node_id string, score double")
+    scored = R.rerank_scored(c, lambda d: d.withColumn("scored", F.when((F.col("q") == 1) | (F.col("pos") == 0), F.col("pos") + 1.0)))
+    assert [(r["q"], r["node_id"]) for r in scored.orderBy("q", "rank").collect()] == [(1, "y"), (1, "x"), (2, "x"), (2, "y")]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from quarry.sources import bindings as B
+    from quarry.streaming.ingest import replace_stream
+
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "a.PDF").write_bytes(b"%PDF")
+    (tmp_path / "up" / "b.txt").write_bytes(b"x")
+    assert {r["filename"]: r["status"] for r in B.accepted(B.uploads(spark, str(tmp_path / "up"))).collect()} == {"a.PDF": "accepted", "b.txt": "failed"}
+    (tmp_path / "cases.json").write_text('[{"id": "1", "question": "why?"}]')
+    cases = B.eval_cases(spark, str(tmp_path / "cases.json"))
+    B.eval_report(cases, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
+    schema = "point_id string, filename string, v int"
+    old = spark.createDataFrame([("p1", "a", 1), ("p2", "b", 1)], schema)
+    assert sorted(map(tuple, IX.upsert(old, spark.createDataFrame([("p2", "b", 2), ("p3", "c", 2)], schema)).collect())) == [("p1", "a", 1), ("p2", "b", 2), ("p3", "c", 2)]
+    versions = []
+    for k, rows in enumerate(([("p1", "a", 1), ("p2", "b", 1)], [("p9", "b", 2)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        arrivals = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run = replace_stream(arrivals, str(tmp_path / "index"), lambda: spark.read.parquet(versions[-1]) if versions else None, lambda path, batch: versions.append(path), str(tmp_path / "check"))
+        run.processAllAvailable()
+        run.stop()
+        assert len(versions) == k + 1
+    assert sorted(map(tuple, spark.read.parquet(versions[-1]).collect())) == [("p1", "a", 1), ("p9", "b", 2)]
 
 
 def test_refusal(spark):
