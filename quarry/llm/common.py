@@ -58,3 +58,11 @@ def payload(column: str = "text"):
 
 def task_partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or what has to be added to it so that df has no such column."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name += "_"
+    return name

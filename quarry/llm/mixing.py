@@ -59,16 +59,18 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     n = docs.select(source_col).distinct().limit(most_sources + 1).count()
     rates = F.broadcast(rates) if n <= most_sources else rates.repartition("mix_source")
     kept = [c for c in docs.columns if c not in ("copy", "mix_key", "rate")]
-    rows = docs.select(*kept).join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col(id_col), k))  # hashed once a part, not once a term
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"))
+    rows = packed.join(rates, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col("id"), k))  # hashed once a part, not once a term
     drawn = F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
     counted = rows.withColumn("mix_n", drawn).where("mix_n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")).cast("binary")))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Keys are evenly spread, so equal ranges of their first 32 bits are the range partitions; no sample of the rows is drawn first.
     part = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * parts / F.lit(2.0**32)).cast("int")
-    return keyed.select(*kept, "copy", "mix_key", "rate").repartitionById(parts, part).sortWithinPartitions("mix_key")
+    dealt = keyed.select("row", "copy", "mix_key", "rate").repartitionById(parts, part).sortWithinPartitions("mix_key")
+    return dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "copy", "mix_key", "rate")
 
 
 ORACLE_SQL = r"""

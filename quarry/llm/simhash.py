@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, payload, small_or_shuffled, task_partitions
+from .common import fresh, materialize, payload, small_or_shuffled, task_partitions
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of least id; null, empty and wordless texts, all of fingerprint zero, are one component.
     Rows of one id go or stay together; where ids repeat, of rows of equal id and text one stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    found, name = near_duplicates(docs, id_col, text_col), fresh(docs, "gone_id")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if repeated else kept
