@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, mixture. Belongs to the subpackage llm."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, benchmark leaks, mixture. Belongs to the subpackage llm.
+
+Null, empty and very long texts, null and repeated ids, repeated rows and further columns pass as the stages say; further columns are kept, whatever
+their names (the mixture replaces copy, mix_key and rate). An empty table gives an empty result. Near copies are linked at the operator's radius of
+4 bits of 64, so near copies that differ in more stay.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, mixing, simhash, suffixes, toxicity
-from quarry.llm.common import materialize, read
+from quarry.llm.common import fresh, materialize, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +28,18 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that a 100-byte string of an earlier document or place covers are taken out; documents of which nothing is left go.
     Texts that were null or empty before stay."""
-    kept = suffixes.dedup_text(docs.withColumn("_had_text", F.coalesce(F.length("text") > 0, F.lit(False))))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).where("not _had_text or text <> ''").select(*docs.columns)
+    had = fresh(docs, "had_text")
+    kept = suffixes.dedup_text(docs.withColumn(had, F.coalesce(F.length("text") > 0, F.lit(False))))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).where(~F.col(had) | (F.col("text") != "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a benchmark item's five-word shingles go. Documents with a null id are told apart by their texts."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = docs.withColumn("_leak_key", key)
-    leaks = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_leak_key").select(F.col("doc_id").alias("_leak_key")).distinct()
-    return keyed.join(materialize(leaks, "leaks"), "_leak_key", "left_anti").select(*docs.columns)
+    name = fresh(docs, "leak_key")
+    keyed = docs.withColumn(name, key)
+    leaks = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark", "item_id", "text"), id_col=name).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(materialize(leaks, "leaks"), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
