@@ -126,8 +126,15 @@ def f02(spark, sf):
     return T.drop_boilerplate(docs, "x").select("doc_id", "lines", F.size("x").cast("long").alias("kept"))
 
 
-@query("f01_normalize_full")
+@query("f01_normalize_full", r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(coalesce(text, '')), '\r\n?', chr(10), 'g'), chr(173), ''), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g') AS t FROM documents),
+l AS (SELECT doc_id, line, x, trim(x) AS p FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM t)),
+k AS (SELECT *, p <> '' AND length(p) <= 80 AND len(regexp_split_to_array(p, '\s+')) <= 12 AND NOT regexp_matches(p, '^(#{1,6}\s|[-*+]\s|[0-9]+\.\s|>\s|\|)') AS short, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+c AS (SELECT *, count(*) FILTER (short) OVER (PARTITION BY doc_id, lower(p)) AS same FROM k),
+d AS (SELECT doc_id, line, regexp_replace(CASE WHEN starts_with(p, '|') THEN x ELSE regexp_replace(x, '[ \t]{2,}', ' ', 'g') END, '\s+$', '') AS tidy,
+  p = '' OR starts_with(p, '|') OR NOT (regexp_full_match(lower(p), 'page\s*[0-9]+(\s*(of|/)\s*[0-9]+)?|[0-9]+\s*(of|/)\s*[0-9]+|[0-9]{1,4}') OR (short AND same >= 4 AND same::DOUBLE / n >= 0.04)) AS stays FROM c)
+SELECT doc_id, regexp_replace(regexp_replace(coalesce(string_agg(tidy, chr(10) ORDER BY line) FILTER (stays), ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'gs') AS normalized FROM d GROUP BY doc_id""")
 def f01(spark, sf):
+    """The SQL composes by NFC, for want of NFKC; the texts of the tables have the same form by both. Compatibility forms have a test of their own."""
     return T.normalize_markdown(B.documents(spark, sf)).select("doc_id", "normalized")
 
 
