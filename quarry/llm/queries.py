@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, license_scan, mixing, simhash, suffixes, toxicity, url_filter, warc, webp
+from . import chat, codes, context_tree, decontaminate, license_scan, mixing, phrases, simhash, suffixes, toxicity, url_filter, warc, webp
 from .common import read
 
 
@@ -66,8 +66,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(read(spark, sf_dir, "documents", "text", "lang")))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.coalesce(F.expr(context_tree.HELD_OUT.format("doc_id")), F.lit(False))
+    scored = context_tree.score_texts(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_warc, op4_url_filter, op5_suffix_dedup, op6_chat_format, op7_simhash, op8_webp, op9_poisson_mix, op10_decontaminate)
+    f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_warc, op4_url_filter, op5_suffix_dedup, op6_chat_format, op7_simhash, op8_webp, op9_poisson_mix, op10_decontaminate, op11_vector_codes, op12_phrases, op13_lm_scoring)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -75,4 +90,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": chat.ORACLE_SQL,
     "op9_poisson_mix": mixing.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_vector_codes": codes.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
 }
