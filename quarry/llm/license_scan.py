@@ -1,5 +1,8 @@
 """Licence scans: an Aho-Corasick automaton finds notice phrases and identifier tags; a shunting-yard parser evaluates licence expressions.
 
+Expressions stand behind tags ("MIT OR Apache-2.0"; of what follows a tag the longest whole expression counts) and in prose (notice phrases with `or`,
+`and` or `with` between them). A text is permissive if each of its expressions leaves a choice that is.
+
 Null texts count as empty: no words, no labels, score 0. Very long texts are scanned whole, in time in proportion to their length. Repeated rows each
 get their own result; phrases that overlap or end at the same word all count, and of tags all do. Columns of the input other than the id and
 the text are ignored, so clashing names don't matter. An empty table gives an empty result.
@@ -42,7 +45,14 @@ IDENTIFIER_LABELS = {
     "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "mpl": "mpl", "bsd": "bsd",
 }
 #: Licence identifiers of letters alone; other words of letters are prose, not identifiers.
-PLAIN_IDENTIFIERS = {"isc", "zlib", "curl", "openssl", "ruby", "vim", "wtfpl", "beerware", "json", "libpng", "ncsa", "postgresql", "sleepycat", "w3c", "zed"}
+PLAIN_IDENTIFIERS = set(
+    """aal abstyles adsl afmparse aladdin ampas apafml barr beerware borceux caldera condor crossword crystalstacker cube curl diffmark dotseqn dsdp dvipdfm egenix entessa eudatagrid eurosym
+    fsful ftl giftware glide glulxe gnuplot haskellreport hpnd imatix imlib intel ipa isc jasper json leptonica libpng libtiff miros motosoto mtll multics mup naumen ncsa newsletr nlpl nokia
+    nosl noweb nrl ntp oclc ogtsl oml openssl postgresql psfrag psutils qhull rdisc rscpl ruby saxpath scea sendmail sissl sleepycat smlnj snia swl tcl tmate tosl upl vim vostrom w3c wsuipa
+    wtfpl xerox xnet xpp xskat zed zlib""".split()
+)
+#: Words that may stand between an operator and the notice phrase behind it.
+FILLERS = {"the", "under", "of", "terms"}
 #: Labels that permit reuse without further conditions on other works.
 PERMISSIVE = {"mit", "apache-2", "bsd", "public-domain"}
 EVIDENCE = {"tag": 0.95, "phrase": 0.8}
@@ -50,7 +60,7 @@ EVIDENCE = {"tag": 0.95, "phrase": 0.8}
 #: A-Z to a-z; every other ASCII byte that isn't a digit or small letter to a blank; bytes of other characters stay.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-]+")
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean"
@@ -67,48 +77,57 @@ def identifier_label(identifier: str) -> str:
     return low.rstrip("+")
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: with binds tighter than and, and tighter than or. Raises ValueError where the expression is not well formed."""
+def longest_prefix(tokens: list[str]) -> tuple[list[str], int]:
+    """Shunting-yard over tokens: with binds tighter than and, and tighter than or; a slash is an or. (postfix form, tokens read) of the longest prefix
+    that is a whole expression of identifiers; prose, a parenthesis too many or an operator without its operand end it. ([], 0) if there is none."""
     out: list[str] = []
     stack: list[str] = []
+    best: tuple[list[str], int] = [], 0
     operand_next = True
-    for token in _TOKEN.findall(expression):
-        low = token.lower()
-        if token == "(":
+    for k, token in enumerate(tokens, 1):
+        low = "or" if token == "/" else token.lower()
+        if token == "(" or low not in _RANK and token != ")":
             if not operand_next:
-                raise ValueError("operator expected")
-            stack.append(token)
+                break
+            if token == "(":
+                stack.append(token)
+                continue
+            try:
+                identifier_label(token)
+            except ValueError:
+                break
+            out.append(token)
+            operand_next = False
+        elif operand_next:
+            break
         elif token == ")":
-            if operand_next:
-                raise ValueError("operand expected")
-            while stack and stack[-1] != "(":
+            if "(" not in stack:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                raise ValueError("unbalanced")
             stack.pop()
-        elif low in _RANK:
-            if operand_next:
-                raise ValueError("operand expected")
+        else:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand_next = True
-        else:
-            if not operand_next:
-                if "(" not in stack:
-                    break  # prose after a complete expression
-                raise ValueError("operator expected")
-            out.append(token)
-            operand_next = False
-    if operand_next or "(" in stack:
-        raise ValueError("not finished")
-    return out + stack[::-1]
+        if not operand_next and "(" not in stack:
+            best = out + stack[::-1], k
+    return best
 
 
-def evaluate(expression: str) -> tuple[set[str], bool]:
-    """Labels of the expression, and whether some choice that it leaves is permissive: or needs one side, and both; an exception never forbids."""
+def to_postfix(expression: str) -> list[str]:
+    """The postfix form of an expression, up to prose behind it. Raises ValueError where the expression is not well formed."""
+    tokens = _TOKEN.findall(expression)
+    postfix, n = longest_prefix(tokens)
+    if not n or n < len(tokens) and (tokens[n] in "()" or tokens[n].lower() in _RANK):
+        raise ValueError("not well formed")
+    return postfix
+
+
+def _value(postfix: list[str]) -> tuple[set[str], bool]:
     values: list[tuple[set[str], bool]] = []
-    for token in to_postfix(expression):
+    for token in postfix:
         if token in _RANK:
             (b, fb), (a, fa) = values.pop(), values.pop()
             values.append((a, fa) if token == "with" else (a | b, fa or fb if token == "or" else fa and fb))
@@ -118,6 +137,25 @@ def evaluate(expression: str) -> tuple[set[str], bool]:
     return values[0]
 
 
+def evaluate(expression: str) -> tuple[set[str], bool]:
+    """Labels of the expression, and whether some choice that it leaves is permissive: or needs one side, and both; an exception never forbids."""
+    return _value(to_postfix(expression))
+
+
+def _phrase_expressions(found: list[tuple[int, int, str]], flat: str) -> list[list[str]]:
+    """Notice phrases (begin, end, label) in order of their ends, as expressions: an `or`, `and` or `with` between two of them joins them."""
+    out: list[list[str]] = []
+    last = 0
+    for begin, end, label in found:
+        between = [w for w in flat[last:begin].split() if w not in FILLERS] if begin - last < 60 else []
+        if out and begin >= last and len(between) == 1 and between[0] in _RANK:
+            out[-1] += [between[0], label]
+        else:
+            out.append([label])
+        last = end
+    return out
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, phrases in (("base", BASE_PHRASES), ("own", OWN_PHRASES), ("tag", {TAG_PHRASE: ""})):
@@ -131,13 +169,14 @@ def scan(text: bytes, matcher: ahocorasick.Automaton) -> tuple:
     """One text: its words stand between single blanks, so that phrases with a blank on each side match whole words only."""
     words = text.translate(_FOLD).split()
     flat = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    base, base_labels, labels, evidence, tagged = [], set(), set(), 0.0, False
+    base, base_labels, labels, evidence, tagged, phrases = [], set(), set(), 0.0, False, []
     at = word = 0  # the word that begins behind the blank at `at`
     for end, (kind, label, back) in matcher.iter(flat):
         if kind == "tag":
             tagged = True
             continue
         labels.add(label)
+        phrases.append((end - back, end, label))
         evidence = 1 - (1 - evidence) * (1 - EVIDENCE["phrase"])
         if kind == "base":
             start = end - back
@@ -145,13 +184,13 @@ def scan(text: bytes, matcher: ahocorasick.Automaton) -> tuple:
             at = start
             base.append(word)
             base_labels.add(label)
-    permissive = all(x in PERMISSIVE for x in labels) if labels else None
+    permissive = all(_value(longest_prefix(e)[0])[1] for e in _phrase_expressions(phrases, flat)) if labels else None
     if tagged:
         for expression in _TAG.findall(text.decode("utf-8", "replace")):
-            try:
-                found, free = evaluate(expression)
-            except ValueError:
+            postfix, n = longest_prefix(_TOKEN.findall(expression))
+            if not n:
                 continue
+            found, free = _value(postfix)
             labels |= {x.replace(",", "") for x in found}
             permissive = free and permissive is not False
             evidence = 1 - (1 - evidence) * (1 - EVIDENCE["tag"])

@@ -9,12 +9,14 @@ looked at. An empty table gives an empty result. Columns keep their names and or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = "mix-1"
 #: A rate is split into parts of at most this mean; their Poisson numbers are added, so that exp(-rate) never underflows.
 PART = 32.0
+#: Parts of a document's rate that are drawn in one row; a document with more is spread over rows, so that a tiny source is no long array in one task.
+PARTS_AT_ONCE = 32
 #: Terms of the distribution that are summed; beyond them a part of mean 32 has a probability under 1e-16.
 TERMS = 120
 
@@ -56,15 +58,28 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     of which Spark splits the large ones."""
     spark = docs.sparkSession
     rates = source_rates(docs, weights, source_col)
-    n = docs.select(source_col).distinct().limit(most_sources + 1).count()
-    rates = F.broadcast(rates) if n <= most_sources else rates.repartition("mix_source")
+    sizes = rates.agg(F.count("*").alias("n"), F.coalesce(F.max("parts"), F.lit(0)).alias("parts")).first()
+    rates = F.broadcast(rates) if sizes["n"] <= most_sources else rates.repartition("mix_source")
     kept = [c for c in docs.columns if c not in ("copy", "mix_key", "rate")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"))
     rows = packed.join(rates, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col("id"), k))  # hashed once a part, not once a term
-    drawn = F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
-    counted = rows.withColumn("mix_n", drawn).where("mix_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+
+    def drawn(first: Column, last: Column) -> Column:
+        draws = F.transform(F.sequence(first, last), lambda k: uniform(F.lit(seed), F.col("id"), k))  # hashed once a part, not once a term
+        return F.aggregate(draws, F.lit(0), lambda total, u: total + F.size(F.filter("cdf", lambda c: c <= u)))
+
+    if sizes["parts"] <= PARTS_AT_ONCE:
+        counted = rows.withColumn("mix_n", drawn(F.lit(1), F.col("parts"))).withColumn("before", F.lit(0).cast("long"))
+    else:
+        block = F.explode(F.sequence(F.lit(0), F.expr(f"cast((coalesce(parts, 1) - 1) div {PARTS_AT_ONCE} as int)"))).alias("block")
+        # The draws depend on the id alone: they are made once for each id and block, spread by hash, and numbered on within an id.
+        own = rows.select("source", "id", "parts", "cdf").dropDuplicates(["source", "id"]).select("source", "id", "parts", "cdf", block).repartition("source", "id", "block")
+        own = own.withColumn("mix_n", drawn(F.col("block") * PARTS_AT_ONCE + 1, F.least(F.col("parts"), (F.col("block") + 1) * PARTS_AT_ONCE)))
+        w = Window.partitionBy("source", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        own = own.select(F.col("source").alias("s"), F.col("id").alias("i"), "block", "mix_n", F.coalesce(F.sum("mix_n").over(w), F.lit(0)).alias("before")).where("mix_n > 0").repartition("s", "i", "block")
+        counted = rows.drop("cdf").join(own, F.col("source").eqNullSafe(F.col("s")) & F.col("id").eqNullSafe(F.col("i")))
+    counted = counted.where("mix_n > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n")))).withColumn("copy", (F.col("before") + F.col("copy")).cast("int"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Keys are evenly spread, so equal ranges of their first 32 bits are the range partitions; no sample of the rows is drawn first.

@@ -11,7 +11,8 @@ each loser the prefix it shares with the winner, so known prefixes are never com
 groups; in a group, equal items are covered whole, and of the others only the windows within the prefix shared with a neighbour are looked up.
 A group is read as a stream: its windows are looked up by a digest of 128 bits, in groups of every size, GROUP_ITEMS items at a time; if there are
 more, each piece's first places of windows go by digest to a second shuffle, where the first place of each digest stays and the others are
-covered. (Among 10^14 windows some two different ones have equal digests with a probability of about 10^-11.) Runs are decoded in pieces.
+covered. (Among 10^14 windows some two different ones have equal digests with a probability of about 10^-11.) Runs are decoded in pieces, and at most
+MERGE_WIDTH of them are merged at once.
 
 A byte is removed if a LENGTH-byte string covers it that also starts earlier: at a smaller id, or in the same text before. Null ids come first.
 Rows of equal id and equal text are one text with one result; rows of equal id and different texts are ordered by hash. Null texts are empty;
@@ -33,13 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, payload, task_partitions
+from .common import payload, task_partitions
 
 LENGTH, GRAM = 100, 20
 #: Items sorted at a time in a task, bytes of text hashed at a time, and items of a group whose windows are held at a time.
 RUN_ITEMS, BATCH_BYTES, GROUP_ITEMS = 300_000, 2 << 20, 2_000
-#: Decoded items of all runs that a merging task holds, and bytes of compressed runs that it holds before the others go to a temporary file.
-OPEN_ITEMS, HELD_BYTES = 500_000, 64 << 20
+#: Decoded items of all runs that a merging task holds, bytes of compressed runs that it holds before the others go to a file in Spark's local folders,
+#: runs that are merged at once (more are merged in passes), and items of a block of a run that a pass makes.
+OPEN_ITEMS, HELD_BYTES, MERGE_WIDTH, BLOCK_ITEMS = 500_000, 64 << 20, 256, 20_000
 #: Compression of runs: level 5 is a sixth smaller than level 1 on sorted text, at a quarter of its speed.
 RUN_LEVEL = 5
 #: A text's windows are taken in pieces of so many starts; each piece has all bytes of its windows.
@@ -361,30 +363,70 @@ def _groups(pairs: Iterator[tuple]) -> Iterator[Iterator[tuple]]:
         yield group()
 
 
+class _Runs:
+    """Sorted runs of a merging task: each is a list of (blob or what reads it, prefix shared with the item before the blob's first)."""
+
+    def __init__(self, spilled) -> None:
+        self.spilled, self.end, self.held, self.all = spilled, 0, 0, []
+
+    def kept(self, blob: bytes) -> bytes | Callable[[], bytes]:
+        self.held += len(blob)
+        if self.held <= HELD_BYTES:
+            return blob
+        self.spilled.write(blob)
+        self.spilled.flush()
+        at, self.end = self.end, self.end + len(blob)
+        return lambda: os.pread(self.spilled.fileno(), len(blob), at)
+
+    def merged(self, runs: list[list[tuple]]) -> Iterator[tuple]:
+        piece = max(16, OPEN_ITEMS // max(1, len(runs)))
+
+        def items(run: list[tuple]) -> Iterator[tuple]:
+            for blob, shared in run:
+                inside = run_items(blob, piece)
+                first = next(inside)
+                yield first[0], shared, *first[2:]
+                yield from inside
+
+        return merge([items(r) for r in runs]) if runs else iter(())
+
+    def narrowed(self) -> Iterator[tuple]:
+        """All runs merged; where they are more than MERGE_WIDTH, some at a time become longer runs first."""
+        while len(self.all) > MERGE_WIDTH:
+            longer = []
+            for k in range(0, len(self.all), MERGE_WIDTH):
+                run, block = [], []
+
+                def close(run: list = run, block: list = block) -> None:
+                    strings, _, keys, start, right = zip(*(x for x, _ in block), strict=True)
+                    run.append((self.kept(front_code(list(strings), np.array(right), np.array(start), list(keys))), block[0][1]))
+                    block.clear()
+
+                for pair in self.merged(self.all[k : k + MERGE_WIDTH]):
+                    block.append(pair)
+                    if len(block) >= BLOCK_ITEMS:
+                        close()
+                if block:
+                    close()
+                longer.append(run)
+            self.all = longer
+        return self.merged(self.all)
+
+
 def _merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans covered (digest null), and of groups in pieces the first places in a piece of windows by digest."""
     names = ["key", "span", "digest"]
-    with tempfile.TemporaryFile() as spilled:
-        blobs: list[bytes | Callable[[], bytes]] = []
-        held = end = 0
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as spilled:
+        runs = _Runs(spilled)
         for batch in batches:
             here = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for x in batch.column(0).filter(pa.array(here)):
-                blob = x.as_py()
-                held += len(blob)
-                if held > HELD_BYTES:
-                    spilled.write(blob)
-                    blobs.append(lambda at=end, size=len(blob): os.pread(spilled.fileno(), size, at))
-                    end += len(blob)
-                else:
-                    blobs.append(blob)
+                runs.all.append([(runs.kept(x.as_py()), 0)])
             rest = batch.filter(pa.array(~here))
             if rest.num_rows:
                 yield pa.RecordBatch.from_arrays([rest.column(1), rest.column(2), pa.nulls(rest.num_rows, pa.binary())], names=names)
-        spilled.flush()
         found: list[tuple[bytes, int, int]] = []
-        piece = max(16, OPEN_ITEMS // max(1, len(blobs)))
-        for group in _groups(merge([run_items(b, piece) for b in blobs]) if blobs else iter(())):
+        for group in _groups(runs.narrowed()):
             for spans, seen in stream_cover(group):
                 found += spans
                 if seen:
@@ -408,12 +450,12 @@ def _later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.filter(pa.array(later)).select(["key", "span"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Adds `key`, which orders as the ids do: nothing for a null id, else eight bytes; then the text's hash where ids are not unique."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> tuple[DataFrame, bool]:
+    """(rows, whether their ids are unique). Adds `key`, which orders as the ids do: nothing for a null id, else eight bytes; then the text's hash where ids are not unique."""
     rows = docs.select(*more, F.col(id_col).cast("long").alias("_id"), payload(text_col).alias("_data"))
     unique = not docs.select(F.col(id_col).alias("_id")).groupBy("_id").count().where("count > 1 or _id is null").limit(1).count()
     key = F.unhex(F.lpad(F.hex(F.col("_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    return rows.withColumn("key", key if unique else F.concat(F.coalesce(key, F.lit(b"")), F.unhex(F.lpad(F.hex(F.xxhash64("_data")), 16, "0"))))
+    return rows.withColumn("key", key if unique else F.concat(F.coalesce(key, F.lit(b"")), F.unhex(F.lpad(F.hex(F.xxhash64("_data")), 16, "0")))), unique
 
 
 def covered(keyed: DataFrame) -> DataFrame:
@@ -449,9 +491,10 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
     return (reader.decompress(x.as_py()) for x in column)
 
 
-def _with_spans(keyed: DataFrame) -> DataFrame:
-    """keyed with its spans gathered, `_data` compressed: each text meets its own spans by key."""
-    spans = covered(keyed).groupBy("key").agg(F.collect_set("span").alias("spans"))
+def _with_spans(keyed: DataFrame, unique: bool) -> DataFrame:
+    """keyed with its spans gathered, `_data` compressed: each text meets its own spans by key. Rows of equal id and text are one text: only
+    one of them is looked at, else each would cover the other."""
+    spans = covered(keyed if unique else keyed.select("key", "_data").dropDuplicates(["key", "_data"])).groupBy("key").agg(F.collect_set("span").alias("spans"))
     return keyed.mapInArrow(_pack, keyed.schema).join(spans, "key", "left")
 
 
@@ -471,8 +514,8 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    keyed = _keyed(docs, id_col, text_col)
-    return _with_spans(keyed).select("_id", "_data", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed, unique = _keyed(docs, id_col, text_col)
+    return _with_spans(keyed, unique).select("_id", "_data", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,8 +540,8 @@ def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     others = [c for c in docs.columns if c != text_col]
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = _keyed(kept, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(text_col).isNull().alias("_none"))
-    joined = _with_spans(keyed).select("_row", "_none", "_data", "spans")
+    keyed, unique = _keyed(kept, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(text_col).isNull().alias("_none"))
+    joined = _with_spans(keyed, unique).select("_row", "_none", "_data", "spans")
     schema = joined.select("_row", "_none").schema.add("_text", "string")
     done = joined.mapInArrow(cut, schema)
     return done.select(*[F.when(~F.col("_none"), F.col("_text")).alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -101,10 +101,77 @@ def test_license_tag_before_prose(after):
 
 def test_license_identifiers():
     scan = lambda e: license_scan.scan(f"SPDX-License-Identifier: {e}\n".encode(), license_scan.automaton())[5]
-    for text, want in (("see file", ""), ("Mitre-Foo", "mitre-foo"), ("MIT-0", "mit"), ("ISC", "isc"), ("GPLv3", "gpl"), ("", ""), ("12", ""), ("Foo-1.0+ OR see", "")):
+    for text, want in (("see file", ""), ("Mitre-Foo", "mitre-foo"), ("MIT-0", "mit"), ("ISC", "isc"), ("GPLv3", "gpl"), ("", ""), ("12", ""), ("Foo-1.0+ OR see", "foo-1.0")):  # the longest whole expression stays
         assert scan(text) == want, text
 
 
+PROBES = [
+    ("// (SPDX-License-Identifier: MIT)", "mit"), ("SPDX-License-Identifier: MIT (see LICENSE)", "mit"), ("SPDX-License-Identifier: MIT or later versions", "mit"),
+    ("SPDX-License-Identifier: MIT and other stuff", "mit"), ("SPDX-License-Identifier: MIT OR", "mit"), ("SPDX-License-Identifier: Intel OR MIT", "intel,mit"),
+    ("SPDX-License-Identifier: MIT/Apache-2.0", "apache-2,mit"), ("SPDX-License-Identifier: (MIT OR", ""), ("SPDX-License-Identifier: OR MIT", ""),
+    ("SPDX-License-Identifier: (MIT OR ISC) AND (MPL-2.0 AND foo", "isc,mit"), ("SPDX-License-Identifier: MIT)) OR ISC", "mit"),
+]
+
+
+def test_license_longest_prefix(spark):
+    """On a table: of what follows a tag the longest whole expression counts."""
+    rows = spark.createDataFrame([(k, f"{t}\nmore text") for k, (t, _) in enumerate(PROBES)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(rows).collect()}
+    for k, (text, want) in enumerate(PROBES):
+        assert got[k]["labels"] == want and (got[k]["score"] > 0.9) == bool(want), text
+
+
+def test_license_longest_prefix_brute_force():
+    """Against a recursive reader of all prefixes."""
+    def value(tokens):
+        def expr(i, rank):
+            if rank == 4:
+                if i < len(tokens) and tokens[i] == "(":
+                    v, i = expr(i + 1, 1)
+                    if i >= len(tokens) or tokens[i] != ")":
+                        raise ValueError
+                    return v, i + 1
+                if i >= len(tokens) or tokens[i] not in ("mit", "gpl-2.0", "isc"):
+                    raise ValueError
+                return tokens[i] in ("mit",), i + 1
+            v, i = expr(i, rank + 1)
+            op = {1: "or", 2: "and", 3: "with"}[rank]
+            while i < len(tokens) and tokens[i] == op:
+                w, i = expr(i + 1, rank + 1)
+                v = v or w if rank == 1 else v and w if rank == 2 else v
+            return v, i
+
+        v, i = expr(0, 1)
+        if i < len(tokens):
+            raise ValueError
+        return v
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        tokens = [rng.choice(["mit", "gpl-2.0", "isc", "or", "and", "with", "(", ")", "prose", "mit"]) for _ in range(rng.randint(0, 9))]
+        want = 0
+        for n in range(len(tokens), 0, -1):
+            try:
+                free = value(tokens[:n])
+            except ValueError:
+                continue
+            want = n
+            break
+        postfix, n = license_scan.longest_prefix(tokens)
+        assert n == want, tokens
+        if n:
+            assert license_scan._value(postfix)[1] == free, tokens
+
+
+def test_license_phrase_expressions(spark, sf):
+    texts = {
+        "Released under the MIT license or under the Apache License, Version 2.0.": True, "under the mit license and the gnu general public license": False, "under the mit license or the GNU General Public License": True,
+        "gnu general public license or under the mit license and mozilla public license": False, "under the mit license. " + "word " * 30 + "gnu general public license": False, "cc by nc": False, "nothing": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["permissive"] for r in license_scan.license_scan(rows).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_license_labels_brute_force():
     """Labels and score of phrases, against a plain search for each phrase; many matches in one long text."""
     phrases = {**license_scan.BASE_PHRASES, **license_scan.OWN_PHRASES}
@@ -324,6 +391,34 @@ def test_suffixes_brute_force(spark):
             assert hashlib.sha256(kept[k].encode()).hexdigest() == want[k][3]
 
 
+LONG_LINE = "".join(map(random.Random(300).choice, ["abcdefghijklmnop"] * 300))
+
+
+@pytest.mark.parametrize("ids", [(1, 1), (None, None), (1, None), (None, None, None, 2)])
+def test_suffixes_repeated_rows(spark, ids):
+    """Rows of equal id and text are one text: nothing of it goes, in neither row; what other texts repeat of it goes there."""
+    rows = [(i, LONG_LINE) for i in ids] + [(5, "x" + LONG_LINE[:150] + "y"), (5, "z" + LONG_LINE[20:200])]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)):
+        first = min((-1 if i is None else i) for i in ids)
+        gone = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffixes.dedup_digest(table).collect()}
+        assert gone == {**{(i, 300): 0 if (-1 if i is None else i) == first else 300 for i in ids}, (5, 152): 150, (5, 181): 180}
+        kept = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in suffixes.dedup_text(table).collect())
+        assert kept == sorted([((-1 if i is None else i), LONG_LINE if (-1 if i is None else i) == first else "") for i in ids] + [(5, "xy"), (5, "z")])
+
+
+def test_suffix_merge_in_passes(monkeypatch, tmp_path):
+    """More runs than are merged at once: passes of bounded width give the same items and shared prefixes, from memory and from a file."""
+    blobs = [b.column(0)[0].as_py() for b in _hot_runs(600, 40)]
+    want = list(suffixes.merge([suffixes.run_items(b) for b in blobs]))
+    assert len(want) == 600 and len(blobs) == 15
+    for width, block, held in ((2, 7, 0), (3, 1000, 1 << 20), (4, 1, 500), (15, 7, 0)):
+        monkeypatch.setattr(suffixes, "MERGE_WIDTH", width), monkeypatch.setattr(suffixes, "BLOCK_ITEMS", block), monkeypatch.setattr(suffixes, "HELD_BYTES", held)
+        with (tmp_path / f"{width}").open("w+b") as spilled:
+            runs = suffixes._Runs(spilled)
+            runs.all = [[(runs.kept(b), 0)] for b in blobs]
+            assert list(runs.narrowed()) == want
+
+
 def test_suffix_pieces():
     """A text dealt in pieces has the same windows as a whole one."""
     data = b"".join(bytes([97 + (k * k) % 7]) for k in range(2000))
@@ -483,6 +578,23 @@ def test_mixing(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, mixing.poisson_mix(docs.repartition(7)).collect())) and [r["doc_id"] for r in one] != sorted(r["doc_id"] for r in one)
 
 
+def test_mixing_tiny_source(spark, monkeypatch):
+    """A source of one document among many is drawn over many rows, with the same numbers and copies as in one; repeated rows included."""
+    rows = [(k, f"t{k}", "large") for k in range(4000)] + [(1, "only", "tiny"), (None, "none", None), (None, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def drawn():
+        return sorted(((r["doc_id"] or -1), r["text"], r["copy"], r["mix_key"]) for r in mixing.poisson_mix(docs).collect())
+
+    monkeypatch.setattr(mixing, "PARTS_AT_ONCE", 10**6)
+    want = drawn()
+    n = sum(r[1] == "only" for r in want)
+    assert 1000 < n < 1700 and [r[2] for r in want if r[1] == "only"] == list(range(1, n + 1))  # a mean of 4003 / 3
+    for parts in (1, 7, 32):
+        monkeypatch.setattr(mixing, "PARTS_AT_ONCE", parts)
+        assert drawn() == want
+
+
 def test_decontamination_is_native(spark, sf, capsys):
     Q.op10_decontaminate(spark, sf).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
