@@ -254,7 +254,7 @@ def _apart(strings: DataFrame, trees: list[DataFrame]) -> DataFrame:
     """(code, lp) of distinct byte strings (code), where there are too many nodes to send: what lies above two bytes of context is sent (at most
     65,535 nodes of 255 x 257), the rest meets the strings of equal last two bytes of context in one group."""
     spark = strings.sparkSession
-    top = spark.sparkContext.broadcast([_sorted(t.toPandas()) for t in trees[:2]])
+    top = spark.sparkContext.broadcast([_sorted(t.toArrow()) for t in trees[:2]])
     deep, depth = None, len(trees) - 1
     for d, tree in enumerate(trees[2:], 2):
         one = tree.select(F.expr("shiftright(key, 8) & 65535").alias("pair"), F.lit(d).alias("d"), "key", "p", "stop")
@@ -280,9 +280,10 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     trees, tables = context_trees(strings, depth)
     n_nodes = [t.count() for t in trees]
     sent = words.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(top_words)
-    known = spark.sparkContext.broadcast({r["word"].encode(): math.log10(r["n"] + 1) for r in sent.collect()})
+    table = sent.toArrow()
+    known = spark.sparkContext.broadcast({w.encode(): math.log10(n + 1) for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)})
     small = sum(n_nodes) <= most_nodes
-    model = spark.sparkContext.broadcast([_sorted(t.toPandas()) for t in trees]) if small else None
+    model = spark.sparkContext.broadcast([_sorted(t.toArrow()) for t in trees]) if small else None
     if small:
         discard(*tables)
     texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -242,7 +242,7 @@ def test_context_trees_without_training(spark):
 def test_probabilities_add_up(spark):
     """The next byte's 256 probabilities add up to one, in a context that was seen and in one that was not."""
     counts = context_tree.corpus_counts(spark.createDataFrame([("abracadabra",), ("abba",)], "text string"), 3)
-    trees = [context_tree._sorted(t.toPandas()) for t in context_tree.context_trees(counts.where("word is null"), 3)[0]]
+    trees = [context_tree._sorted(t.toArrow()) for t in context_tree.context_trees(counts.where("word is null"), 3)[0]]
     for context in (b"bra", b"zzz", b"\xff\xffa"):
         every = (int.from_bytes(context, "big") << 8) | np.arange(256)
         assert (10 ** context_tree.log10_bytes(every, trees)).sum() == pytest.approx(1)
