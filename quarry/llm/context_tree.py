@@ -35,11 +35,11 @@ from .common import discard, materialize
 
 DEPTH, EDGE = 5, b"\xff"
 HELD_OUT = "crc32(cast(cast({} as string) as binary)) % 7 = 2"
-#: Bytes of text that a task counts together, and at which it cuts long texts.
-LOT = 8 << 20
+#: Bytes of text that a task counts together, and at which it cuts long texts; it scores half as many together.
+LOT = 4 << 20
 MOST_NODES, TOP_WORDS, LONG_WORD = 8_000_000, 200_000, 64
 #: Scores of byte strings that a task remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 def codes_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +50,10 @@ def codes_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(flat) - depth, np.int64)
     for k in range(depth + 1):
         code = (code << 8) | flat[k : len(flat) - depth + k]
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    begin = np.cumsum(lengths + depth) - lengths - depth
-    return code[np.arange(len(owner)) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)], owner
+    begin = np.cumsum(lengths[:-1] + depth)
+    real = np.ones(len(code), bool)
+    real[(begin[:, None] - 1 - np.arange(depth)).ravel()] = False  # bytes before the start of the texts behind the first
+    return code[real], np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
 
 
 def _lots(batches: Iterator[pa.RecordBatch], depth: int, lot: int) -> Iterator[list[tuple[tuple[int, str | None], bytes, bytes, bool]]]:
@@ -88,7 +89,7 @@ def _strings(held: list[tuple[tuple[int, str | None], bytes, bytes, bool]], dept
         for j in range(depth + 1):
             own = (own << 8) | flat[j : len(flat) - depth + j]
         parts.append(own)
-        owners.append(np.full(len(own), k))
+        owners.append(np.full(len(own), k, np.int32))
     return np.concatenate(parts), np.concatenate(owners)
 
 
@@ -288,7 +289,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
         discard(*tables)
     texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # Rows are numbered by task and place; the numbers hold since the table is written.
-    pieces = materialize(texts.mapInArrow(_score(depth, lot, known, model), ROW), "scored")
+    pieces = materialize(texts.mapInArrow(_score(depth, max(1, lot // 2), known, model), ROW), "scored")
     whole = pieces.groupBy("row").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "n_known", "base", "score")])
     rare = pieces.select("row", F.explode("rare").alias("e")).select("row", "e.word", F.col("e.n").alias("m")).join(words, "word")
     rare = rare.groupBy("row").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("more_base"))
