@@ -27,6 +27,8 @@ from .common import materialize
 LEAST, MOST_WORDS, SHARE, TOP = 10, 3, 50, 2000
 #: Rows of the sketch; tokens of a task that are counted together (packed word numbers have 21 bits); bytes of a text that are split at once.
 DEPTH, FLUSH_TOKENS, SLICE = 2, 1_200_000, 1 << 20
+#: Shares that a language's phrases are dealt to before their first rows are put in order.
+SHARES = 32
 #: Bits of a folded row at most (16 MB).
 MOST_BITS = 1 << 27
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -267,8 +269,11 @@ def collocations(counts: DataFrame, share: int = SHARE, top: int = TOP) -> DataF
     inner = phrases.where("size >= 3").select("lang", F.col("f").alias("longer"), "words", "size", F.explode(sizes).alias("m"))
     inner = inner.select("lang", "longer", "words", "m", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("m") + 1)).alias("i")).groupBy("lang", part(F.col("i"), F.col("m")).alias("phrase")).agg(F.max("longer").alias("longer"))
     kept = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share))
-    w = Window.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    order = [F.desc("b.score"), F.desc("a"), F.col("phrase")]
+    # Each share of a language is cut to its first rows before they meet, so that the task of a large language gets SHARES x top rows at most.
+    share_of = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+    first = kept.withColumn("rank", F.row_number().over(share_of)).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "b.l", "b.r", "n", "b.score")
 
