@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-DEPTH, EDGE = 5, b"\xff"
+DEPTH, EDGE = 4, b"\xff"
 HELD_OUT = "crc32(cast(cast({} as string) as binary)) % 7 = 2"
 #: Bytes of text that a task counts together, and at which it cuts long texts; it scores half as many together.
 LOT = 4 << 20
@@ -223,32 +223,34 @@ def _score(depth: int, lot: int, words, trees):
         cutter = Words()
         for held in _lots(batches, depth, lot):
             codes, owner = _strings(held, depth)
+            n = len(held)
+            total, strings = np.zeros(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
             if scores is not None:
                 distinct, back = np.unique(codes, return_inverse=True)
-                total = np.bincount(owner, scores.of(distinct)[back], len(held))
-                strings = [[]] * len(held)
+                total = np.bincount(owner, scores.of(distinct)[back], n)
             else:
-                total, strings = np.zeros(len(held)), []
-                for k in range(len(held)):
-                    strings.append([{"code": c, "n": n} for c, n in zip(*(x.tolist() for x in np.unique(codes[owner == k], return_counts=True)), strict=True)])
-            rows = []
-            for k, ((row, name), piece, _, last) in enumerate(held):
+                order = np.argsort(owner, kind="stable")
+                strings = [np.unique(own, return_counts=True) for own in np.split(codes[order], np.searchsorted(owner[order], np.arange(1, n)))]
+            counted = []
+            for _, piece, _, last in held:
                 found = Counter(cutter.of(piece, last))
                 if last:
                     found[b""] += 1
-                sent = [(known[w], n) for w, n in found.items() if w in known]
-                rare = [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in found.items() if w not in known]
-                rows.append((base + row, name, sum(found.values()), len(piece) + last, sum(n for _, n in sent), math.fsum(x * n for x, n in sent), float(total[k]), rare, strings[k]))
-            names = [c.split()[0] for c in ROW.split(", ")]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_SCHEMA)
+                counted.append(found)
+            sent = [[(known[w], m) for w, m in found.items() if w in known] for found in counted]
+            rare = [[(w.decode("utf-8", "replace"), m) for w, m in found.items() if w not in known] for found in counted]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([base + row for (row, _), *_ in held]), pa.array([name for (_, name), *_ in held], pa.string()), pa.array([sum(found.values()) for found in counted], pa.int64()),
+                pa.array([len(piece) + last for _, piece, _, last in held], pa.int64()), pa.array([sum(m for _, m in x) for x in sent], pa.int64()), pa.array([math.fsum(v * m for v, m in x) for x in sent], pa.float64()), pa.array(total, pa.float64()),
+                _lists([pa.array([w for x in rare for w, _ in x], pa.string()), pa.array([m for x in rare for _, m in x], pa.int64())], ["word", "n"], [len(x) for x in rare]),
+                _lists([pa.array(np.concatenate([c for c, _ in strings]), pa.int64()), pa.array(np.concatenate([m for _, m in strings]), pa.int64())], ["code", "n"], [len(c) for c, _ in strings]),
+            ], [c.split()[0] for c in ROW.split(", ")])
 
     return run
 
 
-_SCHEMA = pa.schema([
-    ("row", pa.int64()), ("id", pa.string()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-    ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))), ("codes", pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))),
-])
+def _lists(columns: list[pa.Array], names: list[str], sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
 def _apart(strings: DataFrame, trees: list[DataFrame]) -> DataFrame:
