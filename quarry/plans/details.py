@@ -12,9 +12,8 @@ from ..functions import text as T
 from ..operators import chunk as CH
 from ..operators import index as IX
 from ..operators import rank as R
-from ..operators import search as S
 from ..sources import bindings as B
-from .queries import BEST, CANDIDATES, CHUNKS, ENTRIES, FUSED, LISTS, ORDERS, REWRITE, _candidates, _dense, _entries, _fused, _questions, _talk, _texts, query
+from .queries import BEST, CANDIDATES, CHUNKS, ENTRIES, FUSED, LISTS, ORDERS, REWRITE, _candidates, _dense, _entries, _fused, _sparse, _talk, query
 
 TIDY = r"(SELECT conv_id, turn, lower(trim(role)) AS role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM conversations WHERE lower(trim(role)) IN ('system', 'user', 'assistant') AND regexp_matches(text, '\S'))"
 
@@ -195,7 +194,7 @@ def l06(spark, sf):
 
 @query("u03_first_of_node", f"SELECT q, node_id, list_ix, rank FROM {LISTS} QUALIFY row_number() OVER (PARTITION BY q, node_id ORDER BY list_ix, rank) = 1")
 def u03(spark, sf):
-    lists = [_dense(spark, sf), S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))]
+    lists = [_dense(spark, sf), _sparse(spark, sf)]
     both = [one.select("q", "node_id", F.lit(k).alias("list_ix"), "rank") for k, one in enumerate(lists)]
     return R.top_k(both[0].unionByName(both[1]), ["q", "node_id"], ["list_ix", "rank"], 1, "_n").drop("_n")
 

@@ -14,9 +14,12 @@ from ..functions import text as T
 from ..operators import answer as A
 from ..operators import chunk as CH
 from ..operators import index as IX
+from ..operators import postings as PO
 from ..operators import rank as R
 from ..operators import search as S
+from ..operators import vectors as V
 from ..sources import bindings as B
+from ..sources import scratch as SC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,10 +38,26 @@ SCORES = f"""(WITH q AS (SELECT item_id AS q, t AS token, count(*)::DOUBLE AS wq
   d AS (SELECT doc_id AS node_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TERMS}) AS t FROM documents) GROUP BY ALL)
   SELECT q, node_id, sum(wq * tf) AS score FROM q JOIN d USING (token) GROUP BY q, node_id)"""
 SPARSE = f"(SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM {SCORES} QUALIFY rank <= 24)"
-#: A question has the vector of its own id, a document too (a convention of this repository; the tables state no relation).
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-DENSE = f"""(SELECT a.vec_id AS q, b.vec_id AS node_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank
-  FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 24)"""
+
+
+def _features(table: str, key: str) -> str:
+    """SQL: (key, f), a row for each word and pair of neighbouring words of a text."""
+    return f"(SELECT {key}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM (SELECT {key}, {TERMS} AS w FROM {table}))"
+
+
+def _text_vectors(table: str, key: str) -> str:
+    """SQL: (key, place, x), the places of the text vectors of a table, weighed by documents."""
+    return f"""(SELECT {key}, (n >> 1) % 256 AS place, sum(CASE WHEN n % 2 = 0 THEN tf * weight ELSE -tf * weight END)::BIGINT AS x FROM (
+  SELECT {key}, tf, weight, ('0x' || substr(md5(f), 4 * unnest(range(0, 4)) + 1, 4))::INT AS n FROM (SELECT {key}, f, count(*) AS tf FROM {_features(table, key)} GROUP BY ALL)
+  JOIN (SELECT f, floor(1000 * (1 + ln((SELECT count(*) FROM documents)::DOUBLE / count(DISTINCT doc_id))))::BIGINT AS weight FROM {_features('documents', 'doc_id')} GROUP BY f) USING (f)) GROUP BY ALL)"""
+
+
+DENSE = f"""(WITH a AS (SELECT * FROM {_text_vectors('benchmark', 'item_id')}), b AS (SELECT * FROM {_text_vectors('documents', 'doc_id')}),
+  an AS (SELECT item_id, sqrt(sum(x * x)::DOUBLE) AS n FROM a GROUP BY 1), bn AS (SELECT doc_id, sqrt(sum(x * x)::DOUBLE) AS n FROM b GROUP BY 1),
+  s AS (SELECT item_id AS q, doc_id AS node_id, sum(a.x * b.x)::DOUBLE AS dot FROM a JOIN b USING (place) GROUP BY ALL),
+  r AS (SELECT q, node_id, dot / (an.n * bn.n) AS score FROM s JOIN an ON an.item_id = q JOIN bn ON bn.doc_id = node_id WHERE an.n > 0 AND bn.n > 0)
+  SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS rank FROM r QUALIFY rank <= 24)"""
 LISTS = f"(SELECT q, node_id, 0 AS list_ix, score, rank FROM {DENSE} UNION ALL SELECT q, node_id, 1, score, rank FROM {SPARSE})"
 FUSED = f"""(SELECT q, node_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, f.list_ix, f.rank) AS rank FROM (
   SELECT q, node_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({{'list_ix': list_ix, 'rank': rank}}) AS f FROM {LISTS} GROUP BY q, node_id) QUALIFY rank <= 24)"""
@@ -66,14 +85,49 @@ def _talk(spark: SparkSession, sf: str) -> DataFrame:
     return B.table(spark, sf, "conversations")
 
 
+def _tables(sf: str, *names: str) -> list[str]:
+    return [f"{sf}/{n}.parquet" for n in names]
+
+
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of features by the documents, published once."""
+    texts = _texts(spark, sf)
+    return SC.published(spark, "weights", _tables(sf, "documents"), lambda: V.feature_weights(V.feature_counts(texts, "node_id", T.STOPWORDS), texts.count()))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.published(spark, "text_vectors", _tables(sf, "documents"), lambda: V.project(V.feature_counts(_texts(spark, sf), "node_id", T.STOPWORDS), _weights(spark, sf), "node_id"))
+
+
+def _asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return SC.published(spark, "asked_vectors", _tables(sf, "documents", "benchmark"), lambda: V.project(V.feature_counts(_questions(spark, sf), "q", T.STOPWORDS), _weights(spark, sf), "q"))
+
+
+def _cells(spark: SparkSession, label: str, inputs: list[str], vectors: DataFrame):
+    """(inverted file over vectors, its centroids), published once; centroids are columns of a table beside it."""
+    made = SC.published(spark, f"{label}_centroids", inputs, lambda: spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(V.fit_centroids(vectors))], "cell int, c array<double>"))
+    centroids = V.np.array([r["c"] for r in made.orderBy("cell").collect()])
+    return SC.published(spark, f"{label}_cells", inputs, lambda: V.build_cells(vectors, centroids)), centroids
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings index over the documents, published once."""
+    return SC.published(spark, "postings", _tables(sf, "documents"), lambda: PO.build_postings(_texts(spark, sf), S.tokens))
+
+
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
-    asked = vectors.withColumnRenamed("node_id", "q").join(_questions(spark, sf).select("q"), "q", "left_semi")
-    return S.dense_top_k(asked, vectors.join(_texts(spark, sf).select("node_id"), "node_id", "left_semi"))
+    """Each question's 24 nearest documents by vectors of their texts, exact, from the inverted file."""
+    cells, centroids = _cells(spark, "text", _tables(sf, "documents"), _vectors(spark, sf))
+    return V.ivf_top_k(_asked_vectors(spark, sf), cells, centroids, exact=True)
+
+
+def _sparse(spark: SparkSession, sf: str, asked: DataFrame | None = None) -> DataFrame:
+    asked = _questions(spark, sf) if asked is None else asked
+    return PO.postings_top_k(S.term_counts(asked, "q").withColumnRenamed("tf", "weight"), _postings(spark, sf))
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return S.hybrid([_dense(spark, sf), S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))])
+    return S.hybrid([_dense(spark, sf), _sparse(spark, sf)])
 
 
 @query("f05_doc_id", "SELECT doc_id, 'doc_' || substr(sha256(text), 1, 20) AS document_id FROM documents")
@@ -235,23 +289,52 @@ def a13(spark, sf):
 NEIGHBOURS = f"SELECT q, node_id, rank FROM (SELECT a.vec_id AS q, b.vec_id AS node_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 24"
 
 
-@query("j01_dense_topk_hundredths", NEIGHBOURS)
+def _embeddings(spark, sf):
+    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
+    return vectors.where("node_id % 100 = 0").withColumnRenamed("node_id", "q"), vectors
+
+
 @query("j01_dense_topk", NEIGHBOURS)
 def j01(spark, sf):
-    """Queries: every row whose id is divisible by 100, so their number grows with the table. (Two names, one query.)"""
-    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"))
-    return S.dense_top_k(vectors.where("node_id % 100 = 0").withColumnRenamed("node_id", "q"), vectors).select("q", "node_id", "rank")
+    """Queries: every row whose id is divisible by 100, so their number grows with the table."""
+    return V.exact_top_k(*_embeddings(spark, sf)).select("q", "node_id", "rank")
 
 
-@query("j02_sparse_topk", f"SELECT q, node_id, score, rank FROM {SPARSE}")
-def j02(spark, sf):
-    return S.sparse_top_k(_questions(spark, sf), _texts(spark, sf)).select("q", "node_id", "score", "rank")
+@query("j01_ivf_exact", NEIGHBOURS)
+def j01_ivf_exact(spark, sf):
+    """The same rows from the inverted file: nearest cells first, then those whose bound reaches the 24th score."""
+    asked, vectors = _embeddings(spark, sf)
+    cells, centroids = _cells(spark, "embeddings", _tables(sf, "embeddings"), vectors)
+    return V.ivf_top_k(asked, cells, centroids, exact=True).select("q", "node_id", "rank")
 
 
-@query("r01_hybrid", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED}")
-def r01(spark, sf):
-    """Dense and sparse lists of each question, fused."""
-    return _fused(spark, sf).withColumn("score", F.round("score", 9))
+@query("j01_ivf")
+def j01_ivf(spark, sf):
+    """The nearest cells alone, with each query's recall: the share of its exact 24 neighbours that were found."""
+    asked, vectors = _embeddings(spark, sf)
+    cells, centroids = _cells(spark, "embeddings", _tables(sf, "embeddings"), vectors)
+    found = V.ivf_top_k(asked, cells, centroids, probes=max(8, -(-3 * len(centroids) // 4)))
+    best = V.exact_top_k(asked, vectors).select("q", "node_id", F.lit(1).alias("true"))
+    share = best.join(found.select("q", "node_id", F.lit(1).alias("hit")), ["q", "node_id"], "left").groupBy("q").agg((F.count("hit") / F.count("true")).alias("recall"))
+    return found.join(share, "q").select("q", "node_id", "rank", "recall")
+
+
+@query("m01_text_vectors", f"""WITH t AS MATERIALIZED (SELECT * FROM {_text_vectors('documents', 'doc_id')})
+SELECT doc_id AS node_id, list(coalesce(x, 0) ORDER BY place)::VARCHAR AS v FROM (SELECT DISTINCT doc_id FROM t) CROSS JOIN (SELECT unnest(range(0, 256)) AS place) LEFT JOIN t USING (doc_id, place) GROUP BY doc_id""")
+def m01(spark, sf):
+    """Vectors of texts without a model: hashed words and word pairs, weighed and projected."""
+    return _vectors(spark, sf).select("node_id", F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x.cast("string")), ", "), F.lit("]")).alias("v"))
+
+
+@query("m01_dense_texts", f"SELECT q, node_id, rank FROM {DENSE}")
+def m01_dense(spark, sf):
+    return _dense(spark, sf).select("q", "node_id", "rank")
+
+
+@query("j02_sparse_topk", f"SELECT q, node_id, score, rank FROM {SPARSE}")
+def j02(spark, sf):
+    """From the postings index: ranges that can't reach the 24th score aren't read."""
+    return _sparse(spark, sf).select("q", "node_id", "score", "rank")
 
 
 @query("a10_sparse_vectors", f"SELECT item_id, t AS token, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest({TERMS}) AS t FROM benchmark) GROUP BY ALL")
@@ -264,9 +347,16 @@ def u01(spark, sf):
     return _fused(spark, sf).withColumn("score", F.round("score", 9))
 
 
+@query("r01_hybrid", f"SELECT q, node_id, source || '/' || doc_id || '.pdf' AS filename, round(score, 9) AS score, rank FROM {FUSED} JOIN documents ON doc_id = node_id")
+def r01(spark, sf):
+    """Retrieval: the fused list of each question with what the index has of its documents."""
+    held = B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), "filename")
+    return _fused(spark, sf).join(held, "node_id").select("q", "node_id", "filename", F.round("score", 9).alias("score"), "rank")
+
+
 @query("u02_single_list", f"SELECT q, node_id, score, rank FROM {SPARSE}")
 def u02(spark, sf):
-    return S.hybrid([S.sparse_top_k(_questions(spark, sf), _texts(spark, sf))])
+    return S.hybrid([_sparse(spark, sf)])
 
 
 @query("l02_lexical_rerank", f"SELECT q, node_id, round(score, 9) AS score, rank FROM {FUSED} WHERE rank <= 8 AND score >= 0.001")
@@ -322,7 +412,7 @@ def _merged(spark: SparkSession, sf: str) -> DataFrame:
     plain = B.table(spark, sf, "benchmark").select("item_id", F.explode(F.array(T.normalize_query(F.col("text")))).alias("text"))
     asked = plain.select("item_id", F.posexplode(T.variants(F.col("text"))).alias("list_ix", "v")).select(F.struct("item_id", "list_ix").alias("q"), F.col("v.query").alias("text"))
     near = _dense(spark, sf).withColumnRenamed("q", "item_id").join(asked.select("q", F.col("q.item_id").alias("item_id")), "item_id")
-    found = S.hybrid([near, S.sparse_top_k(asked, _texts(spark, sf))])
+    found = S.hybrid([near, _sparse(spark, sf, asked)])
     return R.reciprocal_rank_fusion(found.select(F.col("q.item_id").alias("q"), F.col("q.list_ix").alias("list_ix"), "node_id", "score", "rank"), 24)
 
 

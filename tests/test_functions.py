@@ -11,7 +11,7 @@ from quarry.operators import answer as A
 from quarry.operators import chunk as CH
 from quarry.operators import index as IX
 from quarry.operators import rank as R
-from quarry.operators import search as S
+from quarry.operators import vectors as V
 
 
 def one(spark, column, **values):
@@ -239,7 +239,5 @@ def test_dense_search_in_blocks(spark):
     vectors = spark.range(1_300).select(F.col("id").alias("node_id"), F.array(F.cos(F.col("id") * 0.001), F.sin(F.col("id") * 0.001)).alias("v"))
     queries = vectors.withColumnRenamed("node_id", "q").where("q < 1100")
     near = vectors.where("node_id % 10 = 0")
-    got = S.dense_top_k(queries, near, 1).collect()
+    got = V.exact_top_k(queries, near, 1, query_bytes=4_000).collect()
     assert len(got) == 1_100 and all(abs(r["q"] - r["node_id"]) <= 5 for r in got)
-    sizes = [r["n"] for r in S.query_blocks(queries.withColumn("n", F.lit(1.0)), 1_100).select(F.size("all").alias("n")).collect()]
-    assert sum(sizes) == 1_100 and len(sizes) > 1 and max(sizes) <= S.QUERY_BLOCK
