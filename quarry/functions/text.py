@@ -18,9 +18,14 @@ PAGE_MARKER = r"^(page\s*\d+(\s*(of|/)\s*\d+)?|\d+\s*(of|/)\s*\d+|\d{1,4})$"
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-#: Fixed value: the pattern of clauses. Before it paragraphs and sentences, behind it words, each with what divides it from the next.
+#: Fixed value: the pattern of clauses.
 CLAUSE = r"[^,.;。？！]+[,.;。？！]?"
-_SPLITS = [re.compile(x, re.S) for x in (r".+?(?:\n\n+|\Z)", r".+?(?:[.!?。？！]+\s+|\Z)", rf"{CLAUSE}|[,.;。？！]+", r"\s*\S+\s*|\s+")]
+#: What ends a paragraph, a sentence and a word; each is found in one pass, whatever the text.
+_ENDS = {"paragraph": re.compile(r"\n\n+"), "sentence": re.compile(r"[.!?。？！]\s+"), "word": re.compile(r"\s+")}
+_CLAUSES = re.compile(rf"{CLAUSE}|[,.;。？！]+", re.S)
+#: A token, where no tokenizer is given: a character of a script without blanks, or at most 16 other characters of a word.
+_WIDE = "\u2e80-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_TOKEN = re.compile(rf"[{_WIDE}]|[^\s{_WIDE}]{{1,16}}")
 
 
 @F.pandas_udf(StringType())
@@ -123,50 +128,77 @@ def page_label(value: Column) -> Column:
     return F.when(n.between(1, 5000), F.concat(F.lit("Page "), n))
 
 
-def _units(text: str, tokens: int) -> list[tuple[str, int]]:
-    """(piece, words): paragraphs, where too large their sentences, where too large those' clauses, and at last single words; joined, they are the text."""
+def plain_tokens(text: str) -> list[int]:
+    """Where tokens of a text end, by the rule for texts without a tokenizer."""
+    return [m.end() for m in _TOKEN.finditer(text)]
+
+
+def subwords(content: str):
+    """Where tokens of a text end, by a tokenizer's JSON file (its content; vocabularies are public ones, none is trained here)."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(content)
+    return lambda text: [end for _, end in made.encode(text, add_special_tokens=False).offsets]
+
+
+def _cut(text: str, level: str) -> list[str]:
+    if level == "clause":
+        return _CLAUSES.findall(text)
+    ends = [m.end() for m in _ENDS[level].finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if b > a]
+
+
+def _units(text: str, tokens: int, ends=plain_tokens) -> list[tuple[str, int]]:
+    """(piece, tokens): paragraphs, where too large their sentences, where too large those' clauses, then words, and at last stretches of `tokens`
+    tokens; joined, they are the text."""
+    levels = ["paragraph", "sentence", "clause", "word"]
     out: list[tuple[str, int]] = []
     todo = [(text, 0)]
     while todo:
         piece, level = todo.pop()
-        n = len(piece.split())
-        if n <= tokens or level == len(_SPLITS):
+        found = ends(piece)
+        if len(found) <= tokens:
             if piece:
-                out.append((piece, n))
-            continue
-        todo += [(x, level + 1) for x in reversed(_SPLITS[level].findall(piece))]
+                out.append((piece, len(found)))
+        elif level < len(levels):
+            todo += [(x, level + 1) for x in reversed(_cut(piece, levels[level]))]
+        else:
+            # Tokens of bytes may end within a character: such a stretch ends with the character.
+            cuts = sorted({found[k] for k in range(tokens - 1, len(found), tokens)} | {len(piece)})
+            out += [(piece[a:b], min(tokens, len(found) - k * tokens)) for k, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)) if b > a]
     return out
 
 
-def split_text(text: str, tokens: int, overlap: int) -> list[str]:
-    """Chunks of at most `tokens` words of whole units, each begun with the last units of the one before that have at most `overlap` words."""
+def split_text(text: str, tokens: int, overlap: int, ends=plain_tokens) -> list[str]:
+    """Chunks of at most `tokens` tokens of whole units, each begun with the last units of the one before that have at most `overlap` tokens."""
     chunks: list[list[tuple[str, int]]] = []
     held: list[tuple[str, int]] = []
     size = fresh = 0
-    for unit in _units(text, tokens):
+    for unit in _units(text, tokens, ends):
         if fresh and size + unit[1] > tokens:
             chunks.append(held)
             kept, size = [], 0
             for back in reversed(held):
                 if size + back[1] > min(overlap, tokens - unit[1]):
                     break
-                kept.insert(0, back)
+                kept.append(back)
                 size += back[1]
-            held, fresh = kept, 0
-        held = [*held, unit]
+            held, fresh = kept[::-1], 0
+        held.append(unit)
         size, fresh = size + unit[1], fresh + 1
     if fresh:
         chunks.append(held)
     return [x for x in ("".join(p for p, _ in c).strip() for c in chunks) if x]
 
 
-def sentence_chunks(tokens: int = 768, overlap: int = 200):
-    """A column function: the chunks of a text, split_text() in Arrow batches; our own rule in place of a tokenizer: words are what blanks divide.
-    A null text has none."""
+def sentence_chunks(tokens: int = 768, overlap: int = 200, tokenizer: str | None = None):
+    """A column function: the chunks of a text, split_text() in Arrow batches. Tokens are counted by our own rule, or by the tokenizer whose JSON content
+    is given; it is sent along with the function. A null text has none."""
 
     @F.pandas_udf(ArrayType(StringType()))
     def chunks(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: [] if x is None else split_text(x, tokens, overlap))
+        ends = plain_tokens if tokenizer is None else subwords(tokenizer)
+        return text.map(lambda x: [] if x is None else split_text(x, tokens, overlap, ends))
 
     return chunks
 

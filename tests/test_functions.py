@@ -241,3 +241,47 @@ def test_dense_search_in_blocks(spark):
     near = vectors.where("node_id % 10 = 0")
     got = V.exact_top_k(queries, near, 1, query_bytes=4_000).collect()
     assert len(got) == 1_100 and all(abs(r["q"] - r["node_id"]) <= 5 for r in got)
+
+
+HARD_TEXTS = {
+    "blank-free": "x" * 500_000, "chinese": "这是一个很长的句子没有空格。" * 10_000, "marks": "word " * 800 + "!" * 100_000, "blanks": "a" + " " * 200_000 + "b", "lines": "\n" * 100_000 + "end",
+    "mixed": ("Ein Satz, und noch einer; dann? " * 30 + "\n\n") * 50, "emoji": "🙂" * 30_000, "thai": "ภาษาไทยไม่มีช่องว่าง" * 3_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HARD_TEXTS))
+def test_chunks_keep_their_bound(name):
+    """No chunk has more tokens than allowed, nothing but blanks at the edges is lost, and the time is linear."""
+    import time
+
+    text = HARD_TEXTS[name]
+    begin = time.time()
+    chunks = T.split_text(text, 768, 0)
+    assert time.time() - begin < 5
+    assert all(len(T.plain_tokens(c)) <= 768 for c in chunks)
+    assert "".join("".join(chunks).split()) == "".join(text.split())
+    assert all(len(T.plain_tokens(c)) <= 768 for c in T.split_text(text[:20_000], 768, 200))
+
+
+def test_chunks_by_a_tokenizer():
+    import pathlib
+
+    path = pathlib.Path("/opt/tokenizers/word_bpe_49k.json")
+    if not path.exists():
+        pytest.skip("no tokenizer file")
+    ends = T.subwords(path.read_text())
+    for text in ("plain words of a text. " * 400, "这是一个很长的句子。" * 500, "xq7" * 2_000):
+        chunks = T.split_text(text, 100, 20, ends)
+        assert len(chunks) > 1 and "".join("".join(T.split_text(text, 100, 0, ends)).split()) == "".join(text.split())
+        assert all(len(ends(c)) <= 110 for c in chunks)  # a cut between units may part a token in two
+
+
+def test_units_join_to_the_text():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc ", " ", "\n", "\n\n", ". ", "!", ",", "。", "字", "x" * 20]) for _ in range(rng.randint(0, 120)))
+        for tokens in (1, 2, 5, 40):
+            units = T._units(text, tokens)
+            assert "".join(p for p, _ in units) == text and all(n <= tokens and n == len(T.plain_tokens(p)) for p, n in units)
