@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import replace_by_key
+from ..operators.store import ChunkStore
 from ..sources.bindings import publish
 
 
@@ -22,3 +23,17 @@ def replace_stream(arrivals: DataFrame, root: str, current: Callable[[], DataFra
         announce(publish(new if old is None else replace_by_key(old, new), root, f"v-{number:010d}"), number)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def upsert_stream(arrivals: DataFrame, store: ChunkStore, source: str, checkpoint: str) -> StreamingQuery:
+    """arrivals: a streaming DataFrame of chunks. Each micro-batch rewrites the buckets of its filenames; a batch that runs again after a failure is
+    skipped if the manifest has it."""
+
+    def batch(new: DataFrame, number: int) -> None:
+        held = new.persist()  # a batch is read for its buckets, its keys and its rows
+        try:
+            store.retried(lambda s: s.upsert(held, source, number))
+        finally:
+            held.unpersist()
+
+    return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

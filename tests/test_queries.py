@@ -1,6 +1,7 @@
 import pytest
 
 from quarry.plans import details
+from quarry.plans import ingest as _ingest  # registers its queries
 from quarry.plans import queries as Q
 
 
