@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
@@ -70,6 +70,47 @@ def eval_summary(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), share("ok"), share("cited"), share("valid"), F.coalesce(F.avg(F.coalesce("overlap", F.lit(0.0))), F.lit(0.0)).alias("mean_overlap"))
 
 
+#: What is said where no source is asked for or found.
+CLARIFY, CHAT, NOTHING = "Which documents is the question about?", "Hello! Ask me about the documents.", "No document fits the question. Please ask in other words."
+#: Words below which the offline router asks back, and above which it takes a question for a request to sum up.
+FEW_WORDS, MANY_WORDS = 20, 45
+
+
+def rule_reply(text: Column) -> Column:
+    """The offline default of the router: a reply in its JSON form, by rules. Few words are ambiguous, a text with other than ASCII letters is chat in another
+    language than the index's, many words are to be summed up, the rest is a search."""
+    n = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    intention = F.when(n < FEW_WORDS, "AMBIGUOUS").when(text.rlike(r"[^\x00-\x7f]"), "CHIT_CHAT").when(n > MANY_WORDS, "SUMMARIZATION").otherwise("SEARCH")
+    asking = F.when(intention == "AMBIGUOUS", CLARIFY)
+    return F.to_json(F.struct(intention.alias("intention"), text.alias("rewritten_query"), asking.alias("clarification_question")))
+
+
+def respond(asked: DataFrame, sources_of: Callable[[DataFrame], DataFrame], complete: Callable[[DataFrame], DataFrame] = extractive, chat: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(q, text, route, response, source_ids, blob) for each of asked (q, text, reply), all routes: a question back, chat without sources, and for what is
+    searched the checked answer from sources_of(routed)'s rows (as sources() gives them), or word that nothing was found. blob: the sources' texts."""
+    read = asked.withColumn("_r", C.router_reply(F.col("reply"), F.col("text")))
+    routed = read.select("q", "text", C.action(F.col("_r.intention"), F.col("_r.clarification_question")).alias("route"), F.col("_r.clarification_question").alias("back"), C.guarded_query(F.col("_r.rewritten_query"), F.col("text")).alias("query"))
+    cited = sources_of(routed.where("route = 'retrieve'").select("q", F.col("query").alias("text")))
+    blobs = cited.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "snippet"))), lambda s: s["snippet"]), " ").alias("blob"))
+    answered = answer(contexts(cited), complete).select("q", "answer", "source_ids")
+    talk = routed.where("route = 'chat'")
+    said = (chat(talk) if chat else talk.withColumn("said", F.lit(CHAT))).select("q", "said")
+    both = routed.join(answered, "q", "left").join(blobs, "q", "left").join(said, "q", "left")
+    response = F.when(F.col("route") == "clarify", F.coalesce("back", F.lit(CLARIFY))).when(F.col("route") == "chat", F.col("said")).otherwise(F.coalesce("answer", F.lit(NOTHING)))
+    return both.select("q", "text", "route", response.alias("response"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), F.coalesce("blob", F.lit("")).alias("blob"))
+
+
+def case_rows(responses: DataFrame) -> DataFrame:
+    """One row per case of respond()'s rows: what the evaluation reports of it. A blank question fails."""
+    cited = C.citations(F.col("response"))
+    ok = strip(F.coalesce("text", F.lit(""))) != ""
+    when = lambda value, missing: F.when(ok, value).otherwise(F.lit(missing))
+    return responses.select(
+        F.col("q").alias("case_id"), "route", ok.alias("ok"), when(F.length("response"), 0).cast("long").alias("answer_chars"), when(F.size("source_ids"), 0).cast("long").alias("source_count"), when(F.array_join(cited, ","), "").alias("cited_ids"),
+        when(F.size(cited) > 0, False).alias("cited"), when(C.citations_valid(cited, F.col("source_ids")), False).alias("valid"), when(C.grounding(F.col("response"), F.col("blob")), 0.0).alias("overlap"),
+    )
+
+
 def route(asked: DataFrame) -> DataFrame:
     """(q, action, query) of (q, text, reply): what the router's reply, made outside, says to do with a question, and what to search for."""
     read = asked.withColumn("_r", C.router_reply(F.col("reply"), F.col("text")))

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import answer as A
 from ..operators import chunk as CH
 from ..operators import index as IX
+from ..operators import pairs as PA
 from ..operators import postings as PO
 from ..operators import rank as R
 from ..operators import search as S
@@ -429,7 +430,8 @@ def r03(spark, sf):
     return R.rerank_scored(_fused(spark, sf).withColumnRenamed("rank", "pos"), scorer).select("q", "node_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query("r07_answer", rf"""WITH top AS (SELECT m.*, m.node_id % 7 AS doc, m.node_id // 10 AS parent_id, m.node_id % 5 = 4 AS anchor FROM {MERGED} m WHERE rank <= 8 AND score >= 0.001),
+#: What the questions' sources say: (q, rank, snippet).
+SAID = rf"""WITH top AS (SELECT m.*, m.node_id % 7 AS doc, m.node_id // 10 AS parent_id, m.node_id % 5 = 4 AS anchor FROM {MERGED} m WHERE rank <= 8 AND score >= 0.001),
 best AS (SELECT * FROM top WHERE anchor QUALIFY row_number() OVER (PARTITION BY q, doc, parent_id ORDER BY score DESC, rank) = 1),
 moved AS (SELECT b.q, b.rank AS pos, b.doc, CASE WHEN p.doc_id IS NULL THEN b.node_id ELSE p.doc_id END AS node_id, CASE WHEN p.doc_id IS NULL THEN b.score ELSE b.score + 1e-6::DOUBLE END AS score, CASE WHEN p.doc_id IS NULL THEN 'table_anchor' ELSE 'table_parent' END AS kind
   FROM best b LEFT JOIN documents p ON p.doc_id % 10 = 0 AND p.doc_id // 10 = b.parent_id AND p.doc_id % 7 = b.doc),
@@ -437,19 +439,90 @@ expanded AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, po
 once AS (SELECT * FROM expanded QUALIFY row_number() OVER (PARTITION BY q, node_id ORDER BY place) = 1),
 late AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY q, doc ORDER BY place) <= 2 THEN 0 ELSE 1 END AS late FROM once),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY late, place) AS rank FROM late QUALIFY rank <= 5),
-said AS (SELECT c.q, c.rank, CASE WHEN kind = 'table_parent' THEN text ELSE {SNIPPET} END AS snippet FROM chosen c JOIN (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'gs') AS text FROM documents) d ON d.doc_id = c.node_id)
+said AS (SELECT c.q, c.rank, CASE WHEN kind = 'table_parent' THEN text ELSE {SNIPPET} END AS snippet FROM chosen c JOIN (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'gs') AS text FROM documents) d ON d.doc_id = c.node_id)"""
+
+
+@query("r07_answer", rf"""{SAID}
 SELECT q, split_part(min_by(snippet, rank), chr(10), 1) || ' [S1]' AS answer, 'first' AS outcome, string_agg('S' || rank, ',' ORDER BY rank) AS source_ids FROM said GROUP BY q""")
 def r07(spark, sf):
     """The whole query path: routing, variants, dense and sparse search, fusion, reranking, parents for anchors, diversity, contexts, an answer with checked citations."""
     reply = F.to_json(F.struct(F.lit("SEARCH").alias("intention"), F.col("text").alias("rewritten_query")))
     routed = A.route(_questions(spark, sf).withColumn("reply", reply)).where("action = 'retrieve'")
+    return A.answer(A.contexts(_cited(spark, sf, routed))).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+def _cited(spark: SparkSession, sf: str, routed: DataFrame) -> DataFrame:
+    """The sources of the routed questions."""
     top = R.rerank(_merged(spark, sf).withColumnRenamed("rank", "pos")).join(routed.select("q"), "q", "left_semi")
     node = F.col("node_id")
     placed = top.drop("pos").withColumnsRenamed({"rank": "pos"}).withColumns({"doc": node % 7, "parent_id": (node / 10).cast("long"), "kind": F.when(node % 5 == 4, "table_anchor").otherwise("text")})
     parents = _texts(spark, sf).where(node % 10 == 0).select((node % 7).alias("doc"), (node / 10).cast("long").alias("parent_id"), "node_id")
     wide = R.diversify(R.expand_parents(placed, parents).drop("pos").withColumnRenamed("rank", "pos"))
-    cited = A.sources(wide.drop("doc").join(B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text"), "node_id"))
-    return A.answer(A.contexts(cited)).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
+    return A.sources(wide.drop("doc").join(B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text"), "node_id"))
+
+
+#: All questions by the offline router's routes, with what is said to each: (q, route, response, n, blob).
+RESPONSES = rf"""{SAID},
+a AS (SELECT q, split_part(min_by(snippet, rank), chr(10), 1) || ' [S1]' AS answer, count(*) AS n, lower(string_agg(snippet, ' ' ORDER BY rank)) AS blob FROM said GROUP BY q),
+w AS (SELECT item_id AS q, text, len(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS words FROM benchmark),
+r AS (SELECT q, CASE WHEN words < {A.FEW_WORDS} THEN 'clarify' WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'chat' ELSE 'retrieve' END AS route FROM w),
+s AS (SELECT r.q, route, CASE route WHEN 'clarify' THEN '{A.CLARIFY}' WHEN 'chat' THEN '{A.CHAT}' ELSE coalesce(answer, '{A.NOTHING}') END AS response, CASE WHEN route = 'retrieve' THEN coalesce(n, 0) ELSE 0 END AS n, CASE WHEN route = 'retrieve' THEN coalesce(blob, '') ELSE '' END AS blob FROM r LEFT JOIN a USING (q)),
+c AS (SELECT *, list_sort(list_distinct(regexp_extract_all(response, '\[(S[0-9]+)\]', 1))) AS cited, list_distinct(regexp_extract_all(lower(response), '[a-z0-9]{{3,}}')) AS terms FROM s),
+rows_ AS (SELECT q AS case_id, route, true AS ok, length(response) AS answer_chars, n AS source_count, array_to_string(cited, ',') AS cited_ids, len(cited) > 0 AS cited, len(cited) > 0 AND len(list_filter(cited, lambda x: substr(x, 2)::INT > n)) = 0 AS valid,
+  CASE WHEN len(terms) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(terms, lambda x: contains(blob, x)))::DOUBLE / len(terms) END AS overlap FROM c)"""
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _questions(spark, sf).withColumn("reply", A.rule_reply(F.col("text")))
+    return A.respond(asked, lambda routed: _cited(spark, sf, routed))
+
+
+@query("r07_routes", rf"{RESPONSES} SELECT q, route, response, n AS source_count FROM s")
+def r07_routes(spark, sf):
+    """Every question by its route: asked back, chatted with, or answered from sources."""
+    return _responses(spark, sf).select("q", "route", "response", F.size("source_ids").cast("long").alias("source_count"))
+
+
+@query("r11_case_rows", rf"{RESPONSES} SELECT case_id, route, ok, answer_chars, source_count, cited_ids, cited, valid, overlap FROM rows_")
+def r11(spark, sf):
+    return A.case_rows(_responses(spark, sf))
+
+
+@query("r11_case_means", rf"{RESPONSES} SELECT count(*) AS cases, avg(ok::INT::DOUBLE) AS ok_rate, avg(cited::INT::DOUBLE) AS cited_rate, avg(valid::INT::DOUBLE) AS valid_rate, round(avg(overlap), 9) AS mean_overlap FROM rows_")
+def r11_means(spark, sf):
+    """The evaluation of the answer path: means over the same cases' rows."""
+    return A.eval_summary(A.case_rows(_responses(spark, sf))).withColumn("mean_overlap", F.round("mean_overlap", 9))
+
+
+#: Trigrams of distinct tokens: (key, t, g, n), n of them in a token.
+def _token_grams(table: str, key: str) -> str:
+    return f"""(SELECT {key}, t, unnest(g) AS g, len(g) AS n FROM (SELECT {key}, t, list_distinct(list_transform(range(1, length(t) + 1), lambda i: substr('^' || t || '$', i, 3))) AS g
+  FROM (SELECT DISTINCT {key}, unnest({TERMS}) AS t FROM {table})))"""
+
+
+PAIRED = f"""(WITH f AS (SELECT q, node_id, rank, score FROM {FUSED}), a AS (SELECT * FROM {_token_grams('benchmark', 'item_id')}), b AS (SELECT * FROM {_token_grams('documents', 'doc_id')} WHERE doc_id IN (SELECT node_id FROM f)),
+  met AS (SELECT f.q, f.node_id, a.t AS qt, count(*) / sqrt((a.n * b.n)::DOUBLE) AS c FROM f JOIN a ON a.item_id = f.q JOIN b ON b.doc_id = f.node_id AND b.g = a.g GROUP BY f.q, f.node_id, a.t, b.t, a.n, b.n),
+  best AS (SELECT q, node_id, sum(c) AS s FROM (SELECT q, node_id, qt, max(c) AS c FROM met GROUP BY ALL) GROUP BY ALL),
+  many AS (SELECT item_id, count(DISTINCT t) AS k FROM a GROUP BY 1), held AS (SELECT DISTINCT doc_id FROM b)
+  SELECT f.q, f.node_id, f.rank AS pos, f.score, CASE WHEN k IS NOT NULL AND held.doc_id IS NOT NULL THEN coalesce(s, 0) / k END AS scored FROM f LEFT JOIN best USING (q, node_id) LEFT JOIN many ON many.item_id = f.q LEFT JOIN held ON held.doc_id = f.node_id)"""
+
+
+def _paired(spark: SparkSession, sf: str) -> DataFrame:
+    return PA.score_pairs(_fused(spark, sf).withColumnRenamed("rank", "pos"), _questions(spark, sf), _texts(spark, sf))
+
+
+@query("m03_pair_scores", f"SELECT q, node_id, round(scored, 9) AS scored FROM {PAIRED}")
+def m03(spark, sf):
+    """Each candidate's late interaction with its question."""
+    return _paired(spark, sf).select("q", "node_id", F.round("scored", 9).alias("scored"))
+
+
+@query("r03_pair_rerank", f"""SELECT q, node_id, round(s, 9) AS score, rank FROM (SELECT q, node_id, s, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, pos) AS rank FROM (
+  SELECT q, node_id, pos, CASE WHEN bool_or(scored IS NULL) OVER (PARTITION BY q) THEN score ELSE scored END AS s FROM {PAIRED}) QUALIFY rank <= 8) WHERE s >= 0.001""")
+def r03_pair(spark, sf):
+    """Reranked by the pair scorer; a question with a candidate that it can't score keeps its fused order."""
+    scorer = lambda c: PA.score_pairs(c, _questions(spark, sf), _texts(spark, sf)).withColumn("scored", F.round("scored", 9))
+    return R.rerank_scored(_fused(spark, sf).withColumn("score", F.round("score", 9)).withColumnRenamed("rank", "pos"), scorer).select("q", "node_id", "score", "rank")
 
 
 CANDIDATES = """(SELECT l_suppkey % 10 AS q, l_orderkey * 10 + l_linenumber AS pos, 'n' || l_orderkey || '-' || l_linenumber AS node_id, l_orderkey % 50 AS doc, CASE WHEN l_linenumber = 1 THEN 'text' WHEN l_linenumber = 5 THEN 'table_parent' ELSE 'table_anchor' END AS kind, l_orderkey % 200 AS parent_id, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END AS score
