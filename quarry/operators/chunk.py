@@ -1,13 +1,14 @@
-"""Chunking and alignment: islands of text, offsets, as-of sections, positions of chunks, table chunks."""
+"""Chunking and alignment: islands of text, offsets, as-of sections, table chunks, nodes; `align` finds the chunks' places."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import tables as T
 from ..functions import text as C
+from .align import positions
 
 
 def island_marks(entries: DataFrame) -> DataFrame:
@@ -40,27 +41,6 @@ def as_of(points: DataFrame, events: DataFrame, position: str = "offset", label:
     return both.select(*[F.col(f"_row.`{c}`").alias(c) for c in points.columns], F.col("_last").alias(label))
 
 
-#: Lengths of the beginnings by which a chunk is looked for, the least length of one, and the step behind a find.
-PROBES, LEAST_PROBE, STEP = (220, 160, 100, 70), 24, 120
-
-
-def positions(chunks: DataFrame) -> DataFrame:
-    """(doc, pos array): where the ordered chunks (array of strings `parts`) begin in `text`; each is looked for from a cursor that follows
-    the finds, by beginnings of it, the longest first, then from the start; nothing where no probe is found."""
-    def find(part: Column, text: Column, start: Column) -> Column:
-        probes = [F.trim(F.substring(part, 1, n)) for n in PROBES]
-        tries = [F.when(F.length(p) >= LEAST_PROBE, F.nullif(F.call_function("locate", p, text, s), F.lit(0))) for s in (start + 1, F.lit(1)) for p in probes]
-        return F.coalesce(*tries) - 1
-
-    zero = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("pos"))
-
-    def step(s: Column, part: Column) -> Column:
-        at = find(part, F.col("text"), s["cursor"]).cast("int")
-        return F.struct(F.when(at.isNull(), s["cursor"]).otherwise(F.greatest(s["cursor"], at + STEP)).alias("cursor"), F.concat(s["pos"], F.array(at)).alias("pos"))
-
-    return chunks.select("doc", F.aggregate("parts", zero, step)["pos"].alias("pos"))
-
-
 def with_anchors(tables: DataFrame, most: int = 6) -> DataFrame:
     """Adds `anchors` to (caption, content); rows and anchors are generated columns, so that each is made once."""
     parsed = tables.withColumn("_rows", F.explode(F.array(T.rows(F.col("content")))))

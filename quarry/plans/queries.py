@@ -11,6 +11,7 @@ from ..functions import chat as C
 from ..functions import ids
 from ..functions import tables as TB
 from ..functions import text as T
+from ..operators import align as AL
 from ..operators import answer as A
 from ..operators import chunk as CH
 from ..operators import index as IX
@@ -620,7 +621,7 @@ def j04(spark, sf):
 
 def _found(start: str) -> str:
     """SQL: where the first probe of a part stands in the text at or after start, from 0."""
-    tries = [f"CASE WHEN length(trim(substr(part, 1, {n}), ' ')) >= 24 THEN {begin} + nullif(strpos(substr(text, {begin} + 1), trim(substr(part, 1, {n}), ' ')), 0) - 1 END" for begin in (start, "0") for n in CH.PROBES]
+    tries = [f"CASE WHEN length(trim(substr(part, 1, {n}), ' ')) >= 24 THEN {begin} + nullif(strpos(substr(text, {begin} + 1), trim(substr(part, 1, {n}), ' ')), 0) - 1 END" for begin in (start, "0") for n in AL.PROBES]
     return f"coalesce({', '.join(tries)})"
 
 
@@ -630,7 +631,7 @@ s AS (SELECT doc, text, parts, 0 AS k, 0::BIGINT AS cur, []::VARCHAR[] AS pos FR
 SELECT doc, array_to_string(list_transform(pos, lambda p: coalesce(p, '-')), ',') AS positions FROM s WHERE k = len(parts)""")
 def j05(spark, sf):
     docs = B.documents(spark, sf).select(F.col("doc_id").alias("doc"), "text", F.split("text", "\n").alias("parts"))
-    return CH.positions(docs).select("doc", F.array_join(F.transform("pos", lambda p: p.cast("string")), ",", "-").alias("positions"))
+    return AL.positions(docs).select("doc", F.array_join(F.transform("pos", lambda p: p.cast("string")), ",", "-").alias("positions"))
 
 
 @query("c07_splitter")

@@ -7,6 +7,7 @@ from quarry.functions import chat as C
 from quarry.functions import ids
 from quarry.functions import tables as TB
 from quarry.functions import text as T
+from quarry.operators import align as AL
 from quarry.operators import answer as A
 from quarry.operators import chunk as CH
 from quarry.operators import index as IX
@@ -147,7 +148,7 @@ def test_index(spark):
 def test_positions_and_events(spark):
     text = "x" * 30 + "\n" + "The first sentence that is long enough." + "\n" + "The second sentence that is long enough."
     df = spark.createDataFrame([("d", text, ["The first sentence that is long enough.", "short", "The second sentence that is long enough."])], "doc string, text string, parts array<string>")
-    assert CH.positions(df).first()["pos"] == [text.index("The first"), None, text.index("The second")]
+    assert AL.positions(df).first()["pos"] == [text.index("The first"), None, text.index("The second")]
     events = spark.createDataFrame([("d", 0, "Document"), ("d", 40, "A"), ("e", 9, "B")], "doc string, offset long, label string")
     points = spark.createDataFrame([("d", 1, 39), ("d", 2, 40), ("d", 3, None), ("e", 4, 8), ("f", 5, 1)], "doc string, n int, at long")
     assert {r["n"]: r["label"] for r in CH.as_of(points, events, "at").collect()} == {1: "Document", 2: "A", 3: None, 4: None, 5: None}
