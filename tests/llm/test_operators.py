@@ -263,6 +263,7 @@ def test_toxicity_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.9
     assert sum(r["predicted"] for r in held if not labels[r["doc_id"]]) <= 2
+    assert np.mean([r["predicted"] for r in held if labels[r["doc_id"]]]) >= 0.6
     import zlib
 
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)

@@ -106,15 +106,19 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
     docs = docs.select("*", *[F.lit("clash").alias(c) for c in ("key", "spans", "fp", "item_id", "_gone", "copies", "h", "n", "label", "toxic", "score")])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for table in (docs, docs.limit(0)):
-        now, counts = table, []
+        now, counts, texts = table, [], []
         for name, stage in P.STAGES:
             now = P.materialize(stage(spark, now, str(tmp_path)), name)
             counts.append(now.count())
+            texts.append({r["text"] for r in now.select("text").collect()} - {None, ""})
             if name != P.STAGES[-1][0]:
                 assert now.columns == docs.columns, name
         if table is docs:
             # None are toxic; 1, 2 and the null text are one component, 5 is a near copy of 4, and of the rows of id 6 one stays; 3 holds the item.
             assert counts[0] == 9 and counts[1] < 9 and counts[2] == counts[1] and counts[3] == counts[2] - 1
+            clean = {long, "kept as it is", "no id at all"}
+            item = "one two three four five six"
+            assert texts[0] == clean | {item, long + " end"} and texts[1] == texts[2] == clean | {item} and texts[3] == clean and texts[4] <= clean
         else:
             assert counts == [0] * 5
 
