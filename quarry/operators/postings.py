@@ -20,8 +20,9 @@ WIDTH, FIRST, BROADCAST_TERMS = 8, 16, 500_000
 
 def build_postings(docs: DataFrame, terms, width: int = WIDTH) -> DataFrame:
     """(token, part, most, nodes array<(node_id, tf)>) of docs (node_id, text); terms: a function from a text column to its array of tokens. Ranges are
-    bands of length (a quarter of a doubling each), and within a band equal shares by hash."""
-    worded = docs.select("node_id", F.explode(F.array(terms(F.coalesce("text", F.lit(""))))).alias("words")).withColumn("band", F.floor(4 * F.log2(F.size("words") + 1)))
+    bands of length (a quarter of a doubling each), and within a band equal shares by hash. Texts are dealt by id before they are taken apart, so
+    their counts need no shuffle."""
+    worded = docs.select("node_id", "text").repartition(F.col("node_id")).select("node_id", F.explode(F.array(terms(F.coalesce("text", F.lit(""))))).alias("words")).withColumn("band", F.floor(4 * F.log2(F.size("words") + 1)))
     shares = worded.groupBy("band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / width)).alias("shares"))
     dealt = worded.join(F.broadcast(shares), "band")  # at most a row for each quarter of a doubling of the longest text
     part = F.shiftleft("band", 40) + F.pmod(F.xxhash64("node_id"), F.col("shares"))

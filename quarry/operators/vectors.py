@@ -29,17 +29,18 @@ SLACK = 1e-9
 DIMS, SPREAD = 256, 4
 
 
-def features(text: Column, stopwords: list[str]) -> Column:
-    """The words of a text without stopwords, and neighbouring pairs of them."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(stopwords))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def words(text: Column, stopwords: list[str]) -> Column:
+    """The words of a text without stopwords, in order."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(stopwords))
 
 
 def feature_counts(texts: DataFrame, key: str, stopwords: list[str]) -> DataFrame:
-    """(key, feature, tf) of texts (key, text)."""
-    with_words = texts.select(key, F.explode(F.array(features(F.coalesce("text", F.lit("")), stopwords))).alias("_all"))
-    return with_words.select(key, F.explode("_all").alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
+    """(key, feature, tf) of texts (key, text): the words without stopwords, and neighbouring pairs of them.
+    The words are a column of their own before pairs are made of them, so that a text is read once. Texts are dealt by key before they are taken apart:
+    they are smaller than their features, few large files spread over all tasks, and the counts need no shuffle of their own."""
+    with_words = texts.select(key, "text").repartition(F.col(key)).select(key, F.explode(F.array(words(F.coalesce("text", F.lit("")), stopwords))).alias("_words"))
+    pairs = F.zip_with(F.slice("_words", 1, F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return with_words.select(key, F.explode(F.concat("_words", pairs)).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("tf"))
 
 
 def feature_weights(counts: DataFrame, n_texts: int) -> DataFrame:
@@ -50,13 +51,17 @@ def feature_weights(counts: DataFrame, n_texts: int) -> DataFrame:
 def project(counts: DataFrame, weights: DataFrame, key: str, dims: int = DIMS, spread: int = SPREAD) -> DataFrame:
     """(key, v array<long>): tf x weight of each feature, added to `spread` places with signs, both from the feature's MD5. Features that no weight is
     known for are left out; keys without any have no row."""
-    weighed = counts.join(weights, "feature")
-    digest = F.md5(F.col("feature").cast("binary"))
-    placed = weighed.select(key, (F.col("tf") * F.col("weight")).alias("x"), F.explode(F.array(*[F.substring(digest, 4 * k + 1, 4) for k in range(spread)])).alias("h"))
-    number = F.conv("h", 16, 10).cast("int")
-    summed = placed.groupBy(key, (F.shiftright(number, 1) % dims).alias("place")).agg(F.sum(F.when(number % 2 == 0, F.col("x")).otherwise(-F.col("x"))).alias("x"))
-    filled = F.map_from_entries(F.collect_list(F.struct("place", "x")))
-    return summed.groupBy(key).agg(filled.alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0).cast("long"))).alias("v"))
+    if not 1 <= spread <= 4:
+        raise ValueError("spread is 1 to 4: 16 hexadecimal digits of a feature's MD5, four a place")
+    # The digest is taken once a feature, and a count's row carries its digits as one number; places are told apart beside their key, after the shuffle.
+    digits = F.conv(F.substring(F.md5(F.col("feature").cast("binary")), 1, 16), 16, -10).cast("long")
+    weighed = counts.join(weights.withColumn("_digits", digits), "feature").select(key, (F.col("tf") * F.col("weight")).alias("x"), "_digits").repartition(F.col(key))
+    number = F.explode(F.array(*[F.shiftright("_digits", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(spread)]))
+    placed = weighed.select(key, "x", number.alias("n"))
+    summed = placed.groupBy(key, (F.shiftright("n", 1) % dims).cast("int").alias("place")).agg(F.sum(F.when(F.col("n") % 2 == 0, F.col("x")).otherwise(-F.col("x"))).alias("x"))
+    held = summed.groupBy(key).agg(F.collect_list(F.struct("place", "x")).alias("_held"))
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(dims - 1)), F.col("_held.place")), lambda p: F.struct(p.alias("place"), F.lit(0).cast("long").alias("x")))
+    return held.select(key, F.transform(F.array_sort(F.concat("_held", empty)), lambda e: e["x"]).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
