@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import align as AL
 from ..operators import answer as A
 from ..operators import chunk as CH
+from ..operators import figures as G
 from ..operators import index as IX
 from ..operators import pairs as PA
 from ..operators import postings as PO
@@ -467,13 +468,26 @@ def r07(spark, sf):
     return A.answer(A.contexts(_cited(spark, sf, routed))).select("q", "answer", "outcome", F.array_join("source_ids", ",").alias("source_ids"))
 
 
-def _cited(spark: SparkSession, sf: str, routed: DataFrame) -> DataFrame:
-    """The sources of the routed questions."""
-    top = R.rerank(_merged(spark, sf).withColumnRenamed("rank", "pos")).join(routed.select("q"), "q", "left_semi")
+@query("f37_stage_figures", f"""{SAID} SELECT (SELECT count(*) FROM benchmark) AS questions, (SELECT count(*) FROM {MERGED}) AS candidates, (SELECT count(*) FROM top) AS reranked, (SELECT count(*) FROM expanded) AS expanded,
+(SELECT count(*) FROM chosen) AS diversified, (SELECT count(*) FROM said) AS sources, (SELECT count(DISTINCT q) FROM said) AS answers""")
+def f37(spark, sf):
+    """What passes each stage of the query path, counted while it runs: what reranking keeps and what parents make of it are told apart."""
+    figures = G.StageFigures()
+    routed = figures.watch(_questions(spark, sf), "questions")
+    cited = figures.watch(_cited(spark, sf, routed, figures.watch), "sources")
+    figures.run(figures.watch(A.answer(A.contexts(cited)), "answers"))
+    return figures.row(spark).drop("elapsed_ms")
+
+
+def _cited(spark: SparkSession, sf: str, routed: DataFrame, watch: Callable[[DataFrame, str], DataFrame] = lambda df, stage: df) -> DataFrame:
+    """The sources of the routed questions; watch sees the rows of each stage before."""
+    found = watch(_merged(spark, sf), "candidates")
+    top = watch(R.rerank(found.withColumnRenamed("rank", "pos")).join(routed.select("q"), "q", "left_semi"), "reranked")
     node = F.col("node_id")
     placed = top.drop("pos").withColumnsRenamed({"rank": "pos"}).withColumns({"doc": node % 7, "parent_id": (node / 10).cast("long"), "kind": F.when(node % 5 == 4, "table_anchor").otherwise("text")})
     parents = _texts(spark, sf).where(node % 10 == 0).select((node % 7).alias("doc"), (node / 10).cast("long").alias("parent_id"), "node_id")
-    wide = R.diversify(R.expand_parents(placed, parents).drop("pos").withColumnRenamed("rank", "pos"))
+    expanded = watch(R.expand_parents(placed, parents), "expanded")
+    wide = watch(R.diversify(expanded.drop("pos").withColumnRenamed("rank", "pos")), "diversified")
     return A.sources(wide.drop("doc").join(B.documents(spark, sf).select(F.col("doc_id").alias("node_id"), ids.document_id(F.col("text")).alias("doc"), "filename", "text"), "node_id"))
 
 
