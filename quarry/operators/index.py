@@ -33,6 +33,26 @@ def lookup(points: DataFrame, wanted: DataFrame, order: str = "chunk_id") -> Dat
     return top_k(points.join(wanted.distinct(), wanted.columns, "left_semi"), wanted.columns, [F.col(order)], 1, "_first").drop("_first")
 
 
+#: Fields of a point that filters may name.
+FILTERED = ("source_doc_id", "filename", "chunk_kind", "table_id")
+
+
+def matching(points: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """points all of whose wanted fields are equal to the values; plain comparisons, which reach the scan. No wanted field, no filter."""
+    if unknown := set(wanted) - set(FILTERED):
+        raise ValueError(f"no filter by {sorted(unknown)}")
+    for field, value in wanted.items():
+        points = points.where(F.col(field) == F.lit(value))
+    return points
+
+
+def get_documents(points: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The catalog's rows of the wanted (doc_id), each once, with a status: found, or not_found with nulls. Only points of wanted documents are summed."""
+    asked = wanted.select("doc_id").where("doc_id is not null").distinct()
+    held = points.join(asked.withColumnRenamed("doc_id", "source_doc_id"), "source_doc_id", "left_semi")
+    return asked.join(catalog(held), "doc_id", "left").withColumn("status", F.when(F.col("chunks").isNotNull(), "found").otherwise("not_found"))
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, key: str = "filename") -> DataFrame:
     """old without the rows whose key new has, and new."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)

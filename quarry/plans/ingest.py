@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import chunk as CH
+from ..operators import index as IX
 from ..operators import ingest as IN
 from ..operators.store import ChunkStore, PagedTable
 from ..sources import bindings as B
 from ..sources import html as H
+from ..sources import records as RE
 from ..sources import scratch as SC
 from .queries import CHUNKS, query
 
@@ -119,3 +122,39 @@ def a02_kept(spark, sf):
 def s11_tokens(spark, sf):
     """Where each page of 256 chunks ends, from a table sorted over files with bounds."""
     return PagedTable(B.chunks(spark, sf), SC.shared_dir(spark), "chunk_id").tokens(256)
+
+
+#: SQL: texts without blanks around them that points of documents hold, in each way in which they can.
+HELD = r"(SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'gs') AS stripped FROM documents)"
+
+
+@query("s13_stored_nodes", f"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'node_' || doc_id ELSE 'point_' || doc_id END AS node_id, sha256(stripped) AS text_sha256, source, CASE WHEN doc_id % 6 = 0 THEN lang END AS lang, CASE WHEN doc_id % 6 = 2 THEN 3 ELSE 2 END AS fields
+  FROM {HELD} WHERE doc_id % 6 <> 3 AND stripped <> ''""")
+def s13_nodes(spark, sf):
+    """Every document as a stored point, whose text stands in a whole node, or in one of the payload's fields beside a node that can't be read."""
+    k, way = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    whole = F.to_json(F.struct(F.concat(F.lit("node_"), k).alias("id_"), "text", F.struct(F.lit("inner").alias("source"), "lang").alias("metadata")))
+    node = F.when(way == 0, whole).when(way == 1, "{broken").when(way == 2, '{"text": "  "}').when(way == 4, '{"text": 5}').when(way == 5, '["text"]')
+    field = lambda when, value: F.when(when, value)
+    payload = F.to_json(F.struct(
+        node.alias("_node_content"), F.lit("TextNode").alias("_node_type"), F.col("source"),
+        field(way >= 4, F.col("text")).when(way.isin(2, 3), " ").alias("text"), field(way == 1, F.col("text")).alias("document"), field(way == 2, F.col("text")).alias("content"),
+    ))
+    nodes = RE.decode(B.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("point_"), k).alias("id"), payload.alias("payload")))
+    return nodes.select("doc_id", "node_id", F.sha2("text", 256).alias("text_sha256"), F.col("metadata")["source"].alias("source"), F.col("metadata")["lang"].alias("lang"), F.size("metadata").alias("fields"))
+
+
+@query("p01_payload_filter", f"SELECT chunk_id, source_doc_id FROM {CHUNKS} WHERE chunk_kind = 'table_parent' AND chunk_index // 10 = 1")
+def p01_filter(spark, sf):
+    """Table parents of one table number, over the chunks of all documents."""
+    numbered = B.chunks(spark, sf).withColumn("table_id", F.concat(F.lit("table_"), (F.col("chunk_index") / 10).cast("int")))
+    return IX.matching(numbered, {"chunk_kind": "table_parent", "table_id": "table_1"}).select("chunk_id", "source_doc_id")
+
+
+@query("r09_get_document", f"""WITH w AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN 'doc_none_' || doc_id ELSE 'doc_' || substr(sha256(text), 1, 20) END AS doc_id FROM documents)
+SELECT w.doc_id, min_by(filename, chunk_id) AS filename, CASE WHEN count(chunk_id) > 0 THEN count(chunk_id) END AS chunks, max(chunk_index) AS max_chunk_index, CASE WHEN count(chunk_id) > 0 THEN 'found' ELSE 'not_found' END AS status
+FROM w LEFT JOIN {CHUNKS} c ON c.source_doc_id = w.doc_id GROUP BY w.doc_id""")
+def r09_get(spark, sf):
+    """Every document by its id; each fifth is asked for by one that isn't there."""
+    wanted = B.documents(spark, sf).select(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("doc_none_"), "doc_id")).otherwise(ids.document_id(F.col("text"))).alias("doc_id"))
+    return IX.get_documents(B.chunks(spark, sf), wanted).select("doc_id", "filename", "chunks", "max_chunk_index", "status")
