@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -55,15 +55,25 @@ def table_chunks(tables: DataFrame, most: int = 6) -> DataFrame:
     return tables.select("order_id", F.posexplode(kinds).alias("chunk_ix", "c")).select("order_id", "chunk_ix", "c.chunk_kind", "c.text")
 
 
+def picture_description(items: DataFrame) -> Column:
+    """What is said of a picture: its description, else the first of its annotations that isn't blank, else its text; null where there is none.
+    items may lack the columns description (string) and annotations (array of strings)."""
+    said = lambda c: F.nullif(C.strip(c), F.lit(""))
+    ladder = [said(F.col("description"))] if "description" in items.columns else []
+    if "annotations" in items.columns:
+        ladder.append(F.get(F.filter(F.transform("annotations", said), lambda a: a.isNotNull()), F.lit(0)))
+    return F.coalesce(*ladder, said(F.col("text")))
+
+
 def structure_map(items: DataFrame) -> DataFrame:
-    """Typed entries (doc, ordinal, type, table_id, page, content) of parsed items (doc, ordinal, label, text, caption, page): tables are numbered
-    within their document, captions and texts of at most two characters go."""
+    """Typed entries (doc, ordinal, type, table_id, page, content) of parsed items (doc, ordinal, label, text, caption, page, and description and
+    annotations, if pictures have any): tables are numbered within their document, captions and texts of at most two characters go."""
     label, text = F.upper("label"), C.strip(F.coalesce("text", F.lit("")))
     kind = F.when(label == "TABLE", "table").when(label.isin("PICTURE", "CHART"), "figure").when(label != "CAPTION", "text")
     number = F.sum(F.when(label == "TABLE", 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("ordinal"))
     caption = F.when(F.coalesce("caption", F.lit("")) != "", F.col("caption"))
     table = F.concat(F.coalesce(F.concat(F.lit("**Table: "), caption, F.lit("**\n\n")), F.lit("")), F.col("text"))
-    figure = F.coalesce(F.nullif(F.concat_ws("\n\n", caption, F.nullif(text, F.lit(""))), F.lit("")), F.concat(F.lit("["), F.lower("label"), F.lit(" on page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("]")))
+    figure = F.coalesce(F.nullif(F.concat_ws("\n\n", caption, picture_description(items)), F.lit("")), F.concat(F.lit("["), F.lower("label"), F.lit(" on page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("]")))
     typed = items.withColumn("type", kind).withColumn("table_id", F.when(F.col("type") == "table", F.format_string("table_%04d", number)))
     typed = typed.withColumn("caption", caption)
     kept = typed.where(F.col("type").isin("table", "figure") | ((F.col("type") == "text") & (F.length(text) > 2)))

@@ -254,6 +254,19 @@ def s07(spark, sf):
     return CH.structure_map(items).select("doc", F.col("ordinal").cast("long").alias("ordinal"), "type", "table_id", "content")
 
 
+@query("s08_picture_descriptions", rf"""SELECT doc, ordinal, coalesce(nullif(concat_ws(chr(10) || chr(10), caption, said), ''), '[' || lower(label) || ' on page ' || coalesce(page::VARCHAR, '?') || ']') AS content FROM (
+  SELECT *, nullif(CASE ordinal % 3 WHEN 0 THEN 'Shown: ' || trim(text) WHEN 1 THEN 'Noted: ' || trim(text) ELSE trim(text) END, '') AS said FROM {ITEMS} WHERE label IN ('PICTURE', 'CHART'))""")
+def s08_pictures(spark, sf):
+    """What figures say: every third item has a description, another third only annotations, of which the third isn't blank."""
+    labels, third = F.array(*map(F.lit, ("TABLE", "PICTURE", "PARAGRAPH", "CAPTION", "CHART", "TEXT"))), F.col("ordinal") % 3
+    items = _entries(spark, sf).withColumns({
+        "label": F.get(labels, F.col("ordinal") % 6), "caption": F.when(F.col("ordinal") % 4 < 2, F.concat(F.lit("cap "), F.col("ordinal"))),
+        "description": F.when(third == 0, F.concat(F.lit(" Shown: "), F.trim("text"), F.lit("\n"))).otherwise(" "),
+        "annotations": F.when(third == 1, F.array(F.lit(None).cast("string"), F.lit("\t"), F.concat(F.lit("Noted: "), F.trim("text")), F.lit("later"))),
+    })
+    return CH.structure_map(items).where("type = 'figure'").select("doc", F.col("ordinal").cast("long").alias("ordinal"), "content")
+
+
 @query("s09_page_segments", rf"SELECT doc, page, string_agg(x, chr(10) ORDER BY ordinal) AS segments FROM (SELECT doc, ordinal, page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM {ENTRIES} WHERE page IS NOT NULL) WHERE length(x) >= 24 GROUP BY ALL")
 def s09(spark, sf):
     return CH.page_segments(_entries(spark, sf)).select("doc", F.col("page").cast("long").alias("page"), F.array_join("segments", "\n").alias("segments"))

@@ -52,3 +52,13 @@ def test_get_documents(spark, points):
     rows = {r["doc_id"]: (r["filename"], r["chunks"], r["chunk_kind_counts"], r["status"]) for r in IX.get_documents(points, wanted).collect()}
     assert rows == {"d1": ("a.pdf", 2, {"table_parent": 1, "text": 1}, "found"), "gone": (None, None, None, "not_found")}
     assert IX.get_documents(points, wanted.where(F.lit(False))).count() == 0
+
+
+def test_picture_descriptions(spark):
+    from quarry.operators.chunk import structure_map
+
+    rows = [(1, 0, "PICTURE", "alt", "cap", 1, " meta ", ["note"]), (1, 1, "CHART", "alt", None, 1, " ", [None, " ", "note\n", "later"]), (1, 2, "PICTURE", " alt ", "", 2, None, []), (1, 3, "PICTURE", None, None, None, None, None), (1, 4, "PICTURE", " ", "cap", 3, "", [" "])]
+    items = spark.createDataFrame(rows, "doc long, ordinal long, label string, text string, caption string, page int, description string, annotations array<string>")
+    said = lambda df: [r["content"] for r in structure_map(df).orderBy("ordinal").collect()]
+    assert said(items) == ["cap\n\nmeta", "note", "alt", "[picture on page ?]", "cap"]
+    assert said(items.drop("description", "annotations")) == ["cap\n\nalt", "alt", "alt", "[picture on page ?]", "cap"]
