@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..sources.bindings import with_defaults
 from . import chunk as CH
 from .index import replace_by_key
 
@@ -37,6 +38,28 @@ def preview(structure: DataFrame, normalized: DataFrame) -> DataFrame:
     return normalized.select("doc", "text").join(made, "doc", "left").select("doc", F.coalesce("made", "text").alias("preview"))
 
 
+#: The name that stands for a missing one, and the counts that a report may lack.
+UNNAMED = "unknown.pdf"
+COUNTS = ("table_parent_count", "table_anchor_count", "table_visual_done_count", "table_visual_pending_count", "table_visual_failed_count", "table_visual_selected_count", "table_visual_skipped_count")
+
+
+def shown(results: DataFrame) -> DataFrame:
+    """Of results (ingested_markdown, and what there is of filename and COUNTS) those with a text that isn't blank, with defaults for what is missing."""
+    filled = with_defaults(results, {"filename": UNNAMED, **dict.fromkeys(COUNTS, 0)})
+    return filled.where(T.strip(F.coalesce("ingested_markdown", F.lit(""))) != "").withColumnRenamed("ingested_markdown", "markdown")
+
+
+def compacted(results: DataFrame) -> DataFrame:
+    """results with the length of a text in its place; a missing text stays missing."""
+    return results.withColumn("ingested_markdown", F.concat(F.lit("<"), F.length("ingested_markdown"), F.lit(" chars>")))
+
+
+def visible(diagnostics: DataFrame, only_parents: bool = False, only_selected: bool = False) -> DataFrame:
+    """diagnostics (chunk_kind, table_visual_selected) that pass the filters that are on; a missing selection is none."""
+    kept = diagnostics.where("chunk_kind = 'table_parent'") if only_parents else diagnostics
+    return kept.where(F.coalesce("table_visual_selected", F.lit(False))) if only_selected else kept
+
+
 def ingest(files: DataFrame, items: DataFrame, index: DataFrame | None = None, tokens: int = 768, overlap: int = 200, schema_version: int = 2) -> Ingested:
     """files: (doc, filename), items: (doc, ordinal, label, text, caption, page). A file whose items have no text fails without stopping the others.
     The filename decides what is replaced in the index, so a file that has changed leaves no chunks behind."""

@@ -15,6 +15,11 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def latest(queue: DataFrame, order: list[str], most: int = 512) -> DataFrame:
+    """The last rows of a queue that holds at most so many, by ascending columns: each task keeps its own last ones, which are merged."""
+    return queue.orderBy(*map(F.desc, order)).limit(most)
+
+
 def reciprocal_rank_fusion(lists: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     """(q, node_id, score, rank) of ranked lists (q, list_ix, rank, node_id, score): the sum of 1/(rrf_k + rank); ties in order of list, then rank.
     A query with one list keeps its scores."""

@@ -10,6 +10,7 @@ from ..functions import ids
 from ..operators import chunk as CH
 from ..operators import index as IX
 from ..operators import ingest as IN
+from ..operators import rank as R
 from ..operators.store import ChunkStore, PagedTable
 from ..sources import bindings as B
 from ..sources import html as H
@@ -158,3 +159,36 @@ def r09_get(spark, sf):
     """Every document by its id; each fifth is asked for by one that isn't there."""
     wanted = B.documents(spark, sf).select(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("doc_none_"), "doc_id")).otherwise(ids.document_id(F.col("text"))).alias("doc_id"))
     return IX.get_documents(B.chunks(spark, sf), wanted).select("doc_id", "filename", "chunks", "max_chunk_index", "status")
+
+
+#: SQL: what an ingestion tells of documents; every third has no name, every seventh no text, every eleventh a blank one.
+RESULTS = "(SELECT doc_id AS doc, CASE WHEN doc_id % 3 > 0 THEN source || '/' || doc_id || '.pdf' END AS filename, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS ingested_markdown FROM documents)"
+
+
+def _results(spark, sf):
+    doc = F.col("doc_id")
+    text = F.when(doc % 7 != 0, F.when(doc % 11 == 0, " ").otherwise(F.col("text")))
+    return B.documents(spark, sf).select(doc.alias("doc"), F.when(doc % 3 > 0, F.col("filename")).alias("filename"), text.alias("ingested_markdown"))
+
+
+@query("p13_previews", f"SELECT doc, coalesce(filename, 'unknown.pdf') AS filename, sha256(ingested_markdown) AS markdown_sha256, 0 AS table_parent_count FROM {RESULTS} WHERE trim(coalesce(ingested_markdown, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def p13_previews(spark, sf):
+    return IN.shown(_results(spark, sf)).select("doc", "filename", F.sha2("markdown", 256).alias("markdown_sha256"), "table_parent_count")
+
+
+@query("p13_compact_results", f"SELECT doc, filename, '<' || length(ingested_markdown) || ' chars>' AS ingested_markdown FROM {RESULTS}")
+def p13_compact(spark, sf):
+    return IN.compacted(_results(spark, sf))
+
+
+@query("p12_visible_rows", f"SELECT chunk_id FROM {CHUNKS} WHERE chunk_kind = 'table_parent' AND length(text) >= 80")
+def p12_visible(spark, sf):
+    """Both filters on, over the chunks of all documents; long texts count as selected, short ones are not told of."""
+    told = B.chunks(spark, sf).withColumn("table_visual_selected", F.when(F.length("text") >= 80, True))
+    return IN.visible(told, only_parents=True, only_selected=True).select("chunk_id")
+
+
+@query("w11_last_512", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 512")
+def w11_queue(spark, sf):
+    """The limit is the feature: a queue that holds its last 512 entries."""
+    return R.latest(B.table(spark, sf, "events"), ["ts", "event_id"]).select("event_id")

@@ -62,3 +62,17 @@ def test_picture_descriptions(spark):
     said = lambda df: [r["content"] for r in structure_map(df).orderBy("ordinal").collect()]
     assert said(items) == ["cap\n\nmeta", "note", "alt", "[picture on page ?]", "cap"]
     assert said(items.drop("description", "annotations")) == ["cap\n\nalt", "alt", "alt", "[picture on page ?]", "cap"]
+
+
+def test_what_the_report_shows(spark):
+    from quarry.operators import ingest as IN
+    from quarry.operators.rank import latest
+
+    results = spark.createDataFrame([(1, None, "text"), (2, "b", " \n"), (3, "c", None)], "doc long, filename string, ingested_markdown string")
+    (row,) = IN.shown(results).collect()
+    assert (row["doc"], row["filename"], row["markdown"], row["table_visual_failed_count"]) == (1, "unknown.pdf", "text", 0)
+    assert {r["doc"]: r["ingested_markdown"] for r in IN.compacted(results).collect()} == {1: "<4 chars>", 2: "<2 chars>", 3: None}
+    told = spark.createDataFrame([(1, "table_parent", True), (2, "table_parent", None), (3, "text", True), (4, None, False)], "id long, chunk_kind string, table_visual_selected boolean")
+    seen = lambda *on: sorted(r["id"] for r in IN.visible(told, *on).collect())
+    assert [seen(), seen(True), seen(False, True), seen(True, True)] == [[1, 2, 3, 4], [1, 2], [1, 3], [1]]
+    assert sorted(r["id"] for r in latest(spark.range(1000), ["id"]).collect()) == list(range(488, 1000)) and latest(spark.range(3), ["id"]).count() == 3
