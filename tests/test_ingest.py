@@ -55,6 +55,11 @@ def test_items_of_malformed_pages():
                 assert got == want, page
 
 
+def test_references_end_with_a_semicolon():
+    """A heading that was cut within a reference keeps what is left of it, as the SQL of s03_headings and s03_html_text does."""
+    assert [i[:2] for i in H.read_items("<h1>a&amp;b&amp</h1><p>&lt;x&gt; &#65; &copy 2020 &ampx; &quot;</p>")] == [["SECTION_HEADER", "# a&b&amp"], ["PARAGRAPH", '<x> A &copy 2020 &ampx; "']]
+
+
 def test_items_table(spark):
     pages = spark.createDataFrame([(1, PAGE, "c"), (2, None, "c"), (3, "", None), (None, "<p>no id", "c"), (5, "<p>" * 50_000, "c")], "page_id long, html string, doc string")
     rows = H.html_items(pages).collect()
