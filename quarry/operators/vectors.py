@@ -8,6 +8,9 @@ cell is many rows; a search reads the cells nearest to its query, and in exact m
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,11 @@ BLOCK, PACK, SAMPLE = 1024, 256, 10_000
 SLACK = 1e-9
 #: Places of a text vector, and places that one feature is added to.
 DIMS, SPREAD = 256, 4
+#: Bytes and rows of texts for each of the parts that text_vectors() deals them, their features and their vectors to: a part's memory stays the same however many texts there are.
+PART_BYTES, PART_ROWS = 8 << 20, 50_000
+#: Features that a task sends on at once, and digests that it remembers.
+SENT, REMEMBERED = 100_000, 500_000
+_WORD = re.compile("[a-z0-9]{2,}")
 
 
 def words(text: Column, stopwords: list[str]) -> Column:
@@ -64,6 +72,99 @@ def project(counts: DataFrame, weights: DataFrame, key: str, dims: int = DIMS, s
     return held.select(key, F.transform(F.array_sort(F.concat("_held", empty)), lambda e: e["x"]).alias("v"))
 
 
+def _digits(memo: dict[str, bytes], feature: str) -> bytes:
+    found = memo.get(feature)
+    if found is None:
+        found = hashlib.md5(feature.encode(), usedforsecurity=False).digest()[:8]
+        if len(memo) < REMEMBERED:
+            memo[feature] = found
+    return found
+
+
+def _digested(key: str, stopwords: list[str]):
+    """(own, key, digits, tf): a text's features, each once with its count."""
+    left_out = frozenset(stopwords)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, bytes] = {}
+        for batch in batches:
+            rows, digits, counts, sizes = [], [], [], []
+
+            def sent() -> pa.RecordBatch:
+                at = pa.array(np.repeat(np.array(rows, np.int64), sizes))
+                columns = [_column(batch, "own").take(at), _column(batch, key).take(at), pa.array(np.frombuffer(b"".join(digits), ">i8").astype(np.int64)), pa.array(counts, pa.int32())]
+                for held in (rows, digits, counts, sizes):
+                    held.clear()
+                return pa.RecordBatch.from_arrays(columns, ["own", key, "digits", "tf"])
+
+            for row, text in enumerate(_column(batch, "text")):
+                found = [w for w in _WORD.findall((text.as_py() or "").lower()) if w not in left_out]
+                each = Counter(_digits(memo, w) for w in found)
+                for pair, n in Counter(zip(found, found[1:])).items():
+                    each[_digits(memo if n > 1 else {}, f"{pair[0]} {pair[1]}")] += n
+                rows.append(row)
+                digits += each.keys()
+                counts += each.values()
+                sizes.append(len(each))
+                if len(digits) >= SENT:
+                    yield sent()
+            yield sent()
+
+    return run
+
+
+def _placed(key: str, dims: int, spread: int):
+    """(own, key, v): features (own, key, x, places) added up by key; all rows of a key are in one task."""
+    bits = (2 * dims - 1).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict = {}
+        total, kind = np.zeros((1024, dims), np.int64), None
+        for batch in batches:
+            kind = _column(batch, key).type
+            own = _column(batch, "own").to_numpy(zero_copy_only=False)
+            told = _column(batch, key).dictionary_encode("encode")
+            code = told.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + own
+            present, back = np.unique(code, return_inverse=True)
+            known = told.dictionary.to_pylist()
+            at = np.array([names.setdefault((bool(c & 1), known[c >> 1]), len(names)) for c in present.tolist()], np.int64)[back]
+            while len(names) > len(total):
+                total = np.concatenate([total, np.zeros_like(total)])
+            places, x = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("places", "x"))
+            for k in range(spread):
+                n = (places >> (bits * k)) & ((1 << bits) - 1)
+                np.add.at(total.reshape(-1), at * dims + (n >> 1), np.where(n & 1, -x, x))
+        if names:
+            flat = pa.array(total[: len(names)].reshape(-1))
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * dims), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in names]), pa.array([n for _, n in names], kind), v], ["own", key, "v"])
+
+    return run
+
+
+def text_vectors(texts: DataFrame, key: str, stopwords: list[str], asked: DataFrame | None = None, dims: int = DIMS, spread: int = SPREAD) -> DataFrame:
+    """(own, key, v): project() of the feature_counts() of texts (key, text), weighed by texts, and with own = false those of asked (key, text), weighed by
+    texts too. One pass and two shuffles, dealt to as many parts as the texts need: features go to where their texts are counted, and from there to their key.
+    They travel as the first 64 bits of their MD5, which their places are taken from: two of 10^8 features have equal ones with a probability of 3 in 10^4."""
+    if not 1 <= spread <= 4:
+        raise ValueError("spread is 1 to 4: 16 hexadecimal digits of a feature's MD5, four a place")
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size["bytes"] // PART_BYTES), -(-size["n"] // PART_ROWS))
+    every = texts.select(F.lit(True).alias("own"), key, "text")
+    if asked is not None:
+        every = every.unionByName(asked.select(F.lit(False).alias("own"), key, "text"))
+    kind = texts.schema[key].dataType.simpleString()
+    found = every.repartition(parts, key).mapInArrow(_digested(key, stopwords), f"own boolean, `{key}` {kind}, digits long, tf int")
+    held = F.count(F.when(F.col("own"), 1)).over(Window.partitionBy("digits"))
+    met = found.repartition(parts, "digits").withColumn("held", held).where("held > 0")
+    weight = F.floor(1000 * (1 + F.log(F.lit(float(size["n"])) / F.col("held"))))
+    # A place and its sign take a few bits, so all of a feature's are one number.
+    numbers = [F.shiftright("digits", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(spread)]
+    signed = [F.shiftleft(2 * (F.shiftright(n, 1) % dims) + n % 2, (2 * dims - 1).bit_length() * k) for k, n in enumerate(numbers)]
+    weighed = met.select("own", key, (F.col("tf") * weight).alias("x"), sum(signed[1:], signed[0]).alias("places")).repartition(parts, key)
+    return weighed.mapInArrow(_placed(key, dims, spread), f"own boolean, `{key}` {kind}, v array<bigint>")
+
+
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, vectors, norms) of the vectors of that width without nulls whose norm is neither 0 nor infinite."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

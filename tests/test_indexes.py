@@ -132,3 +132,39 @@ def test_text_vectors(spark):
     assert {(r["feature"], r["tf"]) for r in counts.where("node_id = 1").collect()} == {("red", 1), ("apples", 2), ("green", 1), ("red apples", 1), ("apples green", 1), ("green apples", 1)}
     made = {r["node_id"]: r["v"] for r in V.project(counts, V.feature_weights(counts, 4), "node_id").collect()}
     assert set(made) == {1, 2} and all(len(v) == V.DIMS for v in made.values()) and any(made[1])
+
+
+def test_text_vectors_in_one_pass(spark, monkeypatch):
+    """The documents' and the questions' vectors are those of counts, weights and projection, in any number of parts."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.choice([0, 1, 5, 60])))) for k in range(80)] + [(80, None), (81, "The OF x Kelvin w1 w2 w1 w2")]
+    texts, asked = spark.createDataFrame(docs, "key long, text string").repartition(3), spark.createDataFrame([(0, "w1 w2 never seen"), (1, "nothing known")], "key long, text string")
+    counts = V.feature_counts(texts, "key", ["of", "the"])
+    weights = V.feature_weights(counts, len(docs))
+    want = {(True, *map(repr, r)) for r in V.project(counts, weights, "key").collect()} | {(False, *map(repr, r)) for r in V.project(V.feature_counts(asked, "key", ["of", "the"]), weights, "key").collect()}
+    for part_bytes, sent in ((8 << 20, 10**5), (100, 7)):
+        monkeypatch.setattr(V, "PART_BYTES", part_bytes)
+        monkeypatch.setattr(V, "SENT", sent)
+        assert {(r["own"], repr(r["key"]), repr(r["v"])) for r in V.text_vectors(texts, "key", ["of", "the"], asked).collect()} == want
+    assert V.text_vectors(texts.limit(0), "key", [], asked).collect() == []
+
+
+def test_text_vectors_parts_grow(spark):
+    """As many parts as the texts need, which adaptive execution doesn't merge: ten times the texts are ten times the parts, not larger ones."""
+    texts = spark.range(40).select(F.col("id").alias("key"), F.expr("repeat('one two three four ', 100000)").alias("text"))
+    for n in (1, 4):
+        many = texts.crossJoin(spark.range(n).withColumnRenamed("id", "copy")).select((F.col("key") + 40 * F.col("copy")).alias("key"), "text")
+        assert V.text_vectors(many, "key", []).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-40 * n * 1_900_000 // V.PART_BYTES))
+
+
+@pytest.mark.parametrize("weight_bytes", [1 << 20, 900])
+def test_scan_top_k(spark, weight_bytes):
+    """One pass over the texts gives the rows of the plain search, also in blocks of queries and with struct ids."""
+    rng = random.Random(3)
+    docs = [(k, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.choice([0, 3, 20, 300])))) for k in range(1300)] + [(5000 + k, "w0 w1 w2") for k in range(40)] + [(6000, None), (6001, "W0 the w0, W1")]
+    asked = [(q, " ".join(f"w{rng.randrange(70)}" for _ in range(rng.randint(0, 6)))) for q in range(25)] + [(25, None), (26, "never seen"), (27, "the of")]
+    texts, queries = spark.createDataFrame(docs, "node_id long, text string").repartition(3), spark.createDataFrame(asked, "q long, text string")
+    got = S.scan_top_k(queries.select(F.struct("q", F.lit(1).alias("ix")).alias("q"), "text"), texts, 5, weight_bytes)
+    want = {tuple(r) for r in S.sparse_top_k(queries, texts, 5).select("q", "node_id", "score", "rank").collect()}
+    assert {tuple(r) for r in got.select("q.q", "node_id", "score", "rank").collect()} == want
+    assert S.scan_top_k(queries.limit(0), texts).collect() == [] and S.scan_top_k(queries, texts.limit(0)).collect() == []
