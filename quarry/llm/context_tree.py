@@ -159,8 +159,10 @@ def context_trees(counts: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame
         both = most + F.log(F.exp(F.col("own") - most) + F.exp(F.col("below") - most)) - math.log(2)
         told = materialize(told.withColumn("weighted", F.col("own") if d == depth else both), f"nodes{d}")
         tables.append(told)
-        stop = F.lit(1.0) if d == depth else F.exp(F.col("own") - F.col("weighted")) / 2
-        out.insert(0, told.select("key", ((b + 0.5) / (a + b + 1)).cast("float").alias("p"), stop.cast("float").alias("stop")))
+        stop = F.lit(1.0) if d == depth else F.least(F.lit(1.0), F.exp(F.col("own") - F.col("weighted")) / 2)
+        # The probability of a one, or less than zero that of a zero, whichever is smaller: near one a float has no room, and what was never seen would be impossible.
+        p = F.when(b > a, -(a + 0.5) / (a + b + 1)).otherwise((b + 0.5) / (a + b + 1))
+        out.insert(0, told.select("key", p.cast("float").alias("p"), stop.cast("float").alias("stop")))
         if d:
             nodes = told.groupBy(F.expr(f"key & {(1 << (8 * d)) - 1}L").alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("below"))
     return out, tables
@@ -177,8 +179,8 @@ def log10_bytes(codes: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.
             if len(keys):
                 key = (((codes >> 8) & ((1 << (8 * d)) - 1)) << 8) | path
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                share = stop[at].astype(np.float64)
-                one = np.where(keys[at] == key, share * p[at] + (1 - share) * one, one)
+                share, own = stop[at].astype(np.float64), p[at].astype(np.float64)
+                one = np.where(keys[at] == key, share * np.where(own < 0, 1 + own, own) + (1 - share) * one, one)
         total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, one, 1 - one))
     return total
 
@@ -253,6 +255,15 @@ def _lists(columns: list[pa.Array], names: list[str], sizes: list[int]) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
+def mixed(scored: DataFrame) -> DataFrame:
+    """score_texts()'s rows with the score of the trees as `tree_score` and, as `score`, that of an equal mixture of the trees and the unigram base: a text's
+    probability is half that by the trees and half that by its words. The trees have to spell a word that training lacks and to code blanks, for
+    which the base takes one event or none; so on little training the base is ahead of them, and the mixture is never more than log10(2) behind either."""
+    most = F.greatest("score", "base_score")
+    both = most + F.log10(F.pow(F.lit(10.0), F.col("score") - most) + F.pow(F.lit(10.0), F.col("base_score") - most)) - math.log10(2)
+    return scored.withColumn("tree_score", F.col("score")).withColumn("score", both)
+
+
 def _apart(strings: DataFrame, trees: list[DataFrame]) -> DataFrame:
     """(code, lp) of distinct byte strings (code), where there are too many nodes to send: what lies above two bytes of context is sent (at most
     65,535 nodes of 255 x 257), the rest meets the strings of equal last two bytes of context in one group."""

@@ -77,8 +77,8 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.coalesce(F.expr(context_tree.HELD_OUT.format("doc_id")), F.lit(False))
-    scored = context_tree.score_texts(docs, docs.where(~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    scored = context_tree.mixed(context_tree.score_texts(docs, docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score", "bits_per_byte")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -253,3 +253,17 @@ def test_lm_query(spark, sf):
     rows = Q.op13_lm_scoring(spark, sf).groupBy("held_out").agg(F.count("*").alias("n"), (F.sum(F.col("bits_per_byte"))).alias("b")).collect()
     mean = {r["held_out"]: r["b"] / r["n"] for r in rows}
     assert mean[False] < mean[True] < 3.5
+
+
+def test_lm_scores_keep_up_with_the_base(spark, sf):
+    """No text, held out or not, is more than log10(2) behind the unigram base or the trees, and every score is finite."""
+    for r in Q.op13_lm_scoring(spark, sf).collect():
+        assert math.isfinite(r["score"]) and max(r["base_score"], r["tree_score"]) - math.log10(2) - 1e-9 <= r["score"] <= max(r["base_score"], r["tree_score"]) + 1e-9
+
+
+def test_never_seen_is_not_impossible(spark):
+    """After a byte that came 10^9 times alone any other has a probability: a float has none between 1 - 10^-9 and one."""
+    counts = spark.createDataFrame([(ord("o"), 10**9)], "code long, n long")
+    trees = [context_tree._sorted(t.toArrow()) for t in context_tree.context_trees(counts, 0)[0]]
+    every = 10 ** context_tree.log10_bytes(np.arange(256), trees)
+    assert (every > 0).all() and every.sum() == pytest.approx(1)
