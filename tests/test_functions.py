@@ -286,3 +286,10 @@ def test_units_join_to_the_text():
         for tokens in (1, 2, 5, 40):
             units = T._units(text, tokens)
             assert "".join(p for p, _ in units) == text and all(n <= tokens and n == len(T.plain_tokens(p)) for p, n in units)
+
+
+def test_chunks_without_a_shuffle(spark, sf):
+    """Chunks are numbered in their document's row: no line is shuffled."""
+    from quarry.sources import bindings
+
+    assert "Exchange" not in bindings.chunks(spark, sf)._jdf.queryExecution().executedPlan().toString()
