@@ -258,7 +258,8 @@ def _lists(columns: list[pa.Array], names: list[str], sizes: list[int]) -> pa.Ar
 def mixed(scored: DataFrame) -> DataFrame:
     """score_texts()'s rows with the score of the trees as `tree_score` and, as `score`, that of an equal mixture of the trees and the unigram base: a text's
     probability is half that by the trees and half that by its words. The trees have to spell a word that training lacks and to code blanks, for
-    which the base takes one event or none; so on little training the base is ahead of them, and the mixture is never more than log10(2) behind either."""
+    which the base takes one event or none; so on little training the base is ahead of them, and the mixture is never more than log10(2) behind either.
+    As in the base, all words that training lacks are one event, so `score` is no probability of their spelling; `tree_score` is."""
     most = F.greatest("score", "base_score")
     both = most + F.log10(F.pow(F.lit(10.0), F.col("score") - most) + F.pow(F.lit(10.0), F.col("base_score") - most)) - math.log10(2)
     return scored.withColumn("tree_score", F.col("score")).withColumn("score", both)
