@@ -1,7 +1,7 @@
 """Vectors: text vectors without a model, exact search of a stated query set, and an inverted-file index.
 
 Text vectors hash words and word pairs, weigh them by how rare they are, and add each to a few signed places (a sparse random projection), all in
-built-in functions and whole numbers. Exact search reads each vector once and multiplies Arrow batches with a block of queries. The inverted file cuts
+whole numbers: step by step in built-in functions (feature_counts, feature_weights, project), or in one pass on Arrow batches (text_vectors). Exact search reads each vector once and multiplies Arrow batches with a block of queries. The inverted file cuts
 the vectors into cells around centroids that are fitted on a bounded sample, and keeps each cell as rows of at most BLOCK vectors, so that a large
 cell is many rows; a search reads the cells nearest to its query, and in exact mode then those whose bound reaches its k-th score.
 """
