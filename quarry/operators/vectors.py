@@ -1,7 +1,7 @@
 """Vectors: text vectors without a model, exact search of a stated query set, and an inverted-file index.
 
 Text vectors hash words and word pairs, weigh them by how rare they are, and add each to a few signed places (a sparse random projection), all in
-whole numbers: step by step in built-in functions (feature_counts, feature_weights, project), or in one pass on Arrow batches (text_vectors). Exact search reads each vector once and multiplies Arrow batches with a block of queries. The inverted file cuts
+whole numbers: step by step in built-in functions (feature_counts, feature_weights, project), or part by part on Arrow batches (text_vectors). Exact search reads each vector once and multiplies Arrow batches with a block of queries. The inverted file cuts
 the vectors into cells around centroids that are fitted on a bounded sample, and keeps each cell as rows of at most BLOCK vectors, so that a large
 cell is many rows; a search reads the cells nearest to its query, and in exact mode then those whose bound reaches its k-th score.
 """
@@ -9,8 +9,8 @@ cell is many rows; a search reads the cells nearest to its query, and in exact m
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +30,10 @@ BLOCK, PACK, SAMPLE = 1024, 256, 10_000
 SLACK = 1e-9
 #: Places of a text vector, and places that one feature is added to.
 DIMS, SPREAD = 256, 4
-#: Bytes and rows of texts for each of the parts that text_vectors() deals them, their features and their vectors to: a part's memory stays the same however many texts there are.
+#: Bytes and rows of texts for each of the parts that text_vectors() deals them and their features to: a part's memory stays the same however many texts there are.
 PART_BYTES, PART_ROWS = 8 << 20, 50_000
-#: Features that a task sends on at once, and digests that it remembers.
-SENT, REMEMBERED = 100_000, 500_000
+#: Digests that a row holds, and numbers of the vectors that are added up together.
+SENT, PLACED = 100_000, 1 << 20
 _WORD = re.compile("[a-z0-9]{2,}")
 
 
@@ -72,80 +72,127 @@ def project(counts: DataFrame, weights: DataFrame, key: str, dims: int = DIMS, s
     return held.select(key, F.transform(F.array_sort(F.concat("_held", empty)), lambda e: e["x"]).alias("v"))
 
 
-def _digits(memo: dict[str, bytes], feature: str) -> bytes:
-    found = memo.get(feature)
-    if found is None:
-        found = hashlib.md5(feature.encode(), usedforsecurity=False).digest()[:8]
-        if len(memo) < REMEMBERED:
-            memo[feature] = found
-    return found
+class _Texts:
+    """The features of a part's texts: `digests` (sorted, each once) are the first 64 bits of their MD5, `held` the keys with own that have each, and
+    `at`, `digest`, `tf` a row for each feature of each of `names` (own, key)."""
 
-
-def _digested(key: str, stopwords: list[str]):
-    """(own, key, digits, tf): a text's features, each once with its count."""
+    def __init__(self, batches: list[pa.RecordBatch], key: str, left_out: frozenset[str]) -> None:
+        vocabulary: dict[str, int] = {}
+        names: dict[tuple[bool, object], int] = {}
+        coded, whose = [], []
+        for batch in batches:
+            for own, name, text in zip(*(_column(batch, c).to_pylist() for c in ("own", key, "text")), strict=True):
+                found = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall((text or "").lower()) if w not in left_out]
+                if found:
+                    coded.append(np.array(found, np.int64))
+                    whose.append(names.setdefault((own, name), len(names)))
+        self.names = list(names)
+        words = [w.encode() for w in vocabulary]
+        sizes = np.array([len(c) for c in coded], np.int64)
+        every = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+        row = np.repeat(np.array(whose, np.int64), sizes)
+        # A pair is of two words of one text: the last word of a text begins none.
+        begins = np.ones(len(every), bool)
+        begins[np.cumsum(sizes) - 1] = False
+        begin = np.flatnonzero(begins)
+        pairs, pair = np.unique(every[begin] * len(words) + every[begin + 1], return_inverse=True) if len(begin) else (begin, begin)
+        md5 = hashlib.md5
+        first, second = (x.tolist() for x in np.divmod(pairs, max(1, len(words))))
+        spelled = [md5(w, usedforsecurity=False).digest()[:8] for w in words]
+        spelled += [md5(b"%b %b" % (words[x], words[y]), usedforsecurity=False).digest()[:8] for x, y in zip(first, second, strict=True)]
+        self.digests, place = np.unique(np.frombuffer(b"".join(spelled), ">u8").astype(np.uint64), return_inverse=True)
+        both = np.concatenate([row, row[begin]]) * max(1, len(self.digests)) + np.concatenate([place[every], place[len(words) + pair]])
+        met, self.tf = np.unique(both, return_counts=True)
+        self.at, self.digest = np.divmod(met, max(1, len(self.digests)))
+        own = np.array([o for o, _ in self.names], bool)
+        self.held = np.bincount(self.digest[own[self.at]], minlength=len(self.digests))
+
+
+def _asks(key: str, stopwords: list[str], buckets: int):
+    """(part, bucket, first, digests, held): a part's digests in rows by bucket, which are ranges of digests, so that their order is that of all; `first` is a
+    row's place among the part's."""
     left_out = frozenset(stopwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, bytes] = {}
-        for batch in batches:
-            rows, digits, counts, sizes = [], [], [], []
-
-            def sent() -> pa.RecordBatch:
-                at = pa.array(np.repeat(np.array(rows, np.int64), sizes))
-                columns = [_column(batch, "own").take(at), _column(batch, key).take(at), pa.array(np.frombuffer(b"".join(digits), ">i8").astype(np.int64)), pa.array(counts, pa.int32())]
-                for held in (rows, digits, counts, sizes):
-                    held.clear()
-                return pa.RecordBatch.from_arrays(columns, ["own", key, "digits", "tf"])
-
-            for row, text in enumerate(_column(batch, "text")):
-                found = [w for w in _WORD.findall((text.as_py() or "").lower()) if w not in left_out]
-                each = Counter(_digits(memo, w) for w in found)
-                for pair, n in Counter(zip(found, found[1:])).items():
-                    each[_digits(memo if n > 1 else {}, f"{pair[0]} {pair[1]}")] += n
-                rows.append(row)
-                digits += each.keys()
-                counts += each.values()
-                sizes.append(len(each))
-                if len(digits) >= SENT:
-                    yield sent()
-            yield sent()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part, texts = _column(held[0], "part")[0].as_py(), _Texts(held, key, left_out)
+        if not texts.names:
+            return
+        bucket = ((texts.digests >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for begin, end in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+            for first in range(begin, end, SENT):
+                some = slice(first, min(first + SENT, end))
+                columns = [[part], [int(bucket[begin])], [first], [texts.digests[some].tobytes()], [texts.held[some].astype(np.uint32).tobytes()]]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "bucket", "first", "digests", "held"])
+
+    return run
+
+
+def _answers(n_texts: int):
+    """(part, first, weights): to each row of a bucket its digests' weights, thousandths of 1 + ln(texts / texts with the feature), 0 where no text has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [row for batch in batches for row in zip(*(_column(batch, c).to_pylist() for c in ("part", "first", "digests", "held")), strict=True)]
+        if not asked:
+            return
+        known, place = np.unique(np.concatenate([np.frombuffer(row[2], np.uint64) for row in asked]), return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, place, np.concatenate([np.frombuffer(row[3], np.uint32) for row in asked]).astype(np.int64))
+        counts, count = np.unique(total, return_inverse=True)
+        weight = np.array([math.floor(1000 * (1 + math.log(n_texts / n))) if n else 0 for n in counts.tolist()], np.uint16)[count]
+        ends = np.cumsum([len(row[2]) // 8 for row in asked])
+        for (part, first, *_), w in zip(asked, np.split(weight[place], ends[:-1]), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["part", "first", "weights"])
 
     return run
 
 
-def _placed(key: str, dims: int, spread: int):
-    """(own, key, v): features (own, key, x, places) added up by key; all rows of a key are in one task."""
-    bits = (2 * dims - 1).bit_length()
+def _sums(key: str, stopwords: list[str], dims: int, spread: int):
+    """(own, key, v) of a part's texts and the weights of its digests."""
+    left_out = frozenset(stopwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict = {}
-        total, kind = np.zeros((1024, dims), np.int64), None
+        held, told = [], []
         for batch in batches:
-            kind = _column(batch, key).type
-            own = _column(batch, "own").to_numpy(zero_copy_only=False)
-            told = _column(batch, key).dictionary_encode("encode")
-            code = told.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + own
-            present, back = np.unique(code, return_inverse=True)
-            known = told.dictionary.to_pylist()
-            at = np.array([names.setdefault((bool(c & 1), known[c >> 1]), len(names)) for c in present.tolist()], np.int64)[back]
-            while len(names) > len(total):
-                total = np.concatenate([total, np.zeros_like(total)])
-            places, x = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("places", "x"))
+            said = _column(batch, "weights")
+            told += [row for row in zip(_column(batch, "first").to_pylist(), said.to_pylist(), strict=True) if row[1] is not None]
+            if said.null_count:
+                held.append(batch.filter(said.is_null()))
+        if not held:
+            return
+        texts, kind = _Texts(held, key, left_out), _column(held[0], key).type
+        if not texts.names:
+            return
+        weight = np.concatenate([np.frombuffer(w, np.uint16) for _, w in sorted(told)]).astype(np.int64)
+        x = texts.tf * weight[texts.digest]
+        starts = np.searchsorted(texts.at, np.arange(len(texts.names) + 1))
+        some = max(1, PLACED // dims)
+        for first in range(0, len(texts.names), some):
+            last = min(first + some, len(texts.names))
+            own = slice(int(starts[first]), int(starts[last]))
+            total = np.zeros((last - first) * dims, np.int64)
             for k in range(spread):
-                n = (places >> (bits * k)) & ((1 << bits) - 1)
-                np.add.at(total.reshape(-1), at * dims + (n >> 1), np.where(n & 1, -x, x))
-        if names:
-            flat = pa.array(total[: len(names)].reshape(-1))
-            v = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32) * dims), flat)
-            yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in names]), pa.array([n for _, n in names], kind), v], ["own", key, "v"])
+                n = ((texts.digests[texts.digest[own]] >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+                np.add.at(total, (texts.at[own] - first) * dims + (n >> 1) % dims, np.where(n & 1, -x[own], x[own]))
+            known = np.flatnonzero(np.bincount(texts.at[own] - first, x[own] > 0, last - first))  # features of texts weigh 1000 at least
+            if len(known):
+                flat = pa.array(total.reshape(-1, dims)[known].reshape(-1))
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(known) + 1, dtype=np.int32) * dims), flat)
+                names = [texts.names[first + j] for j in known.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in names]), pa.array([n for _, n in names], kind), v], ["own", key, "v"])
 
     return run
 
 
 def text_vectors(texts: DataFrame, key: str, stopwords: list[str], asked: DataFrame | None = None, dims: int = DIMS, spread: int = SPREAD) -> DataFrame:
     """(own, key, v): project() of the feature_counts() of texts (key, text), weighed by texts, and with own = false those of asked (key, text), weighed by
-    texts too. One pass and two shuffles, dealt to as many parts as the texts need: features go to where their texts are counted, and from there to their key.
-    They travel as the first 64 bits of their MD5, which their places are taken from: two of 10^8 features have equal ones with a probability of 3 in 10^4."""
+    texts too. Texts are dealt to as many parts as they need. A part asks for the weights of its features, each once, and gets two bytes for each, in the
+    order in which it asked; features of a text never travel, so their texts are taken apart twice. A feature is the first 64 bits of its MD5, which its
+    places are taken from: two of 10^8 features have equal ones with a probability of 3 in 10^4."""
     if not 1 <= spread <= 4:
         raise ValueError("spread is 1 to 4: 16 hexadecimal digits of a feature's MD5, four a place")
     size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
@@ -154,15 +201,11 @@ def text_vectors(texts: DataFrame, key: str, stopwords: list[str], asked: DataFr
     if asked is not None:
         every = every.unionByName(asked.select(F.lit(False).alias("own"), key, "text"))
     kind = texts.schema[key].dataType.simpleString()
-    found = every.repartition(parts, key).mapInArrow(_digested(key, stopwords), f"own boolean, `{key}` {kind}, digits long, tf int")
-    held = F.count(F.when(F.col("own"), 1)).over(Window.partitionBy("digits"))
-    met = found.repartition(parts, "digits").withColumn("held", held).where("held > 0")
-    weight = F.floor(1000 * (1 + F.log(F.lit(float(size["n"])) / F.col("held"))))
-    # A place and its sign take a few bits, so all of a feature's are one number.
-    numbers = [F.shiftright("digits", 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(spread)]
-    signed = [F.shiftleft(2 * (F.shiftright(n, 1) % dims) + n % 2, (2 * dims - 1).bit_length() * k) for k, n in enumerate(numbers)]
-    weighed = met.select("own", key, (F.col("tf") * weight).alias("x"), sum(signed[1:], signed[0]).alias("places")).repartition(parts, key)
-    return weighed.mapInArrow(_placed(key, dims, spread), f"own boolean, `{key}` {kind}, v array<bigint>")
+    every = every.withColumn("part", F.pmod(F.hash(key), F.lit(parts)).cast("int"))
+    asks = every.repartitionById(parts, "part").mapInArrow(_asks(key, stopwords, parts), "part int, bucket int, first long, digests binary, held binary")
+    answers = asks.repartitionById(parts, "bucket").mapInArrow(_answers(size["n"]), "part int, first long, weights binary")
+    both = every.unionByName(answers, allowMissingColumns=True).repartitionById(parts, "part")
+    return both.select("own", key, "text", "first", "weights").mapInArrow(_sums(key, stopwords, dims, spread), f"own boolean, `{key}` {kind}, v array<bigint>")
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

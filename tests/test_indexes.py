@@ -157,6 +157,19 @@ def test_text_vectors_parts_grow(spark):
         assert V.text_vectors(many, "key", []).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-40 * n * 1_900_000 // V.PART_BYTES))
 
 
+def test_text_vectors_ask_once_for_a_part(spark):
+    """What travels for a feature that every text has is a row's share of each part's, not a row of each text; texts of a repeated key are one."""
+    texts = spark.createDataFrame([(k % 500, f"same words w{k % 500}") for k in range(1000)], "key long, text string")
+    counts = V.feature_counts(texts, "key", [])
+    want = {repr(tuple(r)) for r in V.project(counts, V.feature_weights(counts, 1000), "key").collect()}
+    assert {repr((r["key"], r["v"])) for r in V.text_vectors(texts, "key", []).collect()} == want
+    every = texts.select(F.lit(True).alias("own"), "key", "text", F.pmod("key", F.lit(4)).cast("int").alias("part"))
+    asks = every.repartitionById(4, "part").mapInArrow(V._asks("key", [], 3), "part int, bucket int, first long, digests binary, held binary").collect()
+    digests = [d for r in asks for d in V.np.frombuffer(r["digests"], V.np.uint64).tolist()]
+    assert len(digests) == 2 * 500 + 4 * 3 and len(set(digests)) == 2 * 500 + 3 and len(asks) <= 12
+    assert sum(int(V.np.frombuffer(r["held"], V.np.uint32).sum()) for r in asks) == 5 * 500
+
+
 @pytest.mark.parametrize("weight_bytes", [1 << 20, 900])
 def test_scan_top_k(spark, weight_bytes):
     """One pass over the texts gives the rows of the plain search, also in blocks of queries and with struct ids."""
