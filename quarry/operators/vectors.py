@@ -77,25 +77,25 @@ class _Texts:
     `at`, `digest`, `tf` a row for each feature of each of `names` (own, key)."""
 
     def __init__(self, batches: list[pa.RecordBatch], key: str, left_out: frozenset[str]) -> None:
-        vocabulary: dict[str, int] = {}
         names: dict[tuple[bool, object], int] = {}
-        coded, whose = [], []
+        found, sizes, whose = [], [], []
         for batch in batches:
             for own, name, text in zip(*(_column(batch, c).to_pylist() for c in ("own", key, "text")), strict=True):
-                found = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall((text or "").lower()) if w not in left_out]
-                if found:
-                    coded.append(np.array(found, np.int64))
+                some = [w for w in _WORD.findall((text or "").lower()) if w not in left_out]
+                if some:
+                    found += some
+                    sizes.append(len(some))
                     whose.append(names.setdefault((own, name), len(names)))
         self.names = list(names)
-        words = [w.encode() for w in vocabulary]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        every = np.concatenate(coded) if coded else np.zeros(0, np.int64)
-        row = np.repeat(np.array(whose, np.int64), sizes)
-        # A pair is of two words of one text: the last word of a text begins none.
-        begins = np.ones(len(every), bool)
-        begins[np.cumsum(sizes) - 1] = False
-        begin = np.flatnonzero(begins)
-        pairs, pair = np.unique(every[begin] * len(words) + every[begin + 1], return_inverse=True) if len(begin) else (begin, begin)
+        told = pa.array(found, pa.string()).dictionary_encode()
+        words = [w.encode() for w in told.dictionary.to_pylist()]
+        every = told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        del found, told
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        row = np.array(whose, np.int64)[text]
+        # A pair is of two neighbouring words of one text.
+        begin = np.flatnonzero(text[1:] == text[:-1])
+        pairs, pair = np.unique(every[begin] * len(words) + every[begin + 1], return_inverse=True)
         md5 = hashlib.md5
         first, second = (x.tolist() for x in np.divmod(pairs, max(1, len(words))))
         spelled = [md5(w, usedforsecurity=False).digest()[:8] for w in words]
