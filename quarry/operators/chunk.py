@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import tables as T
 from ..functions import text as C
+from ..sources.scratch import written
 from .align import positions
 
 
@@ -151,9 +152,11 @@ def _placed(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def build_nodes(nodes: DataFrame, normalized: DataFrame, segments: DataFrame, schema_version: int = 2) -> DataFrame:
     """Chunk rows of NODE rows: numbered within their document, with ids, the section of their place in the document's normalised text (doc, text,
-    filename) and the page of their place in the pages' segments, or else of the structure map."""
+    filename) and the page of their place in the pages' segments, or else of the structure map. Nodes, texts and segments go several ways, so they are
+    written once: else each way would read, split and normalise all of them anew."""
     w = Window.partitionBy("doc").orderBy("place", "part")
-    rows = nodes.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("total_chunks", F.count("*").over(Window.partitionBy("doc")))
+    rows = written(nodes.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("total_chunks", F.count("*").over(Window.partitionBy("doc"))), "nodes")
+    normalized, segments = written(normalized.select("doc", "text", "filename"), "normalized"), written(segments, "segments")
     alignment, page_events = page_alignment(segments)
     sections = as_of(_placed(rows, normalized.select("doc", "text")), section_events(normalized.select("doc", "text")), label="section_title")
     pages = as_of(_placed(rows, alignment.withColumnRenamed("alignment", "text")), page_events, label="page_label")
