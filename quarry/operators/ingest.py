@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..sources.bindings import with_defaults
+from ..sources.scratch import written
 from . import chunk as CH
 from .index import replace_by_key
 
@@ -62,9 +63,11 @@ def visible(diagnostics: DataFrame, only_parents: bool = False, only_selected: b
 
 def ingest(files: DataFrame, items: DataFrame, index: DataFrame | None = None, tokens: int = 768, overlap: int = 200, schema_version: int = 2) -> Ingested:
     """files: (doc, filename), items: (doc, ordinal, label, text, caption, page). A file whose items have no text fails without stopping the others.
-    The filename decides what is replaced in the index, so a file that has changed leaves no chunks behind."""
-    normalized = T.normalize_markdown(markdown(items)).select("doc", F.col("normalized").alias("text")).where("text <> ''").join(files, "doc")
-    structure = CH.structure_map(items)
+    The filename decides what is replaced in the index, so a file that has changed leaves no chunks behind. Items, texts and structure go several ways and are
+    written once."""
+    items = written(items, "items")
+    normalized = written(T.normalize_markdown(markdown(items)).select("doc", F.col("normalized").alias("text")).where("text <> ''").join(files, "doc"), "texts")
+    structure = written(CH.structure_map(items), "structure")
     entries = structure.select("doc", "ordinal", F.col("content").alias("text"), "page")
     chunks = CH.build_nodes(CH.structured_nodes(structure, tokens, overlap).join(normalized.select("doc"), "doc", "left_semi"), normalized, CH.page_segments(entries), schema_version)
     replaced = (index.groupBy("filename").agg(F.count("*").alias("replaced_points")) if index is not None else chunks.limit(0).select("filename", F.lit(0).cast("long").alias("replaced_points")))

@@ -3,6 +3,7 @@
 import html.parser
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,30 @@ def test_pages(spark, tmp_path):
         assert [r["token"] for r in table.tokens(size).orderBy("page").collect()] == tokens
     assert table.page("zzz")[0].count() == 0 and table.page("zzz")[1] is None
     assert PagedTable(rows.limit(0), str(tmp_path)).page()[1] is None
+
+
+def test_pages_are_read_in_slices(monkeypatch):
+    """A whole Arrow batch's items are never held together: as many slices as its bytes need, the same items in order."""
+    pages = [None, "", *[f"<h1>Page {k}</h1><p>{'word ' * (k % 7)}</p>" for k in range(40)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int64()), pa.array(pages, pa.string())], ["doc", "html"])
+    whole = [r for b in H._run(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(H, "READ_BYTES", 100)
+    sliced = list(H._run(iter([batch])))
+    assert len(sliced) > 10 and [r for b in sliced for r in b.to_pylist()] == whole
+    assert max(b.num_rows for b in sliced) <= 8
+
+
+def test_ingestion_reads_pages_once(spark):
+    """Chunks and report come from written items: their plans read no page anew."""
+    pages = spark.createDataFrame([(k, f"<h1>Head {k}</h1><p>Some words of page {k}.</p><table><tr><td>a</td></tr></table>") for k in range(3)], "page_id long, html string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    files = pages.selectExpr("page_id AS doc", "concat('p', page_id) AS filename")
+    made = IN.ingest(files, H.html_items(pages.mapInArrow(counted, pages.schema)))
+    assert len({r["source_doc_id"] for r in made.chunks.collect()}) == 3 and made.report.count() == 3
+    assert read.value == 3
