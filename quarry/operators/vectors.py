@@ -8,9 +8,7 @@ cell is many rows; a search reads the cells nearest to its query, and in exact m
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import md5_heads
+from ..functions.text import word_bytes
 from ..sources.scratch import written
 from .rank import top_k
 
@@ -34,7 +34,7 @@ DIMS, SPREAD = 256, 4
 PART_BYTES, PART_ROWS = 8 << 20, 50_000
 #: Digests that a row holds, and numbers of the vectors that are added up together.
 SENT, PLACED = 100_000, 1 << 20
-_WORD = re.compile("[a-z0-9]{2,}")
+_LOW = (1 << 32) - 1
 
 
 def words(text: Column, stopwords: list[str]) -> Column:
@@ -76,34 +76,34 @@ class _Texts:
     """The features of a part's texts: `digests` (sorted, each once) are the first 64 bits of their MD5, `held` the keys with own that have each, and
     `at`, `digest`, `tf` a row for each feature of each of `names` (own, key)."""
 
-    def __init__(self, batches: list[pa.RecordBatch], key: str, left_out: frozenset[str]) -> None:
-        names: dict[tuple[bool, object], int] = {}
+    def __init__(self, batches: list[pa.RecordBatch], key: str, left_out: frozenset[bytes]) -> None:
         found, sizes, whose = [], [], []
         for batch in batches:
             for own, name, text in zip(*(_column(batch, c).to_pylist() for c in ("own", key, "text")), strict=True):
-                some = [w for w in _WORD.findall((text or "").lower()) if w not in left_out]
-                if some:
-                    found += some
-                    sizes.append(len(some))
-                    whose.append(names.setdefault((own, name), len(names)))
-        self.names = list(names)
-        told = pa.array(found, pa.string()).dictionary_encode()
-        words = [w.encode() for w in told.dictionary.to_pylist()]
+                some = word_bytes(text or "")
+                found += some
+                sizes.append(len(some))
+                whose.append((own, name))
+        told = pa.array(found, pa.binary()).dictionary_encode()
+        del found
+        words = told.dictionary.to_pylist()
+        stays = np.array([len(w) > 1 and w not in left_out for w in words], bool)
         every = told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        del found, told
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        row = np.array(whose, np.int64)[text]
-        # A pair is of two neighbouring words of one text.
+        text = np.repeat(np.arange(len(sizes)), sizes)[stays[every]]
+        every = (np.cumsum(stays) - 1)[every[stays[every]]]
+        words = [w for w, stay in zip(words, stays.tolist(), strict=True) if stay]
+        names: dict[tuple[bool, object], int] = {}
+        at = np.zeros(len(sizes), np.int64)
+        for j in np.unique(text).tolist():
+            at[j] = names.setdefault(whose[j], len(names))
+        self.names, row = list(names), at[text]
+        # A pair is of two neighbouring words of one text. Two numbers are told apart again by shifts, which are quicker than a division.
         begin = np.flatnonzero(text[1:] == text[:-1])
-        pairs, pair = np.unique(every[begin] * len(words) + every[begin + 1], return_inverse=True)
-        md5 = hashlib.md5
-        first, second = (x.tolist() for x in np.divmod(pairs, max(1, len(words))))
-        spelled = [md5(w, usedforsecurity=False).digest()[:8] for w in words]
-        spelled += [md5(b"%b %b" % (words[x], words[y]), usedforsecurity=False).digest()[:8] for x, y in zip(first, second, strict=True)]
-        self.digests, place = np.unique(np.frombuffer(b"".join(spelled), ">u8").astype(np.uint64), return_inverse=True)
-        both = np.concatenate([row, row[begin]]) * max(1, len(self.digests)) + np.concatenate([place[every], place[len(words) + pair]])
+        pairs, pair = np.unique(every[begin] << 32 | every[begin + 1], return_inverse=True)
+        self.digests, place = np.unique(md5_heads(words, pairs >> 32, pairs & _LOW), return_inverse=True)
+        both = np.concatenate([row, row[begin]]) << 32 | np.concatenate([place[every], place[len(words) + pair]])
         met, self.tf = np.unique(both, return_counts=True)
-        self.at, self.digest = np.divmod(met, max(1, len(self.digests)))
+        self.at, self.digest = met >> 32, met & _LOW
         own = np.array([o for o, _ in self.names], bool)
         self.held = np.bincount(self.digest[own[self.at]], minlength=len(self.digests))
 
@@ -111,7 +111,7 @@ class _Texts:
 def _asks(key: str, stopwords: list[str], buckets: int):
     """(part, bucket, first, digests, held): a part's digests in rows by bucket, which are ranges of digests, so that their order is that of all; `first` is a
     row's place among the part's."""
-    left_out = frozenset(stopwords)
+    left_out = frozenset(w.encode() for w in stopwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -153,7 +153,7 @@ def _answers(n_texts: int):
 
 def _sums(key: str, stopwords: list[str], dims: int, spread: int):
     """(own, key, v) of a part's texts and the weights of its digests."""
-    left_out = frozenset(stopwords)
+    left_out = frozenset(w.encode() for w in stopwords)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = [], []
@@ -177,7 +177,8 @@ def _sums(key: str, stopwords: list[str], dims: int, spread: int):
             total = np.zeros((last - first) * dims, np.int64)
             for k in range(spread):
                 n = ((texts.digests[texts.digest[own]] >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
-                np.add.at(total, (texts.at[own] - first) * dims + (n >> 1) % dims, np.where(n & 1, -x[own], x[own]))
+                # Sums below 2^53 are exact as floats too, and these are far below.
+                total += np.bincount((texts.at[own] - first) * dims + (n >> 1) % dims, np.where(n & 1, -x[own], x[own]), len(total)).astype(np.int64)
             known = np.flatnonzero(np.bincount(texts.at[own] - first, x[own] > 0, last - first))  # features of texts weigh 1000 at least
             if len(known):
                 flat = pa.array(total.reshape(-1, dims)[known].reshape(-1))

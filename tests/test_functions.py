@@ -1,9 +1,14 @@
+import hashlib
+import random
+import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import chat as C
+from quarry.functions import digests as D
 from quarry.functions import ids
 from quarry.functions import tables as TB
 from quarry.functions import text as T
@@ -293,3 +298,19 @@ def test_chunks_without_a_shuffle(spark, sf):
     from quarry.sources import bindings
 
     assert "Exchange" not in bindings.chunks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_bytes():
+    for text in ("", "a", "K9 Straße \u0130X \u212aelvin é1\x00b_c\ufeff9", "Of  THE\n\n2 x-ray\u0660\u0661 ２３"):
+        assert [w.decode() for w in T.word_bytes(text)] == re.findall("[a-z0-9]+", text.lower())
+
+
+def test_md5_heads_of_words_and_pairs():
+    """Words and pairs at the edges of a block of the digest, longer ones too, and more of them than are worked on together."""
+    deal = random.Random(5)
+    words = [bytes(deal.choice(b"abz019") for _ in range(n)) for n in [1, 2, D.SHORT - 1, D.SHORT, D.SHORT + 1, 54, 55, 56, 63, 64, 65, 500] * 12]
+    first, second = (np.array([deal.randrange(len(words)) for _ in range(D.TOGETHER + 100)]) for _ in range(2))
+    want = [hashlib.md5(m).digest()[:8] for m in [*words, *(words[a] + b" " + words[b] for a, b in zip(first, second, strict=True))]]
+    assert D.md5_heads(words, first, second).astype(">u8").tobytes() == b"".join(want)
+    none = np.zeros(0, np.int64)
+    assert not len(D.md5_heads([], none, none)) and len(D.md5_heads([b"ab"], none, none)) == 1
