@@ -106,14 +106,18 @@ def _code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
     return PrefixCode(np.array(lengths))
 
 
+@functools.lru_cache(10_000)
+def _code_of_symbols(alphabet: int, *symbols: int) -> PrefixCode:
+    lengths = np.zeros(max(alphabet, 256), np.int64)
+    lengths[list(symbols)] = 1
+    return PrefixCode(lengths)
+
+
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     if bits.read(1):
         n = bits.read(1) + 1
-        lengths = np.zeros(max(alphabet, 256), np.int64)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if n == 2:
-            lengths[bits.read(8)] = 1
-        return PrefixCode(lengths)
+        first = bits.read(8 if bits.read(1) else 1)
+        return _code_of_symbols(alphabet, first, bits.read(8)) if n == 2 else _code_of_symbols(alphabet, first)
     of_lengths = [0] * 19
     n = 4 + bits.read(4)
     given = bits.read(3 * n)
@@ -122,10 +126,13 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     inner, left = _code_of_lengths(tuple(of_lengths)), alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    table, mask, ahead, used = inner.listed, (1 << inner.most) - 1, bits.peek(14 * alphabet), 0
-    found, before = [], 8
+    table, mask, used = inner.listed, (1 << inner.most) - 1, 0
+    found, before, begin, ahead, have = [], 8, bits.at, 0, 0
     while left and len(found) < alphabet:
         left -= 1
+        if used + 14 > have:  # a symbol takes at most 14 bits; a short window is shifted quickly
+            bits.at = begin + used
+            ahead, have = bits.peek(240), used + 240
         s = table[ahead & mask]
         ahead >>= s & 15
         used += s & 15
@@ -145,7 +152,7 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
             found += [0] * (11 + (ahead & 127))
             ahead >>= 7
             used += 7
-    bits.at += used
+    bits.at = begin + used
     if bits.at > 8 * len(bits.data):
         raise WebpError("the image is cut short")
     if len(found) > alphabet:
@@ -228,6 +235,8 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
             following += (code.table & 15).take((ahead & code.mask), mode="clip").take(following, mode="clip")
     following[rare] = rare_after
     following[end:] = -1
+    second = following[following]  # -1 leads to the last place, and so to itself
+    fourth = second[second]
 
     def value(s: int, at: int) -> tuple[int, int]:
         if s < 4:
@@ -236,10 +245,18 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
         return ((2 + (s & 1)) << extra) + (int(ahead[at]) & ((1 << extra) - 1)) + 1, at + extra
 
     begins: list[int] = []
+    ones: list[int] = []
     copies: list[tuple[int, int, int, int]] = []
-    step, note = memoryview(following), begins.append
+    step, leap, note, alone = memoryview(following), memoryview(fourth), begins.append, ones.append
     at, o = 0, start
     while at < n:
+        to = leap[o]
+        if to >= 0 and at + 4 <= n:
+            note(o)
+            o = to
+            at += 4
+            continue
+        alone(len(begins))
         note(o)
         to = step[o]
         if to >= 0:
@@ -263,6 +280,11 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
         raise WebpError("the image is cut short")
     bits.at += o - start
     first = np.array(begins, np.int64)
+    each = np.full(len(first), 4)
+    each[ones] = 1
+    third = second[first]
+    first = np.stack([first, following[first], third, following[third]], 1)[np.arange(4) < each[:, None]]
+    last = np.cumsum(each) - 1
     symbol = of_green[first] >> 4
     literal = symbol < 256
     place, colour = first[literal], symbol[literal].astype(np.uint32) << np.uint32(8)
@@ -276,7 +298,7 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
     counts = np.ones(len(first), np.int64)
     source = np.arange(n + 1)
     for k, at, length, d in copies:
-        counts[k] = length
+        counts[last[k]] = length
         source[at : at + length] = np.arange(at - d, at - d + length)
     where = np.cumsum(counts) - counts
     pixels = np.zeros(n + 1, np.uint32)  # the last one, 0, is what an empty cell of the cache holds
@@ -462,8 +484,14 @@ class Tokens:
     def bytes(self) -> bytes:
         self._close()
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return np.packbits((np.repeat(values, sizes) >> within.astype(np.uint64)).astype(np.uint8) & 1, bitorder="little").tobytes()
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        word, place = begins >> 6, (begins & 63).astype(np.uint64)
+        edges = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
+        out = np.zeros(int(word[-1]) + 2, "<u8")
+        out[word[edges]] = np.bitwise_or.reduceat(values << place, edges)
+        out[word[edges] + 1] |= np.bitwise_or.reduceat(values >> np.uint64(1) >> (np.uint64(63) - place), edges)
+        return out.tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
@@ -511,10 +539,19 @@ def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: The code of code lengths that the writer uses: four bits, five for the rare ones; its description and its bits.
 _LENGTHS = [5 if s in (1, 11, 12, 13, 14, 15) else 4 for s in range(19)]
 _LENGTHS_HEAD = (15 << 1 | sum(_LENGTHS[s] << (5 + 3 * k) for k, s in enumerate(LENGTH_ORDER)), 63)
-_LENGTH_BITS = [x.tolist() for x in _codes(np.array(_LENGTHS))]
+_LENGTH_BITS = _codes(np.array(_LENGTHS))
+_LENGTH_LISTS = [x.tolist() for x in _LENGTH_BITS]
 _RUNS = {True: ((16, 3, 6, 2),), False: ((18, 11, 138, 7), (17, 3, 10, 3))}
 
 
+@functools.lru_cache(10_000)
+def _codes_of(n: int, *symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """_codes() of one or two symbols of n; not to be changed."""
+    lengths = np.zeros(n, np.int64)
+    lengths[list(symbols)] = 1
+    return _codes(lengths)
+
+
 def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Describes a code for symbols of these counts; returns the symbols' bits."""
     used = counts.nonzero()[0]
@@ -523,27 +560,30 @@ def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         out.add(1 | len(second) << 1 | 1 << 2 | first << 3, 11)
         if second:
             out.add(second[0], 8)
-        lengths = np.zeros(len(counts), np.int64)
-        lengths[used] = 1
-        return _codes(lengths)
+        return _codes_of(len(counts), first, *second)
     lengths = code_lengths(counts)
     out.add(*_LENGTHS_HEAD)
     value, size = _LENGTH_BITS
-    edges = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist(), len(lengths)]
-    add = out.few.append
-    for a, b, length in zip(edges, edges[1:], lengths[edges[:-1]].tolist(), strict=False):
+    values, sizes, stays = value[lengths], size[lengths], np.ones(len(lengths), bool)
+    # A long run's few tokens stand at its first places.
+    edges = np.concatenate([[0], (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, [len(lengths)]])
+    many = (edges[1:] - edges[:-1] > np.where(lengths[edges[:-1]] > 0, 3, 2)).nonzero()[0]
+    put = []
+    for a, b, length in zip(edges[many].tolist(), edges[many + 1].tolist(), lengths[edges[many]].tolist(), strict=True):
+        a += length > 0
         n = b - a
-        if length:
-            add((value[length], size[length]))
-            n -= 1
-        if n > 2:
-            for s, least, greatest, extra in _RUNS[length > 0]:
-                while n >= least:
-                    take = min(n, greatest)
-                    add((value[s] | (take - least) << size[s], size[s] + extra))
-                    n -= take
-        for _ in range(n):
-            add((value[length], size[length]))
+        for s, least, greatest, extra in _RUNS[length > 0]:
+            while n >= least:
+                take = min(n, greatest)
+                put.append((a, _LENGTH_LISTS[0][s] | (take - least) << _LENGTH_LISTS[1][s], _LENGTH_LISTS[1][s] + extra))
+                n -= take
+                a += 1
+        stays[a : b - n] = False
+    if put:
+        at, *told = zip(*put, strict=True)
+        at = list(at)
+        values[at], sizes[at] = told
+    out.extend(values[stays], sizes[stays])
     return _codes(lengths)
 
 
@@ -596,6 +636,12 @@ def cache_hits(p: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hit, cell.astype(np.int64)
 
 
+@functools.cache
+def _near(width: int) -> dict[int, int]:
+    """The short codes of distances."""
+    return {d: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if (d := x + y * width) > 0}
+
+
 def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
     """Pixels (ARGB numbers) with back-references and, where it pays, the colour cache of cache_bits."""
     found = references(p) if main else []
@@ -615,7 +661,7 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
             hit[:], cache_bits = False, 0
     plain = literal & ~hit
     symbol = np.where(hit, cell + 280, channels[0]) if cache_bits else channels[0].copy()
-    near = {d: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if (d := x + y * width) > 0} if found else {}
+    near = _near(width)
     sizes = [_symbol(length) for _, length, _ in found]
     far = [_symbol(near.get(d, d + 120)) for _, _, d in found]
     begins = np.array([a for a, _, _ in found], np.int64)
@@ -630,6 +676,8 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
     of_distance = _write_code(out, np.bincount([s for s, _, _ in far], minlength=40) if far else np.zeros(40, np.int64))
     value, size = codes[0][0][symbol], codes[0][1][symbol]
     for (bits, n), c in zip(codes[1:], channels[1:], strict=True):
+        if not n.any():  # one symbol, which takes no bits
+            continue
         value |= np.where(plain, bits[c], np.uint64(0)) << size.astype(np.uint64)
         size = size + np.where(plain, n[c], 0)
     for a, (_, extra, n), (s, more, m) in zip(begins.tolist(), sizes, far, strict=True):
@@ -641,14 +689,23 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
     out.extend(value[first], size[first])
 
 
+@functools.cache
+def _count_bits() -> np.ndarray:
+    """n log2 n of all numbers of pixels that an image can have."""
+    n = np.arange(MOST_ROWS * WIDTH + 1)
+    return n * np.log2(np.maximum(n, 1))
+
+
 def _entropy(counts: np.ndarray) -> np.ndarray:
     """Bits of the symbols counted in each row by an ideal code, and six for each symbol that its description takes."""
-    total = counts.sum(-1, keepdims=True)
-    return -(counts * np.log2(np.maximum(counts, 1) / np.maximum(total, 1))).sum(-1) + 6 * (counts > 0).sum(-1)
+    bits = _count_bits()
+    return bits[counts.sum(-1)] - bits[counts].sum(-1) + 6 * np.count_nonzero(counts, -1)
 
 
 #: Bits of the colour cache, and the share of the pixels' bits that it has to save.
 CACHE_BITS, CACHE_GAIN = 8, 0.05
+#: Where the counts of each channel of each form begin among all.
+_TWELVE = 256 * np.arange(12)[:, None]
 
 
 def _write_stream(p: np.ndarray) -> bytes:
@@ -658,25 +715,25 @@ def _write_stream(p: np.ndarray) -> bytes:
     out.add(0x2F, 8)
     out.add((WIDTH - 1) | (height - 1) << 14, 32)
     flat = p.reshape(-1)
-    colours, index = np.unique(flat, return_inverse=True)
-    c = _split(p)
-    left, above = c.copy(), c.copy()
-    left[:, 1:] -= c[:, :-1]
-    left[1:, 0] -= c[:-1, 0]
-    above[1:] -= c[:-1]
-    above[0, 1:] -= c[0, :-1]
-    left[0, 0, 0] = above[0, 0, 0] = 0
-    no_green = c.copy()
-    no_green[..., 1] -= c[..., 2]
-    no_green[..., 3] -= c[..., 2]
-    forms = [left, above, no_green, c]
-    stacked = np.stack([f[..., 1:].reshape(n, 3).T & 255 for f in forms])
-    counts = np.bincount((stacked + 256 * np.arange(12).reshape(4, 3, 1)).reshape(-1), minlength=12 * 256).reshape(4, 3, 256)
+    ordered = np.sort(flat)
+    colours = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+    c = np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(height, WIDTH, 4)[..., 2::-1].transpose(2, 0, 1)  # red, green, blue
+    forms = np.empty((4, 3, height, WIDTH), np.uint8)
+    left, above, no_green, plain = forms
+    for form in forms:
+        form[:] = c
+    left[..., 1:] -= c[..., :-1]
+    left[:, 1:, 0] -= c[:, :-1, 0]
+    above[:, 1:] -= c[:, :-1]
+    above[:, 0, 1:] -= c[:, 0, :-1]
+    no_green[::2] -= c[1]
+    counts = np.bincount((forms.reshape(12, n) + _TWELVE).reshape(-1), minlength=12 * 256).reshape(4, 3, 256)
     costs = _entropy(counts).sum(1)
     if len(colours) <= 256:
         pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
-        cost = 24 * len(colours) + _entropy(np.bincount(index, minlength=1)) if not pack else 24 * len(colours) + n * (8 >> pack)
+        cost = 24 * len(colours) + _entropy(np.unique(flat, return_counts=True)[1]) if not pack else 24 * len(colours) + n * (8 >> pack)
         if cost <= costs.min():
+            index = np.searchsorted(colours, flat)
             out.add(1 | 3 << 1 | (len(colours) - 1) << 3, 11)
             steps = np.diff(_split(colours), axis=0, prepend=0)
             _write_image(out, _join(steps), len(colours), False)
@@ -694,7 +751,9 @@ def _write_stream(p: np.ndarray) -> bytes:
     elif best == 2:
         out.add(1 | 2 << 1, 3)
     out.add(0, 1)
-    _write_image(out, _join(forms[best]).reshape(-1), WIDTH, True, CACHE_BITS)
+    red, green, blue = forms[best].reshape(3, n).astype(np.uint32)
+    alpha = np.uint32(0 if best < 2 else 255 << 24)  # a difference to the pixel before is none in alpha, the first pixel's too
+    _write_image(out, red << np.uint32(16) | green << np.uint32(8) | blue | alpha, WIDTH, True, CACHE_BITS)
     return out.bytes()
 
 

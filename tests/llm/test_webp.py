@@ -1,5 +1,6 @@
 """The reader against images written here with every feature of the format."""
 
+import itertools
 import os
 import random
 
@@ -292,3 +293,26 @@ def test_round_trip_of_texts(seed):
         data = text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
         media = W.encode(data)
         assert W.decode(media) == data and W.encode(data) == media
+
+
+def test_bits_are_packed_in_words():
+    """Tokens of no bits, of 63 and across the borders of words, as a plain string of bits has them."""
+    deal = random.Random(9)
+    for n in (1, 2, 40, 700):
+        sizes = [deal.choice([0, 1, 5, 8, 31, 32, 33, 63]) for _ in range(n)] + [3]
+        values = [deal.getrandbits(k) if k else 0 for k in sizes]
+        out = W.Tokens()
+        out.add(values[0], sizes[0])
+        out.extend(np.array(values[1:], np.uint64), np.array(sizes[1:], np.int64))
+        whole = sum(v << at for v, at in zip(values, itertools.accumulate([0, *sizes]), strict=False))
+        assert out.bytes() == whole.to_bytes((sum(sizes) + 7) // 8, "little")
+
+
+def test_codes_of_few_symbols_are_made_once():
+    """Every image has codes of one symbol (alpha, distances): the writer and the reader make each of them once, not once an image."""
+    texts = [bytes(random.Random(k).randrange(32, 127) for _ in range(192 * 30)) for k in range(12)]
+    W._codes_of.cache_clear()
+    W._code_of_symbols.cache_clear()
+    assert [W.decode(W.encode(t)) for t in texts] == texts
+    assert W._codes_of.cache_info().misses < len(texts) <= W._codes_of.cache_info().hits
+    assert W._code_of_symbols.cache_info().misses < len(texts) <= W._code_of_symbols.cache_info().hits
