@@ -4,7 +4,8 @@ Krichevsky-Trofimov estimates of all depths are mixed with the weights that the
 A Krichevsky-Trofimov estimate depends on two counts only, and counts add up: tasks count byte strings of DEPTH + 1 bytes, Spark adds them up, and the
 trees are made from there, depth by depth, as tables: a node's weighted probability is half its own estimate and half the product of its children's.
 A node then needs two numbers, its estimate and the share `stop` of its own estimate in the mixture; a decision's probability is
-stop x estimate + (1 - stop) x that of the next deeper node on its path, and 1/2 below the last node that was seen.
+stop x estimate + (1 - stop) x that of the next deeper node on its path, and 1/2 below the last node that was seen. So it depends on that last node
+alone: it is worked out once for each node, and a decision looks its own up from the deepest tree on, where nearly all strings are found.
 
 The text that is modelled is what the words are taken from: UTF-8 with A-Z lower-cased. It is coded with one end, the byte 0xFF, which no text holds; so
 are the bytes before its start. So the probabilities of all texts add up to at most one.
@@ -21,8 +22,8 @@ are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,16 +41,21 @@ LOT = 4 << 20
 MOST_NODES, TOP_WORDS, LONG_WORD = 8_000_000, 200_000, 64
 #: Scores of byte strings that a task remembers.
 REMEMBERED = 1_000_000
+#: Nodes that are settled together.
+TOGETHER = 1 << 18
+
+
+def _packed(flat: bytes, depth: int) -> np.ndarray:
+    """Each stretch of depth + 1 bytes (8 at most) as an integer: eight bytes are read from every place, and those that are too many shifted out."""
+    every = np.ndarray(len(flat) - depth, ">u8", flat + bytes(8), strides=(1,)).astype(np.uint64)
+    return (every >> np.uint64(56 - 8 * depth)).view(np.int64)
 
 
 def codes_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, text): each byte of the texts and each end with the depth bytes before it, packed into an integer, and which text it is of."""
     edge = EDGE * depth
     lengths = np.array([len(t) + 1 for t in texts])
-    flat = np.frombuffer(edge.join([b"", *[t + EDGE for t in texts]]), np.uint8)
-    code = np.zeros(len(flat) - depth, np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | flat[k : len(flat) - depth + k]
+    code = _packed(edge.join([b"", *[t + EDGE for t in texts]]), depth)
     begin = np.cumsum(lengths[:-1] + depth)
     real = np.ones(len(code), bool)
     real[(begin[:, None] - 1 - np.arange(depth)).ravel()] = False  # bytes before the start of the texts behind the first
@@ -84,10 +90,7 @@ def _strings(held: list[tuple[tuple[int, str | None], bytes, bytes, bool]], dept
     parts, owners = [code[~np.isin(owner, cut)]], [owner[~np.isin(owner, cut)]]
     for k in cut:
         _, piece, context, last = held[k]
-        flat = np.frombuffer(context + piece + (EDGE if last else b""), np.uint8)
-        own = np.zeros(len(flat) - depth, np.int64)
-        for j in range(depth + 1):
-            own = (own << 8) | flat[j : len(flat) - depth + j]
+        own = _packed(context + piece + (EDGE if last else b""), depth)
         parts.append(own)
         owners.append(np.full(len(own), k, np.int32))
     return np.concatenate(parts), np.concatenate(owners)
@@ -108,17 +111,24 @@ class Words:
         return words
 
 
+def _told_apart(words: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(the place of each word among the distinct ones, the distinct ones)."""
+    told = pa.array(words, pa.binary()).dictionary_encode()
+    return told.indices.to_numpy().astype(np.int64), told.dictionary
+
+
 def _count(depth: int, lot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for held in _lots(batches, depth, lot):
-            found = Counter()
+            found = []
             for _, piece, _, last in held:
-                found.update(words.of(piece, last))
+                found += words.of(piece, last)
                 if last:
-                    found[b""] += 1
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in found], pa.string()), pa.nulls(n, pa.int64()), pa.array(list(found.values()), pa.int64())], ["word", "code", "n"])
+                    found.append(b"")
+            place, distinct = _told_apart(found)
+            n = len(distinct)
+            yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.nulls(n, pa.int64()), pa.array(np.bincount(place, minlength=n), pa.int64())], ["word", "code", "n"])
             codes, counts = np.unique(_strings(held, depth)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["word", "code", "n"])
 
@@ -168,23 +178,46 @@ def context_trees(counts: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame
     return out, tables
 
 
-def log10_bytes(codes: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of the probability of each packed byte string's last byte after the others; trees: by depth (sorted keys, p, stop)."""
+def settled(trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By depth (sorted keys, the probability of a one where a path ends at that node) of trees (sorted keys, p, stop). A node's shallower ones are
+    nodes too, since counts add up."""
+    out = []
+    for deepest, (every, *_) in enumerate(trees):
+        ones = np.full(len(every), 0.5)
+        for first in range(0, len(every), TOGETHER):
+            some = slice(first, first + TOGETHER)
+            for d in range(deepest, -1, -1):
+                keys, p, stop = trees[d]
+                at = np.searchsorted(keys, every[some] & ((1 << (8 * (d + 1))) - 1))
+                share, own = stop[at].astype(np.float64), p[at].astype(np.float64)
+                ones[some] = share * np.where(own < 0, 1 + own, own) + (1 - share) * ones[some]
+        out.append((every, ones))
+    return out
+
+
+def log10_settled(codes: np.ndarray, nodes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of the probability of each packed byte string's last byte after the others; nodes: settled() trees. Sorted strings are found sooner."""
     byte, total = codes & 255, np.zeros(len(codes))
     for j in range(8):
         path = (1 << j) | (byte >> (8 - j))
-        one = np.full(len(codes), 0.5)
-        for d in range(len(trees) - 1, -1, -1):
-            keys, p, stop = trees[d]
-            if len(keys):
-                key = (((codes >> 8) & ((1 << (8 * d)) - 1)) << 8) | path
+        one, left = np.full(len(codes), 0.5), np.arange(len(codes))
+        for d in range(len(nodes) - 1, -1, -1):
+            keys, ones = nodes[d]
+            if len(keys) and len(left):
+                key = (((codes[left] >> 8) & ((1 << (8 * d)) - 1)) << 8) | path[left]
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                share, own = stop[at].astype(np.float64), p[at].astype(np.float64)
-                one = np.where(keys[at] == key, share * np.where(own < 0, 1 + own, own) + (1 - share) * one, one)
+                met = keys[at] == key
+                one[left[met]] = ones[at[met]]
+                left = left[~met]
         total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, one, 1 - one))
     return total
 
 
+def log10_bytes(codes: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10_settled() from trees by depth (sorted keys, p, stop)."""
+    return log10_settled(codes, settled(trees))
+
+
 def _sorted(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, p, stop = (np.asarray(rows[c], kind) for c, kind in (("key", np.int64), ("p", np.float32), ("stop", np.float32)))
     order = np.argsort(key)
@@ -192,10 +225,10 @@ def _sorted(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Scores:
-    """log10_bytes() with a memory of what was asked before."""
+    """log10_settled() with a memory of what was asked before."""
 
-    def __init__(self, trees) -> None:
-        self.trees, self.codes, self.scores = trees, np.zeros(0, np.int64), np.zeros(0)
+    def __init__(self, nodes) -> None:
+        self.nodes, self.codes, self.scores = nodes, np.zeros(0, np.int64), np.zeros(0)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """codes: distinct ones, sorted."""
@@ -205,7 +238,7 @@ class Scores:
         known[inside] = self.codes[at[inside]] == codes[inside]
         out = np.zeros(len(codes))
         out[known] = self.scores[at[known]]
-        out[~known] = log10_bytes(codes[~known], self.trees)
+        out[~known] = log10_settled(codes[~known], self.nodes)
         if len(self.codes) + np.count_nonzero(~known) > REMEMBERED:
             self.codes, self.scores = codes, out
         else:
@@ -213,14 +246,27 @@ class Scores:
         return out
 
 
+def _totals(codes: np.ndarray, owner: np.ndarray, n: int, depth: int, scores: Scores) -> np.ndarray:
+    """The sum of the scores of each of n owners' strings."""
+    bits = n.bit_length()
+    if 8 * (depth + 1) + bits > 64:
+        distinct, back = np.unique(codes, return_inverse=True)
+        return np.bincount(owner, scores.of(distinct)[back], n)
+    # Sorted in one number with their owners, strings need no way back to their places.
+    both = np.sort(codes.view(np.uint64) << np.uint64(bits) | owner.astype(np.uint64))
+    codes, owner = (both >> np.uint64(bits)).view(np.int64), (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return np.bincount(owner, np.repeat(scores.of(codes[first]), np.diff(first, append=len(codes))), n)
+
+
 ROW = "row long, id string, n_tokens long, n_bytes long, n_known long, base double, score double, rare array<struct<word:string,n:long>>, codes array<struct<code:long,n:long>>"
 
 
-def _score(depth: int, lot: int, words, trees):
-    """A row for each slice of a text: tokens among the words that were sent, the other tokens, and the score, or the byte strings where trees is None."""
+def _score(depth: int, lot: int, words, nodes):
+    """A row for each slice of a text: tokens among the words that were sent, the other tokens, and the score, or the byte strings where nodes is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scores = words.value, Scores(trees.value) if trees is not None else None
+        known, scores = words.value, Scores(nodes.value) if nodes is not None else None
         base = TaskContext.get().partitionId() << 40
         cutter = Words()
         for held in _lots(batches, depth, lot):
@@ -228,30 +274,32 @@ def _score(depth: int, lot: int, words, trees):
             n = len(held)
             total, strings = np.zeros(n), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
             if scores is not None:
-                distinct, back = np.unique(codes, return_inverse=True)
-                total = np.bincount(owner, scores.of(distinct)[back], n)
+                total = _totals(codes, owner, n, depth, scores)
             else:
                 order = np.argsort(owner, kind="stable")
                 strings = [np.unique(own, return_counts=True) for own in np.split(codes[order], np.searchsorted(owner[order], np.arange(1, n)))]
-            counted = []
+            found, tokens = [], []
             for _, piece, _, last in held:
-                found = Counter(cutter.of(piece, last))
+                own = cutter.of(piece, last)
                 if last:
-                    found[b""] += 1
-                counted.append(found)
-            sent = [[(known[w], m) for w, m in found.items() if w in known] for found in counted]
-            rare = [[(w.decode("utf-8", "replace"), m) for w, m in found.items() if w not in known] for found in counted]
+                    own.append(b"")
+                found += own
+                tokens.append(len(own))
+            place, distinct = _told_apart(found)
+            value = np.fromiter(map(known.get, distinct.to_pylist(), repeat(0.0)), np.float64, len(distinct))[place]  # of a word that was sent more than 0
+            whose, other = np.repeat(np.arange(n), tokens), value == 0
+            rare, times = np.unique(whose[other] << 32 | place[other], return_counts=True)
             yield pa.RecordBatch.from_arrays([
-                pa.array([base + row for (row, _), *_ in held]), pa.array([name for (_, name), *_ in held], pa.string()), pa.array([sum(found.values()) for found in counted], pa.int64()),
-                pa.array([len(piece) + last for _, piece, _, last in held], pa.int64()), pa.array([sum(m for _, m in x) for x in sent], pa.int64()), pa.array([math.fsum(v * m for v, m in x) for x in sent], pa.float64()), pa.array(total, pa.float64()),
-                _lists([pa.array([w for x in rare for w, _ in x], pa.string()), pa.array([m for x in rare for _, m in x], pa.int64())], ["word", "n"], [len(x) for x in rare]),
+                pa.array([base + row for (row, _), *_ in held]), pa.array([name for (_, name), *_ in held], pa.string()), pa.array(tokens, pa.int64()),
+                pa.array([len(piece) + last for _, piece, _, last in held], pa.int64()), pa.array(np.bincount(whose[~other], minlength=n), pa.int64()), pa.array(np.bincount(whose, value, n), pa.float64()), pa.array(total, pa.float64()),
+                _lists([distinct.take(pa.array(rare & 0xFFFFFFFF)).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"], np.bincount(rare >> 32, minlength=n)),
                 _lists([pa.array(np.concatenate([c for c, _ in strings]), pa.int64()), pa.array(np.concatenate([m for _, m in strings]), pa.int64())], ["code", "n"], [len(c) for c, _ in strings]),
             ], [c.split()[0] for c in ROW.split(", ")])
 
     return run
 
 
-def _lists(columns: list[pa.Array], names: list[str], sizes: list[int]) -> pa.Array:
+def _lists(columns: list[pa.Array], names: list[str], sizes) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
@@ -298,7 +346,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     table = sent.toArrow()
     known = spark.sparkContext.broadcast({w.encode(): math.log10(n + 1) for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)})
     small = sum(n_nodes) <= most_nodes
-    model = spark.sparkContext.broadcast([_sorted(t.toArrow()) for t in trees]) if small else None
+    model = spark.sparkContext.broadcast(settled([_sorted(t.toArrow()) for t in trees])) if small else None
     if small:
         discard(*tables)
     texts = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -267,3 +267,46 @@ def test_never_seen_is_not_impossible(spark):
     trees = [context_tree._sorted(t.toArrow()) for t in context_tree.context_trees(counts, 0)[0]]
     every = 10 ** context_tree.log10_bytes(np.arange(256), trees)
     assert (every > 0).all() and every.sum() == pytest.approx(1)
+
+
+def test_known_strings_are_looked_up_in_the_deepest_tree_alone(spark, monkeypatch):
+    """Strings of the training take eight look-ups each, one a bit, and have the scores that the trees give when they are walked from node to node."""
+    learn = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    strings = context_tree.corpus_counts(learn, 3).where("word is null").select("code", "n")
+    trees = [context_tree._sorted(t.toArrow()) for t in context_tree.context_trees(strings, 3)[0]]
+    codes = np.sort(np.array([r["code"] for r in strings.collect()]))
+    scores, plain, asked = context_tree.Scores(context_tree.settled(trees)), np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda keys, key, *more: asked.append(len(np.atleast_1d(key))) or plain(keys, key, *more))
+    got = scores.of(codes)
+    assert sum(asked) <= 9 * len(codes)  # one more in the memory
+    walked = []
+    for code in codes.tolist():
+        total = 0.0
+        for j in range(8):
+            path, one = (1 << j) | ((code & 255) >> (8 - j)), 0.5
+            for d in range(3, -1, -1):
+                keys, p, stop = trees[d]
+                key = (((code >> 8) & ((1 << (8 * d)) - 1)) << 8) | path
+                at = int(plain(keys, key))
+                if at < len(keys) and keys[at] == key:
+                    share, own = float(stop[at]), float(p[at])
+                    one = share * (1 + own if own < 0 else own) + (1 - share) * one
+            total += math.log10(one if (code >> (7 - j)) & 1 else 1 - one)
+        walked.append(total)
+    assert got == pytest.approx(np.array(walked), rel=1e-12)
+
+
+def test_words_that_are_sent_take_no_rows():
+    """Counts, the base and the other words of a text, also where a word is cut between slices."""
+    import pyarrow as pa
+
+    known = type("Sent", (), {"value": {b"the": 1.5, b"": 0.25}})
+    context = type("Context", (), {"get": staticmethod(lambda: context), "partitionId": staticmethod(lambda: 0)})
+    real, context_tree.TaskContext = context_tree.TaskContext, context
+    try:
+        found = list(context_tree._score(2, 5, known, None)(iter([pa.RecordBatch.from_pydict({"id": ["1"], "text": ["The other the other x"]})])))
+    finally:
+        context_tree.TaskContext = real
+    rows = [r for batch in found for r in batch.to_pylist()]
+    assert (sum(r["n_tokens"] for r in rows), sum(r["n_known"] for r in rows), sum(r["base"] for r in rows)) == (6, 3, 3.25)
+    assert sorted((e["word"], e["n"]) for r in rows for e in r["rare"]) in ([("other", 1), ("other", 1), ("x", 1)], [("other", 2), ("x", 1)])
