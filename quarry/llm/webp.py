@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, payload
 
 WIDTH, MOST_ROWS = 64, 1024
+#: Bits in which the reader looks for several code lengths at once.
+SEVERAL = 12
 ROW = 3 * WIDTH
 #: Fixed values of the format: the order in which the lengths of the length code stand.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -95,13 +97,36 @@ class PrefixCode:
             self._list = self.table.tolist()
         return self._list
 
+    @functools.cached_property
+    def several(self) -> list[tuple[list[int], int, int] | None]:
+        """Of a code of code lengths, by the next SEVERAL bits: (the lengths that its whole tokens there give, the bits of these, the last length that is
+        not 0); filled in as it is asked. A repetition of a length that stands before is left for the reader."""
+        return [None] * (1 << SEVERAL)
+
+    def lengths_of(self, window: int) -> tuple[list[int], int, int]:
+        found, used, before = [], 0, 0
+        while True:
+            s = self.listed[window >> used & self.mask]
+            k, s = s & 15, s >> 4
+            extra = 0 if s < 16 else 2 if s == 16 else 3 if s == 17 else 7
+            if used + k + extra > SEVERAL or s == 16 or not k:
+                break
+            if s < 16:
+                found.append(s)
+                before = s or before
+            else:
+                found += [0] * ((3 if s == 17 else 11) + (window >> used + k & ((1 << extra) - 1)))
+            used += k + extra
+        self.several[window] = found, used, before
+        return self.several[window]
+
     def symbol(self, bits: Bits) -> int:
         found = self.listed[bits.peek(self.most)]
         bits.read(found & 15)
         return found >> 4
 
 
-@functools.lru_cache(10_000)
+@functools.lru_cache(1_000)
 def _code_of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
     return PrefixCode(np.array(lengths))
 
@@ -123,11 +148,30 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     given = bits.read(3 * n)
     for k in range(n):
         of_lengths[LENGTH_ORDER[k]] = given >> 3 * k & 7
-    inner, left = _code_of_lengths(tuple(of_lengths)), alphabet
+    inner, left, several = _code_of_lengths(tuple(of_lengths)), alphabet, None
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    else:  # no number of tokens is given, so many can be read at once
+        several = inner.several
     table, mask, used = inner.listed, (1 << inner.most) - 1, 0
     found, before, begin, ahead, have = [], 8, bits.at, 0, 0
+    while several:
+        if used + SEVERAL > have:
+            bits.at = begin + used
+            ahead, have = bits.peek(240), used + 240
+        window = ahead & ((1 << SEVERAL) - 1)
+        some, k, last = several[window] or inner.lengths_of(window)
+        if k and len(found) + len(some) <= alphabet:
+            found += some
+            before = last or before
+        elif (s := table[window & mask]) >> 4 == 16 and len(found) < alphabet:
+            k = s & 15
+            found += [before] * (3 + (window >> k & 3))
+            k += 2
+        else:
+            break
+        ahead >>= k
+        used += k
     while left and len(found) < alphabet:
         left -= 1
         if used + 14 > have:  # a symbol takes at most 14 bits; a short window is shifted quickly
@@ -157,7 +201,7 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
         raise WebpError("the image is cut short")
     if len(found) > alphabet:
         raise WebpError("too many code lengths")
-    return PrefixCode(np.array(found))
+    return PrefixCode(np.frombuffer(bytes(found), np.uint8).astype(np.int64))
 
 
 def _value(bits: Bits, s: int) -> int:
@@ -297,9 +341,12 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
         return colour
     counts = np.ones(len(first), np.int64)
     source = np.arange(n + 1)
-    for k, at, length, d in copies:
+    if copies:
+        k, at, length, d = np.array(copies, np.int64).T
         counts[last[k]] = length
-        source[at : at + length] = np.arange(at - d, at - d + length)
+        ends = np.cumsum(length)
+        copied = np.arange(ends[-1]) + np.repeat(at - ends + length, length)
+        source[copied] = copied - np.repeat(d, length)
     where = np.cumsum(counts) - counts
     pixels = np.zeros(n + 1, np.uint32)  # the last one, 0, is what an empty cell of the cache holds
     pixels[where[literal]] = colour
@@ -319,7 +366,7 @@ def _one_group(bits: Bits, group: list[PrefixCode], cache_bits: int, width: int,
 
 def _roots(source: np.ndarray) -> np.ndarray:
     """Where the pointers end, which lead to earlier places or to themselves."""
-    while not np.array_equal(further := source[source], source):
+    while ((further := source[source]) != source).any():
         source = further
     return source
 
@@ -494,6 +541,10 @@ class Tokens:
         return out.tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
+#: More than any number of pixels.
+_LAST = 1 << 62
+
+
 def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     """Lengths of an optimal prefix code; where one would exceed `most`, counts are halved until none does."""
     lengths = np.zeros(len(counts), np.int64)
@@ -503,21 +554,36 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         return lengths
     while True:
         order = used[counts[used].argsort(kind="stable")]
-        weights = counts[order].tolist()
-        n = len(weights)
+        n = len(order)
+        # Places from n on are inner nodes; what is not made yet, and what stands behind the last symbol, comes last.
+        weights = [*counts[order].tolist(), *[_LAST] * n]
         parent = [0] * (2 * n - 1)
         leaf, inner = 0, n
+        x, y = weights[0], _LAST
         for node in range(n, 2 * n - 1):
-            if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
-                a, leaf = leaf, leaf + 1
+            if x <= y:
+                total = x
+                parent[leaf] = node
+                leaf += 1
+                x = weights[leaf] if leaf < n else _LAST
             else:
-                a, inner = inner, inner + 1
-            if inner >= node or (leaf < n and weights[leaf] <= weights[inner]):
-                b, leaf = leaf, leaf + 1
+                total = y
+                parent[inner] = node
+                inner += 1
+                y = weights[inner]
+            if x <= y:
+                total += x
+                parent[leaf] = node
+                leaf += 1
+                x = weights[leaf] if leaf < n else _LAST
             else:
-                b, inner = inner, inner + 1
-            parent[a] = parent[b] = node
-            weights.append(weights[a] + weights[b])
+                total += y
+                parent[inner] = node
+                inner += 1
+                y = weights[inner]
+            weights[node] = total
+            if inner == node:
+                y = total
         depth = [0] * (2 * n - 1)
         for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
@@ -544,6 +610,26 @@ _LENGTH_LISTS = [x.tolist() for x in _LENGTH_BITS]
 _RUNS = {True: ((16, 3, 6, 2),), False: ((18, 11, 138, 7), (17, 3, 10, 3))}
 
 
+@functools.cache
+def _run(length: int, n: int) -> list[tuple[int, int]]:
+    """The tokens of a run of n equal code lengths, at most 63 bits in each; not to be changed."""
+    value, size = (x[length] for x in _LENGTH_LISTS)
+    put = [(value, size)] if length else []
+    n -= len(put)
+    for s, least, greatest, extra in _RUNS[length > 0]:
+        while n >= least:
+            take = min(n, greatest)
+            put.append((_LENGTH_LISTS[0][s] | (take - least) << _LENGTH_LISTS[1][s], _LENGTH_LISTS[1][s] + extra))
+            n -= take
+    out = [(0, 0)]
+    for more, k in [*put, *[(value, size)] * n]:
+        if out[-1][1] + k > 63:
+            out.append((0, 0))
+        v, at = out[-1]
+        out[-1] = (v | more << at, at + k)
+    return out
+
+
 @functools.lru_cache(10_000)
 def _codes_of(n: int, *symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """_codes() of one or two symbols of n; not to be changed."""
@@ -563,27 +649,21 @@ def _write_code(out: Tokens, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return _codes_of(len(counts), first, *second)
     lengths = code_lengths(counts)
     out.add(*_LENGTHS_HEAD)
-    value, size = _LENGTH_BITS
-    values, sizes, stays = value[lengths], size[lengths], np.ones(len(lengths), bool)
-    # A long run's few tokens stand at its first places.
-    edges = np.concatenate([[0], (lengths[1:] != lengths[:-1]).nonzero()[0] + 1, [len(lengths)]])
-    many = (edges[1:] - edges[:-1] > np.where(lengths[edges[:-1]] > 0, 3, 2)).nonzero()[0]
-    put = []
-    for a, b, length in zip(edges[many].tolist(), edges[many + 1].tolist(), lengths[edges[many]].tolist(), strict=True):
-        a += length > 0
-        n = b - a
-        for s, least, greatest, extra in _RUNS[length > 0]:
-            while n >= least:
-                take = min(n, greatest)
-                put.append((a, _LENGTH_LISTS[0][s] | (take - least) << _LENGTH_LISTS[1][s], _LENGTH_LISTS[1][s] + extra))
-                n -= take
-                a += 1
-        stays[a : b - n] = False
-    if put:
-        at, *told = zip(*put, strict=True)
-        at = list(at)
-        values[at], sizes[at] = told
-    out.extend(values[stays], sizes[stays])
+    used = lengths.nonzero()[0]
+    put, end, before, times = out.few, 0, 0, 0
+    for at, length in zip(used.tolist(), lengths[used].tolist(), strict=True):
+        if at == end and length == before:
+            times += 1
+        else:
+            if times:
+                put += _run(before, times)
+            if at > end:
+                put += _run(0, at - end)
+            before, times = length, 1
+        end = at + 1
+    put += _run(before, times)
+    if end < len(lengths):
+        put += _run(0, len(lengths) - end)
     return _codes(lengths)
 
 
@@ -595,6 +675,9 @@ def _symbol(v: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + ((v - 1) >> extra & 1), (v - 1) & ((1 << extra) - 1), extra
 
 
+_KEY = np.uint64(0xFFFFFFFFFFFF0000)
+
+
 def references(p: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[int, int, int]]:
     """(place, length, distance) of stretches that stand at an earlier place too, from left to right: runs of places whose next `least` pixels
     last stood the same distance back."""
@@ -604,8 +687,12 @@ def references(p: np.ndarray, least: int = 4, most: int = 4096) -> list[tuple[in
     key = p[:n].astype(np.uint64)
     for k in range(1, least):
         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ p[k : n + k]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    # The key's first 48 bits are sorted with the place behind them, of which an image has at most 2^16.
+    key = (key * np.uint64(0x9E3779B97F4A7C15)) & _KEY | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & ~_KEY).view(np.int64)
+    key &= _KEY
+    same = np.flatnonzero(key[1:] == key[:-1])
     if not len(same):
         return []
     here, before = order[same + 1], order[same]
@@ -642,19 +729,24 @@ def _near(width: int) -> dict[int, int]:
     return {d: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if (d := x + y * width) > 0}
 
 
+def _channel_counts(channels: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """How often each value stands in each of three channels at some of the pixels."""
+    return np.bincount((channels.compress(some, 1) + _TWELVE[:3]).ravel(), minlength=3 * 256).reshape(3, 256)
+
+
 def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
     """Pixels (ARGB numbers) with back-references and, where it pays, the colour cache of cache_bits."""
     found = references(p) if main else []
     literal = np.ones(len(p), bool)
     for a, length, _ in found:
         literal[a : a + length] = False
-    channels = [((p >> np.uint32(shift)) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
+    channels = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4).T[[1, 2, 0, 3]].astype(np.int64)  # green, red, blue, alpha
     hit = np.zeros(len(p), bool)
     if cache_bits:
         hit, cell = cache_hits(p, cache_bits)
         hit &= literal
         share = hit.sum() / max(1, literal.sum())
-        bits = _entropy(np.stack([np.bincount(c[literal], minlength=256) for c in channels[:3]])).sum()
+        bits = _entropy(_channel_counts(channels[:3], literal)).sum()
         used = np.count_nonzero(np.bincount(cell[hit]))
         gain = hit.sum() * (bits / max(1, literal.sum()) - np.log2(max(1, used)) + np.log2(share)) + (literal & ~hit).sum() * np.log2(1 - share) - 6 * used if 0 < share < 1 else 0.0
         if gain <= CACHE_GAIN * bits:
@@ -668,7 +760,7 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
     symbol[begins] = np.array([256 + s for s, _, _ in sizes], np.int64)
     first = literal.copy()
     first[begins] = True
-    counts = [np.bincount(symbol[first], minlength=280 + ((1 << cache_bits) if cache_bits else 0)), *(np.bincount(c[plain], minlength=256) for c in channels[1:])]
+    counts = [np.bincount(symbol[first], minlength=280 + ((1 << cache_bits) if cache_bits else 0)), *_channel_counts(channels[1:], plain)]
     out.add(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if main:
         out.add(0, 1)
@@ -680,12 +772,14 @@ def _write_image(out: Tokens, p: np.ndarray, width: int, main: bool, cache_bits:
             continue
         value |= np.where(plain, bits[c], np.uint64(0)) << size.astype(np.uint64)
         size = size + np.where(plain, n[c], 0)
-    for a, (_, extra, n), (s, more, m) in zip(begins.tolist(), sizes, far, strict=True):
-        v, k = int(value[a]), int(size[a])
-        v |= extra << k
-        v |= int(of_distance[0][s]) << (k + n)
-        k += n + int(of_distance[1][s])
-        value[a], size[a] = v | more << k, k + m
+    if found:
+        (_, extra, n), (s, more, m) = np.array(sizes, np.int64).T, np.array(far, np.int64).T
+        at = size[begins]
+        v = value[begins] | extra.astype(np.uint64) << at.astype(np.uint64)
+        at = at + n
+        v |= of_distance[0][s] << at.astype(np.uint64)
+        at += of_distance[1][s]
+        value[begins], size[begins] = v | more.astype(np.uint64) << at.astype(np.uint64), at + m
     out.extend(value[first], size[first])
 
 
@@ -699,7 +793,7 @@ def _count_bits() -> np.ndarray:
 def _entropy(counts: np.ndarray) -> np.ndarray:
     """Bits of the symbols counted in each row by an ideal code, and six for each symbol that its description takes."""
     bits = _count_bits()
-    return bits[counts.sum(-1)] - bits[counts].sum(-1) + 6 * np.count_nonzero(counts, -1)
+    return bits[counts.sum(-1)] - bits.take(counts, mode="clip").sum(-1) + 6 * np.count_nonzero(counts, -1)
 
 
 #: Bits of the colour cache, and the share of the pixels' bits that it has to save.
@@ -717,7 +811,7 @@ def _write_stream(p: np.ndarray) -> bytes:
     flat = p.reshape(-1)
     ordered = np.sort(flat)
     colours = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
-    c = np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(height, WIDTH, 4)[..., 2::-1].transpose(2, 0, 1)  # red, green, blue
+    c = np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(height, WIDTH, 4)[..., 2::-1].transpose(2, 0, 1)  # red, green, blue
     forms = np.empty((4, 3, height, WIDTH), np.uint8)
     left, above, no_green, plain = forms
     for form in forms:
@@ -767,8 +861,10 @@ def encode(data: bytes) -> bytes:
     """Bytes, a multiple of 192, as images of 64 RGB pixels a row."""
     out = []
     for k in range(0, len(data), MOST_ROWS * ROW):
-        rgb = np.frombuffer(data[k : k + MOST_ROWS * ROW], np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32)
-        out.append(wrap(_write_stream(rgb[..., 0] << np.uint32(16) | rgb[..., 1] << np.uint32(8) | rgb[..., 2] | np.uint32(255 << 24))))
+        rgb = np.frombuffer(data[k : k + MOST_ROWS * ROW], np.uint8).reshape(-1, WIDTH, 3)
+        argb = np.full((len(rgb), WIDTH, 4), 255, np.uint8)
+        argb[..., :3] = rgb[..., ::-1]
+        out.append(wrap(_write_stream(argb.view("<u4")[..., 0])))
     return b"".join(out)
 
 
@@ -776,16 +872,16 @@ def decode(content: bytes) -> bytes:
     """The RGB bytes of images that stand one behind the other."""
     parts = []
     for p in images(content):
-        parts.append(np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes())
+        parts.append(np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes())
     return b"".join(parts)
 
 
 def feature(pixels: bytes) -> str:
     """Rows, and for red, green and blue the mean and the mean step from one pixel to the next, in thousandths."""
-    rgb = np.frombuffer(pixels, np.uint8).reshape(-1, 3).astype(np.int64)
-    n = len(rgb)
-    mean = rgb.sum(0) * 1000 // n
-    step = np.abs(np.diff(rgb, axis=0)).sum(0) * 1000 // max(1, n - 1)
+    rgb = np.ascontiguousarray(np.frombuffer(pixels, np.uint8).reshape(-1, 3).T, np.int16)
+    n = rgb.shape[1]
+    mean = rgb.sum(1, np.int64) * 1000 // n
+    step = np.abs(rgb[:, 1:] - rgb[:, :-1]).sum(1, np.int64) * 1000 // max(1, n - 1)
     return f"rows={n // WIDTH};mean={','.join(map(str, mean))};step={','.join(map(str, step))}"
 
 

@@ -316,3 +316,22 @@ def test_codes_of_few_symbols_are_made_once():
     assert [W.decode(W.encode(t)) for t in texts] == texts
     assert W._codes_of.cache_info().misses < len(texts) <= W._codes_of.cache_info().hits
     assert W._code_of_symbols.cache_info().misses < len(texts) <= W._code_of_symbols.cache_info().hits
+
+
+@pytest.mark.parametrize("alphabet", [40, 256, 280, 536])
+def test_code_lengths_are_read_several_at_once(alphabet):
+    """Descriptions of codes with gaps, runs and single lengths are few tokens, and read back to their last bit."""
+    rng = np.random.default_rng(alphabet)
+    dense, sparse = rng.integers(1, 9, alphabet), np.where(rng.random(alphabet) < 0.1, rng.integers(1, 10**4, alphabet), 0)
+    first, last = np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64)
+    first[:5], last[-5:] = range(1, 6), range(1, 6)
+    for counts in (np.ones(alphabet, np.int64), dense, sparse + (np.arange(alphabet) < 3), first, last, 1 << np.minimum(np.arange(alphabet), 14)):
+        out = W.Tokens()
+        W._write_code(out, counts)
+        assert len(out.few) <= 1 + 2 * np.count_nonzero(counts)
+        size = sum(n for _, n in out.few)
+        bits = W.Bits(out.bytes() + b"\xa5" * 8)
+        found = W.read_code(bits, alphabet)
+        assert bits.at == size
+        assert (found.table == W.PrefixCode(W.code_lengths(counts)).table).all()
+    assert any(W._code_of_lengths(tuple(W._LENGTHS)).several)
